@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .bpe import op5_byte_bpe
 from .mixing import OP10_SQL, op10_weighted_fair_mix
+from .sharding import op1_kd_shards
+from .token_counts import op8_piece_counts
 
 QUERIES = {
+    "op1_kd_shards": op1_kd_shards,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op8_piece_counts": op8_piece_counts,
     "op10_weighted_fair_mix": op10_weighted_fair_mix,
 }
 ORACLE_SQL = {
