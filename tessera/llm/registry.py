@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .bpe import op5_byte_bpe
+from .jpeg import op3_baseline_jpeg
 from .mixing import OP10_SQL, op10_weighted_fair_mix
 from .sharding import op1_kd_shards
 from .token_counts import op8_piece_counts
+from .toxicity import op4_compression_toxicity
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
+    "op3_baseline_jpeg": op3_baseline_jpeg,
+    "op4_compression_toxicity": op4_compression_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_piece_counts": op8_piece_counts,
     "op10_weighted_fair_mix": op10_weighted_fair_mix,
