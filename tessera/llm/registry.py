@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_byte_bpe
+from .jaccard import op2_jaccard_prefix
 from .jpeg import op3_baseline_jpeg
 from .mixing import OP10_SQL, op10_weighted_fair_mix
 from .sharding import op1_kd_shards
@@ -11,6 +12,7 @@ from .toxicity import op4_compression_toxicity
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
+    "op2_jaccard_prefix": op2_jaccard_prefix,
     "op3_baseline_jpeg": op3_baseline_jpeg,
     "op4_compression_toxicity": op4_compression_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
