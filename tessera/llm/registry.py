@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op5_byte_bpe
 from .jaccard import op2_jaccard_prefix
 from .jpeg import op3_baseline_jpeg
+from .lines import op7_line_dedup
 from .mixing import OP10_SQL, op10_weighted_fair_mix
 from .sharding import op1_kd_shards
 from .token_counts import op8_piece_counts
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_baseline_jpeg": op3_baseline_jpeg,
     "op4_compression_toxicity": op4_compression_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_line_dedup": op7_line_dedup,
     "op8_piece_counts": op8_piece_counts,
     "op10_weighted_fair_mix": op10_weighted_fair_mix,
 }

@@ -33,28 +33,35 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
     """For each text, a 64-bit hash of every word `[^\\x20\\x09-\\x0D]+`, A-Z in lower case; null: no words."""
+    for group in groups(texts):
+        hashes, _, cut = hashed(group)
+        for i in range(len(group)):
+            yield hashes[cut[i] : cut[i + 1]]
+
+
+def groups(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
+    """The texts' UTF-8, A-Z in lower case, some megabytes at a time."""
     group: list[bytes] = []
     size = 0
     for t in texts:
         group.append((t or "").encode("utf-8", "surrogatepass").lower())
         size += len(group[-1])
         if size > GROUP_BYTES:
-            yield from _hashed(group)
+            yield group
             group, size = [], 0
-    yield from _hashed(group)
+    yield group
 
 
-def _hashed(group: list[bytes]) -> Iterator[np.ndarray]:
+def hashed(group: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, the number of each one's line, counted over the group, and the words before each text."""
     raw = np.frombuffer(b"\n".join(group) + b"\n", np.uint8)
     up, down = powers(len(raw) + 1)
     total = np.r_[np.uint64(0), np.cumsum(_BYTE[raw] * up[: len(raw)])]
     edge = np.diff(np.r_[True, _WHITE[raw]].astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     hashes = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    at = np.r_[0, np.cumsum([len(b) + 1 for b in group])]
-    cut = np.searchsorted(start, at)
-    for i in range(len(group)):
-        yield hashes[cut[i] : cut[i + 1]]
+    at = np.r_[0, np.cumsum([len(b) + 1 for b in group], dtype=np.int64)]
+    return hashes, np.searchsorted(np.flatnonzero(raw == 10), start), np.searchsorted(start, at)
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
