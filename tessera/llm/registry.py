@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op9_learned_partitions
 from .bpe import op5_byte_bpe
 from .jaccard import op2_jaccard_prefix
 from .jpeg import op3_baseline_jpeg
@@ -19,8 +20,10 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op7_line_dedup": op7_line_dedup,
     "op8_piece_counts": op8_piece_counts,
+    "op9_learned_partitions": op9_learned_partitions,
     "op10_weighted_fair_mix": op10_weighted_fair_mix,
 }
 ORACLE_SQL = {
+    "op9_learned_partitions": op9_learned_partitions,
     "op10_weighted_fair_mix": OP10_SQL,
 }
