@@ -7,6 +7,7 @@ from .bpe import op5_byte_bpe
 from .jaccard import op2_jaccard_prefix
 from .jpeg import op3_baseline_jpeg
 from .lines import op7_line_dedup
+from .lm import op6_context_mixing
 from .mixing import OP10_SQL, op10_weighted_fair_mix
 from .sharding import op1_kd_shards
 from .token_counts import op8_piece_counts
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_baseline_jpeg": op3_baseline_jpeg,
     "op4_compression_toxicity": op4_compression_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_context_mixing": op6_context_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op8_piece_counts": op8_piece_counts,
     "op9_learned_partitions": op9_learned_partitions,

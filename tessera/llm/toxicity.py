@@ -196,16 +196,26 @@ def _runs(text: str, keys: tuple[bytes, ...]) -> list[list[bytes]]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
-    """Up to n labelled texts of each class, of at most SAMPLE_BYTES, drawn by a hash of doc_id; labels of 0 and 1 only,
-    and no document of the held-out fifth."""
-    own = labels.where("toxic in (0, 1)").select("doc_id", "toxic").where(crc32_of(F.col("doc_id")) % 5 != 0).dropDuplicates(["doc_id"])
+    """Up to n labelled texts of each class, of 1 to SAMPLE_BYTES bytes: of the first 2 n labels of the class in the
+    order of a hash of doc_id. Labels of 0 and 1 only, and no document of the held-out fifth."""
+    own = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").where(crc32_of(F.col("doc_id")) % 5 != 0).dropDuplicates(["doc_id"])
     key = shuffle_key(F.col("doc_id"))
-    both = docs.select("doc_id", "text").where(F.octet_length("text").between(1, SAMPLE_BYTES)).join(own, "doc_id")
-    out: list[tuple[int, str, int]] = []
-    for label in (0, 1):
-        drawn = both.where(F.col("toxic") == label).select(key.alias("k"), "text").orderBy("k", "text").limit(n)
-        out += [(r["k"], r["text"], label) for r in drawn.collect()]
-    return [(t, y) for _, t, y in sorted(out)]
+    drawn = [(r["doc_id"], r["k"], label) for label in (0, 1) for r in own.where(F.col("toxic") == label).select("doc_id", key.alias("k")).orderBy("k", "doc_id").limit(2 * n).collect()]
+    few = docs.sparkSession.createDataFrame(drawn, T.StructType([labels.schema["doc_id"], T.StructField("k", T.LongType()), T.StructField("toxic", T.IntegerType())]))
+    # at most 4 n rows of three numbers are broadcast, and their texts collected
+    texts = docs.select("doc_id", "text").where(F.octet_length("text").between(1, SAMPLE_BYTES)).join(F.broadcast(few), "doc_id").select("k", "text", "toxic").collect()
+    return _first(sorted(texts), n)
+
+
+def _first(rows: list, n: int) -> list[tuple[str, int]]:
+    """The first n rows of each class, in their order."""
+    seen: Counter = Counter()
+    out = []
+    for _, text, label in rows:
+        seen[label] += 1
+        if seen[label] <= n:
+            out.append((text, label))
+    return out
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", *, out_col: str = "toxicity") -> DataFrame:
