@@ -3,10 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, written
+from tessera.llm import bpe, jaccard, lines, mixing, toxicity
+from tessera.llm.common import documents, fresh, written
 
-STAGES: list = []
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the folder's labelled documents, scores below 0.5."""
+    score = fresh(docs, "toxicity")
+    return toxicity.scored(docs, toxicity.fitted(spark, sf_dir), out_col=score).where(F.col(score) < 0.5).drop(score)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that earlier documents, or earlier lines, have. Those that lose all they had go."""
+    out = lines.deduplicated(docs)
+    emptied = (F.size("dropped_lines") > 0) & (F.length(F.trim(F.regexp_replace("text", r"[\t-\r]", " "))) == 0)
+    kept = out.where(F.col("text").isNull() | ~emptied).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, 0.8) the document with the smallest doc_id. Rows without one stay."""
+    ids = written(jaccard.near_duplicates(docs), "pipeline-near")
+    gone = ids.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    twice = ids.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
+    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix of sources takes, as often as it takes them."""
+    sizes = written(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("words"), mixing.shuffle_key(F.col("doc_id"), F.col("text")).alias("key")), "pipeline-sizes")
+    # of rows that are equal in all of these any may be taken, so the largest number of copies stands for them
+    copies = mixing.mix(sizes, size_col="words", order_col="key").where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("source").alias("_source")).agg(F.max("copies").alias("_copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (mixing.shuffle_key(F.col("doc_id"), F.col("text")) == F.col("_key"))
+    taken = docs.join(copies, same)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as token ids: doc_id, n_tokens, ids_sha256 and decoded_sha256 of each of its documents."""
+    return bpe.digests(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line dedup", without_repeated_lines),
+    ("n-gram Jaccard join", without_near_copies),
+    ("mixing sources", mixed),
+    ("byte-level BPE", encoded),
+]
 #: The stages on toxicity, near lines and similarity can't be said in SQL.
 ORACLE_SQL = None
 
@@ -14,5 +61,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs
