@@ -41,6 +41,8 @@ START_WEIGHTS = (0.15, 0.35, 0.55)
 WEIGHT_RATE, BIN_RATE = 0.6, 0.5
 #: Distinct words that a counting task holds before it hands them on.
 HELD_WORDS = 2_000_000
+#: Bytes whose contexts it counts together.
+HELD_BYTES = 8 << 20
 
 
 def contexts(raw: np.ndarray, start: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -94,9 +96,17 @@ def counted(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(np.full(len(keys[part]), kind, np.int32)), pa.array(keys[part].view(np.int64)), pa.array(n[part].astype(np.int64))], names=schema.names)
 
     def count(batches):
-        cells = [np.zeros(256 << bits, np.int64) for bits in SLOT_BITS]
+        cells = [np.zeros(256 << bits, np.int32) for bits in SLOT_BITS]
+        seen: list[list[np.ndarray]] = [[] for _ in cells]
         words: list[tuple[np.ndarray, np.ndarray]] = []
-        held = texts = 0
+        held = texts = waiting = 0
+
+        def add() -> None:
+            for table, keys in zip(cells, seen, strict=True):
+                if keys:
+                    np.add(table, np.bincount(np.concatenate(keys), minlength=len(table)), out=table, casting="unsafe")
+                    keys.clear()
+
         for b in batches:
             column = b.column(0).to_pylist()
             texts += len(column)
@@ -111,12 +121,13 @@ def counted(docs: DataFrame) -> DataFrame:
                         held = 0
             for batch in _in_batches(column):
                 raw, start = _joined(batch)
-                for table, slot in zip(cells, contexts(raw, start)[0], strict=True):
-                    at, n = np.unique(slot << 8 | raw, return_counts=True) if len(raw) < 4096 else (None, None)
-                    if at is None:
-                        table += np.bincount(slot << 8 | raw, minlength=len(table))
-                    else:
-                        table[at] += n
+                for keys, slot in zip(seen, contexts(raw, start)[0], strict=True):
+                    keys.append((slot << 8 | raw).astype(np.int32))
+                waiting += len(raw)
+                if waiting > HELD_BYTES:
+                    add()
+                    waiting = 0
+        add()
         if words:
             yield from rows(0, *_merged(words))
         if texts:
