@@ -11,10 +11,10 @@ is exact, hashing aside (64 bits a shingle, 128 a set): nothing is capped, sampl
 4. In each prefix shingle's bucket the member with the shingle earliest stands for the bucket. Each class is compared
    with the one that stands for most of its shingles; the links give first components. This takes large groups of
    near copies together at a cost in proportion to their size.
-5. What is left are pairs in different components. The cost of a class is the number of members of other components in
-   its buckets; its prefix is lengthened by one shingle each time that cost doubles, and a pair must then share as many
-   shingles as the shorter of both lengthenings asks for, within the bounds that both sizes together set, before its
-   sets are compared.
+5. What is left are pairs in different components. The cost of a class is estimated as the number of members of other
+   components in its buckets, at places where classes of the same size can meet; its prefix is lengthened by one shingle
+   each time that cost doubles, and a pair must then share as many shingles as the shorter of both lengthenings asks
+   for, within the bounds that both sizes together set, before its sets are compared.
 """
 
 from __future__ import annotations
@@ -178,11 +178,14 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80) -> DataFram
     # the pairs between components
     placed = buckets.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     placed = written(placed, "jaccard-placed")
-    members = placed.where("base").groupBy("token", "comp").agg(F.count(F.lit(1)).alias("mine"))
-    everyone = members.groupBy("token").agg(F.sum("mine").alias("all"), F.count(F.lit(1)).alias("comps"))
-    others = placed.where("base").join(members, ["token", "comp"]).join(everyone, "token").groupBy("cls").agg(F.sum(F.col("all") - F.col("mine")).alias("cost"))
+    # two classes of the same size can only meet at places before this one; it tells what a prefix will cost
+    early = F.col("pos") < F.col("n") - F.floor((2 * rule.share * F.col("n") + F.lit(99 + rule.share)) / F.lit(100 + rule.share)) + 1
+    members = placed.where("base").withColumn("early", early.cast("int")).groupBy("token", "comp").agg(F.count(F.lit(1)).alias("mine"), F.sum("early").alias("mine_early"))
+    everyone = members.groupBy("token").agg(F.sum("mine").alias("all"), F.sum("mine_early").alias("all_early"))
+    met = placed.where("base").join(members, ["token", "comp"]).join(everyone.where("all > 1"), "token")
+    others = met.groupBy("cls").agg(F.sum(F.col("all") - F.col("mine")).alias("reach"), F.sum(F.when(early, F.col("all_early") - F.col("mine_early")).otherwise(0)).alias("cost")).where("reach > 0")
     extra = F.least(F.lit(1) + F.floor(F.log2(F.greatest(F.lit(1.0), 2 * F.col("cost") / F.lit(LENGTHEN_AT)))), F.lit(LONGEST), least)
-    priced = placed.join(others, "cls").withColumn("extra", extra).where((F.col("cost") > 0) & (F.col("pos") < first + F.col("extra") - 1))
+    priced = placed.join(others, "cls").withColumn("extra", extra).where(F.col("pos") < first + F.col("extra") - 1)
     priced = written(priced.select("token", "cls", "n", "pos", "comp", "extra"), "jaccard-priced")
     one, two = (priced.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "comp", "extra")]) for s in "ab")
     asked = F.least("extra_a", "extra_b")
