@@ -206,3 +206,19 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80) -> DataFram
 def op2_jaccard_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by shingles of three words and a similarity of 0.9: doc_id, n_shingles, component_id."""
     return near_duplicates(documents(spark, sf_dir), k=3, share=90)
+
+
+#: The same by counting the shingles that each two documents share, for DuckDB on small tables.
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS m, b.n, count(*) AS shared FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+near AS (SELECT x, y FROM pairs WHERE 100 * shared >= 90 * (m + n - shared)),
+links AS (SELECT x, y FROM near UNION SELECT y, x FROM near),
+reach AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_id = s.doc_id) AS component_id FROM sets s
+"""

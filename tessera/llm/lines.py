@@ -220,7 +220,7 @@ def _n_words(line: str) -> int:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents: doc_id, n_lines, n_dropped, dropped_lines (numbers from 0, separated by commas) and text_crc32 (of
+    """All documents: doc_id, n_lines, n_dropped, dropped_lines (numbers from 0, separated by commas) and text_md5 (of
     what stays)."""
     out = deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select(
@@ -228,5 +228,30 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_lines",
         F.size("dropped_lines").cast("long").alias("n_dropped"),
         F.array_join(F.col("dropped_lines").cast("array<string>"), ",").alias("dropped_lines"),
-        F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
+        F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"),
     )
+
+
+#: The same with the variants as texts, for DuckDB on small tables.
+OP7_SQL = r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no FROM split),
+worded AS (
+  SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM lines),
+known AS (
+  SELECT w, len(w) AS n, array_to_string(w, ' ') AS whole, min(struct_pack(doc_id := doc_id, line_no := line_no)) AS first FROM worded WHERE len(w) >= 5 GROUP BY w),
+numbered AS (SELECT *, row_number() OVER (ORDER BY first) AS id FROM known),
+places AS (SELECT id, n, w, unnest(range(1, n + 1)) AS i FROM numbered WHERE n >= 10),
+variants AS (SELECT id, n, i, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') AS short FROM places),
+near AS (
+  SELECT id FROM variants QUALIFY id > min(id) OVER (PARTITION BY n, i, short)
+  UNION SELECT greatest(v.id, k.id) FROM variants v JOIN numbered k ON k.whole = v.short AND k.n >= 10),
+kept AS (SELECT first.doc_id AS doc_id, first.line_no AS line_no FROM numbered WHERE id NOT IN (SELECT id FROM near)),
+marked AS (
+  SELECT w.doc_id, w.line, w.line_no, len(w.w) < 5 OR k.doc_id IS NOT NULL AS stays FROM worded w LEFT JOIN kept k ON k.doc_id = w.doc_id AND k.line_no = w.line_no),
+done AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, coalesce(string_agg(line_no, ',' ORDER BY line_no) FILTER (NOT stays), '') AS dropped_lines,
+    coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (stays), '') AS text FROM marked GROUP BY ALL)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped_lines, '') AS dropped_lines, md5(coalesce(e.text, '')) AS text_md5
+FROM documents d LEFT JOIN done e USING (doc_id)
+"""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from .ann import op9_learned_partitions
 from .bpe import op5_byte_bpe
-from .jaccard import op2_jaccard_prefix
+from .jaccard import OP2_SQL, op2_jaccard_prefix
 from .jpeg import op3_baseline_jpeg
-from .lines import op7_line_dedup
+from .lines import OP7_SQL, op7_line_dedup
 from .lm import op6_context_mixing
 from .mixing import OP10_SQL, op10_weighted_fair_mix
 from .sharding import op1_kd_shards
@@ -26,6 +26,8 @@ QUERIES = {
     "op10_weighted_fair_mix": op10_weighted_fair_mix,
 }
 ORACLE_SQL = {
+    "op2_jaccard_prefix": OP2_SQL,
+    "op7_line_dedup": OP7_SQL,
     "op9_learned_partitions": op9_learned_partitions,
     "op10_weighted_fair_mix": OP10_SQL,
 }
