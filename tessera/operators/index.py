@@ -76,11 +76,14 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """Tables of an index. documents (doc_id, body, ...) is read for the rows that a search returns only."""
+    """Tables of an index. documents (doc_id, body, ...) is read for the rows that a search returns only.
+
+    stored: postings are columns on disk, so that offsets can be read for these rows only, too."""
 
     postings: DataFrame
     stats: DataFrame
     documents: DataFrame
+    stored: bool = False
 
     def size(self) -> tuple[int, float]:
         """Number of documents and their mean tokens."""
@@ -109,7 +112,7 @@ def build_index(docs: DataFrame, max_offsets: int = MAX_OFFSETS) -> Index:
 
 
 def load_index(spark: SparkSession, path: str, docs: DataFrame) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), docs)
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), docs, stored=True)
 
 
 def load_json(spark: SparkSession, path: str, docs: DataFrame) -> Index:

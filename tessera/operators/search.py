@@ -43,15 +43,23 @@ def tf_idf(tf: Column, length: Column, weight: Column) -> Column:
     return tf * weight / F.when(length == 0, F.lit(1)).otherwise(length)
 
 
-def _found(index: Index, terms: DataFrame, n_docs: int, avg_len: float, use_bm25: bool, k1: float, b: float) -> DataFrame:
-    """query_id, qi, doc_id, offsets and the term's score, for every term of every query in every document."""
+def _looked_up(index: Index, terms: DataFrame) -> DataFrame:
+    """The postings of all terms of all queries."""
     words = [r["term"] for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-    hit = index.postings.where(F.col("term").isin(words)) if len(words) <= PUSHED_TERMS else index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+    if len(words) <= PUSHED_TERMS:
+        return index.postings.where(F.col("term").isin(words))
+    return index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+
+
+def _parts(hit: DataFrame, index: Index, terms: DataFrame, use_bm25: bool, k1: float, b: float) -> DataFrame:
+    """query_id, qi, doc_id and the term's score, for every term of every query in every document; offsets if `hit` has
+    them."""
+    n_docs, avg_len = index.size()
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = terms.join(df, "term").withColumn("idf", idf(F.lit(n_docs), F.col("df")))
     rows = hit.join(weights, "term").join(index.stats.select("doc_id", "token_count"), "doc_id")
     score = bm25(F.col("tf"), F.col("token_count"), F.lit(avg_len), F.col("idf"), k1, b) if use_bm25 else tf_idf(F.col("tf"), F.col("token_count"), F.col("idf"))
-    return rows.select("query_id", "qi", "term", "doc_id", "offsets", score.alias("part"))
+    return rows.select("query_id", "doc_id", F.struct("qi", score.alias("part"), "term", *(c for c in hit.columns if c == "offsets")).alias("part"))
 
 
 def proximity(places: Column) -> Column:
@@ -81,18 +89,25 @@ def ranked(index: Index, query: str | DataFrame, *, k: int | None = RESULTS, use
     """
     if k is not None and k < 0:
         raise ValueError("k must not be negative")
-    spark = index.postings.sparkSession
-    n_docs, avg_len = index.size()
-    terms = query_terms(queries_of(spark, query))
-    rows = _found(index, terms, n_docs, avg_len, use_bm25, k1, b)
+    terms = query_terms(queries_of(index.postings.sparkSession, query))
+    hit = _looked_up(index, terms)
+    cut = k is not None and not rerank
+    later = cut and index.stored
+    rows = _parts(hit.drop("offsets") if later else hit, index, terms, use_bm25, k1, b)
     # sums in a fixed order, so that equal documents have equal scores; rows of a pair are the query's terms
-    parts = F.array_sort(F.collect_list(F.struct("qi", "part", "term", "offsets")))
-    docs = rows.groupBy("query_id", "doc_id").agg(parts.alias("parts")).withColumn("base_score", F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["part"]))
-    if k is not None and not rerank:
+    docs = rows.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    docs = docs.withColumn("base_score", F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["part"]))
+    if cut:
         # neighbours matter for the rows that the base score can keep; equal scores at the cut included
         best = Window.partitionBy("query_id").orderBy(F.desc("base_score"))
-        docs = docs.withColumn("_place", F.rank().over(best)).where(F.col("_place") <= k)
-    places = F.array_sort(F.flatten(F.transform("parts", lambda p: F.transform(p["offsets"], lambda o: F.struct(o.alias("off"), p["qi"].alias("qi"))))))
+        docs = docs.withColumn("_place", F.rank().over(best)).where(F.col("_place") <= k).drop("_place")
+    if later:
+        # these rows' offsets
+        found = hit.select("term", "doc_id", "offsets").join(docs.select("query_id", "doc_id"), "doc_id").join(terms, ["query_id", "term"])
+        docs = docs.join(found.groupBy("query_id", "doc_id").agg(F.collect_list(F.struct("qi", "offsets")).alias("at")), ["query_id", "doc_id"])
+    else:
+        docs = docs.withColumn("at", F.col("parts"))
+    places = F.array_sort(F.flatten(F.transform("at", lambda p: F.transform(p["offsets"], lambda o: F.struct(o.alias("off"), p["qi"].alias("qi"))))))
     near = docs.withColumn("places", places).withColumn("near", proximity(F.col("places")))
     full = near.select(
         "query_id",
