@@ -33,8 +33,12 @@ ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
 #: Lengths in bytes of the beginnings of words that may be toxic text's own, besides whole words.
 STEM_BYTES = (4, 5, 6, 7)
 #: A beginning is its own if its share of toxic documents is so many times that of ordinary ones, and if so many, or
-#: this share, of the toxic ones speak for it. A document's voice falls to a quarter with every one that it has.
-KEY_RATIO, KEY_DOCS, KEY_SHARE, KEY_VOICE = 8.0, 3.0, 0.012, 0.25
+#: this share, of the toxic ones speak for it. A document's voice falls with every one that it has.
+KEY_RATIO, KEY_DOCS, KEY_SHARE, KEY_VOICE = 8.0, 3.0, 0.012, 0.6
+#: Gains in bytes from which windows are counted.
+THRESHOLDS = (2, 3, 4, 5, 6, 7)
+#: Weight of toxic against ordinary documents when the thresholds are calibrated: ordinary ones shall be left alone.
+TOXIC_WEIGHT = 0.35
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -55,15 +59,14 @@ def windows(text: str | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Model:
-    """Raw contents of both dictionaries, the gain in bytes that marks a window, and the weights of `features`."""
+    """Raw contents of both dictionaries, and the weights of `_features`, calibrated on documents that they haven't seen."""
 
     ordinary: bytes
     toxic: bytes
-    threshold: int
     weights: tuple[float, ...]
 
     def score(self, texts: list[str | None]) -> list[float]:
-        x = np.array([_features(g, self.threshold) for g in gains(texts, self.ordinary, self.toxic)], float).reshape(len(texts), -1)
+        x = np.array([_features(*g) for g in gains(texts, self.ordinary, self.toxic)], float).reshape(len(texts), -1)
         return (1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -30, 30)))).tolist()
 
 
@@ -76,18 +79,20 @@ def _compressors(ordinary: bytes, toxic: bytes):
     return [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how).compress if d else None for d in (ordinary, toxic)]
 
 
-def gains(texts: list[str | None], ordinary: bytes, toxic: bytes) -> list[Counter]:
-    """For each text, how many windows are so many bytes shorter under the toxic dictionary (only gains above 0)."""
+def gains(texts: list[str | None], ordinary: bytes, toxic: bytes) -> list[tuple[Counter, int]]:
+    """For each text, how many windows are so many bytes shorter under the toxic dictionary (only gains above 0), and how
+    many windows it has."""
     a, b = _compressors(ordinary, toxic)
     if a is None or b is None:
-        return [Counter() for _ in texts]
+        return [(Counter(), 0) for _ in texts]
     lead = ordinary[-LEAD_BYTES:]
-    return [Counter(g for w in windows(t) if (g := len(a(lead + w)) - len(b(lead + w))) > 0) for t in texts]
+    cut = [windows(t) for t in texts]
+    return [(Counter(g for w in ws if (g := len(a(lead + w)) - len(b(lead + w))) > 0), len(ws)) for ws in cut]
 
 
-def _features(gain: Counter, threshold: int) -> list[float]:
-    over = sum(n for g, n in gain.items() if g >= threshold)
-    return [1.0, float(over > 0), math.log1p(over), float(min(max(gain, default=0), 16)) / 16]
+def _features(gain: Counter, n: int) -> list[float]:
+    over = [math.log1p(sum(c for g, c in gain.items() if g >= t)) for t in THRESHOLDS]
+    return [1.0, min(max(gain, default=0), 16) / 4, *over, math.log1p(n) / 4]
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -129,14 +134,15 @@ def key_stems(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     return out
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Newton's method on the penalised log-likelihood, both classes of equal weight."""
-    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
+    """Newton's method on the penalised log-likelihood; without anything to go by, documents count as ordinary."""
+    weight = np.where(y == 1, TOXIC_WEIGHT / max(y.sum(), 1), 1 / max((1 - y).sum(), 1)) * len(y)
     beta = np.zeros(x.shape[1])
+    penalty = np.r_[1e-3, np.full(x.shape[1] - 1, ridge)]
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (weight * (y - p)) - ridge * beta
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta))
+        grad = x.T @ (weight * (y - p)) - penalty * beta
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         beta += np.linalg.solve(hess, grad)
     return beta
 
@@ -146,7 +152,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
     toxic, clean = ([t for t, y in rows if y == label and t] for label in (1, 0))
     toxic, clean = _unlike(toxic), _unlike(clean)
     if len(toxic) < 2 or len(clean) < 2:
-        return Model(b"", b"", 1, (-2.0, 0.0, 0.0, 0.0))
+        return Model(b"", b"", (-2.0, *[0.0] * (len(THRESHOLDS) + 2)))
     cut = [max(1, len(x) * 2 // 3) for x in (toxic, clean)]
     keys = key_stems(toxic[: cut[0]], clean[: cut[1]])
     # what toxic text adds: its own words between their spaces, as often as they occur; the strongest come last, nearest
@@ -161,13 +167,8 @@ def train(rows: list[tuple[str, int]]) -> Model:
     found = gains([t for t, _ in rest], ordinary, toxic_dict)
     y = np.array([label for _, label in rest])
 
-    def mistakes(limit: int) -> float:
-        hit = np.array([max(g, default=0) >= limit for g in found])
-        return (hit & (y == 0)).sum() / max((y == 0).sum(), 1) + (~hit & (y == 1)).sum() / max((y == 1).sum(), 1)
-
-    threshold = min(range(1, 17), key=lambda i: (round(mistakes(i), 6), i))
-    weights = _fit_logistic(np.array([_features(g, threshold) for g in found]), y)
-    return Model(ordinary, toxic_dict, threshold, tuple(map(float, weights)))
+    weights = _fit_logistic(np.array([_features(*g) for g in found]), y)
+    return Model(ordinary, toxic_dict, tuple(map(float, weights)))
 
 
 def _unlike(texts: list[str]) -> list[str]:
