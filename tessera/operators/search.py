@@ -17,6 +17,8 @@ K1, B, PROXIMITY_WEIGHT = 1.2, 0.75, 0.3
 RESULTS, WINDOW = 10, 1200
 #: Terms that are looked up by a filter that reaches the scan; more are joined.
 PUSHED_TERMS = 200
+#: Result rows, k for each query, that are broadcast to the scan of bodies; more are joined by shuffling.
+BROADCAST_ROWS = 50_000
 
 
 def queries_of(spark: SparkSession, query: str | DataFrame) -> DataFrame:
@@ -124,12 +126,15 @@ def ranked(index: Index, query: str | DataFrame, *, k: int | None = RESULTS, use
     return placed.select("query_id", "rank", "doc_id", "base_score", "score", "gap", "match_offset", "terms")
 
 
-def _shown(rows: DataFrame, docs: DataFrame, terms: DataFrame, window: int) -> DataFrame:
-    """Ranked rows with snippet, match_ranges (characters of the snippet) and matched_terms: bodies are read for these
-    rows only."""
+def _shown(rows: DataFrame, docs: DataFrame, queries: DataFrame, k: int, window: int) -> DataFrame:
+    """Ranked rows, at most k a query, with snippet, match_ranges (characters of the snippet) and matched_terms: bodies
+    are read for these rows only."""
+    if k * queries.count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
+    terms = query_terms(queries)
     asked = terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("qi", "term"))).alias("asked"))
     path = ["path"] if "path" in docs.columns else []
-    full = rows.join(docs.select("doc_id", *path, "body"), "doc_id").join(asked, "query_id")
+    full = docs.select("doc_id", *path, "body").join(rows, "doc_id").join(asked, "query_id")
     out = full.withColumn("snippet", fn.snippet(F.col("body"), F.col("match_offset"), window))
     out = out.withColumn("match_ranges", fn.match_ranges(F.col("snippet"), F.transform("asked", lambda a: a["term"])))
     return out.select("query_id", "rank", "doc_id", *path, "score", "match_offset", "snippet", "match_ranges", fn.matched_terms(F.col("match_ranges")).alias("matched_terms"))
@@ -140,8 +145,8 @@ def search(index: Index | None, query: str | DataFrame, *, k: int = RESULTS, win
     match_ranges, matched_terms, and path if documents have one."""
     if index is None:
         raise RuntimeError("no index: build or load one first")
-    spark = index.postings.sparkSession
-    return _shown(ranked(index, query, k=k, **options), index.documents, query_terms(queries_of(spark, query)), window)
+    queries = queries_of(index.postings.sparkSession, query)
+    return _shown(ranked(index, queries, k=k, **options), index.documents, queries, k, window)
 
 
 def raw_ranked(docs: DataFrame, query: str | DataFrame, *, k: int | None = RESULTS) -> DataFrame:
@@ -170,7 +175,8 @@ def raw_ranked(docs: DataFrame, query: str | DataFrame, *, k: int | None = RESUL
 
 def raw_search(docs: DataFrame, query: str | DataFrame, *, k: int = RESULTS, window: int = WINDOW) -> DataFrame:
     """`raw_ranked` with snippets, like `search`."""
-    return _shown(raw_ranked(docs, query, k=k), docs, query_terms(queries_of(docs.sparkSession, query)), window)
+    queries = queries_of(docs.sparkSession, query)
+    return _shown(raw_ranked(docs, queries, k=k), docs, queries, k, window)
 
 
 def search_any(docs: DataFrame, query: str | DataFrame, index: Index | None = None, **options) -> DataFrame:

@@ -61,7 +61,6 @@ def file_type_stats(docs: DataFrame, path_col: str = "path", top: int | None = N
     """label, n and share of all, for each extension; the most frequent first. Blank paths don't count."""
     labels = docs.where(F.length(F.trim(path_col)) > 0).select(fn.extension_label(F.col(path_col)).alias("label"))
     counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    full = counts.join(F.broadcast(total)).select("label", "n", (F.col("n") / F.col("total")).alias("share"))
-    ordered = full.orderBy(F.desc("n"), "label")
+    total = labels.count()
+    ordered = counts.withColumn("share", F.col("n") / F.lit(total)).orderBy(F.desc("n"), "label")
     return ordered if top is None else ordered.limit(top)
