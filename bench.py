@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from tessera.plans import queries as engine
 
-QUERIES = ("tokens", "postings", "term_df", "doc_stats", "bm25_search", "tfidf_search", "bm25_batch", "raw_search", "snippets", "match_ranges", "pattern_counts", "level_counts", "clean_markup", "rag_bundle")
+QUERIES = ("index_build", "tokens", "postings", "term_df", "doc_stats", "bm25_search", "tfidf_search", "bm25_batch", "raw_search", "snippets", "match_ranges", "pattern_counts", "level_counts", "clean_markup", "rag_bundle")
 
 
 def main() -> None:

@@ -108,6 +108,7 @@ def _label(value: str, units: tuple[str, ...], base: int) -> str:
 ORACLE_SQL = {
     "bm25_search": f"WITH {_ranked()} {_SHOWN}",
     "tokens": f"WITH {_TOKENS} SELECT doc_id, term, off FROM toks",
+    "index_build": f"WITH {_TOKENS} SELECT count(*) AS n_postings, count(DISTINCT term) AS n_terms, sum(tf)::BIGINT AS n_tokens, (SELECT n_docs FROM corpus) AS n_docs FROM post",
     "postings": f"WITH {_TOKENS} SELECT term, doc_id, tf, array_to_string(offsets, ',') AS offsets FROM post",
     "term_df": f"WITH {_TOKENS} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM toks GROUP BY ALL",
     "doc_stats": f"WITH {_TOKENS} SELECT * FROM stats",

@@ -12,6 +12,7 @@ from tessera.operators import index as ix
 from tessera.operators import patterns as pt
 from tessera.operators import search as se
 from tessera.operators import shaping as sh
+from tessera.sources.scratch import new_folder
 
 #: Queries that the search queries ask: common and rare terms, a repeated one, an unknown one, and one without tokens.
 ASKED = [(0, "only thenor"), (1, "the hain, ORDER"), (2, "of of tion"), (3, "nosuchterm and"), (4, "é!")]
@@ -31,6 +32,20 @@ def _asked(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ASKED, "query_id int, query string")
 
 
+#: The folders of the indexes that sessions have built, by application and folder of tables.
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, *, anew: bool = False) -> ix.Index:
+    """The index of the documents: built and saved once in a session, then loaded, as searches do."""
+    docs, key = _docs(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if anew or key not in _indexes:
+        path = new_folder(spark, "index")
+        ix.build_index(docs).save(path)
+        _indexes[key] = path
+    return ix.load_index(spark, _indexes[key], docs)
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -56,8 +71,15 @@ def corpus_stats(spark, sf_dir):
     return _rounded(ix.corpus_stats(ix.doc_stats(_docs(spark, sf_dir))), "avg_len")
 
 
+def index_build(spark, sf_dir):
+    """An index built and saved, and what it then holds."""
+    index = _index(spark, sf_dir, anew=True)
+    found = index.postings.agg(F.count(F.lit(1)).alias("n_postings"), F.countDistinct("term").alias("n_terms"), F.sum("tf").alias("n_tokens"))
+    return found.withColumn("n_docs", F.lit(index.stats.count()))
+
+
 def _ranked(spark, sf_dir, queries=None, **options) -> DataFrame:
-    found = se.ranked(ix.build_index(_docs(spark, sf_dir)), _asked(spark) if queries is None else queries, **options)
+    found = se.ranked(_index(spark, sf_dir), _asked(spark) if queries is None else queries, **options)
     return _rounded(found.drop("terms"), "base_score", "score")
 
 
@@ -89,7 +111,7 @@ def raw_search_conversations(spark, sf_dir):
 
 
 def _hits(spark, sf_dir, window: int) -> DataFrame:
-    return se.search(ix.build_index(_docs(spark, sf_dir)), _asked(spark), window=window)
+    return se.search(_index(spark, sf_dir), _asked(spark), window=window)
 
 
 def snippets(spark, sf_dir):
@@ -154,7 +176,7 @@ def rag_bundle(spark, sf_dir):
 def search_payloads(spark, sf_dir):
     """The lists of results, as rows of document and rank, that a server would send."""
     asked = _asked(spark)
-    made = sh.payloads(se.search(ix.build_index(_docs(spark, sf_dir)), asked, window=40), asked)
+    made = sh.payloads(se.search(_index(spark, sf_dir), asked, window=40), asked)
     back = F.from_json("payload", "query string, results array<struct<doc_id:bigint,snippet:string>>")
     return made.select("query_id", back.alias("p")).select("query_id", F.col("p.query").alias("query"), F.size("p.results").cast("long").alias("n_results"))
 
@@ -168,7 +190,7 @@ def catalog_labels(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_search, tokens, postings, term_df, doc_stats, corpus_stats, tfidf_search, boosted_rerank, bm25_batch, raw_search, raw_search_conversations, snippets,
+        bm25_search, index_build, tokens, postings, term_df, doc_stats, corpus_stats, tfidf_search, boosted_rerank, bm25_batch, raw_search, raw_search_conversations, snippets,
         match_ranges, highlight_merge, pattern_counts, pattern_counts_any_case, level_counts, sniff_types, file_type_stats, clean_markup, rag_bundle, search_payloads, catalog_labels,
     )
 }
