@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, fresh
+from .common import documents, sliced
 
 #: Texts above this many characters are encoded in parts.
 PART_CHARS = 1 << 16
@@ -63,6 +63,28 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def _encoder(text_at: int, names: list[str], ranks: bytes, pattern: str):
+    """From batches of names but the last, and more, to batches of names: the last are the ids."""
+
+    def encode(batches):
+        enc = _encoding(ranks, pattern)
+        for b in sliced(batches, text_at):
+            ids = [b"".join(enc.encode_to_numpy(p, disallowed_special=()).astype("<u4").tobytes() for p in parts(t)) if t else b"" for t in b.column(text_at).to_pylist()]
+            yield pa.record_batch([*(b.column(i) for i in range(len(names) - 1)), pa.array(ids, pa.binary())], names=names)
+
+    return encode
+
+
+def _decoder(ids_at: int, names: list[str], ranks: bytes):
+    def decode(batches):
+        of = _token_bytes(ranks)
+        for b in sliced(batches, ids_at):
+            raw = [b"".join(map(of.__getitem__, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in b.column(ids_at).to_pylist()]
+            yield pa.record_batch([*(b.column(i) for i in range(len(names) - 1)), pa.array(raw, pa.binary())], names=names)
+
+    return decode
+
+
 def encoded(docs: DataFrame, text_col: str = "text", *, ranks: bytes | None = None, pattern: str | None = None, out_col: str = "token_ids") -> DataFrame:
     """`docs` with out_col (binary): the text's token ids as little-endian unsigned 32-bit integers.
 
@@ -72,17 +94,11 @@ def encoded(docs: DataFrame, text_col: str = "text", *, ranks: bytes | None = No
     ranks, pattern = ranks or rank_file(), pattern or default_pattern()
     kept = [c for c in docs.columns if c != out_col]
 
-    def encode(batches):
-        enc = _encoding(ranks, pattern)
-        for b in batches:
-            ids = [b"".join(enc.encode_to_numpy(p, disallowed_special=()).astype("<u4").tobytes() for p in parts(t)) if t else b"" for t in b.column(text_at).to_pylist()]
-            yield pa.record_batch([*(b.column(i) for i in range(len(kept))), pa.array(ids, pa.binary())], names=names)
-
     source = docs.select(*kept) if text_col in kept else docs.select(*kept, text_col)
     text_at = source.columns.index(text_col)
     names = [*kept, out_col]
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(out_col, T.BinaryType())])
-    return source.mapInArrow(encode, schema)
+    return source.mapInArrow(_encoder(text_at, names, ranks, pattern), schema)
 
 
 def decoded(tokens: DataFrame, ids_col: str = "token_ids", *, ranks: bytes | None = None, out_col: str = "decoded") -> DataFrame:
@@ -94,21 +110,22 @@ def decoded(tokens: DataFrame, ids_col: str = "token_ids", *, ranks: bytes | Non
     kept = [c for c in tokens.columns if c != out_col]
     ids_at, names = kept.index(ids_col), [*kept, out_col]
 
-    def decode(batches):
-        of = _token_bytes(ranks)
-        for b in batches:
-            raw = [b"".join(map(of.__getitem__, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in b.column(ids_at).to_pylist()]
-            yield pa.record_batch([*(b.column(i) for i in range(len(kept))), pa.array(raw, pa.binary())], names=names)
-
     schema = T.StructType([*(tokens.schema[c] for c in kept), T.StructField(out_col, T.BinaryType())])
-    return tokens.mapInArrow(decode, schema)
+    return tokens.mapInArrow(_decoder(ids_at, names, ranks), schema)
+
+
+def round_trip(docs: DataFrame, *, ranks: bytes | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, token_ids and decoded: `encoded` and `decoded` in one go, in one Python worker a task."""
+    ranks, pattern = ranks or rank_file(), pattern or default_pattern()
+    encode, decode = _encoder(1, ["doc_id", "token_ids"], ranks, pattern), _decoder(1, ["doc_id", "token_ids", "decoded"], ranks)
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("token_ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: decode(encode(batches)), schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """What encoding and decoding give, per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    ids, raw = fresh(docs, "token_ids"), fresh(docs, "decoded")
-    both = decoded(encoded(docs.select("doc_id", "text"), out_col=ids).drop("text"), ids, out_col=raw)
-    return both.select("doc_id", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(raw, 256).alias("decoded_sha256"))
+    both = round_trip(docs)
+    return both.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,3 +85,15 @@ def slice_of(key: Column, slices: Column) -> Column:
 def crc32_of(value: Column) -> Column:
     """Unsigned CRC-32 of a column's text in UTF-8; null as no bytes."""
     return F.crc32(F.encode(F.coalesce(value.cast("string"), F.lit("")), "UTF-8"))
+
+
+def sliced(batches: Iterable[pa.RecordBatch], at: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about so many bytes of the column `at`, one row at least: what is made of a slice is
+    handed on before the next one is looked at."""
+    for b in batches:
+        n = np.asarray(pc.fill_null(pc.binary_length(b.column(at)), 0), np.int64)
+        part = (np.cumsum(n) - n) // size
+        cuts = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), b.num_rows] if len(n) else []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            yield b.slice(i, j - i)
+        pa.default_memory_pool().release_unused()  # Python workers wait for later tasks with what they hold

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, written
+from .common import documents, sliced, written
 from .components import components
 from .shingles import shingle_set, word_hashes
 
@@ -68,7 +68,7 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def sets(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             fps, ns, heads = [], [], []
             for w in word_hashes(b.column(1).to_pylist()):
                 s = shingle_set(w, rule.k)
@@ -93,7 +93,7 @@ def _tokens(docs: DataFrame, chosen: DataFrame, rule: Rule) -> DataFrame:
     schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 
     def sets(batches):
-        for b in batches:
+        for b in sliced(batches, 2):
             rows = []
             for c, fp, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), word_hashes(b.column(2).to_pylist()), strict=True):
                 s = shingle_set(w, rule.k)

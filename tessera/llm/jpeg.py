@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, fresh
+from .common import documents, fresh, sliced
 
 ROW = 64
 MAX_ROWS = 8191
 #: Payload bytes that are encoded or decoded together.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 # Code lengths and symbols of the DC luminance table in Annex K of ITU-T T.81.
 DC_LENGTHS = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
 DC_SYMBOLS = list(range(12))
@@ -365,7 +365,7 @@ def with_media(docs: DataFrame, text_col: str = "text", *, out_col: str = "media
     kept = [c for c in docs.columns if c != out_col]
 
     def store(batches):
-        for b in batches:
+        for b in sliced(batches, text_at):
             payloads = [padded((t or "").encode()) for t in b.column(text_at).to_pylist()]
             yield pa.record_batch([*(b.column(i) for i in range(len(kept))), pa.array(stored(payloads), pa.binary())], names=names)
 
@@ -389,7 +389,7 @@ def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
     media_at, names = kept.index(media_col), [*kept, *READ.names]
 
     def read(batches):
-        for b in batches:
+        for b in sliced(batches, media_at):
             cols: list[list] = [[] for _ in READ]
             for x in thumbnails(b.column(media_at).to_pylist()):
                 if not isinstance(x, list):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, fresh, written
+from .common import documents, fresh, sliced, written
 from .shingles import groups, hashed, mixed, powers
 
 MIN_WORDS, NEAR_WORDS = 5, 10
@@ -49,7 +49,7 @@ def _lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], *longs, T.StructField("halves", T.ArrayType(T.LongType()))])
 
     def lines(batches):
-        for b in batches:
+        for b in sliced(batches, 2):
             at = 0
             for group in groups(b.column(2).to_pylist()):
                 words, line, cut = hashed(group)
@@ -96,7 +96,7 @@ def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("line", T.LongType()), T.StructField("words", T.BinaryType())])
 
     def texts(batches):
-        for b in batches:
+        for b in sliced(batches, 2):
             out = []
             for ids, numbers, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 split = t.encode("utf-8", "surrogatepass").split(b"\n")
@@ -114,7 +114,7 @@ def _variants(lines: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("line", T.LongType()), T.StructField("kind", T.IntegerType())])
 
     def variants(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             ids = b.column(0).to_pylist()
             keys: list[np.ndarray] = []
             owners: list[np.ndarray] = []
@@ -198,7 +198,7 @@ def _rebuilt(docs: DataFrame, kept: DataFrame, min_words: int) -> DataFrame:
     text_at = columns.index("text")
 
     def rebuild(batches):
-        for b in batches:
+        for b in sliced(batches, text_at):
             texts, gone, counts = [], [], []
             for t, keep in zip(b.column(text_at).to_pylist(), b.column(len(columns)).to_pylist(), strict=True):
                 split = t.split("\n") if t is not None else []

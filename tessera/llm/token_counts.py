@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, sliced
 
 NEVER = np.int64(1) << 40
 #: Pre-tokens above this length are merged one by one with a heap, in n log n steps.
@@ -191,7 +191,7 @@ def token_counts(docs: DataFrame, text_col: str = "text", *, model: bytes | None
 
     def count(batches):
         merges = _merges(model)
-        for b in batches:
+        for b in sliced(batches, text_at):
             n = merges.of_texts(b.column(text_at).to_pylist())
             yield pa.record_batch([*(b.column(i) for i in range(len(kept))), pa.array(n, pa.int64())], names=names)
 

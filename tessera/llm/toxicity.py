@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_of, documents, shuffle_key
+from .common import crc32_of, documents, shuffle_key, sliced
 
 #: Labelled documents of each class that are looked at, two thirds for the dictionaries and the rest for the thresholds, and the
 #: longest of them: a bounded sample that the driver can hold (the texts to be scored are never cut).
@@ -228,7 +228,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", *, out_col: st
     kept = [c for c in docs.columns if c != out_col]
 
     def score(batches):
-        for b in batches:
+        for b in sliced(batches, text_at):
             p = model.score(b.column(text_at).to_pylist())
             yield pa.record_batch([*(b.column(i) for i in range(len(kept))), pa.array(p, pa.float64())], names=names)
 
