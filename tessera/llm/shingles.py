@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Bytes of texts that are hashed together.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,7 +49,8 @@ def groups(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
         if size > GROUP_BYTES:
             yield group
             group, size = [], 0
-    yield group
+    if group:
+        yield group
 
 
 def hashed(group: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

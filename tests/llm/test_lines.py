@@ -66,3 +66,11 @@ def test_within_one():
     a = b"a b c d".split()
     assert all(within_one(a, x.split()) and within_one(x.split(), a) for x in (b"a b c d", b"a c d", b"x b c d", b"a b c x", b"a b c d e", b"x a b c d", b"a b c"))
     assert not any(within_one(a, x.split()) for x in (b"b a c d", b"b c d e", b"a b", b"x b c x", b"a b c d e f"))
+
+
+def test_texts_that_fill_their_groups_exactly(spark):
+    """Batches of every size have the same types, also where the last text ends a group."""
+    big = "a line of more than five words\n" * 50_000
+    rows = [(i, big if i % 2 else "another line of more than five words", "") for i in range(6)]
+    out = deduplicated(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    assert sum(len(r["text"]) > 0 for r in out) == 2
