@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_of, documents, written
+from .common import crc32_of, documents, sliced, written
 from .shingles import _BYTE, _WHITE, groups, hashed, mixed, powers
 
 #: Bits of the contexts' slots: two bytes, three bytes, the word so far.
@@ -107,7 +107,7 @@ def counted(docs: DataFrame) -> DataFrame:
                     np.add(table, np.bincount(np.concatenate(keys), minlength=len(table)), out=table, casting="unsafe")
                     keys.clear()
 
-        for b in batches:
+        for b in sliced(batches, 0):
             column = b.column(0).to_pylist()
             texts += len(column)
             for group in groups(column):
@@ -210,40 +210,41 @@ class Mixer:
         raw, start = _joined(texts)
         size = np.diff(np.r_[start, len(raw)])
         slots, gate = contexts(raw, start)
-        # bytes in the order of blocks, and of texts within a block
+        # bytes in the order of blocks, then of texts, then of gates: each set of weights has one run in each block
         edges = [0, FIRST_BLOCK]
         while edges[-1] < size.max():
             edges.append(edges[-1] + min(2 * (edges[-1] - edges[-2]), LAST_BLOCK))
         doc = np.repeat(np.arange(len(texts)), size)
         block = np.searchsorted(edges, np.arange(len(raw)) - start[doc], "right") - 1
-        order = np.argsort(block, kind="stable")
-        raw, doc, gate, block = raw[order], doc[order], gate[order], block[order]
-        length = self.code.length[raw]
+        order = np.argsort(gate.astype(np.uint8), kind="stable")
+        for key in (doc, block):  # numbers of 16 bits are sorted in a pass
+            order = order[np.argsort(key[order].astype(np.uint16 if key.max() < 1 << 16 else np.int64), kind="stable")]
+        raw, block, own = raw[order], block[order], (doc * GATES + gate)[order]
+        length = self.code.length[raw].astype(np.int32)
         ends = np.cumsum(length)
         begins = ends - length
-        at = np.arange(ends[-1]) + np.repeat(self.code.start[raw] - begins, length)
-        node, sign = self.code.node[at], (2 * self.code.bit[at] - 1).astype(np.float32)
-        logits = [table[np.repeat(slot[order] * 255, length) + node].astype(np.float32) / np.float32(STEPS) for table, slot in zip(self.tables, slots, strict=True)]
-        owner = np.repeat(doc * GATES + gate, length)
-        weights = [np.full(len(texts) * GATES, w, np.float32) for w in START_WEIGHTS]
+        at = np.arange(ends[-1], dtype=np.int32) + np.repeat((self.code.start[raw] - begins).astype(np.int32), length)
+        node, sign = self.code.node.astype(np.int32)[at], (2 * self.code.bit - 1).astype(np.float32)[at]
+        logits = [table[np.repeat((slot[order] * 255).astype(np.int32), length) + node].astype(np.float32) for table, slot in zip(self.tables, slots, strict=True)]
+        run = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (block[1:] != block[:-1])])
+        runs, run_at = own[run], np.r_[begins[run], ends[-1]]
+        weights = [np.full(len(texts) * GATES, w / STEPS, np.float32) for w in START_WEIGHTS]
         shift = np.zeros(len(texts) * BINS, np.float32)
         out = np.zeros(len(texts))
-        cuts = np.searchsorted(block, np.arange(len(edges)))
+        cuts = np.searchsorted(block[run], np.arange(len(edges)))
         for one, two in zip(cuts[:-1], cuts[1:], strict=True):
             if one == two:
                 continue
-            s = slice(begins[one], ends[two - 1])
-            own, x, sg = owner[s], [v[s] for v in logits], sign[s]
-            mix = sum(w[own] * v for w, v in zip(weights, x, strict=True))
-            text = own // GATES
-            bin_ = text * BINS + np.clip(np.rint(mix * 2) + BINS // 2, 0, BINS - 1).astype(np.int64)
+            s, mine, n = slice(run_at[one], run_at[two]), runs[one:two], np.diff(run_at[one : two + 1])
+            first, x, sg = run_at[one:two] - run_at[one], [v[s] for v in logits], sign[s]
+            mix = sum(np.repeat(w[mine], n) * v for w, v in zip(weights, x, strict=True))
+            bin_ = np.repeat((mine // GATES * BINS + BINS // 2).astype(np.int32), n) + np.clip(np.rint(mix * 2), -(BINS // 2), BINS // 2).astype(np.int32)
             e = np.exp(-np.clip(sg * (mix + shift[bin_]), -30, 30))
-            out += np.bincount(text, np.log2(1 + e), len(texts))
+            np.add.at(out, mine // GATES, np.add.reduceat(np.log2(1 + e), first))
             wrong = sg * (e / (1 + e))
-            n = np.bincount(own, minlength=len(weights[0])) + 8
             for w, v in zip(weights, x, strict=True):
-                w += (WEIGHT_RATE * np.bincount(own, wrong * v, len(w)) / n).astype(np.float32)
-            shift += (BIN_RATE * np.bincount(bin_, wrong, len(shift)) / (np.bincount(bin_, minlength=len(shift)) + 16) * 4).astype(np.float32)
+                w[mine] += np.float32(WEIGHT_RATE / STEPS**2) * np.add.reduceat(wrong * v, first) / (n + 8).astype(np.float32)
+            shift += (4 * BIN_RATE * np.bincount(bin_, wrong, len(shift)) / (np.bincount(bin_, minlength=len(shift)) + 16)).astype(np.float32)
         return out
 
 
@@ -267,8 +268,17 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
     for b in written(_tables(cells, code), "lm-tables").toArrow().to_batches():  # of fixed size: 255 bytes a slot
         for kind, slot, logits in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             tables[kind - 1][slot * 255 : slot * 255 + 255] = np.frombuffer(logits, np.int8)
-    top = words.orderBy(F.desc("n"), "key").limit(TOP_WORDS).toArrow()
-    keys, amounts = (np.asarray(top[c].combine_chunks(), np.int64) for c in ("key", "n"))
+    # words by counts in steps of a sixteenth of a doubling, of which there are about a thousand: as many steps from the
+    # top as hold TOP_WORDS words or fewer
+    step = F.floor(16 * F.log2("n"))
+    held, least = 0, float("inf")
+    for r in sorted(words.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        held += r["count"]
+        if held > TOP_WORDS:
+            break
+        least = r["step"]
+    top = words.where(step >= F.lit(float(least))).toArrow()
+    keys, amounts = (np.asarray(top[c].combine_chunks()).astype(np.int64) for c in ("key", "n"))
     order = np.argsort(keys)
     model = spark.sparkContext.broadcast((code, tables, keys[order], np.log10(amounts[order] + 1.0)))
 
@@ -280,7 +290,7 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
     def score(batches):
         code, tables, keys, logs = model.value
         mixer = Mixer(code, tables)
-        for b in batches:
+        for b in sliced(batches, len(kept)):
             texts = b.column(len(kept)).to_pylist()
             tokens, known, log, others, times = [], [], [], [], []
             for group in groups(texts):
