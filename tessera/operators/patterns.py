@@ -1,10 +1,10 @@
-"""Counting literals and JSON levels over whole tables."""
+"""Counting literals and JSON levels, and marking terms, over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
@@ -53,3 +53,26 @@ def counts_by_type(files: DataFrame, patterns: Sequence[str] = (), *, ignore_cas
     else:
         both = level_counts(rest)
     return out.union(both).groupBy("label").agg(F.sum("n").alias("n"))
+
+
+def merged_matches(rows: DataFrame, keys: Sequence[str], terms: Sequence[str]) -> DataFrame:
+    """The keys of each row and merged: the places of lower-case terms, whatever their case, in its whole text, as
+    array<struct<start, end>>, those that overlap or touch made one. Texts are cut at each term once and their pieces
+    are summed and merged by windows, so that long texts cost work in proportion to their pieces."""
+    if not terms or "" in terms:
+        raise ValueError("no terms")
+    quoted = {t: r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" for t in terms}
+    texts = rows.select(*keys, F.monotonically_increasing_id().alias("_row"), F.lower(F.coalesce("text", F.lit(""))).alias("_text"))
+    cut = F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(len(t)).alias("size"), F.transform(F.split("_text", q, -1), F.length).alias("parts")) for i, (t, q) in enumerate(quoted.items())])
+    cuts = texts.select(*keys, "_row", F.explode(cut).alias("_cut"))
+    pieces = cuts.select(*keys, "_row", "_cut.nth", "_cut.size", F.size("_cut.parts").alias("n"), F.posexplode("_cut.parts").alias("i", "piece")).repartition("_row")
+    before = Window.partitionBy("_row", "nth").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    start = (F.sum("piece").over(before) + F.col("i") * F.col("size")).cast("int")
+    # no term follows the last piece; that of the first term stays without a place, so that each row has one
+    found = pieces.withColumn("start", F.when(F.col("i") < F.col("n") - 1, start)).where("start is not null or nth = 0").withColumn("end", F.col("start") + F.col("size"))
+    order = Window.partitionBy("_row").orderBy("start", "end")
+    opens = F.when(F.col("start") <= F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
+    islands = found.withColumn("opens", opens).withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = islands.groupBy(*keys, "_row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    place = F.when(F.col("start").isNotNull(), F.struct("start", "end"))
+    return merged.groupBy(*keys, "_row").agg(F.array_sort(F.collect_list(place)).alias("merged")).drop("_row")

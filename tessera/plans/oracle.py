@@ -169,3 +169,17 @@ FROM hits WHERE score > 0 QUALIFY rank <= 10"""
 
 ORACLE_SQL["raw_search"] = _raw("SELECT doc_id, coalesce(text, '') AS text FROM documents")
 ORACLE_SQL["raw_search_conversations"] = _raw("SELECT conv_id * 1000 + turn AS doc_id, coalesce(text, '') AS text FROM conversations")
+
+
+def _merged(source: str, keys: str) -> str:
+    return rf"""WITH t AS (SELECT row_number() OVER () AS r, {keys}, lower(coalesce(text, '')) AS s FROM {source}),
+hits AS (SELECT r, term, unnest(parts) AS part, generate_subscripts(parts, 1) AS i, len(parts) AS n FROM (SELECT r, term, string_split(s, term) AS parts FROM t, (VALUES ('the'), ('he'), ('en'), ('ti')) v(term))),
+ranges AS (SELECT r, a AS lo, a + len(term) AS hi FROM (SELECT *, sum(len(part)) OVER (PARTITION BY r, term ORDER BY i) + (i - 1) * len(term) AS a FROM hits) WHERE i < n),
+marked AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY r ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM ranges),
+islands AS (SELECT *, sum(opens) OVER (PARTITION BY r ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM marked),
+merged AS (SELECT r, island, min(lo)::BIGINT AS lo, max(hi)::BIGINT AS hi FROM islands GROUP BY ALL)
+SELECT {keys}, merged FROM (SELECT r, {keys}, coalesce(string_agg(lo || '-' || hi, ' ' ORDER BY lo), '') AS merged FROM t LEFT JOIN merged USING (r) GROUP BY ALL)"""
+
+
+ORACLE_SQL["highlight_merge_documents"] = _merged("documents", "doc_id")
+ORACLE_SQL["highlight_merge_conversations"] = _merged("conversations", "conv_id, turn")

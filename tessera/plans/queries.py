@@ -135,6 +135,21 @@ def highlight_merge(spark, sf_dir):
     return turns.select("conv_id", "turn", F.array_join(F.transform(ranges, lambda r: F.format_string("%d-%d", r["start"], r["end"])), " ").alias("merged"))
 
 
+def _merged(spark, sf_dir, name: str, *keys: str) -> DataFrame:
+    found = pt.merged_matches(_table(spark, sf_dir, name), keys, ("the", "he", "en", "ti"))
+    return found.withColumn("merged", F.array_join(F.transform("merged", lambda r: F.format_string("%d-%d", r["start"], r["end"])), " "))
+
+
+def highlight_merge_documents(spark, sf_dir):
+    """Merged ranges of overlapping terms over the whole text of each document."""
+    return _merged(spark, sf_dir, "documents", "doc_id")
+
+
+def highlight_merge_conversations(spark, sf_dir):
+    """The same over the whole text of each conversation turn."""
+    return _merged(spark, sf_dir, "conversations", "conv_id", "turn")
+
+
 def pattern_counts(spark, sf_dir):
     return pt.pattern_counts(_docs(spark, sf_dir), PATTERNS)
 
@@ -191,6 +206,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_search, index_build, tokens, postings, term_df, doc_stats, corpus_stats, tfidf_search, boosted_rerank, bm25_batch, raw_search, raw_search_conversations, snippets,
-        match_ranges, highlight_merge, pattern_counts, pattern_counts_any_case, level_counts, sniff_types, file_type_stats, clean_markup, rag_bundle, search_payloads, catalog_labels,
+        match_ranges, highlight_merge, highlight_merge_documents, highlight_merge_conversations, pattern_counts, pattern_counts_any_case, level_counts, sniff_types, file_type_stats, clean_markup, rag_bundle, search_payloads, catalog_labels,
     )
 }

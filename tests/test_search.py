@@ -133,3 +133,13 @@ def test_shaping(spark):
     assert '"query":"apple"' in sh.payloads(hits, queries).first()["payload"]
     assert [tuple(r) for r in sh.file_type_stats(table.select("path").union(spark.createDataFrame([("x",), ("",)], "path string"))).collect()] == [("TXT", 2, 2 / 3), ("No ext", 1, 1 / 3)]
     assert sh.listing(hits).where(F.col("rank") == 1).first()["line"].startswith("---\n/d/1.txt\n0.2")
+
+
+def test_merged_matches_reach_the_end_of_long_texts(spark):
+    texts = ["x" * 600 + " The then", "", None, "hehe " + "." * 40_000 + "THE", "thethe", "thethe"]
+    rows = spark.createDataFrame(list(enumerate([*texts, *texts])), "id long, text string")
+    found = {r["id"]: [tuple(m) for m in r["merged"]] for r in pt.merged_matches(rows, ["id"], ["the", "he", "en"]).collect()}
+    want = [[(601, 604), (605, 609)], [], [], [(0, 4), (40_005, 40_008)], [(0, 6)], [(0, 6)]]
+    assert found == dict(enumerate([*want, *want]))
+    same = pt.merged_matches(spark.createDataFrame([(1, "the"), (1, "no"), (1, "the")], "id long, text string"), ["id"], ["the"]).collect()
+    assert sorted(len(r["merged"]) for r in same) == [0, 1, 1]
