@@ -1,15 +1,17 @@
 """Language-model scoring by online logistic context mixing, in total bits per text and per byte.
 
 A byte is coded as the bits of its Huffman code, so that about four and a half bits of a byte of prose have to be
-predicted. Each bit has several predictors, one per context: the two and three bytes before it and the word so far, as
-hashed contexts. What they predict comes from counts of (context, byte) over all training documents. A text's own
+predicted. Each bit has several predictors, one per context: the two and three bytes before it and the word so far. What
+they predict comes from counts of (context, byte) over all training documents; where a context wasn't seen, the shorter
+one before it predicts in its place. A text's own
 mixer weighs their logits, with a set of weights chosen by a gate (how far the word has come), and a last stage corrects
 the mixed logit by how far off such logits have been. Weights and corrections start from fixed values in every text and
 are refined after each block of it, from 64 bytes to 4,096: nothing of a block is used before the block is coded, so
 the bits add up to a code length. Texts of a batch are coded together, block by block.
 
-The counts grow with the corpus up to the tables' fixed size; the word counts, by which the unigram base score is
-computed, grow without bound and are joined by shuffling, but for a bounded number of the most frequent words.
+All counts grow with the corpus: those of contexts, which are told apart by 56 bits of a 64-bit hash, and those of words,
+by which the unigram base score is computed. A bounded number of the most frequent contexts and words goes to every task;
+the others are joined by shuffling to the texts that have them.
 """
 
 from __future__ import annotations
@@ -27,8 +29,12 @@ from pyspark.sql import types as T
 from .common import crc32_of, documents, sliced, written
 from .shingles import _BYTE, _WHITE, groups, hashed, mixed, powers
 
-#: Bits of the contexts' slots: two bytes, three bytes, the word so far.
+#: Bits of the contexts' slots: two bytes, three bytes, the word so far. A slot is where the search for a context begins.
 SLOT_BITS = (14, 16, 16)
+#: The most frequent contexts of each kind, whose logits go to every task (255 bytes each).
+TOP_CONTEXTS = 65_536
+#: The low bits of a context's key, which hold its kind (1 to 3), or in counts the byte after it.
+LOW = np.uint64(0xFF)
 END = 0xFF  # never a byte of UTF-8; ends each text
 #: Logits in tables are in steps of 1 / STEPS.
 STEPS = 14
@@ -45,8 +51,8 @@ HELD_WORDS = 2_000_000
 HELD_BYTES = 8 << 20
 
 
-def contexts(raw: np.ndarray, start: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The slot of each byte in each context, and its gate; start: where texts begin."""
+def keyed(raw: np.ndarray, start: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The key of each byte's context of each kind, and the byte's gate; start: where texts begin."""
     n = len(raw)
     first = np.zeros(n, bool)
     first[start] = True
@@ -62,8 +68,17 @@ def contexts(raw: np.ndarray, start: np.ndarray) -> tuple[list[np.ndarray], np.n
     prefix = mixed((total[:-1] - total[word]) * down[word])
     two = back[0] | back[1] << np.uint64(8)
     keys = (mixed(two + np.uint64(1)), mixed((two | back[2] << np.uint64(16)) + np.uint64(1)), prefix)
-    slots = [(k >> np.uint64(64 - bits)).astype(np.int64) for k, bits in zip(keys, SLOT_BITS, strict=True)]
-    return slots, np.minimum(np.arange(n) - word, GATES - 1)
+    return [k & ~LOW | np.uint64(kind) for kind, k in enumerate(keys, 1)], np.minimum(np.arange(n) - word, GATES - 1)
+
+
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def contexts(raw: np.ndarray, start: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The slot of each byte in each context, and its gate; start: where texts begin."""
+    keys, gate = keyed(raw, start)
+    return [_slots(k, bits) for k, bits in zip(keys, SLOT_BITS, strict=True)], gate
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +101,8 @@ def _in_batches(texts: list[str | None]) -> Iterator[list[bytes]]:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """kind, key and n over all texts of `docs`: kind 0 counts words by hash (ends have the key 0), kind k (context,
-    byte) cells, slot * 256 + byte, of context k."""
+    """kind, key, byte and n over all texts of `docs`: kind 0 counts words by hash (ends have the key 0), kind k the
+    bytes after each context of kind k."""
     schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
 
     def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -96,16 +111,16 @@ def counted(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(np.full(len(keys[part]), kind, np.int32)), pa.array(keys[part].view(np.int64)), pa.array(n[part].astype(np.int64))], names=schema.names)
 
     def count(batches):
-        cells = [np.zeros(256 << bits, np.int32) for bits in SLOT_BITS]
-        seen: list[list[np.ndarray]] = [[] for _ in cells]
+        seen: list[list[np.ndarray]] = [[] for _ in SLOT_BITS]
         words: list[tuple[np.ndarray, np.ndarray]] = []
         held = texts = waiting = 0
 
-        def add() -> None:
-            for table, keys in zip(cells, seen, strict=True):
+        def cells() -> Iterator[pa.RecordBatch]:
+            for kind, keys in enumerate(seen, 1):
                 if keys:
-                    np.add(table, np.bincount(np.concatenate(keys), minlength=len(table)), out=table, casting="unsafe")
+                    every = np.concatenate(keys)
                     keys.clear()
+                    yield from rows(kind, *np.unique(every, return_counts=True))
 
         for b in sliced(batches, 0):
             column = b.column(0).to_pylist()
@@ -121,22 +136,35 @@ def counted(docs: DataFrame) -> DataFrame:
                         held = 0
             for batch in _in_batches(column):
                 raw, start = _joined(batch)
-                for keys, slot in zip(seen, contexts(raw, start)[0], strict=True):
-                    keys.append((slot << 8 | raw).astype(np.int32))
+                for held_keys, keys in zip(seen, keyed(raw, start)[0], strict=True):
+                    held_keys.append(keys & ~LOW | raw)
                 waiting += len(raw)
                 if waiting > HELD_BYTES:
-                    add()
+                    yield from cells()
                     waiting = 0
-        add()
+        yield from cells()
         if words:
             yield from rows(0, *_merged(words))
         if texts:
             yield from rows(0, np.zeros(1, np.uint64), np.array([texts]))
-        for kind, table in enumerate(cells, 1):
-            at = np.flatnonzero(table)
-            yield from rows(kind, at, table[at])
 
-    return docs.select("text").mapInArrow(count, schema).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    kind, key = F.col("kind"), F.col("key")
+    context = F.when(kind > 0, key.bitwiseAND(F.lit(-256)).bitwiseOR(kind.cast("long"))).otherwise(key)
+    byte = F.when(kind > 0, key.bitwiseAND(F.lit(255))).otherwise(F.lit(0)).cast("int")
+    return docs.select("text").mapInArrow(count, schema).select("kind", context.alias("key"), byte.alias("byte"), "n").groupBy("kind", "key", "byte").agg(F.sum("n").alias("n"))
+
+
+def _most_frequent(rows: DataFrame, most: int) -> DataFrame:
+    """Rows with the largest n, at most so many: by steps of a sixteenth of a doubling, of which there are about a
+    thousand, as many steps from the top as hold `most` rows or fewer."""
+    step = F.floor(16 * F.log2("n"))
+    held, least = 0, float("inf")
+    for r in sorted(rows.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        held += r["count"]
+        if held > most:
+            break
+        least = r["step"]
+    return rows.where(step >= F.lit(float(least)))
 
 
 def _merged(words: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -177,39 +205,110 @@ def huffman(counts: np.ndarray) -> Code:
     return Code(*(np.array(x, np.int64) for x in (start, length, node)), np.array(bit, np.int8))
 
 
-def _tables(cells: DataFrame, code: Code) -> DataFrame:
-    """For each slot of each context, its logits at the code's 255 nodes: kind, slot, logits (binary)."""
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("logits", T.BinaryType())])
+def _logits(code: Code, row: np.ndarray, byte: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
+    """The logits of contexts at the code's 255 nodes, flat, from the counts n of bytes after them, which are by row."""
+    out = np.zeros(rows * 255, np.int8)
+    alone = np.bincount(row, minlength=rows)[row] == 1
+
+    def nodes(of: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        length = code.length[byte[of]]
+        at = np.arange(length.sum()) + np.repeat(code.start[byte[of]] - (np.cumsum(length) - length), length)
+        return np.repeat(row * 255, length) + code.node[at], code.bit[at], np.repeat(n[of], length)
 
-    def fill(batches):
-        branch = [np.zeros((256, 255), np.float32) for _ in range(2)]
-        for b in range(256):
-            for j in range(code.start[b], code.start[b] + code.length[b]):
-                branch[code.bit[j]][b, code.node[j]] = 1
-        for b in batches:
-            counts = np.zeros((b.num_rows, 256), np.float32)
-            entries = b.column(2)
-            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(entries.offsets)))
-            flat = entries.flatten()
-            counts[row, np.asarray(flat.field(0))] = np.asarray(flat.field(1))
-            zero, one = counts @ branch[0], counts @ branch[1]
-            logit = np.clip(np.rint(np.log((one + 0.4) / (zero + 0.4)) * STEPS), -127, 127).astype(np.int8)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([x.tobytes() for x in logit], pa.binary())], names=schema.names)
+    def steps(zero, one) -> np.ndarray:
+        return np.clip(np.rint(np.log((one + 0.4) / (zero + 0.4)) * STEPS), -127, 127).astype(np.int8)
 
-    slots = cells.select("kind", F.shiftright("key", 8).alias("slot"), F.struct((F.col("key") % 256).alias("byte"), "n").alias("cell"))
-    return slots.groupBy("kind", "slot").agg(F.collect_list("cell").alias("cells")).mapInArrow(fill, schema)
+    at, bit, times = nodes(np.flatnonzero(alone), row[alone])
+    out[at] = steps(times * (bit == 0), times * (bit == 1))
+    many = np.flatnonzero(~alone)
+    for part in np.split(many, np.flatnonzero(np.diff(row[many] >> 12)) + 1):  # the rows of 4,096 contexts at once
+        if len(part):
+            base = row[part[0]] >> 12 << 12
+            at, bit, times = nodes(part, row[part] - base)
+            zero, one = (np.bincount(at[bit == x], times[bit == x], 255 << 12) for x in (0, 1))
+            some = np.flatnonzero(zero + one)
+            out[base * 255 + some] = steps(zero[some], one[some])
+    return out
+
+
+def _counted_cells(key: np.ndarray, byte: np.ndarray, n: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct contexts in order and their logits; cells may be repeated."""
+    _, at = np.unique(key & ~LOW | byte.astype(np.uint64), return_index=True)
+    keys, row = np.unique(key[at], return_inverse=True)
+    return keys, _logits(code, row, byte[at], n[at], len(keys))
+
+
+@dataclass
+class Places:
+    """Where the rows of known contexts are: by their slot if they hold it, else among the sorted other keys."""
+
+    tag: np.ndarray
+    row: np.ndarray
+    other: np.ndarray
+    other_row: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, n: np.ndarray, bits: int) -> Places:
+        """keys: in the order of their rows; the most frequent one gets the slot."""
+        tag, row, slot = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64), _slots(keys, bits)
+        at = np.argsort(n, kind="stable")
+        tag[slot[at]], row[slot[at]] = keys[at], at
+        rest = np.flatnonzero(tag[slot] != keys)
+        rest = rest[np.argsort(keys[rest])]
+        return cls(tag, row, keys[rest], rest)
+
+    def find(self, keys: np.ndarray, bits: int) -> np.ndarray:
+        """The rows of contexts, -1 where they aren't known."""
+        slot = _slots(keys, bits)
+        out = self.row[slot]
+        miss = np.flatnonzero(self.tag[slot] != keys)
+        out[miss] = _found(keys[miss], self.other, self.other_row)
+        return out
+
+
+def _found(keys: np.ndarray, among: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(among):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    return np.where(among[at] == keys, values[at], -1)
 
 
 @dataclass
 class Mixer:
     code: Code
-    tables: list[np.ndarray]  # one of each context: slots * 255 logits
+    tables: list[np.ndarray]  # one of each kind of context: rows * 255 logits
+    places: list[Places] | None = None  # without, slots are rows
 
-    def bits(self, texts: list[bytes]) -> np.ndarray:
-        """The code length of each text in bits."""
+    def asked(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of texts and the contexts that they have and that no table here holds, each once a text."""
+        raw, start = _joined(texts)
+        doc = np.repeat(np.arange(len(texts)), np.diff(np.r_[start, len(raw)]))
+        out = []
+        for k, p, bits in zip(keyed(raw, start)[0], self.places, SLOT_BITS, strict=True):
+            miss = np.flatnonzero(p.find(k, bits) < 0)
+            once = miss[np.unique(k[miss] ^ mixed(doc[miss].astype(np.uint64) + np.uint64(1)), return_index=True)[1]]
+            out.append((doc[once], k[once]))
+        return np.concatenate([d for d, _ in out]), np.concatenate([k for _, k in out])
+
+    def _rows(self, kind: int, keys: np.ndarray, cells: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+        """The table of a kind of context with the rows of `cells` after it, and each byte's row in it, -1 for none."""
+        bits, table = SLOT_BITS[kind - 1], self.tables[kind - 1]
+        if self.places is None:
+            return table, _slots(keys, bits)
+        row = self.places[kind - 1].find(keys, bits)
+        if cells is not None and (own := np.flatnonzero((cells[0] & LOW) == kind)).size:
+            cell = cells[1][own]
+            others, logits = _counted_cells(cells[0][own], cell & 255, cell >> 8, self.code)
+            miss = np.flatnonzero(row < 0)
+            row[miss] = _found(keys[miss], others, np.arange(len(others)) + len(table) // 255)
+            table = np.concatenate([table, logits])
+        return table, row
+
+    def bits(self, texts: list[bytes], cells: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """The code length of each text in bits; cells: keys of contexts that the tables don't hold, and n << 8 | byte."""
         raw, start = _joined(texts)
         size = np.diff(np.r_[start, len(raw)])
-        slots, gate = contexts(raw, start)
+        keys, gate = keyed(raw, start)
         # bytes in the order of blocks, then of texts, then of gates: each set of weights has one run in each block
         edges = [0, FIRST_BLOCK]
         while edges[-1] < size.max():
@@ -225,7 +324,16 @@ class Mixer:
         begins = ends - length
         at = np.arange(ends[-1], dtype=np.int32) + np.repeat((self.code.start[raw] - begins).astype(np.int32), length)
         node, sign = self.code.node.astype(np.int32)[at], (2 * self.code.bit - 1).astype(np.float32)[at]
-        logits = [table[np.repeat((slot[order] * 255).astype(np.int32), length) + node].astype(np.float32) for table, slot in zip(self.tables, slots, strict=True)]
+        logits: list[np.ndarray] = []
+        for kind, k in enumerate(keys, 1):
+            table, row = self._rows(kind, k, cells)
+            row = row[order]
+            shorter = logits[-1] if logits else np.float32(0)
+            if len(table):
+                x = table[np.repeat((np.maximum(row, 0) * 255).astype(np.int32), length) + node].astype(np.float32)
+                logits.append(np.where(np.repeat(row < 0, length), shorter, x) if (row < 0).any() else x)
+            else:
+                logits.append(np.zeros(len(node), np.float32) + shorter)
         run = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (block[1:] != block[:-1])])
         runs, run_at = own[run], np.r_[begins[run], ends[-1]]
         weights = [np.full(len(texts) * GATES, w / STEPS, np.float32) for w in START_WEIGHTS]
@@ -258,38 +366,43 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     counts = written(counted(training), "lm-counts")
-    words, cells = counts.where("kind = 0").drop("kind"), counts.where("kind > 0")
+    words, cells = counts.where("kind = 0").select("key", "n"), counts.where("kind > 0")
     n_train, n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     of_byte = np.zeros(256, np.int64)
-    for r in cells.where("kind = 1").groupBy((F.col("key") % 256).alias("byte")).agg(F.sum("n").alias("n")).collect():  # 256 rows at most
+    for r in cells.where("kind = 1").groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 256 rows at most
         of_byte[r["byte"]] = r["n"]
     code = huffman(of_byte)
-    tables = [np.zeros(255 << bits, np.int8) for bits in SLOT_BITS]
-    for b in written(_tables(cells, code), "lm-tables").toArrow().to_batches():  # of fixed size: 255 bytes a slot
-        for kind, slot, logits in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            tables[kind - 1][slot * 255 : slot * 255 + 255] = np.frombuffer(logits, np.int8)
-    # words by counts in steps of a sixteenth of a doubling, of which there are about a thousand: as many steps from the
-    # top as hold TOP_WORDS words or fewer
-    step = F.floor(16 * F.log2("n"))
-    held, least = 0, float("inf")
-    for r in sorted(words.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
-        held += r["count"]
-        if held > TOP_WORDS:
-            break
-        least = r["step"]
-    top = words.where(step >= F.lit(float(least))).toArrow()
+    # contexts that were seen once need no place among the most frequent ones
+    often = written(cells.groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 1"), "lm-contexts")
+    tables, places = [], []
+    for kind, bits in enumerate(SLOT_BITS, 1):
+        best = F.broadcast(_most_frequent(often.where(F.col("kind") == kind).select("key", "n"), TOP_CONTEXTS).select("key"))
+        frequent = cells.where(F.col("kind") == kind).join(best, "key").select("key", "byte", "n").toArrow()  # of bounded size
+        of_key, byte, n = (np.asarray(frequent[c].combine_chunks()) for c in ("key", "byte", "n"))
+        keys, logits = _counted_cells(of_key.astype(np.int64).view(np.uint64), byte.astype(np.int64), n.astype(np.int64), code)
+        tables.append(logits)
+        places.append(Places.of(keys, np.bincount(np.searchsorted(keys, of_key.astype(np.int64).view(np.uint64)), n, len(keys)), bits))
+    top = _most_frequent(words, TOP_WORDS).toArrow()
     keys, amounts = (np.asarray(top[c].combine_chunks()).astype(np.int64) for c in ("key", "n"))
     order = np.argsort(keys)
-    model = spark.sparkContext.broadcast((code, tables, keys[order], np.log10(amounts[order] + 1.0)))
+    model = spark.sparkContext.broadcast((Mixer(code, tables, places), keys[order], np.log10(amounts[order] + 1.0)))
 
     replaced = ("text", "n_tokens", "n_known", "train_tokens", "base_score", "bits", "bits_per_byte")
     kept = [c for c in docs.columns if c not in replaced]
     rare = T.ArrayType(T.LongType())
-    schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(c, t) for c, t in (("_tokens", T.LongType()), ("_known", T.LongType()), ("_log", T.DoubleType()), ("_bits", T.DoubleType()), ("_bytes", T.LongType()), ("_rare", rare), ("_times", rare)))])
+    schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(c, t) for c, t in (("_row", T.LongType()), ("_tokens", T.LongType()), ("_known", T.LongType()), ("_log", T.DoubleType()), ("_bits", T.DoubleType()), ("_bytes", T.LongType()), ("_rare", rare), ("_times", rare)))])
+
+    def ask(batches):
+        mixer = model.value[0]
+        for b in sliced(batches, 1):
+            row, at = np.asarray(b.column(0)), 0
+            for batch in _in_batches(b.column(1).to_pylist()):
+                doc, keys = mixer.asked(batch)
+                yield pa.record_batch([pa.array(row[at + doc]), pa.array(keys.view(np.int64))], names=["_row", "key"])
+                at += len(batch)
 
     def score(batches):
-        code, tables, keys, logs = model.value
-        mixer = Mixer(code, tables)
+        mixer, keys, logs = model.value
         for b in sliced(batches, len(kept)):
             texts = b.column(len(kept)).to_pylist()
             tokens, known, log, others, times = [], [], [], [], []
@@ -307,13 +420,21 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
                     w, n = np.unique(words[s][~hit[s]], return_counts=True)
                     others.append(w)
                     times.append(n)
-            bits = [x for batch in _in_batches(texts) for x in mixer.bits(batch).tolist()]
+            edge, cells, bits = np.asarray(b.column(len(kept) + 2).offsets), b.column(len(kept) + 2).values, []
+            for batch in _in_batches(texts):
+                own = cells.slice(edge[len(bits)], edge[len(bits) + len(batch)] - edge[len(bits)])
+                bits += mixer.bits(batch, (np.asarray(own.field("key")).view(np.uint64), np.asarray(own.field("cell")))).tolist()
             sizes = [len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts]
             at = pa.array(np.r_[0, np.cumsum([len(x) for x in others])].astype(np.int32))
             lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64))) for x in (others, times)]
-            yield pa.record_batch([*(b.column(i) for i in range(len(kept))), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(log, pa.float64()), pa.array(bits, pa.float64()), pa.array(sizes, pa.int64()), *lists], names=schema.names)
-
-    rows = written(docs.select(*kept, "text").mapInArrow(score, schema).withColumn("_row", F.monotonically_increasing_id()), "lm-rows")
+            yield pa.record_batch([*(b.column(i) for i in range(len(kept))), b.column(len(kept) + 1), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(log, pa.float64()), pa.array(bits, pa.float64()), pa.array(sizes, pa.int64()), *lists], names=schema.names)
+
+    texts = written(docs.select(*kept, "text").withColumn("_row", F.monotonically_increasing_id()), "lm-texts")
+    asked = texts.select("_row", "text").mapInArrow(ask, "_row long, key long")
+    cell = F.struct("key", F.shiftleft("n", 8).bitwiseOR(F.col("byte").cast("long")).alias("cell"))
+    of_row = asked.join(cells.select("key", "byte", "n"), "key").groupBy("_row").agg(F.collect_list(cell).alias("_cells"))
+    full = texts.join(of_row, "_row", "left").select(*kept, "text", "_row", F.coalesce("_cells", F.array().cast("array<struct<key:bigint,cell:bigint>>")).alias("_cells"))
+    rows = written(full.mapInArrow(score, schema), "lm-rows")
     found = (
         rows.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("w"))
         .select("_row", F.col("w._rare").alias("key"), F.col("w._times").alias("times"))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 
+from tessera.llm import lm
 from tessera.llm.lm import BATCH_BYTES, SLOT_BITS, Mixer, contexts, huffman, scored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,3 +63,34 @@ def test_code_lengths_are_those_of_a_prefix_code():
     mixer = trained([b"some text"])
     first = mixer.bits([bytes([b]) for b in range(255)]) - 0
     assert (2.0**-first).sum() <= 1 + 1e-6
+
+
+def slow_keys(text):
+    """Of each byte and the end: two bytes, three bytes and the word so far, as byte strings."""
+    raw, out, word = text.lower() + b"\xff", [], b""
+    for i in range(len(raw)):
+        word = b"" if i and raw[i - 1 : i] in (b" ", b"\n") else word
+        out.append((raw[max(0, i - 2) : i], raw[max(0, i - 3) : i], word))
+        word += raw[i : i + 1]
+    return out
+
+
+def test_contexts_grow_with_the_corpus_and_are_told_apart(spark, monkeypatch):
+    """More distinct prefixes than slots: each keeps its own counts, frequent or joined, and none is seen twice."""
+    rng = np.random.default_rng(3)
+    texts = [b" ".join(bytes(rng.integers(97, 123, 9).astype(np.uint8)) for _ in range(6000)) for _ in range(3)]
+    raw = np.frombuffer(b"\xff".join([*texts, b""]), np.uint8)
+    start = np.r_[0, np.flatnonzero(raw == 255)[:-1] + 1]
+    slow = [k for t in texts for k in slow_keys(t)]
+    keys, _ = lm.keyed(raw, start)
+    assert len(np.unique(keys[2])) == len({k[2] for k in slow}) > 1 << SLOT_BITS[2]
+    cells = {(r["kind"], r["key"], r["byte"]): r["n"] for r in lm.counted(table(spark, [t.decode() for t in texts])).where("kind > 0").collect()}
+    want = Counter((kind, k[kind - 1], b) for k, b in zip(slow, raw.tolist(), strict=True) for kind in (1, 2, 3))
+    assert sorted(cells.values()) == sorted(want.values())
+    # what is joined scores as what is held
+    docs = table(spark, ["the cat sat on the mat " * 9, "unseen zzz words", "The dog", "the cat"])
+    held = [r["bits"] for r in scored(docs, docs).orderBy("doc_id").collect()]
+    monkeypatch.setattr(lm, "TOP_CONTEXTS", 3)
+    joined = [r["bits"] for r in scored(docs, docs).orderBy("doc_id").collect()]
+    monkeypatch.setattr(lm, "TOP_CONTEXTS", 0)
+    assert np.allclose(held, joined) and np.allclose(held, [r["bits"] for r in scored(docs, docs).orderBy("doc_id").collect()])
