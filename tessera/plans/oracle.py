@@ -183,3 +183,4 @@ SELECT {keys}, merged FROM (SELECT r, {keys}, coalesce(string_agg(lo || '-' || h
 
 ORACLE_SQL["highlight_merge_documents"] = _merged("documents", "doc_id")
 ORACLE_SQL["highlight_merge_conversations"] = _merged("conversations", "conv_id, turn")
+ORACLE_SQL["bm25_batch_passages"] = f"WITH {_ranked(asked='q AS (SELECT item_id AS query_id, text AS query FROM benchmark)')} {_SHOWN}"

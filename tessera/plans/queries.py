@@ -101,6 +101,11 @@ def bm25_batch(spark, sf_dir):
     return _ranked(spark, sf_dir, items)
 
 
+def bm25_batch_passages(spark, sf_dir):
+    """Every benchmark passage, whole, as a query."""
+    return _ranked(spark, sf_dir, _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+
+
 def raw_search(spark, sf_dir):
     return se.raw_ranked(_docs(spark, sf_dir), _asked(spark))
 
@@ -205,7 +210,7 @@ def catalog_labels(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_search, index_build, tokens, postings, term_df, doc_stats, corpus_stats, tfidf_search, boosted_rerank, bm25_batch, raw_search, raw_search_conversations, snippets,
+        bm25_search, index_build, tokens, postings, term_df, doc_stats, corpus_stats, tfidf_search, boosted_rerank, bm25_batch, bm25_batch_passages, raw_search, raw_search_conversations, snippets,
         match_ranges, highlight_merge, highlight_merge_documents, highlight_merge_conversations, pattern_counts, pattern_counts_any_case, level_counts, sniff_types, file_type_stats, clean_markup, rag_bundle, search_payloads, catalog_labels,
     )
 }
