@@ -25,9 +25,12 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the document with the smallest doc_id. Rows without one stay."""
-    ids = written(jaccard.near_duplicates(docs), "pipeline-near")
-    gone = ids.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # rows that share a doc_id are told apart by their texts
+    text_hash = fresh(docs, "text_hash")
+    hashed = docs.withColumn(text_hash, F.xxhash64("text"))
+    ids = written(jaccard.near_duplicates(hashed, carried=[text_hash]), "pipeline-near")
+    gone = ids.where(F.col("doc_id") != F.col("component_id")).select("doc_id", text_hash).distinct()
+    kept = hashed.join(gone, ["doc_id", text_hash], "left_anti").select(docs.columns)
     twice = ids.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
     return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 

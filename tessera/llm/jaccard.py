@@ -20,6 +20,7 @@ is exact, hashing aside (64 bits a shingle, 128 a set): nothing is capped, sampl
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,9 +64,10 @@ class Rule:
         return n - self.least(n) + self.matches(self.least(n))
 
 
-def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, fp (of the set; null if empty), n and, of sets that may have partners, the prefix by hash value."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+def _sets(docs: DataFrame, rule: Rule, carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, carried columns, fp (of the set; null if empty), n and, of sets that may have partners, the prefix by hash
+    value."""
+    schema = T.StructType([docs.schema["doc_id"], *(docs.schema[c] for c in carried), T.StructField("fp", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def sets(batches):
         for b in sliced(batches, 1):
@@ -79,9 +81,9 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
                 heads.append(s[: 0 if rule.alone(n) else n - rule.least(n) + min(rule.matches(n), rule.least(n))])
             at = np.r_[0, np.cumsum([len(x) for x in heads])].astype(np.int32)
             flat = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
-            yield pa.record_batch([b.column(0), pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))], names=schema.names)
+            yield pa.record_batch([b.column(0), *b.columns[2:], pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(sets, schema)
+    return docs.select("doc_id", "text", *carried).mapInArrow(sets, schema)
 
 
 def _print(s: np.ndarray) -> bytes:
@@ -134,8 +136,8 @@ def _near(rule: Rule, na: Column, nb: Column, pa: Column, pb: Column, extra: Col
     return similar & (pa < na - least + extra) & (pb < nb - least + extra)
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80) -> DataFrame:
-    """doc_id, n_shingles (size of the set) and component_id of every row of `docs` (doc_id, text).
+def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80, carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_shingles (size of the set), component_id and the carried columns of every row of `docs` (doc_id, text).
 
     component_id: the smallest doc_id that links reach; of documents without words or text their own, since they link
     with nothing. A text of fewer than k words has the whole sequence as its only shingle. Rows that share a doc_id are
@@ -143,7 +145,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80) -> DataFram
     An empty table gives no rows. Other columns of `docs` don't matter.
     """
     rule = Rule(k, share)
-    rows = written(_sets(docs, rule), "jaccard-sets")
+    rows = written(_sets(docs, rule, carried), "jaccard-sets")
     classes = written(
         rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumn("cls", F.monotonically_increasing_id()),
         "jaccard-classes",
@@ -199,8 +201,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80) -> DataFram
     named = classes.select("cls", "fp", "rep").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = named.join(smallest, "comp").select("fp", "component_id")
-    full = rows.select("doc_id", "n", "fp").where("n > 0").join(ids, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    full = rows.select("doc_id", "n", "fp", *carried).where("n > 0").join(ids, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *carried)
+    return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *carried))
 
 
 def op2_jaccard_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,15 @@ def test_whole_run_on_the_smallest_tables(spark):
     out = p.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert 0 < out.select("doc_id").distinct().count() <= 200
+
+
+def test_near_copies_of_one_doc_id_on_two_texts(spark):
+    words = [f"w{i}" for i in range(100)]
+    near = " ".join([*words[:99], "other"])
+    docs = table(spark, [(3, " ".join(words), "a"), (5, near, "a"), (5, "a text of its own", "b"), (5, None, "b")])
+    want = [(False, 3, " ".join(words)), (False, 5, "a text of its own"), (False, 5, None)]
+    assert sorted(map(str, texts_of(p.without_near_copies(spark, docs, "")))) == sorted(map(str, want))
+
+
+def texts_of(df):
+    return [(r["doc_id"] is None, r["doc_id"], r["text"]) for r in df.collect()]
