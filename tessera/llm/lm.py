@@ -1,24 +1,27 @@
 """Language-model scoring by online logistic context mixing, in total bits per text and per byte.
 
 A byte is coded as the bits of its Huffman code, so that about four and a half bits of a byte of prose have to be
-predicted. Each bit has several predictors, one per context: the two and three bytes before it and the word so far. What
-they predict comes from counts of (context, byte) over all training documents; where a context wasn't seen, the shorter
-one before it predicts in its place. A text's own
-mixer weighs their logits, with a set of weights chosen by a gate (how far the word has come), and a last stage corrects
-the mixed logit by how far off such logits have been. Weights and corrections start from fixed values in every text and
-are refined after each block of it, from 64 bytes to 4,096: nothing of a block is used before the block is coded, so
-the bits add up to a code length. Texts of a batch are coded together, block by block.
+predicted. Each bit has several predictors, one per hashed context: the two and three bytes before it and the word so
+far. What they predict comes from counts of (context, byte) over all training documents; where a context wasn't seen,
+the shorter one before it predicts in its place. A text's own mixer weighs their logits, with a set of weights chosen by
+a gate (how far the word has come), and a last stage corrects the mixed logit by how far off such logits have been.
+Weights and corrections start from fixed values in every text and are refined after each block of it, from 64 bytes to
+4,096: nothing of a block is used before the block is coded, so the bits add up to a code length. Texts of a batch are
+coded together, block by block; a long one goes through in parts, so that memory doesn't depend on its length.
 
 All counts grow with the corpus: those of contexts, which are told apart by 56 bits of a 64-bit hash, and those of words,
-by which the unigram base score is computed. A bounded number of the most frequent contexts and words goes to every task;
-the others are joined by shuffling to the texts that have them.
+by which the unigram base score is computed. They are counted in sorted runs of bounded size, which are packed into
+binary columns, shuffled by ranges of hashes and merged there. A bounded number of the most frequent contexts and words
+goes to every task; the others are asked for by the texts that have them, range by range, and come back to blocks of
+texts, so that no task ever holds more than a range of the counts or what a block of texts needs of them.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -26,150 +29,264 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_of, documents, sliced, written
-from .shingles import _BYTE, _WHITE, groups, hashed, mixed, powers
+from .common import crc32_of, documents, fresh, sliced, written
+from .shingles import _BYTE, _WHITE, mixed, powers, word_hashes
 
-#: Bits of the contexts' slots: two bytes, three bytes, the word so far. A slot is where the search for a context begins.
-SLOT_BITS = (14, 16, 16)
+#: Kinds of contexts: 1 two bytes, 2 three bytes, 3 the word so far; kind 0 counts words.
+KINDS = (1, 2, 3)
+#: The bytes of a word that its context looks back.
+WORD_BYTES = 32
+#: By kind, occurrences in the training texts from which a context predicts.
+LEAST_SEEN = {1: 1, 2: 2, 3: 2}
 #: The most frequent contexts of each kind, whose logits go to every task (255 bytes each).
 TOP_CONTEXTS = 65_536
-#: The low bits of a context's key, which hold its kind (1 to 3), or in counts the byte after it.
+#: The most frequent words, whose counts go to every task (16 bytes each).
+TOP_WORDS = 200_000
+#: Bits of the table in which a frequent context is looked up first.
+SLOT_BITS = 18
+#: The low bits of a key: 0, or in a cell the byte after the context.
 LOW = np.uint64(0xFF)
 END = 0xFF  # never a byte of UTF-8; ends each text
 #: Logits in tables are in steps of 1 / STEPS.
 STEPS = 14
-#: The most frequent words, whose counts go to every task (16 bytes each).
-TOP_WORDS = 200_000
-#: Texts that are coded together, in bytes, and the first and last size of a block.
-BATCH_BYTES, FIRST_BLOCK, LAST_BLOCK = 1 << 20, 64, 4096
+#: The first and last size of a block; bytes of texts that are coded together, or of a part of a long text: all blocks
+#: of growing size and then full ones.
+FIRST_BLOCK, LAST_BLOCK = 64, 4096
+GROWING = 2 * LAST_BLOCK - FIRST_BLOCK
+PART_BYTES = 1 << 18
 GATES, BINS = 4, 17
 START_WEIGHTS = (0.15, 0.35, 0.55)
 WEIGHT_RATE, BIN_RATE = 0.6, 0.5
-#: Distinct words that a counting task holds before it hands them on.
-HELD_WORDS = 2_000_000
-#: Bytes whose contexts it counts together.
-HELD_BYTES = 8 << 20
+#: Distinct cells of a kind that a counting task holds, and keys that an asking one does, before they are handed on.
+HELD = 1 << 20
+#: Bytes of training texts for each range of hashes, and of texts for each block that is scored together.
+RANGE_BYTES, BLOCK_BYTES = 4 << 20, 2 << 20
+
+
+@dataclass
+class Part:
+    """Bytes of whole texts, each with its end, or of a part of one long text, after `lead` bytes that come before it."""
+
+    raw: np.ndarray
+    start: np.ndarray  # where texts begin
+    lead: int
+    docs: range
+    size: np.ndarray  # bytes of each of docs, with its end
 
 
-def keyed(raw: np.ndarray, start: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The key of each byte's context of each kind, and the byte's gate; start: where texts begin."""
-    n = len(raw)
+def parts(texts: Iterable[str | None]) -> Iterator[Part]:
+    """All texts in their order; null: empty."""
+    end = bytes([END])
+    first, batch, size = 0, [], 0
+
+    def joined() -> Part:
+        sizes = np.array([len(t) + 1 for t in batch], np.int64)
+        return Part(np.frombuffer(end.join([*batch, b""]), np.uint8), np.cumsum(sizes) - sizes, 0, range(first, first + len(batch)), sizes)
+
+    for i, t in enumerate(texts):
+        raw = (t or "").encode("utf-8", "surrogatepass")
+        if batch and size + len(raw) > PART_BYTES:
+            yield joined()
+            first, batch, size = i, [], 0
+        if len(raw) <= PART_BYTES:
+            batch.append(raw)
+            size += len(raw) + 1
+            continue
+        whole = np.frombuffer(raw + end, np.uint8)
+        cuts = [0, *range(GROWING + PART_BYTES // LAST_BLOCK * LAST_BLOCK, len(whole), PART_BYTES // LAST_BLOCK * LAST_BLOCK), len(whole)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            lead = min(a, WORD_BYTES + 4)
+            yield Part(whole[a - lead : b], np.arange(a == 0), lead, range(i, i + 1), np.array([b - a]))
+        first = i + 1
+    if batch:
+        yield joined()
+
+
+def keyed(part: Part) -> tuple[list[np.ndarray], np.ndarray]:
+    """The key of each byte's context of each kind, and the byte's gate."""
+    raw, n = part.raw, len(part.raw)
+    at = np.arange(n)
     first = np.zeros(n, bool)
-    first[start] = True
-    low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint64)
-    back = [np.r_[np.zeros(k, np.uint64), low[: n - k]][:n] for k in (1, 2, 3)]
-    since = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    for k, b in enumerate(back, 1):
-        b[since < k] = 0
+    first[part.start] = True
+    low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw)
+    packed = np.zeros(n, np.uint32)
+    text = np.maximum.accumulate(np.where(first, at, 0 if not part.lead else -4))
+    for k in (1, 2, 3):
+        packed[k:] |= np.where(at[k:] - text[k:] < k, 0, low[: n - k]).astype(np.uint32) << np.uint32(8 * k - 8)
     opens = first | np.r_[True, _WHITE[raw[:-1]]][:n]  # a word begins at the first byte after white space
-    word = np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+    word = np.maximum(np.maximum.accumulate(np.where(opens, at, 0)), at - WORD_BYTES)
     up, down = powers(n + 1)
-    total = np.r_[np.uint64(0), np.cumsum(_BYTE[low.astype(np.uint8)] * up[:n])]
+    total = np.r_[np.uint64(0), np.cumsum(_BYTE[low] * up[:n])]
     prefix = mixed((total[:-1] - total[word]) * down[word])
-    two = back[0] | back[1] << np.uint64(8)
-    keys = (mixed(two + np.uint64(1)), mixed((two | back[2] << np.uint64(16)) + np.uint64(1)), prefix)
-    return [k & ~LOW | np.uint64(kind) for kind, k in enumerate(keys, 1)], np.minimum(np.arange(n) - word, GATES - 1)
+    own = slice(part.lead, None)
+    three = packed[own].astype(np.uint64)
+    keys = (mixed((three & np.uint64(0xFFFF)) + np.uint64(1)), mixed(three + np.uint64(1 << 32)), prefix[own])
+    return [k & ~LOW for k in keys], np.minimum(at - word, GATES - 1)[own]
 
 
-def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def contexts(raw: np.ndarray, start: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The slot of each byte in each context, and its gate; start: where texts begin."""
-    keys, gate = keyed(raw, start)
-    return [_slots(k, bits) for k, bits in zip(keys, SLOT_BITS, strict=True)], gate
+def _words(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    for w in word_hashes(texts):
+        yield w & ~LOW
 
 
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    end = bytes([END])
-    raw = np.frombuffer(end.join([*texts, b""]), np.uint8)
-    size = np.array([len(t) + 1 for t in texts], np.int64)
-    return raw, np.cumsum(size) - size
-
-
-def _in_batches(texts: list[str | None]) -> Iterator[list[bytes]]:
-    batch, size = [], 0
-    for t in texts:
-        batch.append((t or "").encode("utf-8", "surrogatepass"))
-        size += len(batch[-1])
-        if size > BATCH_BYTES:
-            yield batch
-            batch, size = [], 0
-    if batch:
-        yield batch
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their sums; quick if the keys are a few sorted runs."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[at], np.add.reduceat(n, at)
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """kind, key, byte and n over all texts of `docs`: kind 0 counts words by hash (ends have the key 0), kind k the
-    bytes after each context of kind k."""
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
+class Runs:
+    """Sorted runs of keys and counts; beyond HELD distinct ones they are handed on."""
 
-    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(keys), 1 << 18):
-            part = slice(at, at + (1 << 18))
-            yield pa.record_batch([pa.array(np.full(len(keys[part]), kind, np.int32)), pa.array(keys[part].view(np.int64)), pa.array(n[part].astype(np.int64))], names=schema.names)
+    def __init__(self) -> None:
+        self.keys: list[np.ndarray] = []
+        self.n: list[np.ndarray] = []
+        self.held = self.merged = 0
 
-    def count(batches):
-        seen: list[list[np.ndarray]] = [[] for _ in SLOT_BITS]
-        words: list[tuple[np.ndarray, np.ndarray]] = []
-        held = texts = waiting = 0
+    def add(self, keys: np.ndarray) -> bool:
+        """Whether they should be handed on."""
+        keys, n = np.unique(keys, return_counts=True)
+        self.keys.append(keys)
+        self.n.append(n)
+        self.held += len(keys)
+        if self.held > max(HELD, 2 * self.merged):
+            keys, n = self.all()
+            self.keys, self.n, self.held, self.merged = [keys], [n], len(keys), len(keys)
+        return self.merged > HELD
 
-        def cells() -> Iterator[pa.RecordBatch]:
-            for kind, keys in enumerate(seen, 1):
-                if keys:
-                    every = np.concatenate(keys)
-                    keys.clear()
-                    yield from rows(kind, *np.unique(every, return_counts=True))
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        return _summed(np.concatenate(self.keys), np.concatenate(self.n)) if self.keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
+
+def _binaries(at: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Binary values that hold values[at[i] : at[i + 1]]."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _arrays(column, kind) -> np.ndarray:
+    """All values of a column of binaries, one after the other."""
+    held = [np.frombuffer(x.as_buffer(), kind) for x in column if x.is_valid and len(x.as_buffer())]
+    return np.concatenate(held) if held else np.zeros(0, kind)
+
+
+#: Counts: cells are keys | byte, in order; n are their counts.
+PACKED = "range int, kind int, cells binary, n binary"
+
+
+def _by_range(kind: int, keys: np.ndarray, n: np.ndarray, bits: int) -> pa.RecordBatch:
+    """A row of PACKED for each range of the hashes, which are in order."""
+    place = (keys >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]][: len(place)])
+    at = np.r_[first, len(keys)]
+    return pa.record_batch([pa.array(place[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), _binaries(at, keys), _binaries(at, n.astype(np.int64))], names=["range", "kind", "cells", "n"])
+
+
+def counted(docs: DataFrame, bits: int = 0) -> DataFrame:
+    """The counts over all texts of `docs` in 2 ** bits ranges, a row (PACKED) for each range and kind at most.
+
+    Kind 0: words by hash. Kind k: the bytes after each context of kind k that occurs LEAST_SEEN[k] times or more.
+    """
+
+    def count(batches):
+        runs = {kind: Runs() for kind in (0, *KINDS)}
         for b in sliced(batches, 0):
-            column = b.column(0).to_pylist()
-            texts += len(column)
-            for group in groups(column):
-                words.append(np.unique(hashed(group)[0], return_counts=True))
-                held += len(words[-1][0])
-                if held > HELD_WORDS:
-                    words = [_merged(words)]
-                    held = len(words[0][0])
-                    if held > HELD_WORDS // 2:
-                        yield from rows(0, *words.pop())
-                        held = 0
-            for batch in _in_batches(column):
-                raw, start = _joined(batch)
-                for held_keys, keys in zip(seen, keyed(raw, start)[0], strict=True):
-                    held_keys.append(keys & ~LOW | raw)
-                waiting += len(raw)
-                if waiting > HELD_BYTES:
-                    yield from cells()
-                    waiting = 0
-        yield from cells()
-        if words:
-            yield from rows(0, *_merged(words))
-        if texts:
-            yield from rows(0, np.zeros(1, np.uint64), np.array([texts]))
-
-    kind, key = F.col("kind"), F.col("key")
-    context = F.when(kind > 0, key.bitwiseAND(F.lit(-256)).bitwiseOR(kind.cast("long"))).otherwise(key)
-    byte = F.when(kind > 0, key.bitwiseAND(F.lit(255))).otherwise(F.lit(0)).cast("int")
-    return docs.select("text").mapInArrow(count, schema).select("kind", context.alias("key"), byte.alias("byte"), "n").groupBy("kind", "key", "byte").agg(F.sum("n").alias("n"))
-
-
-def _most_frequent(rows: DataFrame, most: int) -> DataFrame:
-    """Rows with the largest n, at most so many: by steps of a sixteenth of a doubling, of which there are about a
-    thousand, as many steps from the top as hold `most` rows or fewer."""
-    step = F.floor(16 * F.log2("n"))
-    held, least = 0, float("inf")
-    for r in sorted(rows.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
-        held += r["count"]
-        if held > most:
-            break
-        least = r["step"]
-    return rows.where(step >= F.lit(float(least)))
-
-
-def _merged(words: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(np.concatenate([k for k, _ in words]), return_inverse=True)
-    return keys, np.bincount(back, np.concatenate([n for _, n in words]), len(keys)).astype(np.int64)
+            texts = b.column(0).to_pylist()
+            for part in parts(texts):
+                byte = part.raw[part.lead :]
+                for kind, keys in zip(KINDS, keyed(part)[0], strict=True):
+                    if runs[kind].add(keys | byte):
+                        yield _by_range(kind, *runs[kind].all(), bits)
+                        runs[kind] = Runs()
+            if runs[0].add(np.concatenate([*_words(texts), np.zeros(0, np.uint64)])):
+                yield _by_range(0, *runs[0].all(), bits)
+                runs[0] = Runs()
+        for kind, run in runs.items():
+            if run.keys:
+                yield _by_range(kind, *run.all(), bits)
+
+    def merge(rows: pa.Table) -> pa.Table:
+        kinds, out = np.asarray(rows["kind"]), []
+        for kind in np.unique(kinds):
+            own = rows.filter(pa.array(kinds == kind))
+            cells, n = _summed(_arrays(own["cells"], np.uint64), _arrays(own["n"], np.int64))
+            if kind in LEAST_SEEN:
+                at, total = _contexts(cells, n)
+                keep = np.repeat(total >= LEAST_SEEN[kind], np.diff(np.r_[at, len(cells)]))
+                cells, n = cells[keep], n[keep]
+            if len(cells):
+                out.append(_by_range(int(kind), cells, n, bits))
+        return pa.Table.from_batches(out, rows.schema)
+
+    return docs.select("text").mapInArrow(count, PACKED).groupBy("range").applyInArrow(merge, PACKED)
+
+
+def _contexts(cells: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the cells of each context begin, and its occurrences."""
+    if not len(cells):
+        return np.zeros(0, np.int64), n
+    at = np.flatnonzero(np.r_[True, cells[1:] >> np.uint64(8) != cells[:-1] >> np.uint64(8)])
+    return at, np.add.reduceat(n, at)
+
+
+def _step(n: np.ndarray) -> np.ndarray:
+    """Counts in steps of a sixteenth of a doubling, of which there are about a thousand."""
+    return np.floor(16 * np.log2(n)).astype(np.int32)
+
+
+def _facts(counts: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
+    """(kind, step): distinct words or contexts of as many occurrences, and those; (-1, byte): 0 and its occurrences."""
+
+    def facts(batches):
+        for b in batches:
+            for kind, cells, n in zip(b["kind"].to_pylist(), b["cells"], b["n"], strict=True):
+                cells, n = np.frombuffer(cells.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64)
+                total = _contexts(cells, n)[1]
+                step = _step(total)
+                groups = [(kind, step, 1, total)] + ([(-1, (cells & LOW).astype(np.int32), 0, n)] if kind == 1 else [])
+                for of, place, one, times in groups:
+                    sums, places = np.bincount(place, times), np.bincount(place)
+                    some = np.flatnonzero(places)
+                    yield pa.record_batch([pa.array(np.full(len(some), of, np.int32)), pa.array(some.astype(np.int32)), pa.array(one * places[some]), pa.array(sums[some].astype(np.int64))], names=["kind", "step", "n", "times"])
+
+    rows = counts.mapInArrow(facts, "kind int, step int, n long, times long").groupBy("kind", "step").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
+    return {(r["kind"], r["step"]): (r["n"], r["times"]) for r in rows.collect()}  # some thousand rows
+
+
+def _most_frequent(counts: DataFrame, facts: dict, most: dict[int, int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By kind, the cells of the most frequent words or contexts, and their counts: as many steps from the top as hold
+    `most` of the kind or fewer."""
+    least = {}
+    for kind, limit in most.items():
+        held, least[kind] = 0, 1 << 30
+        for step in sorted((s for k, s in facts if k == kind), reverse=True):
+            held += facts[kind, step][0]
+            if held > limit:
+                break
+            least[kind] = step
+
+    def frequent(batches):
+        for b in batches:
+            for kind, cells, n in zip(b["kind"].to_pylist(), b["cells"], b["n"], strict=True):
+                cells, n = np.frombuffer(cells.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64)
+                at, total = _contexts(cells, n)
+                keep = np.repeat(_step(total) >= least[kind], np.diff(np.r_[at, len(cells)]))
+                if keep.any():
+                    yield _by_range(kind, cells[keep], n[keep], 0)
+
+    found, out = counts.mapInArrow(frequent, PACKED).toArrow(), {}
+    kinds = np.asarray(found["kind"])
+    for kind in most:
+        own = found.filter(pa.array(kinds == kind))
+        out[kind] = _summed(_arrays(own["cells"], np.uint64), _arrays(own["n"], np.int64))
+    return out
 
 
 @dataclass
@@ -223,139 +340,231 @@ def _logits(code: Code, row: np.ndarray, byte: np.ndarray, n: np.ndarray, rows:
     many = np.flatnonzero(~alone)
     for part in np.split(many, np.flatnonzero(np.diff(row[many] >> 12)) + 1):  # the rows of 4,096 contexts at once
         if len(part):
-            base = row[part[0]] >> 12 << 12
-            at, bit, times = nodes(part, row[part] - base)
-            zero, one = (np.bincount(at[bit == x], times[bit == x], 255 << 12) for x in (0, 1))
-            some = np.flatnonzero(zero + one)
-            out[base * 255 + some] = steps(zero[some], one[some])
+            at, bit, times = nodes(part, row[part])
+            order = np.argsort(at, kind="stable")
+            at, bit, times = at[order], bit[order], times[order]
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            every, one = np.add.reduceat(times, first), np.add.reduceat(times * bit, first)
+            out[at[first]] = steps(every - one, one)
     return out
 
 
-def _counted_cells(key: np.ndarray, byte: np.ndarray, n: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct contexts in order and their logits; cells may be repeated."""
-    _, at = np.unique(key & ~LOW | byte.astype(np.uint64), return_index=True)
-    keys, row = np.unique(key[at], return_inverse=True)
-    return keys, _logits(code, row, byte[at], n[at], len(keys))
+def _table(cells: np.ndarray, n: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts of cells, which are in order, and their logits."""
+    keys, row = np.unique(cells & ~LOW, return_inverse=True)
+    return keys, _logits(code, row, (cells & LOW).astype(np.int64), n, len(keys))
 
 
-@dataclass
-class Places:
-    """Where the rows of known contexts are: by their slot if they hold it, else among the sorted other keys."""
-
-    tag: np.ndarray
-    row: np.ndarray
-    other: np.ndarray
-    other_row: np.ndarray
-
-    @classmethod
-    def of(cls, keys: np.ndarray, n: np.ndarray, bits: int) -> Places:
-        """keys: in the order of their rows; the most frequent one gets the slot."""
-        tag, row, slot = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64), _slots(keys, bits)
-        at = np.argsort(n, kind="stable")
-        tag[slot[at]], row[slot[at]] = keys[at], at
-        rest = np.flatnonzero(tag[slot] != keys)
-        rest = rest[np.argsort(keys[rest])]
-        return cls(tag, row, keys[rest], rest)
-
-    def find(self, keys: np.ndarray, bits: int) -> np.ndarray:
+def _found(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Places of keys among others, which are in order; -1 where there is none."""
+    if not len(among):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    return np.where(among[at] == keys, at, -1)
+
+
+class Table:
+    """Known contexts. One is looked up in its slot, and if another one holds that, by bisection."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        slot, order = _slots(keys), np.arange(len(keys))[::-1]
+        self.tag, self.row = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int32)
+        self.tag[slot[order]], self.row[slot[order]] = keys[order], order
+        rest = np.flatnonzero(self.tag[slot] != keys)
+        self.other, self.other_row = keys[rest], np.r_[rest, -1].astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
         """The rows of contexts, -1 where they aren't known."""
-        slot = _slots(keys, bits)
+        slot = _slots(keys)
         out = self.row[slot]
         miss = np.flatnonzero(self.tag[slot] != keys)
-        out[miss] = _found(keys[miss], self.other, self.other_row)
+        out[miss] = self.other_row[_found(keys[miss], self.other)]
         return out
 
 
-def _found(keys: np.ndarray, among: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(among):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
-    return np.where(among[at] == keys, values[at], -1)
-
-
-@dataclass
 class Mixer:
-    code: Code
-    tables: list[np.ndarray]  # one of each kind of context: rows * 255 logits
-    places: list[Places] | None = None  # without, slots are rows
-
-    def asked(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of texts and the contexts that they have and that no table here holds, each once a text."""
-        raw, start = _joined(texts)
-        doc = np.repeat(np.arange(len(texts)), np.diff(np.r_[start, len(raw)]))
-        out = []
-        for k, p, bits in zip(keyed(raw, start)[0], self.places, SLOT_BITS, strict=True):
-            miss = np.flatnonzero(p.find(k, bits) < 0)
-            once = miss[np.unique(k[miss] ^ mixed(doc[miss].astype(np.uint64) + np.uint64(1)), return_index=True)[1]]
-            out.append((doc[once], k[once]))
-        return np.concatenate([d for d, _ in out]), np.concatenate([k for _, k in out])
-
-    def _rows(self, kind: int, keys: np.ndarray, cells: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
-        """The table of a kind of context with the rows of `cells` after it, and each byte's row in it, -1 for none."""
-        bits, table = SLOT_BITS[kind - 1], self.tables[kind - 1]
-        if self.places is None:
-            return table, _slots(keys, bits)
-        row = self.places[kind - 1].find(keys, bits)
-        if cells is not None and (own := np.flatnonzero((cells[0] & LOW) == kind)).size:
-            cell = cells[1][own]
-            others, logits = _counted_cells(cells[0][own], cell & 255, cell >> 8, self.code)
+    def __init__(self, code: Code, tables: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """tables: one of each kind of context, its keys in order and their logits."""
+        self.code = code
+        self.tables = [Table(keys) for keys, _ in tables]
+        #: Undecided logits, then those of all tables; a part's own ones come after them.
+        self.logits = np.concatenate([np.zeros(255, np.int8), *(x for _, x in tables)])
+        self.first = np.cumsum([1, *(len(keys) for keys, _ in tables)])
+
+    def asked(self, part: Part, block: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By kind, the contexts that no table here holds and the blocks of the texts that have them, each once a block."""
+        of = np.repeat(block[part.docs.start : part.docs.stop], part.size)
+        for kind, k, table in zip(KINDS, keyed(part)[0], self.tables, strict=True):
+            miss = np.flatnonzero(table.find(k) < 0)
+            yield kind, *_once(k[miss], of[miss])
+
+    def bits(self, texts: list[str | None], cells: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+        """The code length of each text in bits; cells: by kind, what was counted of contexts that the tables don't hold."""
+        out = np.zeros(len(texts))
+        for part in parts(texts):
+            if not part.lead:
+                state = [np.full(len(part.docs) * GATES, w / STEPS, np.float32) for w in START_WEIGHTS], np.zeros(len(part.docs) * BINS, np.float32)
+            out[part.docs.start : part.docs.stop] += self._coded(part, *state, cells or {})
+        return out
+
+    def _predicted(self, keys: list[np.ndarray], cells: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+        """All logits, and for each kind of context each byte's row in them: that of the next shorter context where a
+        context isn't known, of undecided logits where none is."""
+        rows, added, held = [np.zeros(len(keys[0]), np.int32)], [], int(self.first[-1])
+        for kind, k in zip(KINDS, keys, strict=True):
+            row = self.tables[kind - 1].find(k)
             miss = np.flatnonzero(row < 0)
-            row[miss] = _found(keys[miss], others, np.arange(len(others)) + len(table) // 255)
-            table = np.concatenate([table, logits])
-        return table, row
-
-    def bits(self, texts: list[bytes], cells: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """The code length of each text in bits; cells: keys of contexts that the tables don't hold, and n << 8 | byte."""
-        raw, start = _joined(texts)
-        size = np.diff(np.r_[start, len(raw)])
-        keys, gate = keyed(raw, start)
+            row += np.int32(self.first[kind - 1])
+            if len(miss):
+                row[miss] = rows[-1][miss]
+                if kind in cells:
+                    own, n = cells[kind]
+                    need = np.unique(k[miss])
+                    low, high = np.searchsorted(own, need), np.searchsorted(own, need | LOW, "right")
+                    at = np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low) + np.arange((high - low).sum())
+                    others, more = _table(own[at], n[at], self.code)
+                    place = _found(k[miss], others)
+                    row[miss[place >= 0]] = place[place >= 0] + held
+                    added.append(more)
+                    held += len(others)
+            rows.append(row)
+        if len(self.logits) < held * 255:
+            self.logits = np.concatenate([self.logits[: self.first[-1] * 255], *added, np.zeros(held * 64, np.int8)])
+        else:
+            own = np.concatenate([np.zeros(0, np.int8), *added])
+            self.logits[self.first[-1] * 255 : self.first[-1] * 255 + len(own)] = own
+        return self.logits, rows[1:]
+
+    def _coded(self, part: Part, weights: list[np.ndarray], shift: np.ndarray, cells: dict) -> np.ndarray:
+        """The code lengths of a part's texts; weights and shift are refined."""
+        raw, size = part.raw[part.lead :], part.size
+        keys, gate = keyed(part)
         # bytes in the order of blocks, then of texts, then of gates: each set of weights has one run in each block
-        edges = [0, FIRST_BLOCK]
+        edges = [0, LAST_BLOCK if part.lead else FIRST_BLOCK]
         while edges[-1] < size.max():
             edges.append(edges[-1] + min(2 * (edges[-1] - edges[-2]), LAST_BLOCK))
-        doc = np.repeat(np.arange(len(texts)), size)
-        block = np.searchsorted(edges, np.arange(len(raw)) - start[doc], "right") - 1
+        doc = np.repeat(np.arange(len(size)), size)
+        begin = np.cumsum(size) - size
+        block = np.searchsorted(edges, np.arange(len(raw)) - begin[doc], "right") - 1
         order = np.argsort(gate.astype(np.uint8), kind="stable")
         for key in (doc, block):  # numbers of 16 bits are sorted in a pass
             order = order[np.argsort(key[order].astype(np.uint16 if key.max() < 1 << 16 else np.int64), kind="stable")]
         raw, block, own = raw[order], block[order], (doc * GATES + gate)[order]
-        length = self.code.length[raw].astype(np.int32)
-        ends = np.cumsum(length)
-        begins = ends - length
-        at = np.arange(ends[-1], dtype=np.int32) + np.repeat((self.code.start[raw] - begins).astype(np.int32), length)
-        node, sign = self.code.node.astype(np.int32)[at], (2 * self.code.bit - 1).astype(np.float32)[at]
-        logits: list[np.ndarray] = []
-        for kind, k in enumerate(keys, 1):
-            table, row = self._rows(kind, k, cells)
-            row = row[order]
-            shorter = logits[-1] if logits else np.float32(0)
-            if len(table):
-                x = table[np.repeat((np.maximum(row, 0) * 255).astype(np.int32), length) + node].astype(np.float32)
-                logits.append(np.where(np.repeat(row < 0, length), shorter, x) if (row < 0).any() else x)
-            else:
-                logits.append(np.zeros(len(node), np.float32) + shorter)
+        logits, rows = self._predicted(keys, cells)
+        bases = [row[order] * np.int32(255) for row in rows]
+        nodes, signs = self.code.node.astype(np.int32), (2 * self.code.bit - 1).astype(np.float32)
+        lengths, starts = self.code.length.astype(np.int32)[raw], self.code.start.astype(np.int32)[raw]
         run = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (block[1:] != block[:-1])])
-        runs, run_at = own[run], np.r_[begins[run], ends[-1]]
-        weights = [np.full(len(texts) * GATES, w / STEPS, np.float32) for w in START_WEIGHTS]
-        shift = np.zeros(len(texts) * BINS, np.float32)
-        out = np.zeros(len(texts))
+        run_end, runs = np.r_[run[1:], len(raw)], own[run]
+        out = np.zeros(len(size))
         cuts = np.searchsorted(block[run], np.arange(len(edges)))
         for one, two in zip(cuts[:-1], cuts[1:], strict=True):
             if one == two:
                 continue
-            s, mine, n = slice(run_at[one], run_at[two]), runs[one:two], np.diff(run_at[one : two + 1])
-            first, x, sg = run_at[one:two] - run_at[one], [v[s] for v in logits], sign[s]
-            mix = sum(np.repeat(w[mine], n) * v for w, v in zip(weights, x, strict=True))
-            bin_ = np.repeat((mine // GATES * BINS + BINS // 2).astype(np.int32), n) + np.clip(np.rint(mix * 2), -(BINS // 2), BINS // 2).astype(np.int32)
-            e = np.exp(-np.clip(sg * (mix + shift[bin_]), -30, 30))
-            np.add.at(out, mine // GATES, np.add.reduceat(np.log2(1 + e), first))
-            wrong = sg * (e / (1 + e))
+            s, mine = slice(run[one], run_end[two - 1]), runs[one:two]
+            length = lengths[s]
+            ends = np.cumsum(length, dtype=np.int32)
+            at = np.repeat(starts[s] - (ends - length), length)
+            at += np.arange(ends[-1], dtype=np.int32)
+            node, sign = nodes[at], signs[at]
+            first = np.r_[0, ends][run[one:two] - run[one]]
+            n = np.diff(np.r_[first, ends[-1]])
+            x = []
+            for base in bases:
+                at = np.repeat(base[s], length)
+                at += node
+                x.append(logits[at].astype(np.float32))
+            mix = np.repeat(weights[0][mine], n) * x[0]
+            for w, v in zip(weights[1:], x[1:], strict=True):
+                mix += np.repeat(w[mine], n) * v
+            place = mix * np.float32(2)
+            place += np.float32(BINS / 2)
+            np.minimum(np.maximum(place, 0, out=place), np.float32(BINS - 0.5), out=place)
+            bin_ = place.astype(np.int32)
+            bin_ += np.repeat((mine // GATES * BINS).astype(np.int32), n)
+            mix += shift[bin_]
+            mix *= -sign
+            e = np.exp(np.minimum(mix, np.float32(30), out=mix), out=mix)
+            np.add.at(out, mine // GATES, np.add.reduceat(np.log(1 + e), first) / np.log(2))
+            wrong = e / (1 + e)
+            wrong *= sign
             for w, v in zip(weights, x, strict=True):
-                w[mine] += np.float32(WEIGHT_RATE / STEPS**2) * np.add.reduceat(wrong * v, first) / (n + 8).astype(np.float32)
+                v *= wrong
+                w[mine] += np.float32(WEIGHT_RATE / STEPS**2) * np.add.reduceat(v, first) / (n + 8).astype(np.float32)
             shift += (4 * BIN_RATE * np.bincount(bin_, wrong, len(shift)) / (np.bincount(bin_, minlength=len(shift)) + 16)).astype(np.float32)
         return out
 
 
+def _once(keys: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of key and block once."""
+    at = np.unique(keys ^ mixed(block.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
+    return keys[at], block[at]
+
+
+ASKED = "range int, kind int, keys binary, blocks binary"
+TOLD = "block int, kind int, cells binary, n binary"
+
+
+def _asks(texts: DataFrame, model, bits: int) -> DataFrame:
+    """What the tables of `model` don't hold of texts (block, text), by ranges of hashes (ASKED)."""
+
+    def ask(batches):
+        mixer, known, _ = model.value
+        waiting: dict[int, list] = {kind: [] for kind in (0, *KINDS)}
+        held = 0
+
+        def given():
+            for kind, pairs in waiting.items():
+                if pairs:
+                    keys, block = _once(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+                    order = np.argsort(keys, kind="stable")
+                    keys, block = keys[order], block[order]
+                    place = (keys >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
+                    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]][: len(place)])
+                    at = np.r_[first, len(keys)]
+                    yield pa.record_batch([pa.array(place[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), _binaries(at, keys), _binaries(at, block.astype(np.int32))], names=["range", "kind", "keys", "blocks"])
+                    pairs.clear()
+
+        for b in sliced(batches, 1):
+            block, column = np.asarray(b.column(0)), b.column(1).to_pylist()
+            for part in parts(column):
+                for kind, *pair in mixer.asked(part, block):
+                    waiting[kind].append(pair)
+                    held += len(pair[0])
+            for i, w in enumerate(_words(column)):
+                w = np.unique(w[_found(w, known) < 0])
+                waiting[0].append((w, np.full(len(w), block[i])))
+                held += len(w)
+            if held > HELD:
+                yield from given()
+                held = 0
+        yield from given()
+
+    return texts.mapInArrow(ask, ASKED)
+
+
+def _answers(counts: DataFrame, asks: DataFrame) -> DataFrame:
+    """What the counts hold of what is asked, by block (TOLD)."""
+
+    def answer(counts: pa.Table, asks: pa.Table) -> pa.Table:
+        kinds, asked, out = counts["kind"].to_pylist(), np.asarray(asks["kind"]), []
+        for kind, cells, n in zip(kinds, counts["cells"], counts["n"], strict=True):
+            own = asks.filter(pa.array(asked == kind))
+            cells, n = np.frombuffer(cells.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64)
+            keys, block = _arrays(own["keys"], np.uint64), _arrays(own["blocks"], np.int32)
+            low = np.searchsorted(cells, keys)
+            many = np.searchsorted(cells, keys | LOW, "right") - low
+            order = np.repeat(block, many).argsort(kind="stable")
+            at = (np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum()))[order]
+            block = np.repeat(block, many)[order]
+            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(block)])
+            cut = np.r_[first, len(block)]
+            out.append(pa.record_batch([pa.array(block[first]), pa.array(np.full(len(first), kind, np.int32)), _binaries(cut, cells[at]), _binaries(cut, n[at])], names=["block", "kind", "cells", "n"]))
+        return pa.Table.from_batches(out, pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("cells", pa.binary()), ("n", pa.binary())]))
+
+    return counts.groupBy("range").cogroup(asks.groupBy("range")).applyInArrow(answer, TOLD)
+
+
 def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
     """`docs` (doc_id, text and others) with what `training` (text) says about each whole text: n_tokens (words and one
     end), n_known, train_tokens, base_score (log10, unigrams with one added), bits (code length by the mixer) and
@@ -365,96 +574,52 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
     are, repeated ones too; columns of those names are replaced, text is left out.
     """
     spark = docs.sparkSession
-    counts = written(counted(training), "lm-counts")
-    words, cells = counts.where("kind = 0").select("key", "n"), counts.where("kind > 0")
-    n_train, n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    of_byte = np.zeros(256, np.int64)
-    for r in cells.where("kind = 1").groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 256 rows at most
-        of_byte[r["byte"]] = r["n"]
-    code = huffman(of_byte)
-    # contexts that were seen once need no place among the most frequent ones
-    often = written(cells.groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 1"), "lm-contexts")
-    tables, places = [], []
-    for kind, bits in enumerate(SLOT_BITS, 1):
-        best = F.broadcast(_most_frequent(often.where(F.col("kind") == kind).select("key", "n"), TOP_CONTEXTS).select("key"))
-        frequent = cells.where(F.col("kind") == kind).join(best, "key").select("key", "byte", "n").toArrow()  # of bounded size
-        of_key, byte, n = (np.asarray(frequent[c].combine_chunks()) for c in ("key", "byte", "n"))
-        keys, logits = _counted_cells(of_key.astype(np.int64).view(np.uint64), byte.astype(np.int64), n.astype(np.int64), code)
-        tables.append(logits)
-        places.append(Places.of(keys, np.bincount(np.searchsorted(keys, of_key.astype(np.int64).view(np.uint64)), n, len(keys)), bits))
-    top = _most_frequent(words, TOP_WORDS).toArrow()
-    keys, amounts = (np.asarray(top[c].combine_chunks()).astype(np.int64) for c in ("key", "n"))
-    order = np.argsort(keys)
-    model = spark.sparkContext.broadcast((Mixer(code, tables, places), keys[order], np.log10(amounts[order] + 1.0)))
-
-    replaced = ("text", "n_tokens", "n_known", "train_tokens", "base_score", "bits", "bits_per_byte")
-    kept = [c for c in docs.columns if c not in replaced]
-    rare = T.ArrayType(T.LongType())
-    schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(c, t) for c, t in (("_row", T.LongType()), ("_tokens", T.LongType()), ("_known", T.LongType()), ("_log", T.DoubleType()), ("_bits", T.DoubleType()), ("_bytes", T.LongType()), ("_rare", rare), ("_times", rare)))])
-
-    def ask(batches):
-        mixer = model.value[0]
-        for b in sliced(batches, 1):
-            row, at = np.asarray(b.column(0)), 0
-            for batch in _in_batches(b.column(1).to_pylist()):
-                doc, keys = mixer.asked(batch)
-                yield pa.record_batch([pa.array(row[at + doc]), pa.array(keys.view(np.int64))], names=["_row", "key"])
-                at += len(batch)
-
-    def score(batches):
-        mixer, keys, logs = model.value
-        for b in sliced(batches, len(kept)):
-            texts = b.column(len(kept)).to_pylist()
-            tokens, known, log, others, times = [], [], [], [], []
-            for group in groups(texts):
-                words, _, cut = hashed(group)
-                words = words.view(np.int64)
-                at = np.minimum(np.searchsorted(keys, words), max(len(keys) - 1, 0))
-                hit = keys[at] == words if len(keys) else np.zeros(len(words), bool)
-                value = np.where(hit, logs[at], 0) if len(keys) else np.zeros(len(words))
-                for i in range(len(group)):
-                    s = slice(cut[i], cut[i + 1])
-                    tokens.append(cut[i + 1] - cut[i] + 1)
-                    known.append(int(hit[s].sum()))
-                    log.append(float(value[s].sum()))
-                    w, n = np.unique(words[s][~hit[s]], return_counts=True)
-                    others.append(w)
-                    times.append(n)
-            edge, cells, bits = np.asarray(b.column(len(kept) + 2).offsets), b.column(len(kept) + 2).values, []
-            for batch in _in_batches(texts):
-                own = cells.slice(edge[len(bits)], edge[len(bits) + len(batch)] - edge[len(bits)])
-                bits += mixer.bits(batch, (np.asarray(own.field("key")).view(np.uint64), np.asarray(own.field("cell")))).tolist()
-            sizes = [len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts]
-            at = pa.array(np.r_[0, np.cumsum([len(x) for x in others])].astype(np.int32))
-            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64))) for x in (others, times)]
-            yield pa.record_batch([*(b.column(i) for i in range(len(kept))), b.column(len(kept) + 1), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(log, pa.float64()), pa.array(bits, pa.float64()), pa.array(sizes, pa.int64()), *lists], names=schema.names)
-
-    texts = written(docs.select(*kept, "text").withColumn("_row", F.monotonically_increasing_id()), "lm-texts")
-    asked = texts.select("_row", "text").mapInArrow(ask, "_row long, key long")
-    cell = F.struct("key", F.shiftleft("n", 8).bitwiseOR(F.col("byte").cast("long")).alias("cell"))
-    of_row = asked.join(cells.select("key", "byte", "n"), "key").groupBy("_row").agg(F.collect_list(cell).alias("_cells"))
-    full = texts.join(of_row, "_row", "left").select(*kept, "text", "_row", F.coalesce("_cells", F.array().cast("array<struct<key:bigint,cell:bigint>>")).alias("_cells"))
-    rows = written(full.mapInArrow(score, schema), "lm-rows")
-    found = (
-        rows.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("w"))
-        .select("_row", F.col("w._rare").alias("key"), F.col("w._times").alias("times"))
-        .join(words, "key")
-        .groupBy("_row")
-        .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_log"))
-    )
-    ends = words.where("key = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    out = rows.drop("_rare", "_times").join(found, "_row", "left")
-    known = F.col("_known") + F.coalesce("more", F.lit(0)) + F.lit(int(ends > 0))
-    log = F.col("_log") + F.coalesce("more_log", F.lit(0.0)) + F.lit(float(np.log10(ends + 1.0)))
-    return out.select(
-        *kept,
-        F.col("_tokens").alias("n_tokens"),
-        known.alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"),
-        (log - F.col("_tokens") * F.log10(F.lit(float(n_train + n_words + 1)))).alias("base_score"),
-        F.col("_bits").alias("bits"),
-        (F.col("_bits") / F.col("_bytes")).alias("bits_per_byte"),
-    )
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    ends, train_bytes = training.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    bits = ceil(log2(max(1.0, train_bytes / RANGE_BYTES)))
+    counts = written(counted(training, bits), "lm-counts")
+    facts = _facts(counts)
+    of_words = [v for (kind, _), v in facts.items() if kind == 0]
+    n_train, n_words = ends + sum(times for _, times in of_words), int(ends > 0) + sum(n for n, _ in of_words)
+    code = huffman(np.array([facts.get((-1, b), (0, 0))[1] for b in range(256)]))
+    top = _most_frequent(counts, facts, {0: TOP_WORDS} | dict.fromkeys(KINDS, TOP_CONTEXTS))
+    mixer = Mixer(code, [_table(*top[kind], code) for kind in KINDS])
+    model = spark.sparkContext.broadcast((mixer, top[0][0], np.log10(top[0][1] + 1.0)))
+    below, end_log = float(np.log10(n_train + n_words + 1.0)), float(np.log10(ends + 1.0))
+
+    names = ("n_tokens", "n_known", "train_tokens", "base_score", "bits", "bits_per_byte")
+    kept = [c for c in docs.columns if c not in ("text", *names)]
+    types = (T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType())
+    schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(c, t) for c, t in zip(names, types, strict=True))])
+
+    def score(texts: pa.Table, told: pa.Table) -> pa.Table:
+        mixer, known, logs = model.value
+        kinds, cells = np.asarray(told["kind"]), {}
+        for kind in np.unique(kinds):
+            own = told.filter(pa.array(kinds == kind))
+            keys, at = np.unique(_arrays(own["cells"], np.uint64), return_index=True)  # several tasks may have asked for one
+            cells[int(kind)] = keys, _arrays(own["n"], np.int64)[at]
+        others, times = cells.pop(0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        other_logs = np.log10(times + 1.0)
+        column = texts["text"].to_pylist()
+        tokens, found, base = [], [], []
+        for w in _words(column):
+            at, more = _found(w, known), _found(w, others)
+            tokens.append(len(w) + 1)
+            found.append(int((at >= 0).sum() + (more >= 0).sum()) + int(ends > 0))
+            base.append(float(logs[at[at >= 0]].sum() + other_logs[more[more >= 0]].sum() + end_log - (len(w) + 1) * below))
+        coded = mixer.bits(column, cells)
+        lengths = np.array([len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in column], float)
+        new = [pa.array(tokens, pa.int64()), pa.array(found, pa.int64()), pa.array([n_train] * len(column), pa.int64()), pa.array(base, pa.float64()), pa.array(coded), pa.array(coded / lengths)]
+        return pa.table([*(texts[c] for c in kept), *new], names=schema.names)
+
+    # blocks by the hash of a row, so that copies of a text don't meet in one of them
+    total = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    block = fresh(docs, "_block")
+    own = [F.col(f.name) for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    placed = docs.withColumn(block, F.pmod(F.xxhash64(*own), F.lit(max(1, ceil(total / BLOCK_BYTES)))).cast("int"))
+    told = _answers(counts, _asks(placed.select(block, "text"), model, bits))
+    return placed.select(*kept, "text", block).groupBy(block).cogroup(told.groupBy("block")).applyInArrow(score, schema)
 
 
 def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

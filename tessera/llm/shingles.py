@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Bytes of texts that are hashed together.
 GROUP_BYTES = 1 << 20
+#: Powers that a worker keeps from one call to the next, at most.
+KEPT_POWERS = 5 * GROUP_BYTES // 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -24,31 +28,55 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number and of its inverse, modulo 2**64."""
+    """The first n powers of an odd number and of its inverse, modulo 2**64; those for usual lengths are kept."""
     if len(_powers[0]) < n:
-        for i, base in enumerate((_ODD, _ODD_INVERSE)):
-            _powers[i] = np.cumprod(np.r_[np.uint64(1), np.full(n + n // 4, base)])
+        made = [np.cumprod(np.r_[np.uint64(1), np.full(n + n // 4, base)]) for base in (_ODD, _ODD_INVERSE)]
+        if n > KEPT_POWERS:
+            return made[0], made[1]
+        _powers[:] = made
     return _powers[0], _powers[1]
 
 
 def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
     """For each text, a 64-bit hash of every word `[^\\x20\\x09-\\x0D]+`, A-Z in lower case; null: no words."""
     for group in groups(texts):
+        if len(group[0]) > GROUP_BYTES:
+            yield _of_long(group[0])
+            continue
         hashes, _, cut = hashed(group)
         for i in range(len(group)):
             yield hashes[cut[i] : cut[i + 1]]
 
 
+def _of_long(raw: bytes) -> np.ndarray:
+    """The word hashes of a long text, looked at in pieces; memory for the rest doesn't grow with it or with its words."""
+    out, at = [], 0
+    while at < len(raw):
+        white = _SPACE.search(raw, min(at + GROUP_BYTES, len(raw)))
+        end = white.start() if white else len(raw)
+        long = end if end - at <= 2 * GROUP_BYTES else max(at, *(raw.rfind(bytes([w]), at, at + GROUP_BYTES) + 1 for w in np.flatnonzero(_WHITE)))
+        out.append(hashed([raw[at:long]])[0])
+        if long < end:  # a word of more than a piece
+            total = 0
+            for i in range(long, end, GROUP_BYTES):
+                piece = np.frombuffer(raw, np.uint8, min(GROUP_BYTES, end - i), i)
+                total += int((_BYTE[piece] * powers(len(piece))[0][: len(piece)]).sum()) * pow(int(_ODD), i - long, 1 << 64)
+            out.append(mixed(np.array([(total + end - long) % (1 << 64)], np.uint64)))
+        at = end
+    return np.concatenate(out)
+
+
 def groups(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
-    """The texts' UTF-8, A-Z in lower case, some megabytes at a time."""
+    """The texts' UTF-8, A-Z in lower case, about a megabyte at a time; a longer text by itself."""
     group: list[bytes] = []
     size = 0
     for t in texts:
-        group.append((t or "").encode("utf-8", "surrogatepass").lower())
-        size += len(group[-1])
-        if size > GROUP_BYTES:
+        raw = (t or "").encode("utf-8", "surrogatepass").lower()
+        if group and size + len(raw) > GROUP_BYTES:
             yield group
             group, size = [], 0
+        group.append(raw)
+        size += len(raw)
     if group:
         yield group
 

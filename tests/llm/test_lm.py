@@ -1,11 +1,13 @@
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tessera.llm import lm
-from tessera.llm.lm import BATCH_BYTES, SLOT_BITS, Mixer, contexts, huffman, scored
+from tessera.llm.lm import BINS, FIRST_BLOCK, GATES, KINDS, LAST_BLOCK, PART_BYTES, START_WEIGHTS, STEPS, Mixer, huffman, scored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -36,61 +38,133 @@ def test_base_score_and_learning(spark):
 
 
 def test_empty_tables(spark):
-    none = table(spark, []) if False else table(spark, ["a"]).where("false")
+    none = table(spark, ["a"]).where("false")
     assert scored(none, table(spark, ["a b"])).collect() == []
     row = scored(table(spark, ["a b"]), none).first()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"]) == (3, 0, 0, 0.0)
 
 
-def trained(texts):
-    raw = np.frombuffer(b"\xff".join([*texts, b""]), np.uint8)
-    start = np.r_[0, np.flatnonzero(raw == 255)[:-1] + 1]
-    code = huffman(np.bincount(raw, minlength=256))
-    rng = np.random.default_rng(1)
-    assert [int(s.max()) < 1 << b for s, b in zip(contexts(raw, start)[0], SLOT_BITS, strict=True)] == [True] * 3
-    return Mixer(code, [rng.integers(-40, 40, 255 << b).astype(np.int8) for b in SLOT_BITS])
+def slow_contexts(text):
+    """Of each byte and the end: two bytes, three bytes and the word so far, as byte strings, and the byte."""
+    raw, word = text.encode() + b"\xff", b""
+    low = raw.lower()
+    for i in range(len(raw)):
+        word = b"" if i and low[i - 1 : i].isspace() else word
+        yield (low[max(0, i - 2) : i], low[max(0, i - 3) : i], word[-lm.WORD_BYTES :]), len(word), raw[i]
+        word += low[i : i + 1]
+
+
+def slow_counts(texts):
+    counts = [{}, {}, {}]
+    for t in texts:
+        for contexts, _, byte in slow_contexts(t):
+            for of, c in zip(counts, contexts, strict=True):
+                of.setdefault(c, Counter())[byte] += 1
+    return [{c: n for c, n in of.items() if n.total() >= least} for of, least in zip(counts, lm.LEAST_SEEN.values(), strict=True)]
+
+
+def slow_bits(text, counts, code):
+    """The same bit by bit, as it is described."""
+    weights, shift = [[w / STEPS for w in START_WEIGHTS] for _ in range(GATES)], [0.0] * BINS
+    rows, total, at, size = list(slow_contexts(text)), 0.0, 0, FIRST_BLOCK
+    while at < len(rows):
+        moved, seen, bins = [[0.0] * 3 for _ in range(GATES)], [0] * GATES, [[0.0, 0] for _ in range(BINS)]
+        for contexts, far, byte in rows[at : at + size]:
+            gate, path = min(far, GATES - 1), slice(code.start[byte], code.start[byte] + code.length[byte])
+            for node, bit in zip(code.node[path], code.bit[path], strict=True):
+                x, shorter = [], None
+                for of, c in zip(counts, contexts, strict=True):
+                    shorter = of.get(c, shorter)
+                    sides = [0, 0]
+                    for b, n in (shorter or {}).items():
+                        own = code.node[code.start[b] : code.start[b] + code.length[b]].tolist()
+                        if node in own:
+                            sides[code.bit[code.start[b] + own.index(node)]] += n
+                    x.append(max(-127, min(127, round(math.log((sides[1] + 0.4) / (sides[0] + 0.4)) * STEPS))))
+                mix = sum(w * v for w, v in zip(weights[gate], x, strict=True))
+                place = int(min(max(mix * 2 + BINS / 2, 0), BINS - 0.5))
+                sign = 1 if bit else -1
+                e = math.exp(-sign * (mix + shift[place]))
+                total += math.log2(1 + e)
+                wrong = sign * e / (1 + e)
+                seen[gate] += 1
+                moved[gate] = [m + wrong * v for m, v in zip(moved[gate], x, strict=True)]
+                bins[place][0] += wrong
+                bins[place][1] += 1
+        for g in range(GATES):
+            weights[g] = [w + lm.WEIGHT_RATE / STEPS**2 * m / (seen[g] + 8) for w, m in zip(weights[g], moved[g], strict=True)]
+        shift = [s + 4 * lm.BIN_RATE * w / (n + 16) for s, (w, n) in zip(shift, bins, strict=True)]
+        at, size = at + size, min(2 * size, LAST_BLOCK)
+    return total
+
+
+def code_of(texts):
+    return huffman(np.bincount(np.frombuffer(b"".join(t.encode() + b"\xff" for t in texts), np.uint8), minlength=256))
+
+
+@pytest.mark.parametrize("most", [0, 5, 1000])
+def test_bits_are_those_of_a_slow_mixer(spark, monkeypatch, most):
+    """Whether contexts are held by every task or joined makes no difference."""
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(map(chr, rng.integers(97, 105, rng.integers(1, 9)))) for _ in range(60)] + ["Größe", "THE", "x" * 40]
+    texts = [" ".join(rng.choice(vocabulary, n)) for n in (3, 40, 150, 400)] + ["", "a", "the\tThe\n the", "unseen words: zzzz"]
+    train = texts[:4]
+    monkeypatch.setattr(lm, "TOP_CONTEXTS", most)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(lm, "RANGE_BYTES", 500)
+    got = [r["bits"] for r in scored(table(spark, texts), table(spark, train)).orderBy("doc_id").collect()]
+    counts, code = slow_counts(train), code_of(train)
+    assert np.allclose(got, [slow_bits(t, counts, code) for t in texts], rtol=2e-4)
 
 
-def test_a_text_alone_and_in_a_batch_cost_the_same():
-    texts = [b"one two three four five " * 50, b"", b"x" * 9000, "wörter und so weiter ".encode() * 7]
-    mixer = trained(texts)
-    assert np.allclose(mixer.bits(texts), [mixer.bits([t])[0] for t in texts], rtol=1e-4)
-    assert len(texts[2]) < BATCH_BYTES
+def trained(texts):
+    """A mixer whose tables hold all contexts of texts."""
+    runs = {kind: lm.Runs() for kind in KINDS}
+    for part in lm.parts(texts):
+        for kind, k in zip(KINDS, lm.keyed(part)[0], strict=True):
+            runs[kind].add(k | part.raw[part.lead :])
+    code = code_of(texts)
+    return Mixer(code, [lm._table(*runs[kind].all(), code) for kind in KINDS])
+
+
+def test_a_text_alone_and_in_a_batch_cost_the_same(monkeypatch):
+    texts = ["one two three four five " * 50, "", "x" * 9000, "wörter und so weiter " * 7, "Long ones go on and on\n" * 40_000]
+    mixer = trained(texts[:4])
+    assert len(texts[4]) > 3 * PART_BYTES
+    together = mixer.bits(texts)
+    assert np.allclose(together, [mixer.bits([t])[0] for t in texts], rtol=1e-4)
+    monkeypatch.setattr(lm, "PART_BYTES", 1 << 22)
+    assert np.allclose(together, mixer.bits(texts), rtol=1e-4)
+
+
+def test_memory_does_not_grow_with_a_text():
+    mixer, peaks = trained(["the cat sat on the mat"]), []
+    for n in (2, 20):
+        text = "the cat sat on the mat and on\n" * (n * 1_000_000 // 30)
+        tracemalloc.start()
+        mixer.bits([text])
+        peaks.append(tracemalloc.get_traced_memory()[1] - 2 * len(text))  # the text in two codings
+        tracemalloc.stop()
+    assert peaks[1] < peaks[0] + 60_000_000
 
 
 def test_code_lengths_are_those_of_a_prefix_code():
     """All texts of one byte and the end, together, use up no more than all of the code space."""
-    mixer = trained([b"some text"])
-    first = mixer.bits([bytes([b]) for b in range(255)]) - 0
+    mixer = trained(["some text"])
+    first = mixer.bits([chr(b) for b in range(128)])
     assert (2.0**-first).sum() <= 1 + 1e-6
 
 
-def slow_keys(text):
-    """Of each byte and the end: two bytes, three bytes and the word so far, as byte strings."""
-    raw, out, word = text.lower() + b"\xff", [], b""
-    for i in range(len(raw)):
-        word = b"" if i and raw[i - 1 : i] in (b" ", b"\n") else word
-        out.append((raw[max(0, i - 2) : i], raw[max(0, i - 3) : i], word))
-        word += raw[i : i + 1]
-    return out
-
-
-def test_contexts_grow_with_the_corpus_and_are_told_apart(spark, monkeypatch):
-    """More distinct prefixes than slots: each keeps its own counts, frequent or joined, and none is seen twice."""
+def test_contexts_grow_with_the_corpus_and_are_told_apart(spark):
+    """Each keeps its own counts, and none is counted twice."""
     rng = np.random.default_rng(3)
-    texts = [b" ".join(bytes(rng.integers(97, 123, 9).astype(np.uint8)) for _ in range(6000)) for _ in range(3)]
-    raw = np.frombuffer(b"\xff".join([*texts, b""]), np.uint8)
-    start = np.r_[0, np.flatnonzero(raw == 255)[:-1] + 1]
-    slow = [k for t in texts for k in slow_keys(t)]
-    keys, _ = lm.keyed(raw, start)
-    assert len(np.unique(keys[2])) == len({k[2] for k in slow}) > 1 << SLOT_BITS[2]
-    cells = {(r["kind"], r["key"], r["byte"]): r["n"] for r in lm.counted(table(spark, [t.decode() for t in texts])).where("kind > 0").collect()}
-    want = Counter((kind, k[kind - 1], b) for k, b in zip(slow, raw.tolist(), strict=True) for kind in (1, 2, 3))
-    assert sorted(cells.values()) == sorted(want.values())
-    # what is joined scores as what is held
-    docs = table(spark, ["the cat sat on the mat " * 9, "unseen zzz words", "The dog", "the cat"])
-    held = [r["bits"] for r in scored(docs, docs).orderBy("doc_id").collect()]
-    monkeypatch.setattr(lm, "TOP_CONTEXTS", 3)
-    joined = [r["bits"] for r in scored(docs, docs).orderBy("doc_id").collect()]
-    monkeypatch.setattr(lm, "TOP_CONTEXTS", 0)
-    assert np.allclose(held, joined) and np.allclose(held, [r["bits"] for r in scored(docs, docs).orderBy("doc_id").collect()])
+    own = [" ".join("".join(map(chr, rng.integers(97, 123, 9))) for _ in range(3000)) for _ in range(2)]
+    texts = [*own, *own]  # each context twice at least
+    cells = Counter()
+    for r in lm.counted(table(spark, texts), 3).where("kind > 0").collect():
+        keys = np.frombuffer(r["cells"], np.uint64)
+        assert ((keys >> np.uint64(61)) == r["range"]).all()
+        for k, n in zip(keys.tolist(), np.frombuffer(r["n"], np.int64).tolist(), strict=True):
+            cells[r["kind"], k] += n
+    want = [n for of in slow_counts(texts) for c in of.values() for n in c.values()]
+    assert sorted(cells.values()) == sorted(want) and len(want) > 50_000
