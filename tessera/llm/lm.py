@@ -25,11 +25,13 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import crc32_of, documents, fresh, sliced, written
+from .common import crc32_of, documents, sliced, written
 from .shingles import _BYTE, _WHITE, mixed, powers, word_hashes
 
 #: Kinds of contexts: 1 two bytes, 2 three bytes, 3 the word so far; kind 0 counts words.
@@ -39,7 +41,7 @@ WORD_BYTES = 32
 #: By kind, occurrences in the training texts from which a context predicts.
 LEAST_SEEN = {1: 1, 2: 2, 3: 2}
 #: The most frequent contexts of each kind, whose logits go to every task (255 bytes each).
-TOP_CONTEXTS = 65_536
+TOP_CONTEXTS = 131_072
 #: The most frequent words, whose counts go to every task (16 bytes each).
 TOP_WORDS = 200_000
 #: Bits of the table in which a frequent context is looked up first.
@@ -49,17 +51,17 @@ LOW = np.uint64(0xFF)
 END = 0xFF  # never a byte of UTF-8; ends each text
 #: Logits in tables are in steps of 1 / STEPS.
 STEPS = 14
-#: The first and last size of a block; bytes of texts that are coded together, or of a part of a long text: all blocks
-#: of growing size and then full ones.
+#: The first and last size of a block. Bytes of texts that are coded together, or of a part of a long text: all blocks of
+#: growing size and then full ones. Bytes of texts whose contexts are looked up together.
 FIRST_BLOCK, LAST_BLOCK = 64, 4096
 GROWING = 2 * LAST_BLOCK - FIRST_BLOCK
-PART_BYTES = 1 << 18
+CODED_BYTES, PART_BYTES = 1 << 18, 1 << 20
 GATES, BINS = 4, 17
 START_WEIGHTS = (0.15, 0.35, 0.55)
 WEIGHT_RATE, BIN_RATE = 0.6, 0.5
 #: Distinct cells of a kind that a counting task holds, and keys that an asking one does, before they are handed on.
 HELD = 1 << 20
-#: Bytes of training texts for each range of hashes, and of texts for each block that is scored together.
+#: Bytes of training texts for each range of hashes, and of texts that are packed and scored together.
 RANGE_BYTES, BLOCK_BYTES = 4 << 20, 2 << 20
 
 
@@ -85,15 +87,17 @@ def parts(texts: Iterable[str | None]) -> Iterator[Part]:
 
     for i, t in enumerate(texts):
         raw = (t or "").encode("utf-8", "surrogatepass")
-        if batch and size + len(raw) > PART_BYTES:
-            yield joined()
+        if batch and size + len(raw) > PART_BYTES or len(raw) > CODED_BYTES:
+            if batch:
+                yield joined()
             first, batch, size = i, [], 0
-        if len(raw) <= PART_BYTES:
+        if len(raw) <= CODED_BYTES:
             batch.append(raw)
             size += len(raw) + 1
             continue
         whole = np.frombuffer(raw + end, np.uint8)
-        cuts = [0, *range(GROWING + PART_BYTES // LAST_BLOCK * LAST_BLOCK, len(whole), PART_BYTES // LAST_BLOCK * LAST_BLOCK), len(whole)]
+        step = CODED_BYTES // LAST_BLOCK * LAST_BLOCK
+        cuts = [0, *range(GROWING + step, len(whole), step), len(whole)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             lead = min(a, WORD_BYTES + 4)
             yield Part(whole[a - lead : b], np.arange(a == 0), lead, range(i, i + 1), np.array([b - a]))
@@ -102,35 +106,74 @@ def parts(texts: Iterable[str | None]) -> Iterator[Part]:
         yield joined()
 
 
-def keyed(part: Part) -> tuple[list[np.ndarray], np.ndarray]:
-    """The key of each byte's context of each kind, and the byte's gate."""
+def three_before(part: Part) -> np.ndarray:
+    """The three bytes before each byte, the last one lowest, A-Z in lower case; 0 before the text."""
     raw, n = part.raw, len(part.raw)
-    at = np.arange(n)
-    first = np.zeros(n, bool)
-    first[part.start] = True
     low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw)
     packed = np.zeros(n, np.uint32)
-    text = np.maximum.accumulate(np.where(first, at, 0 if not part.lead else -4))
     for k in (1, 2, 3):
-        packed[k:] |= np.where(at[k:] - text[k:] < k, 0, low[: n - k]).astype(np.uint32) << np.uint32(8 * k - 8)
-    opens = first | np.r_[True, _WHITE[raw[:-1]]][:n]  # a word begins at the first byte after white space
-    word = np.maximum(np.maximum.accumulate(np.where(opens, at, 0)), at - WORD_BYTES)
-    up, down = powers(n + 1)
-    total = np.r_[np.uint64(0), np.cumsum(_BYTE[low] * up[:n])]
-    prefix = mixed((total[:-1] - total[word]) * down[word])
-    own = slice(part.lead, None)
-    three = packed[own].astype(np.uint64)
-    keys = (mixed((three & np.uint64(0xFFFF)) + np.uint64(1)), mixed(three + np.uint64(1 << 32)), prefix[own])
-    return [k & ~LOW for k in keys], np.minimum(at - word, GATES - 1)[own]
+        packed[k:] |= low[: n - k].astype(np.uint32) << np.uint32(8 * k - 8)
+    for k in (0, 1, 2):
+        at = part.start + k
+        packed[at[at < n]] &= np.uint32((1 << 8 * k) - 1)
+    return packed[part.lead :]
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def of_bytes(three: np.ndarray) -> np.ndarray:
+    """The keys of contexts of two or three bytes, which can be read from them."""
+    three = three.astype(np.uint64)
+    return mixed(three) & np.uint64(0xFFFFFFFF << 32) | three << np.uint64(8)
 
 
-def _words(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-    for w in word_hashes(texts):
-        yield w & ~LOW
+@dataclass
+class Words:
+    """The different words of a part, each with the byte that ends it, one after the other.
+
+    Of a part of a long text, or of one with a word that goes on in the next part, the bytes as they are."""
+
+    raw: np.ndarray
+    keys: np.ndarray  # of each byte's context: the word so far, or its last bytes
+    times: np.ndarray  # how often each byte stands in the part
+    hashes: np.ndarray  # of the words that aren't empty
+    word_times: np.ndarray
+    place: np.ndarray  # of each byte of the part in raw
+    gate: np.ndarray  # of each byte of the part: how far its word has come
+
+
+def words_of(part: Part) -> Words:
+    raw, low = part.raw, np.where((part.raw >= 65) & (part.raw <= 90), part.raw + 32, part.raw)
+    up, down = powers(max(len(raw) + 1, PART_BYTES))
+    if part.lead or len(part.docs) == 1 and part.raw[-1] != END:
+        at = np.arange(len(raw))
+        opens = np.r_[True, _WHITE[raw[:-1]]]
+        start = np.maximum(np.maximum.accumulate(np.where(opens, at, 0)), at - WORD_BYTES)
+        total = np.r_[np.uint64(0), np.cumsum(_BYTE[low] * up[: len(raw)])]
+        keys, own = mixed((total[:-1] - total[start]) * down[start]) & ~LOW, slice(part.lead, None)
+        n = len(raw) - part.lead
+        none = np.zeros(0, np.uint64)
+        return Words(raw[own], keys[own], np.ones(n, np.int64), none, none.astype(np.int64), np.arange(n), np.minimum(at - start, GATES - 1)[own])
+    end = np.flatnonzero(_WHITE[raw] | (raw == END))
+    start = np.r_[0, end[:-1] + 1]
+    total = np.r_[np.uint64(0), np.cumsum(_BYTE[raw] * up[: len(raw)])]
+    _, one, back, times = np.unique((total[end + 1] - total[start]) * down[start], return_index=True, return_inverse=True, return_counts=True)
+    size = end[one] + 1 - start[one]
+    begin = np.cumsum(size) - size
+    far = np.arange(size.sum()) - np.repeat(begin, size)
+    at = far + np.repeat(start[one], size)
+    low = low[at]
+    total = np.r_[np.uint64(0), np.cumsum(_BYTE[low] * up[: len(low)])]
+    first = np.arange(len(low)) - np.minimum(far, WORD_BYTES)
+    keys = mixed((total[:-1] - total[first]) * down[first]) & ~LOW
+    some = size > 1
+    length = (size - 1)[some].astype(np.uint64)
+    hashes = mixed((total[(begin + size - 1)[some]] - total[begin[some]]) * down[begin[some]] + length) & ~LOW
+    every = end + 1 - start
+    inside = np.arange(len(raw)) - np.repeat(start, every)
+    return Words(raw[at], keys, np.repeat(times, size), hashes, times[some], np.repeat(begin[back], every) + inside, np.minimum(inside, GATES - 1))
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,9 +194,9 @@ class Runs:
         self.n: list[np.ndarray] = []
         self.held = self.merged = 0
 
-    def add(self, keys: np.ndarray) -> bool:
+    def add(self, keys: np.ndarray, n: np.ndarray | None = None) -> bool:
         """Whether they should be handed on."""
-        keys, n = np.unique(keys, return_counts=True)
+        keys, n = np.unique(keys, return_counts=True) if n is None else _summed(keys, n)
         self.keys.append(keys)
         self.n.append(n)
         self.held += len(keys)
@@ -177,16 +220,33 @@ def _arrays(column, kind) -> np.ndarray:
     return np.concatenate(held) if held else np.zeros(0, kind)
 
 
+def _numbers(keys, n) -> np.ndarray:
+    """The counts beside keys, of as many bytes as the largest one of their row needs."""
+    held = [np.frombuffer(y.as_buffer(), f"u{len(y.as_buffer()) * 8 // len(x.as_buffer())}").astype(np.int64) for x, y in zip(keys, n, strict=True) if len(x.as_buffer())]
+    return np.concatenate(held) if held else np.zeros(0, np.int64)
+
+
+def _small(n: np.ndarray) -> np.ndarray:
+    return n.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if n.max(initial=0) <= np.iinfo(k).max))
+
+
 #: Counts: cells are keys | byte, in order; n are their counts.
 PACKED = "range int, kind int, cells binary, n binary"
+_PACKED = pa.schema([("range", pa.int32()), ("kind", pa.int32()), ("cells", pa.binary()), ("n", pa.binary())])
 
 
-def _by_range(kind: int, keys: np.ndarray, n: np.ndarray, bits: int) -> pa.RecordBatch:
+def _by_range(kind: int, keys: np.ndarray, n: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     """A row of PACKED for each range of the hashes, which are in order."""
     place = (keys >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]][: len(place)])
     at = np.r_[first, len(keys)]
-    return pa.record_batch([pa.array(place[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), _binaries(at, keys), _binaries(at, n.astype(np.int64))], names=["range", "kind", "cells", "n"])
+    counts = [np.ascontiguousarray(_small(n[i:j])).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+    yield pa.record_batch([pa.array(place[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), _binaries(at, keys), pa.array(counts, pa.binary())], schema=_PACKED)
+
+
+def _long(text: str | None) -> bool:
+    """Whether `parts` cuts the text, so that its words are hashed apart."""
+    return text is not None and len(text) > CODED_BYTES // 4 and len(text.encode("utf-8", "surrogatepass")) > CODED_BYTES
 
 
 def counted(docs: DataFrame, bits: int = 0) -> DataFrame:
@@ -195,35 +255,47 @@ def counted(docs: DataFrame, bits: int = 0) -> DataFrame:
     Kind 0: words by hash. Kind k: the bytes after each context of kind k that occurs LEAST_SEEN[k] times or more.
     """
 
+    def given(runs: dict[int, Runs], kind: int) -> Iterator[pa.RecordBatch]:
+        codes, n = runs.pop(kind, Runs()).all()
+        if kind == 2 and len(codes):  # three bytes and the one after them; what is after two follows
+            three, byte = codes >> np.uint64(8), codes & LOW
+            for of, own in ((1, three & np.uint64(0xFFFF)), (2, three)):
+                yield from _by_range(of, *_summed(of_bytes(own) | byte, n), bits)
+        elif len(codes):
+            yield from _by_range(kind, codes, n, bits)
+
     def count(batches):
-        runs = {kind: Runs() for kind in (0, *KINDS)}
+        runs: dict[int, Runs] = {}
+
+        def add(kind: int, *what) -> Iterator[pa.RecordBatch]:
+            if runs.setdefault(kind, Runs()).add(*what):
+                yield from given(runs, kind)
+
         for b in sliced(batches, 0):
             texts = b.column(0).to_pylist()
             for part in parts(texts):
-                byte = part.raw[part.lead :]
-                for kind, keys in zip(KINDS, keyed(part)[0], strict=True):
-                    if runs[kind].add(keys | byte):
-                        yield _by_range(kind, *runs[kind].all(), bits)
-                        runs[kind] = Runs()
-            if runs[0].add(np.concatenate([*_words(texts), np.zeros(0, np.uint64)])):
-                yield _by_range(0, *runs[0].all(), bits)
-                runs[0] = Runs()
-        for kind, run in runs.items():
-            if run.keys:
-                yield _by_range(kind, *run.all(), bits)
+                codes, n = np.unique(three_before(part) << np.uint32(8) | part.raw[part.lead :], return_counts=True)
+                yield from add(2, codes.astype(np.uint64), n)
+                words = words_of(part)
+                yield from add(3, words.keys | words.raw, words.times)
+                yield from add(0, words.hashes, words.word_times)
+            for w in word_hashes(t for t in texts if _long(t)):
+                yield from add(0, w & ~LOW)
+        for kind in list(runs):
+            yield from given(runs, kind)
 
     def merge(rows: pa.Table) -> pa.Table:
         kinds, out = np.asarray(rows["kind"]), []
         for kind in np.unique(kinds):
             own = rows.filter(pa.array(kinds == kind))
-            cells, n = _summed(_arrays(own["cells"], np.uint64), _arrays(own["n"], np.int64))
+            cells, n = _summed(_arrays(own["cells"], np.uint64), _numbers(own["cells"], own["n"]))
             if kind in LEAST_SEEN:
                 at, total = _contexts(cells, n)
                 keep = np.repeat(total >= LEAST_SEEN[kind], np.diff(np.r_[at, len(cells)]))
                 cells, n = cells[keep], n[keep]
             if len(cells):
-                out.append(_by_range(int(kind), cells, n, bits))
-        return pa.Table.from_batches(out, rows.schema)
+                out += _by_range(int(kind), cells, n, bits)
+        return pa.Table.from_batches(out, _PACKED)
 
     return docs.select("text").mapInArrow(count, PACKED).groupBy("range").applyInArrow(merge, PACKED)
 
@@ -247,7 +319,7 @@ def _facts(counts: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
     def facts(batches):
         for b in batches:
             for kind, cells, n in zip(b["kind"].to_pylist(), b["cells"], b["n"], strict=True):
-                cells, n = np.frombuffer(cells.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64)
+                cells, n = np.frombuffer(cells.as_buffer(), np.uint64), _numbers([cells], [n])
                 total = _contexts(cells, n)[1]
                 step = _step(total)
                 groups = [(kind, step, 1, total)] + ([(-1, (cells & LOW).astype(np.int32), 0, n)] if kind == 1 else [])
@@ -275,17 +347,17 @@ def _most_frequent(counts: DataFrame, facts: dict, most: dict[int, int]) -> dict
     def frequent(batches):
         for b in batches:
             for kind, cells, n in zip(b["kind"].to_pylist(), b["cells"], b["n"], strict=True):
-                cells, n = np.frombuffer(cells.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64)
+                cells, n = np.frombuffer(cells.as_buffer(), np.uint64), _numbers([cells], [n])
                 at, total = _contexts(cells, n)
                 keep = np.repeat(_step(total) >= least[kind], np.diff(np.r_[at, len(cells)]))
                 if keep.any():
-                    yield _by_range(kind, cells[keep], n[keep], 0)
+                    yield from _by_range(kind, cells[keep], n[keep], 0)
 
     found, out = counts.mapInArrow(frequent, PACKED).toArrow(), {}
     kinds = np.asarray(found["kind"])
     for kind in most:
         own = found.filter(pa.array(kinds == kind))
-        out[kind] = _summed(_arrays(own["cells"], np.uint64), _arrays(own["n"], np.int64))
+        out[kind] = _summed(_arrays(own["cells"], np.uint64), _numbers(own["cells"], own["n"]))
     return out
 
 
@@ -386,17 +458,32 @@ class Mixer:
     def __init__(self, code: Code, tables: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """tables: one of each kind of context, its keys in order and their logits."""
         self.code = code
-        self.tables = [Table(keys) for keys, _ in tables]
         #: Undecided logits, then those of all tables; a part's own ones come after them.
         self.logits = np.concatenate([np.zeros(255, np.int8), *(x for _, x in tables)])
         self.first = np.cumsum([1, *(len(keys) for keys, _ in tables)])
-
-    def asked(self, part: Part, block: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """By kind, the contexts that no table here holds and the blocks of the texts that have them, each once a block."""
-        of = np.repeat(block[part.docs.start : part.docs.stop], part.size)
-        for kind, k, table in zip(KINDS, keyed(part)[0], self.tables, strict=True):
-            miss = np.flatnonzero(table.find(k) < 0)
-            yield kind, *_once(k[miss], of[miss])
+        two, three = (keys >> np.uint64(8) & np.uint64(0xFFFFFF) for keys, _ in tables[:2])
+        # rows of two bytes, and of three by the row of two and the third; 0 for none
+        self.of_two = np.zeros(1 << 16, np.int32)
+        self.of_two[two.astype(np.int64)] = np.arange(len(two)) + 1
+        self.of_three = np.zeros((len(two) + 1) << 8, np.int32)
+        self.of_three[self.of_two[(three & np.uint64(0xFFFF)).astype(np.int64)].astype(np.int64) << 8 | (three >> np.uint64(16)).astype(np.int64)] = np.arange(len(three)) + self.first[1]
+        self.of_three[:256] = 0  # three bytes whose two aren't in the table are looked up like others that it lacks
+        self.words = Table(tables[2][0])
+
+    def rows(self, part: Part, words: Words) -> list[np.ndarray]:
+        """Of each byte, the rows of its contexts; that of the word for each of the words' bytes. 0 for none."""
+        three = three_before(part).astype(np.int64)
+        two = self.of_two[three & 0xFFFF]
+        word = self.words.find(words.keys)
+        return [two, self.of_three[two.astype(np.int64) << 8 | three >> 16], np.where(word < 0, 0, word + np.int32(self.first[2]))]
+
+    def asked(self, part: Part, words: Words) -> Iterator[tuple[int, np.ndarray]]:
+        """By kind, the contexts that no table here holds; they may be repeated."""
+        rows = self.rows(part, words)
+        three = three_before(part)
+        for kind, row, bits in ((1, rows[0], 0xFFFF), (2, rows[1], 0xFFFFFF)):
+            yield kind, of_bytes(np.unique(three[row == 0] & np.uint32(bits)))
+        yield 3, words.keys[rows[2] == 0]
 
     def bits(self, texts: list[str | None], cells: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
         """The code length of each text in bits; cells: by kind, what was counted of contexts that the tables don't hold."""
@@ -404,43 +491,47 @@ class Mixer:
         for part in parts(texts):
             if not part.lead:
                 state = [np.full(len(part.docs) * GATES, w / STEPS, np.float32) for w in START_WEIGHTS], np.zeros(len(part.docs) * BINS, np.float32)
-            out[part.docs.start : part.docs.stop] += self._coded(part, *state, cells or {})
+            words = words_of(part)
+            rows = self._predicted(part, words, cells or {})
+            ends = np.cumsum(part.size)
+            one = 0
+            while one < len(ends):  # texts that are coded together
+                begin = ends[one] - part.size[one]
+                two = max(one + 1, int(np.searchsorted(ends, begin + CODED_BYTES, "right")))
+                s, weights = slice(begin, ends[two - 1]), [w[one * GATES : two * GATES] for w in state[0]]
+                out[part.docs.start + one : part.docs.start + two] += self._coded(part.raw[part.lead :][s], part.size[one:two], words.gate[s], [r[s] for r in rows], bool(part.lead), weights, state[1][one * BINS : two * BINS])
+                one = two
         return out
 
-    def _predicted(self, keys: list[np.ndarray], cells: dict) -> tuple[np.ndarray, list[np.ndarray]]:
-        """All logits, and for each kind of context each byte's row in them: that of the next shorter context where a
-        context isn't known, of undecided logits where none is."""
-        rows, added, held = [np.zeros(len(keys[0]), np.int32)], [], int(self.first[-1])
-        for kind, k in zip(KINDS, keys, strict=True):
-            row = self.tables[kind - 1].find(k)
-            miss = np.flatnonzero(row < 0)
-            row += np.int32(self.first[kind - 1])
-            if len(miss):
-                row[miss] = rows[-1][miss]
-                if kind in cells:
-                    own, n = cells[kind]
-                    need = np.unique(k[miss])
-                    low, high = np.searchsorted(own, need), np.searchsorted(own, need | LOW, "right")
-                    at = np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low) + np.arange((high - low).sum())
-                    others, more = _table(own[at], n[at], self.code)
-                    place = _found(k[miss], others)
-                    row[miss[place >= 0]] = place[place >= 0] + held
-                    added.append(more)
-                    held += len(others)
-            rows.append(row)
+    def _predicted(self, part: Part, words: Words, cells: dict) -> list[np.ndarray]:
+        """For each kind of context, each byte's row in the logits: that of the next shorter context where a context isn't
+        known, of undecided logits where none is. The logits of what the part needs of `cells` come after the tables'."""
+        found, added, held = self.rows(part, words), [], int(self.first[-1])
+        for kind, row in zip(KINDS, found, strict=True):
+            if kind in cells and len(miss := np.flatnonzero(row == 0)):
+                k = words.keys[miss] if kind == 3 else of_bytes(three_before(part)[miss] & np.uint32(0xFFFF if kind == 1 else 0xFFFFFF))
+                own, n = cells[kind]
+                need = np.unique(k)
+                low, high = np.searchsorted(own, need), np.searchsorted(own, need | LOW, "right")
+                at = np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low) + np.arange((high - low).sum())
+                others, more = _table(own[at], n[at], self.code)
+                place = _found(k, others)
+                row[miss] = np.where(place < 0, 0, place + held)
+                added.append(more)
+                held += len(others)
         if len(self.logits) < held * 255:
             self.logits = np.concatenate([self.logits[: self.first[-1] * 255], *added, np.zeros(held * 64, np.int8)])
-        else:
-            own = np.concatenate([np.zeros(0, np.int8), *added])
-            self.logits[self.first[-1] * 255 : self.first[-1] * 255 + len(own)] = own
-        return self.logits, rows[1:]
-
-    def _coded(self, part: Part, weights: list[np.ndarray], shift: np.ndarray, cells: dict) -> np.ndarray:
-        """The code lengths of a part's texts; weights and shift are refined."""
-        raw, size = part.raw[part.lead :], part.size
-        keys, gate = keyed(part)
+        elif added:
+            own = np.concatenate(added)
+            self.logits[self.first[-1] * 255 : held * 255] = own
+        two, three, word = found[0], found[1], found[2][words.place]
+        three = np.where(three == 0, two, three)
+        return [two, three, np.where(word == 0, three, word)]
+
+    def _coded(self, raw: np.ndarray, size: np.ndarray, gate: np.ndarray, rows: list[np.ndarray], later: bool, weights: list[np.ndarray], shift: np.ndarray) -> np.ndarray:
+        """The code lengths of texts of so many bytes; later: all blocks are full ones. weights and shift are refined."""
         # bytes in the order of blocks, then of texts, then of gates: each set of weights has one run in each block
-        edges = [0, LAST_BLOCK if part.lead else FIRST_BLOCK]
+        edges = [0, LAST_BLOCK if later else FIRST_BLOCK]
         while edges[-1] < size.max():
             edges.append(edges[-1] + min(2 * (edges[-1] - edges[-2]), LAST_BLOCK))
         doc = np.repeat(np.arange(len(size)), size)
@@ -450,10 +541,10 @@ class Mixer:
         for key in (doc, block):  # numbers of 16 bits are sorted in a pass
             order = order[np.argsort(key[order].astype(np.uint16 if key.max() < 1 << 16 else np.int64), kind="stable")]
         raw, block, own = raw[order], block[order], (doc * GATES + gate)[order]
-        logits, rows = self._predicted(keys, cells)
-        bases = [row[order] * np.int32(255) for row in rows]
-        nodes, signs = self.code.node.astype(np.int32), (2 * self.code.bit - 1).astype(np.float32)
-        lengths, starts = self.code.length.astype(np.int32)[raw], self.code.start.astype(np.int32)[raw]
+        # numpy looks 64-bit places up far faster than others
+        bases = [row[order].astype(np.int64) * 255 for row in rows]
+        nodes, signs = self.code.node, (2 * self.code.bit - 1).astype(np.float32)
+        lengths, starts = self.code.length[raw], self.code.start[raw]
         run = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (block[1:] != block[:-1])])
         run_end, runs = np.r_[run[1:], len(raw)], own[run]
         out = np.zeros(len(size))
@@ -463,9 +554,9 @@ class Mixer:
                 continue
             s, mine = slice(run[one], run_end[two - 1]), runs[one:two]
             length = lengths[s]
-            ends = np.cumsum(length, dtype=np.int32)
+            ends = np.cumsum(length)
             at = np.repeat(starts[s] - (ends - length), length)
-            at += np.arange(ends[-1], dtype=np.int32)
+            at += np.arange(ends[-1])
             node, sign = nodes[at], signs[at]
             first = np.r_[0, ends][run[one:two] - run[one]]
             n = np.diff(np.r_[first, ends[-1]])
@@ -473,15 +564,15 @@ class Mixer:
             for base in bases:
                 at = np.repeat(base[s], length)
                 at += node
-                x.append(logits[at].astype(np.float32))
+                x.append(self.logits[at].astype(np.float32))
             mix = np.repeat(weights[0][mine], n) * x[0]
             for w, v in zip(weights[1:], x[1:], strict=True):
                 mix += np.repeat(w[mine], n) * v
             place = mix * np.float32(2)
             place += np.float32(BINS / 2)
             np.minimum(np.maximum(place, 0, out=place), np.float32(BINS - 0.5), out=place)
-            bin_ = place.astype(np.int32)
-            bin_ += np.repeat((mine // GATES * BINS).astype(np.int32), n)
+            bin_ = place.astype(np.int64)
+            bin_ += np.repeat(mine // GATES * BINS, n)
             mix += shift[bin_]
             mix *= -sign
             e = np.exp(np.minimum(mix, np.float32(30), out=mix), out=mix)
@@ -491,22 +582,34 @@ class Mixer:
             for w, v in zip(weights, x, strict=True):
                 v *= wrong
                 w[mine] += np.float32(WEIGHT_RATE / STEPS**2) * np.add.reduceat(v, first) / (n + 8).astype(np.float32)
-            shift += (4 * BIN_RATE * np.bincount(bin_, wrong, len(shift)) / (np.bincount(bin_, minlength=len(shift)) + 16)).astype(np.float32)
+            shift += (4 * BIN_RATE * np.bincount(bin_, wrong.astype(float), len(shift)) / (np.bincount(bin_, minlength=len(shift)) + 16)).astype(np.float32)
         return out
 
 
-def _once(keys: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each pair of key and block once."""
-    at = np.unique(keys ^ mixed(block.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
-    return keys[at], block[at]
+#: Texts: the rows of a block of them, as an Arrow stream.
+BLOCKS = "block long, rows binary"
+ASKED = "range int, kind int, keys binary, blocks binary"
+TOLD = "block long, kind int, cells binary, n binary"
+_TOLD = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("cells", pa.binary()), ("n", pa.binary())])
 
 
-ASKED = "range int, kind int, keys binary, blocks binary"
-TOLD = "block int, kind int, cells binary, n binary"
+def _packed(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, text last, in blocks (BLOCKS) of about BLOCK_BYTES, which stay together from here on."""
 
+    def pack(batches):
+        first = TaskContext.get().partitionId() << 32
+        for i, b in enumerate(sliced(batches, text_at, BLOCK_BYTES)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(b)
+            yield pa.record_batch([pa.array([first + i]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
 
-def _asks(texts: DataFrame, model, bits: int) -> DataFrame:
-    """What the tables of `model` don't hold of texts (block, text), by ranges of hashes (ASKED)."""
+    text_at = len(docs.columns) - 1
+    return docs.mapInArrow(pack, BLOCKS)
+
+
+def _asks(blocks: DataFrame, model, bits: int) -> DataFrame:
+    """What the tables of `model` don't hold of blocks of texts, each once a block, by ranges of hashes (ASKED)."""
 
     def ask(batches):
         mixer, known, _ = model.value
@@ -516,31 +619,38 @@ def _asks(texts: DataFrame, model, bits: int) -> DataFrame:
         def given():
             for kind, pairs in waiting.items():
                 if pairs:
-                    keys, block = _once(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
-                    order = np.argsort(keys, kind="stable")
-                    keys, block = keys[order], block[order]
+                    keys = np.concatenate([k for _, k in pairs])
+                    block = np.repeat([b for b, _ in pairs], [len(k) for _, k in pairs])
                     place = (keys >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
+                    order = np.argsort(place, kind="stable")
+                    keys, block, place = keys[order], block[order], place[order]
                     first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]][: len(place)])
                     at = np.r_[first, len(keys)]
-                    yield pa.record_batch([pa.array(place[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), _binaries(at, keys), _binaries(at, block.astype(np.int32))], names=["range", "kind", "keys", "blocks"])
+                    yield pa.record_batch([pa.array(place[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), _binaries(at, keys), _binaries(at, block.astype(np.int64))], names=["range", "kind", "keys", "blocks"])
                     pairs.clear()
 
-        for b in sliced(batches, 1):
-            block, column = np.asarray(b.column(0)), b.column(1).to_pylist()
-            for part in parts(column):
-                for kind, *pair in mixer.asked(part, block):
-                    waiting[kind].append(pair)
-                    held += len(pair[0])
-            for i, w in enumerate(_words(column)):
-                w = np.unique(w[_found(w, known) < 0])
-                waiting[0].append((w, np.full(len(w), block[i])))
-                held += len(w)
-            if held > HELD:
-                yield from given()
-                held = 0
+        for b in batches:
+            for block, rows in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                texts = pa.ipc.open_stream(rows.as_buffer()).read_all().columns[-1].to_pylist()
+                asked: dict[int, list] = {kind: [] for kind in waiting}
+                for part in parts(texts):
+                    words = words_of(part)
+                    for kind, keys in mixer.asked(part, words):
+                        asked[kind].append(keys)
+                    asked[0].append(words.hashes)
+                asked[0] += [w & ~LOW for w in word_hashes(t for t in texts if _long(t))]
+                for kind, keys in asked.items():
+                    own = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]))
+                    own = own if kind else own[_found(own, known) < 0]
+                    if len(own):
+                        waiting[kind].append((block, own))
+                        held += len(own)
+                if held > HELD:
+                    yield from given()
+                    held = 0
         yield from given()
 
-    return texts.mapInArrow(ask, ASKED)
+    return blocks.mapInArrow(ask, ASKED)
 
 
 def _answers(counts: DataFrame, asks: DataFrame) -> DataFrame:
@@ -550,17 +660,19 @@ def _answers(counts: DataFrame, asks: DataFrame) -> DataFrame:
         kinds, asked, out = counts["kind"].to_pylist(), np.asarray(asks["kind"]), []
         for kind, cells, n in zip(kinds, counts["cells"], counts["n"], strict=True):
             own = asks.filter(pa.array(asked == kind))
-            cells, n = np.frombuffer(cells.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64)
-            keys, block = _arrays(own["keys"], np.uint64), _arrays(own["blocks"], np.int32)
+            cells, n = np.frombuffer(cells.as_buffer(), np.uint64), _numbers([cells], [n])
+            keys, block = _arrays(own["keys"], np.uint64), _arrays(own["blocks"], np.int64)
             low = np.searchsorted(cells, keys)
             many = np.searchsorted(cells, keys | LOW, "right") - low
-            order = np.repeat(block, many).argsort(kind="stable")
-            at = (np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum()))[order]
-            block = np.repeat(block, many)[order]
+            at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            block = np.repeat(block, many)
+            order = block.argsort(kind="stable")
+            at, block = at[order], block[order]
             first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(block)])
             cut = np.r_[first, len(block)]
-            out.append(pa.record_batch([pa.array(block[first]), pa.array(np.full(len(first), kind, np.int32)), _binaries(cut, cells[at]), _binaries(cut, n[at])], names=["block", "kind", "cells", "n"]))
-        return pa.Table.from_batches(out, pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("cells", pa.binary()), ("n", pa.binary())]))
+            numbers = [np.ascontiguousarray(_small(n[at[i:j]])).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            out.append(pa.record_batch([pa.array(block[first]), pa.array(np.full(len(first), kind, np.int32)), _binaries(cut, cells[at]), pa.array(numbers, pa.binary())], schema=_TOLD))
+        return pa.Table.from_batches(out, _TOLD)
 
     return counts.groupBy("range").cogroup(asks.groupBy("range")).applyInArrow(answer, TOLD)
 
@@ -574,8 +686,7 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
     are, repeated ones too; columns of those names are replaced, text is left out.
     """
     spark = docs.sparkSession
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    ends, train_bytes = training.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    ends, train_bytes = training.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     bits = ceil(log2(max(1.0, train_bytes / RANGE_BYTES)))
     counts = written(counted(training, bits), "lm-counts")
     facts = _facts(counts)
@@ -597,29 +708,29 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
         kinds, cells = np.asarray(told["kind"]), {}
         for kind in np.unique(kinds):
             own = told.filter(pa.array(kinds == kind))
-            keys, at = np.unique(_arrays(own["cells"], np.uint64), return_index=True)  # several tasks may have asked for one
-            cells[int(kind)] = keys, _arrays(own["n"], np.int64)[at]
+            cells[int(kind)] = _summed(_arrays(own["cells"], np.uint64), _numbers(own["cells"], own["n"]))
         others, times = cells.pop(0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
         other_logs = np.log10(times + 1.0)
-        column = texts["text"].to_pylist()
-        tokens, found, base = [], [], []
-        for w in _words(column):
-            at, more = _found(w, known), _found(w, others)
-            tokens.append(len(w) + 1)
-            found.append(int((at >= 0).sum() + (more >= 0).sum()) + int(ends > 0))
-            base.append(float(logs[at[at >= 0]].sum() + other_logs[more[more >= 0]].sum() + end_log - (len(w) + 1) * below))
-        coded = mixer.bits(column, cells)
-        lengths = np.array([len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in column], float)
-        new = [pa.array(tokens, pa.int64()), pa.array(found, pa.int64()), pa.array([n_train] * len(column), pa.int64()), pa.array(base, pa.float64()), pa.array(coded), pa.array(coded / lengths)]
-        return pa.table([*(texts[c] for c in kept), *new], names=schema.names)
-
-    # blocks by the hash of a row, so that copies of a text don't meet in one of them
-    total = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    block = fresh(docs, "_block")
-    own = [F.col(f.name) for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
-    placed = docs.withColumn(block, F.pmod(F.xxhash64(*own), F.lit(max(1, ceil(total / BLOCK_BYTES)))).cast("int"))
-    told = _answers(counts, _asks(placed.select(block, "text"), model, bits))
-    return placed.select(*kept, "text", block).groupBy(block).cogroup(told.groupBy("block")).applyInArrow(score, schema)
+        out = []
+        for rows in texts["rows"]:
+            rows = pa.ipc.open_stream(rows.as_buffer()).read_all()
+            column = rows.columns[-1].to_pylist()
+            tokens, found, base = [], [], []
+            for w in word_hashes(column):
+                w = w & ~LOW
+                at, more = _found(w, known), _found(w, others)
+                tokens.append(len(w) + 1)
+                found.append(int((at >= 0).sum() + (more >= 0).sum()) + int(ends > 0))
+                base.append(float(logs[at[at >= 0]].sum() + other_logs[more[more >= 0]].sum() + end_log - (len(w) + 1) * below))
+            coded = mixer.bits(column, cells)
+            lengths = np.array([len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in column], float)
+            new = [pa.array(tokens, pa.int64()), pa.array(found, pa.int64()), pa.array([n_train] * len(column), pa.int64()), pa.array(base, pa.float64()), pa.array(coded), pa.array(coded / lengths)]
+            out.append(pa.table([*rows.columns[:-1], *new], names=schema.names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], f.type) for f in to_arrow_schema(schema)], names=schema.names)
+
+    blocks = written(_packed(docs.select(*kept, "text")), "lm-texts")
+    told = _answers(counts, _asks(blocks, model, bits))
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
 
 
 def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

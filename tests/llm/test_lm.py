@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import lm
-from tessera.llm.lm import BINS, FIRST_BLOCK, GATES, KINDS, LAST_BLOCK, PART_BYTES, START_WEIGHTS, STEPS, Mixer, huffman, scored
+from tessera.llm.lm import BINS, CODED_BYTES, FIRST_BLOCK, GATES, KINDS, LAST_BLOCK, START_WEIGHTS, STEPS, Mixer, huffman, scored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -121,8 +121,10 @@ def trained(texts):
     """A mixer whose tables hold all contexts of texts."""
     runs = {kind: lm.Runs() for kind in KINDS}
     for part in lm.parts(texts):
-        for kind, k in zip(KINDS, lm.keyed(part)[0], strict=True):
-            runs[kind].add(k | part.raw[part.lead :])
+        words, three, byte = lm.words_of(part), lm.three_before(part), part.raw[part.lead :]
+        runs[1].add(lm.of_bytes(three & np.uint32(0xFFFF)) | byte)
+        runs[2].add(lm.of_bytes(three) | byte)
+        runs[3].add(words.keys | words.raw, words.times)
     code = code_of(texts)
     return Mixer(code, [lm._table(*runs[kind].all(), code) for kind in KINDS])
 
@@ -130,10 +132,10 @@ def trained(texts):
 def test_a_text_alone_and_in_a_batch_cost_the_same(monkeypatch):
     texts = ["one two three four five " * 50, "", "x" * 9000, "wörter und so weiter " * 7, "Long ones go on and on\n" * 40_000]
     mixer = trained(texts[:4])
-    assert len(texts[4]) > 3 * PART_BYTES
+    assert len(texts[4]) > 3 * CODED_BYTES
     together = mixer.bits(texts)
     assert np.allclose(together, [mixer.bits([t])[0] for t in texts], rtol=1e-4)
-    monkeypatch.setattr(lm, "PART_BYTES", 1 << 22)
+    monkeypatch.setattr(lm, "CODED_BYTES", 1 << 22)
     assert np.allclose(together, mixer.bits(texts), rtol=1e-4)
 
 
@@ -164,7 +166,7 @@ def test_contexts_grow_with_the_corpus_and_are_told_apart(spark):
     for r in lm.counted(table(spark, texts), 3).where("kind > 0").collect():
         keys = np.frombuffer(r["cells"], np.uint64)
         assert ((keys >> np.uint64(61)) == r["range"]).all()
-        for k, n in zip(keys.tolist(), np.frombuffer(r["n"], np.int64).tolist(), strict=True):
+        for k, n in zip(keys.tolist(), np.frombuffer(r["n"], f"u{len(r['n']) // len(keys)}").tolist(), strict=True):
             cells[r["kind"], k] += n
     want = [n for of in slow_counts(texts) for c in of.values() for n in c.values()]
     assert sorted(cells.values()) == sorted(want) and len(want) > 50_000
