@@ -25,6 +25,7 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ WEIGHT_RATE, BIN_RATE = 0.6, 0.5
 #: Distinct cells of a kind that a counting task holds, and keys that an asking one does, before they are handed on.
 HELD = 1 << 20
 #: Bytes of training texts for each range of hashes, and of texts that are packed and scored together.
-RANGE_BYTES, BLOCK_BYTES = 4 << 20, 2 << 20
+RANGE_BYTES, BLOCK_BYTES = 16 << 20, 4 << 20
 
 
 @dataclass
@@ -209,39 +210,76 @@ class Runs:
         return _summed(np.concatenate(self.keys), np.concatenate(self.n)) if self.keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _binaries(at: np.ndarray, values: np.ndarray) -> pa.Array:
-    """Binary values that hold values[at[i] : at[i + 1]]."""
-    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+def _planes(values: np.ndarray) -> list[bytes]:
+    """The differences of 64-bit values, their first bytes first: of values in order, most of those are zero."""
+    return [np.diff(values.astype(np.uint64), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()]
 
 
-def _arrays(column, kind) -> np.ndarray:
-    """All values of a column of binaries, one after the other."""
-    held = [np.frombuffer(x.as_buffer(), kind) for x in column if x.is_valid and len(x.as_buffer())]
-    return np.concatenate(held) if held else np.zeros(0, kind)
+def _sums_of(raw: bytes, at: int, n: int) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64)[:, 0], dtype=np.uint64)
 
 
-def _numbers(keys, n) -> np.ndarray:
-    """The counts beside keys, of as many bytes as the largest one of their row needs."""
-    held = [np.frombuffer(y.as_buffer(), f"u{len(y.as_buffer()) * 8 // len(x.as_buffer())}").astype(np.int64) for x, y in zip(keys, n, strict=True) if len(x.as_buffer())]
-    return np.concatenate(held) if held else np.zeros(0, np.int64)
+def pack(cells: np.ndarray, n: np.ndarray) -> bytes:
+    """Cells in order and their counts, in a fraction of their bytes: contexts, how many cells each has, and these."""
+    context = cells >> np.uint64(8)
+    at = np.flatnonzero(np.r_[True, context[1:] != context[:-1]][: len(cells)])
+    small = n.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if n.max(initial=0) <= np.iinfo(k).max))
+    head = np.array([len(at), len(cells), small.itemsize], np.int64)
+    own = np.diff(np.r_[at, len(cells)]).astype(np.uint16)
+    return zstandard.ZstdCompressor(1).compress(b"".join([head.tobytes(), *_planes(context[at]), own.tobytes(), (cells & LOW).astype(np.uint8).tobytes(), small.tobytes()]))
 
 
-def _small(n: np.ndarray) -> np.ndarray:
-    return n.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if n.max(initial=0) <= np.iinfo(k).max))
+def unpacked(rows: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of all of `rows`, one after the other, and their counts."""
+    cells, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for row in rows:
+        raw = zstandard.ZstdDecompressor().decompress(row)
+        k, m, size = np.frombuffer(raw, np.int64, 3).tolist()
+        at = 24 + 8 * k
+        own = np.frombuffer(raw, np.uint16, k, at)
+        cells.append(np.repeat(_sums_of(raw, 24, k) << np.uint64(8), own) | np.frombuffer(raw, np.uint8, m, at + 2 * k))
+        counts.append(np.frombuffer(raw, f"u{size}", m, at + 2 * k + m).astype(np.int64))
+    return np.concatenate(cells), np.concatenate(counts)
 
 
-#: Counts: cells are keys | byte, in order; n are their counts.
-PACKED = "range int, kind int, cells binary, n binary"
-_PACKED = pa.schema([("range", pa.int32()), ("kind", pa.int32()), ("cells", pa.binary()), ("n", pa.binary())])
+def pack_pairs(keys: np.ndarray, blocks: np.ndarray) -> bytes:
+    """Keys in order within each of their blocks."""
+    return zstandard.ZstdCompressor(1).compress(b"".join([np.array([len(keys)], np.int64).tobytes(), *_planes(keys), *_planes(blocks)]))
 
 
-def _by_range(kind: int, keys: np.ndarray, n: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """A row of PACKED for each range of the hashes, which are in order."""
-    place = (keys >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]][: len(place)])
-    at = np.r_[first, len(keys)]
-    counts = [np.ascontiguousarray(_small(n[i:j])).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
-    yield pa.record_batch([pa.array(place[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), _binaries(at, keys), pa.array(counts, pa.binary())], schema=_PACKED)
+def unpacked_pairs(rows: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    keys, blocks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for row in rows:
+        raw = zstandard.ZstdDecompressor().decompress(row)
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        keys.append(_sums_of(raw, 8, n))
+        blocks.append(_sums_of(raw, 8 + 8 * n, n).astype(np.int64))
+    return np.concatenate(keys), np.concatenate(blocks)
+
+
+def _cut(sorted_values: np.ndarray) -> np.ndarray:
+    """Where equal values begin, and the end."""
+    return np.r_[np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]][: len(sorted_values)]), len(sorted_values)]
+
+
+def _range_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int32)
+
+
+#: Counts: cells are keys | byte, packed with their numbers.
+PACKED = "range int, kind int, cells binary"
+_PACKED = pa.schema([("range", pa.int32()), ("kind", pa.int32()), ("cells", pa.binary())])
+
+
+def _rows(schema: pa.Schema, first: np.ndarray, kind: int, packed: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(first, schema.types[0]), pa.array(np.full(len(first), kind, np.int32)), pa.array(packed, pa.binary())], schema=schema)
+
+
+def _by_range(kind: int, cells: np.ndarray, n: np.ndarray, bits: int) -> pa.RecordBatch:
+    """A row of PACKED for each range of the cells, which are in order."""
+    place = _range_of(cells, bits)
+    at = _cut(place)
+    return _rows(_PACKED, place[at[:-1]], kind, [pack(cells[i:j], n[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)])
 
 
 def _long(text: str | None) -> bool:
@@ -260,9 +298,9 @@ def counted(docs: DataFrame, bits: int = 0) -> DataFrame:
         if kind == 2 and len(codes):  # three bytes and the one after them; what is after two follows
             three, byte = codes >> np.uint64(8), codes & LOW
             for of, own in ((1, three & np.uint64(0xFFFF)), (2, three)):
-                yield from _by_range(of, *_summed(of_bytes(own) | byte, n), bits)
+                yield _by_range(of, *_summed(of_bytes(own) | byte, n), bits)
         elif len(codes):
-            yield from _by_range(kind, codes, n, bits)
+            yield _by_range(kind, codes, n, bits)
 
     def count(batches):
         runs: dict[int, Runs] = {}
@@ -287,14 +325,13 @@ def counted(docs: DataFrame, bits: int = 0) -> DataFrame:
     def merge(rows: pa.Table) -> pa.Table:
         kinds, out = np.asarray(rows["kind"]), []
         for kind in np.unique(kinds):
-            own = rows.filter(pa.array(kinds == kind))
-            cells, n = _summed(_arrays(own["cells"], np.uint64), _numbers(own["cells"], own["n"]))
+            cells, n = _summed(*unpacked(rows["cells"].filter(pa.array(kinds == kind)).to_pylist()))
             if kind in LEAST_SEEN:
                 at, total = _contexts(cells, n)
                 keep = np.repeat(total >= LEAST_SEEN[kind], np.diff(np.r_[at, len(cells)]))
                 cells, n = cells[keep], n[keep]
             if len(cells):
-                out += _by_range(int(kind), cells, n, bits)
+                out.append(_by_range(int(kind), cells, n, bits))
         return pa.Table.from_batches(out, _PACKED)
 
     return docs.select("text").mapInArrow(count, PACKED).groupBy("range").applyInArrow(merge, PACKED)
@@ -318,8 +355,8 @@ def _facts(counts: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
 
     def facts(batches):
         for b in batches:
-            for kind, cells, n in zip(b["kind"].to_pylist(), b["cells"], b["n"], strict=True):
-                cells, n = np.frombuffer(cells.as_buffer(), np.uint64), _numbers([cells], [n])
+            for kind, row in zip(b["kind"].to_pylist(), b["cells"].to_pylist(), strict=True):
+                cells, n = unpacked([row])
                 total = _contexts(cells, n)[1]
                 step = _step(total)
                 groups = [(kind, step, 1, total)] + ([(-1, (cells & LOW).astype(np.int32), 0, n)] if kind == 1 else [])
@@ -346,18 +383,17 @@ def _most_frequent(counts: DataFrame, facts: dict, most: dict[int, int]) -> dict
 
     def frequent(batches):
         for b in batches:
-            for kind, cells, n in zip(b["kind"].to_pylist(), b["cells"], b["n"], strict=True):
-                cells, n = np.frombuffer(cells.as_buffer(), np.uint64), _numbers([cells], [n])
+            for kind, row in zip(b["kind"].to_pylist(), b["cells"].to_pylist(), strict=True):
+                cells, n = unpacked([row])
                 at, total = _contexts(cells, n)
                 keep = np.repeat(_step(total) >= least[kind], np.diff(np.r_[at, len(cells)]))
                 if keep.any():
-                    yield from _by_range(kind, cells[keep], n[keep], 0)
+                    yield _by_range(kind, cells[keep], n[keep], 0)
 
     found, out = counts.mapInArrow(frequent, PACKED).toArrow(), {}
     kinds = np.asarray(found["kind"])
     for kind in most:
-        own = found.filter(pa.array(kinds == kind))
-        out[kind] = _summed(_arrays(own["cells"], np.uint64), _numbers(own["cells"], own["n"]))
+        out[kind] = _summed(*unpacked(found["cells"].filter(pa.array(kinds == kind)).to_pylist()))
     return out
 
 
@@ -588,9 +624,10 @@ class Mixer:
 
 #: Texts: the rows of a block of them, as an Arrow stream.
 BLOCKS = "block long, rows binary"
-ASKED = "range int, kind int, keys binary, blocks binary"
-TOLD = "block long, kind int, cells binary, n binary"
-_TOLD = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("cells", pa.binary()), ("n", pa.binary())])
+ASKED = "range int, kind int, keys binary"
+_ASKED = pa.schema([("range", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary())])
+TOLD = "block long, kind int, cells binary"
+_TOLD = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("cells", pa.binary())])
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -621,12 +658,11 @@ def _asks(blocks: DataFrame, model, bits: int) -> DataFrame:
                 if pairs:
                     keys = np.concatenate([k for _, k in pairs])
                     block = np.repeat([b for b, _ in pairs], [len(k) for _, k in pairs])
-                    place = (keys >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
-                    order = np.argsort(place, kind="stable")
-                    keys, block, place = keys[order], block[order], place[order]
-                    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]][: len(place)])
-                    at = np.r_[first, len(keys)]
-                    yield pa.record_batch([pa.array(place[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), _binaries(at, keys), _binaries(at, block.astype(np.int64))], names=["range", "kind", "keys", "blocks"])
+                    order = np.argsort(_range_of(keys, bits), kind="stable")
+                    keys, block = keys[order], block[order]
+                    place = _range_of(keys, bits)
+                    at = _cut(place)
+                    yield _rows(_ASKED, place[at[:-1]], kind, [pack_pairs(keys[i:j], block[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)])
                     pairs.clear()
 
         for b in batches:
@@ -657,21 +693,18 @@ def _answers(counts: DataFrame, asks: DataFrame) -> DataFrame:
     """What the counts hold of what is asked, by block (TOLD)."""
 
     def answer(counts: pa.Table, asks: pa.Table) -> pa.Table:
-        kinds, asked, out = counts["kind"].to_pylist(), np.asarray(asks["kind"]), []
-        for kind, cells, n in zip(kinds, counts["cells"], counts["n"], strict=True):
-            own = asks.filter(pa.array(asked == kind))
-            cells, n = np.frombuffer(cells.as_buffer(), np.uint64), _numbers([cells], [n])
-            keys, block = _arrays(own["keys"], np.uint64), _arrays(own["blocks"], np.int64)
+        asked, out = np.asarray(asks["kind"]), []
+        for kind, row in zip(counts["kind"].to_pylist(), counts["cells"].to_pylist(), strict=True):
+            cells, n = unpacked([row])
+            keys, block = unpacked_pairs(asks["keys"].filter(pa.array(asked == kind)).to_pylist())
             low = np.searchsorted(cells, keys)
             many = np.searchsorted(cells, keys | LOW, "right") - low
             at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
             block = np.repeat(block, many)
             order = block.argsort(kind="stable")
             at, block = at[order], block[order]
-            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(block)])
-            cut = np.r_[first, len(block)]
-            numbers = [np.ascontiguousarray(_small(n[at[i:j]])).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            out.append(pa.record_batch([pa.array(block[first]), pa.array(np.full(len(first), kind, np.int32)), _binaries(cut, cells[at]), pa.array(numbers, pa.binary())], schema=_TOLD))
+            cut = _cut(block)
+            out.append(_rows(_TOLD, block[cut[:-1]], kind, [pack(cells[at[i:j]], n[at[i:j]]) for i, j in zip(cut[:-1], cut[1:], strict=True)]))
         return pa.Table.from_batches(out, _TOLD)
 
     return counts.groupBy("range").cogroup(asks.groupBy("range")).applyInArrow(answer, TOLD)
@@ -707,8 +740,7 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
         mixer, known, logs = model.value
         kinds, cells = np.asarray(told["kind"]), {}
         for kind in np.unique(kinds):
-            own = told.filter(pa.array(kinds == kind))
-            cells[int(kind)] = _summed(_arrays(own["cells"], np.uint64), _numbers(own["cells"], own["n"]))
+            cells[int(kind)] = _summed(*unpacked(told["cells"].filter(pa.array(kinds == kind)).to_pylist()))
         others, times = cells.pop(0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
         other_logs = np.log10(times + 1.0)
         out = []

@@ -164,9 +164,9 @@ def test_contexts_grow_with_the_corpus_and_are_told_apart(spark):
     texts = [*own, *own]  # each context twice at least
     cells = Counter()
     for r in lm.counted(table(spark, texts), 3).where("kind > 0").collect():
-        keys = np.frombuffer(r["cells"], np.uint64)
+        keys, times = lm.unpacked([r["cells"]])
         assert ((keys >> np.uint64(61)) == r["range"]).all()
-        for k, n in zip(keys.tolist(), np.frombuffer(r["n"], f"u{len(r['n']) // len(keys)}").tolist(), strict=True):
+        for k, n in zip(keys.tolist(), times.tolist(), strict=True):
             cells[r["kind"], k] += n
     want = [n for of in slow_counts(texts) for c in of.values() for n in c.values()]
     assert sorted(cells.values()) == sorted(want) and len(want) > 50_000
