@@ -1,7 +1,7 @@
 """Language-model scoring by online logistic context mixing, in total bits per text and per byte.
 
-A byte is coded as the bits of its Huffman code, so that about four and a half bits of a byte of prose have to be
-predicted. Each bit has several predictors, one per hashed context: the two and three bytes before it and the word so
+A byte is coded as the bits of its Huffman code, of which there is one for each byte before it, so that about three and a
+half bits of a byte of prose have to be predicted. Each bit has several predictors, one per hashed context: the two and three bytes before it and the word so
 far. What they predict comes from counts of (context, byte) over all training documents; where a context wasn't seen,
 the shorter one before it predicts in its place. A text's own mixer weighs their logits, with a set of weights chosen by
 a gate (how far the word has come), and a last stage corrects the mixed logit by how far off such logits have been.
@@ -9,7 +9,7 @@ Weights and corrections start from fixed values in every text and are refined af
 4,096: nothing of a block is used before the block is coded, so the bits add up to a code length. Texts of a batch are
 coded together, block by block; a long one goes through in parts, so that memory doesn't depend on its length.
 
-All counts grow with the corpus: those of contexts, which are told apart by 56 bits of a 64-bit hash, and those of words,
+All counts grow with the corpus: those of contexts, which are told apart by 56 bits of hash and last byte, and those of words,
 by which the unigram base score is computed. They are counted in sorted runs of bounded size, which are packed into
 binary columns, shuffled by ranges of hashes and merged there. A bounded number of the most frequent contexts and words
 goes to every task; the others are asked for by the texts that have them, range by range, and come back to blocks of
@@ -47,8 +47,10 @@ TOP_CONTEXTS = 131_072
 TOP_WORDS = 200_000
 #: Bits of the table in which a frequent context is looked up first.
 SLOT_BITS = 18
-#: The low bits of a key: 0, or in a cell the byte after the context.
+#: The low bits of a key: 0, or in a cell the byte after the context. The next ones are the context's last byte.
 LOW = np.uint64(0xFF)
+#: By the byte before it, the code of a byte: white space and the start of a text share one.
+CODE_OF = np.where(np.r_[True, _WHITE[1:]], 0, np.arange(256))
 END = 0xFF  # never a byte of UTF-8; ends each text
 #: Logits in tables are in steps of 1 / STEPS.
 STEPS = 14
@@ -56,7 +58,7 @@ STEPS = 14
 #: growing size and then full ones. Bytes of texts whose contexts are looked up together.
 FIRST_BLOCK, LAST_BLOCK = 64, 4096
 GROWING = 2 * LAST_BLOCK - FIRST_BLOCK
-CODED_BYTES, PART_BYTES = 1 << 18, 1 << 20
+LONG_BYTES, CODED_BYTES, PART_BYTES = 1 << 18, 1 << 17, 1 << 20
 GATES, BINS = 4, 17
 START_WEIGHTS = (0.15, 0.35, 0.55)
 WEIGHT_RATE, BIN_RATE = 0.6, 0.5
@@ -88,16 +90,16 @@ def parts(texts: Iterable[str | None]) -> Iterator[Part]:
 
     for i, t in enumerate(texts):
         raw = (t or "").encode("utf-8", "surrogatepass")
-        if batch and size + len(raw) > PART_BYTES or len(raw) > CODED_BYTES:
+        if batch and size + len(raw) > PART_BYTES or len(raw) > LONG_BYTES:
             if batch:
                 yield joined()
             first, batch, size = i, [], 0
-        if len(raw) <= CODED_BYTES:
+        if len(raw) <= LONG_BYTES:
             batch.append(raw)
             size += len(raw) + 1
             continue
         whole = np.frombuffer(raw + end, np.uint8)
-        step = CODED_BYTES // LAST_BLOCK * LAST_BLOCK
+        step = LONG_BYTES // LAST_BLOCK * LAST_BLOCK
         cuts = [0, *range(GROWING + step, len(whole), step), len(whole)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             lead = min(a, WORD_BYTES + 4)
@@ -139,20 +141,26 @@ class Words:
     word_times: np.ndarray
     place: np.ndarray  # of each byte of the part in raw
     gate: np.ndarray  # of each byte of the part: how far its word has come
+    starts: np.ndarray  # where the part's words begin, empty ones too
+    which: np.ndarray  # the place of each in hashes, -1 if it is empty
 
 
 def words_of(part: Part) -> Words:
     raw, low = part.raw, np.where((part.raw >= 65) & (part.raw <= 90), part.raw + 32, part.raw)
     up, down = powers(max(len(raw) + 1, PART_BYTES))
+
+    def contexts(low: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The keys of what stands from `first` up to each byte."""
+        total = np.r_[np.uint64(0), np.cumsum(_BYTE[low] * up[: len(low)])]
+        last = np.where(first == np.arange(len(low)), 0, np.r_[np.uint8(0), low[:-1]]).astype(np.uint64)
+        return mixed((total[:-1] - total[first]) * down[first]) & ~np.uint64(0xFFFF) | last << np.uint64(8)
+
+    none = np.zeros(0, np.int64)
     if part.lead or len(part.docs) == 1 and part.raw[-1] != END:
         at = np.arange(len(raw))
-        opens = np.r_[True, _WHITE[raw[:-1]]]
-        start = np.maximum(np.maximum.accumulate(np.where(opens, at, 0)), at - WORD_BYTES)
-        total = np.r_[np.uint64(0), np.cumsum(_BYTE[low] * up[: len(raw)])]
-        keys, own = mixed((total[:-1] - total[start]) * down[start]) & ~LOW, slice(part.lead, None)
-        n = len(raw) - part.lead
-        none = np.zeros(0, np.uint64)
-        return Words(raw[own], keys[own], np.ones(n, np.int64), none, none.astype(np.int64), np.arange(n), np.minimum(at - start, GATES - 1)[own])
+        start = np.maximum(np.maximum.accumulate(np.where(np.r_[True, _WHITE[raw[:-1]]], at, 0)), at - WORD_BYTES)
+        own, n = slice(part.lead, None), len(raw) - part.lead
+        return Words(raw[own], contexts(low, start)[own], np.ones(n, np.int64), none.astype(np.uint64), none, np.arange(n), np.minimum(at - start, GATES - 1)[own], none, none)
     end = np.flatnonzero(_WHITE[raw] | (raw == END))
     start = np.r_[0, end[:-1] + 1]
     total = np.r_[np.uint64(0), np.cumsum(_BYTE[raw] * up[: len(raw)])]
@@ -162,15 +170,15 @@ def words_of(part: Part) -> Words:
     far = np.arange(size.sum()) - np.repeat(begin, size)
     at = far + np.repeat(start[one], size)
     low = low[at]
-    total = np.r_[np.uint64(0), np.cumsum(_BYTE[low] * up[: len(low)])]
-    first = np.arange(len(low)) - np.minimum(far, WORD_BYTES)
-    keys = mixed((total[:-1] - total[first]) * down[first]) & ~LOW
+    keys = contexts(low, np.arange(len(low)) - np.minimum(far, WORD_BYTES))
     some = size > 1
+    total = np.r_[np.uint64(0), np.cumsum(_BYTE[low] * up[: len(low)])]
     length = (size - 1)[some].astype(np.uint64)
     hashes = mixed((total[(begin + size - 1)[some]] - total[begin[some]]) * down[begin[some]] + length) & ~LOW
     every = end + 1 - start
     inside = np.arange(len(raw)) - np.repeat(start, every)
-    return Words(raw[at], keys, np.repeat(times, size), hashes, times[some], np.repeat(begin[back], every) + inside, np.minimum(inside, GATES - 1))
+    which = np.where(some, np.cumsum(some) - 1, -1)[back]
+    return Words(raw[at], keys, np.repeat(times, size), hashes, times[some], np.repeat(begin[back], every) + inside, np.minimum(inside, GATES - 1), start, which)
 
 
 def _slots(keys: np.ndarray) -> np.ndarray:
@@ -284,7 +292,7 @@ def _by_range(kind: int, cells: np.ndarray, n: np.ndarray, bits: int) -> pa.Reco
 
 def _long(text: str | None) -> bool:
     """Whether `parts` cuts the text, so that its words are hashed apart."""
-    return text is not None and len(text) > CODED_BYTES // 4 and len(text.encode("utf-8", "surrogatepass")) > CODED_BYTES
+    return text is not None and len(text) > LONG_BYTES // 4 and len(text.encode("utf-8", "surrogatepass")) > LONG_BYTES
 
 
 def counted(docs: DataFrame, bits: int = 0) -> DataFrame:
@@ -350,8 +358,13 @@ def _step(n: np.ndarray) -> np.ndarray:
     return np.floor(16 * np.log2(n)).astype(np.int32)
 
 
+def _code_of(keys: np.ndarray) -> np.ndarray:
+    return CODE_OF[(keys >> np.uint64(8) & LOW).astype(np.int64)]
+
+
 def _facts(counts: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
-    """(kind, step): distinct words or contexts of as many occurrences, and those; (-1, byte): 0 and its occurrences."""
+    """(kind, step): distinct words or contexts of as many occurrences, and those; (-1, code << 8 | byte): 0 and the byte's
+    occurrences in that code."""
 
     def facts(batches):
         for b in batches:
@@ -359,7 +372,7 @@ def _facts(counts: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
                 cells, n = unpacked([row])
                 total = _contexts(cells, n)[1]
                 step = _step(total)
-                groups = [(kind, step, 1, total)] + ([(-1, (cells & LOW).astype(np.int32), 0, n)] if kind == 1 else [])
+                groups = [(kind, step, 1, total)] + ([(-1, _code_of(cells) << 8 | (cells & LOW).astype(np.int64), 0, n)] if kind == 1 else [])
                 for of, place, one, times in groups:
                     sums, places = np.bincount(place, times), np.bincount(place)
                     some = np.flatnonzero(places)
@@ -399,7 +412,7 @@ def _most_frequent(counts: DataFrame, facts: dict, most: dict[int, int]) -> dict
 
 @dataclass
 class Code:
-    """A Huffman code of the bytes: for byte b the nodes and bits at start[b] : start[b] + length[b]."""
+    """Huffman codes: the nodes and bits of byte b in code c stand at start[i] : start[i] + length[i], i = c << 8 | b."""
 
     start: np.ndarray
     length: np.ndarray
@@ -408,6 +421,29 @@ class Code:
 
 
 def huffman(counts: np.ndarray) -> Code:
+    """counts: a row of 256 for each code; what hasn't been counted shares the code of all bytes."""
+    every = _lengths(counts.sum(0))
+    start, length, node, bit, at = [], [], [], [], 0
+    shared = None
+    for row in counts:
+        if row.any() or shared is None:
+            own = _lengths(row) if row.any() else every
+            size = np.array([len(path) for path in own])
+            begin = at + np.cumsum(size) - size
+            node += [x for path in own for x, _ in path]
+            bit += [y for path in own for _, y in path]
+            at += int(size.sum())
+            if not row.any():
+                shared = begin, size
+        else:
+            begin, size = shared
+        start.append(begin)
+        length.append(size)
+    return Code(np.concatenate(start), np.concatenate(length), np.array(node, np.int64), np.array(bit, np.int8))
+
+
+def _lengths(counts: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Of each byte, the nodes (0 to 254) and bits from the root of the code."""
     heap = [(int(n) + 1, b, b) for b, n in enumerate(counts)]
     heapq.heapify(heap)
     above: dict[int, tuple[int, int]] = {}
@@ -417,50 +453,38 @@ def huffman(counts: np.ndarray) -> Code:
         above[x], above[y] = (made, 0), (made, 1)
         heapq.heappush(heap, (n + m, made, made))
         made += 1
-    start, length, node, bit = [], [], [], []
-    for b in range(256):
-        path, x = [], b
+    out = []
+    for x in range(256):
+        path = []
         while x in above:
             x, y = above[x]
             path.append((x - 256, y))
-        start.append(len(node))
-        length.append(len(path))
-        node += [x for x, _ in reversed(path)]
-        bit += [y for _, y in reversed(path)]
-    return Code(*(np.array(x, np.int64) for x in (start, length, node)), np.array(bit, np.int8))
+        out.append(path[::-1])
+    return out
 
 
 def _logits(code: Code, row: np.ndarray, byte: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
-    """The logits of contexts at the code's 255 nodes, flat, from the counts n of bytes after them, which are by row."""
+    """The logits of contexts at their codes' 255 nodes, flat, from the counts n of bytes (code << 8 | byte) after them,
+    which are by row."""
     out = np.zeros(rows * 255, np.int8)
-    alone = np.bincount(row, minlength=rows)[row] == 1
-
-    def nodes(of: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        length = code.length[byte[of]]
-        at = np.arange(length.sum()) + np.repeat(code.start[byte[of]] - (np.cumsum(length) - length), length)
-        return np.repeat(row * 255, length) + code.node[at], code.bit[at], np.repeat(n[of], length)
-
-    def steps(zero, one) -> np.ndarray:
-        return np.clip(np.rint(np.log((one + 0.4) / (zero + 0.4)) * STEPS), -127, 127).astype(np.int8)
-
-    at, bit, times = nodes(np.flatnonzero(alone), row[alone])
-    out[at] = steps(times * (bit == 0), times * (bit == 1))
-    many = np.flatnonzero(~alone)
-    for part in np.split(many, np.flatnonzero(np.diff(row[many] >> 12)) + 1):  # the rows of 4,096 contexts at once
+    for part in np.split(np.arange(len(row)), np.flatnonzero(np.diff(row >> 12)) + 1):  # the rows of 4,096 contexts at once
         if len(part):
-            at, bit, times = nodes(part, row[part])
-            order = np.argsort(at, kind="stable")
-            at, bit, times = at[order], bit[order], times[order]
-            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            length = code.length[byte[part]]
+            at = np.arange(length.sum()) + np.repeat(code.start[byte[part]] - (np.cumsum(length) - length), length)
+            place, bit, times = np.repeat(row[part] * 255, length) + code.node[at], code.bit[at], np.repeat(n[part], length)
+            order = np.argsort(place, kind="stable")
+            place, bit, times = place[order], bit[order], times[order]
+            first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
             every, one = np.add.reduceat(times, first), np.add.reduceat(times * bit, first)
-            out[at[first]] = steps(every - one, one)
+            out[place[first]] = np.clip(np.rint(np.log((one + 0.4) / (every - one + 0.4)) * STEPS), -127, 127)
     return out
 
 
 def _table(cells: np.ndarray, n: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
     """The contexts of cells, which are in order, and their logits."""
-    keys, row = np.unique(cells & ~LOW, return_inverse=True)
-    return keys, _logits(code, row, (cells & LOW).astype(np.int64), n, len(keys))
+    first = np.r_[True, cells[1:] >> np.uint64(8) != cells[:-1] >> np.uint64(8)][: len(cells)]
+    keys = cells[first] & ~LOW
+    return keys, _logits(code, np.cumsum(first) - 1, _code_of(cells) << 8 | (cells & LOW).astype(np.int64), n, len(keys))
 
 
 def _found(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -506,46 +530,49 @@ class Mixer:
         self.of_three[:256] = 0  # three bytes whose two aren't in the table are looked up like others that it lacks
         self.words = Table(tables[2][0])
 
-    def rows(self, part: Part, words: Words) -> list[np.ndarray]:
+    def rows(self, three: np.ndarray, words: Words) -> list[np.ndarray]:
         """Of each byte, the rows of its contexts; that of the word for each of the words' bytes. 0 for none."""
-        three = three_before(part).astype(np.int64)
+        three = three.astype(np.int64)
         two = self.of_two[three & 0xFFFF]
         word = self.words.find(words.keys)
         return [two, self.of_three[two.astype(np.int64) << 8 | three >> 16], np.where(word < 0, 0, word + np.int32(self.first[2]))]
 
     def asked(self, part: Part, words: Words) -> Iterator[tuple[int, np.ndarray]]:
         """By kind, the contexts that no table here holds; they may be repeated."""
-        rows = self.rows(part, words)
         three = three_before(part)
+        rows = self.rows(three, words)
         for kind, row, bits in ((1, rows[0], 0xFFFF), (2, rows[1], 0xFFFFFF)):
             yield kind, of_bytes(np.unique(three[row == 0] & np.uint32(bits)))
         yield 3, words.keys[rows[2] == 0]
 
-    def bits(self, texts: list[str | None], cells: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
-        """The code length of each text in bits; cells: by kind, what was counted of contexts that the tables don't hold."""
+    def bits(self, texts: list[str | None], cells: dict[int, tuple[np.ndarray, np.ndarray]] | None = None, seen=lambda part, words: None) -> np.ndarray:
+        """The code length of each text in bits; cells: by kind, what was counted of contexts that the tables don't hold.
+        seen: gets each part and its words."""
         out = np.zeros(len(texts))
         for part in parts(texts):
             if not part.lead:
                 state = [np.full(len(part.docs) * GATES, w / STEPS, np.float32) for w in START_WEIGHTS], np.zeros(len(part.docs) * BINS, np.float32)
-            words = words_of(part)
-            rows = self._predicted(part, words, cells or {})
+            words, three = words_of(part), three_before(part)
+            seen(part, words)
+            rows = self._predicted(three, words, cells or {})
+            symbol = CODE_OF[(three & np.uint32(0xFF)).astype(np.int64)] << 8 | part.raw[part.lead :]
             ends = np.cumsum(part.size)
             one = 0
             while one < len(ends):  # texts that are coded together
                 begin = ends[one] - part.size[one]
                 two = max(one + 1, int(np.searchsorted(ends, begin + CODED_BYTES, "right")))
                 s, weights = slice(begin, ends[two - 1]), [w[one * GATES : two * GATES] for w in state[0]]
-                out[part.docs.start + one : part.docs.start + two] += self._coded(part.raw[part.lead :][s], part.size[one:two], words.gate[s], [r[s] for r in rows], bool(part.lead), weights, state[1][one * BINS : two * BINS])
+                out[part.docs.start + one : part.docs.start + two] += self._coded(symbol[s], part.size[one:two], words.gate[s], [r[s] for r in rows], bool(part.lead), weights, state[1][one * BINS : two * BINS])
                 one = two
         return out
 
-    def _predicted(self, part: Part, words: Words, cells: dict) -> list[np.ndarray]:
+    def _predicted(self, three: np.ndarray, words: Words, cells: dict) -> list[np.ndarray]:
         """For each kind of context, each byte's row in the logits: that of the next shorter context where a context isn't
         known, of undecided logits where none is. The logits of what the part needs of `cells` come after the tables'."""
-        found, added, held = self.rows(part, words), [], int(self.first[-1])
+        found, added, held = self.rows(three, words), [], int(self.first[-1])
         for kind, row in zip(KINDS, found, strict=True):
             if kind in cells and len(miss := np.flatnonzero(row == 0)):
-                k = words.keys[miss] if kind == 3 else of_bytes(three_before(part)[miss] & np.uint32(0xFFFF if kind == 1 else 0xFFFFFF))
+                k = words.keys[miss] if kind == 3 else of_bytes(three[miss] & np.uint32(0xFFFF if kind == 1 else 0xFFFFFF))
                 own, n = cells[kind]
                 need = np.unique(k)
                 low, high = np.searchsorted(own, need), np.searchsorted(own, need | LOW, "right")
@@ -560,29 +587,29 @@ class Mixer:
         elif added:
             own = np.concatenate(added)
             self.logits[self.first[-1] * 255 : held * 255] = own
-        two, three, word = found[0], found[1], found[2][words.place]
-        three = np.where(three == 0, two, three)
-        return [two, three, np.where(word == 0, three, word)]
+        two, more, word = found[0], found[1], found[2][words.place]
+        more = np.where(more == 0, two, more)
+        return [two, more, np.where(word == 0, more, word)]
 
-    def _coded(self, raw: np.ndarray, size: np.ndarray, gate: np.ndarray, rows: list[np.ndarray], later: bool, weights: list[np.ndarray], shift: np.ndarray) -> np.ndarray:
-        """The code lengths of texts of so many bytes; later: all blocks are full ones. weights and shift are refined."""
+    def _coded(self, symbol: np.ndarray, size: np.ndarray, gate: np.ndarray, rows: list[np.ndarray], later: bool, weights: list[np.ndarray], shift: np.ndarray) -> np.ndarray:
+        """The code lengths of texts of so many bytes (code << 8 | byte); later: all blocks are full ones. weights and shift are refined."""
         # bytes in the order of blocks, then of texts, then of gates: each set of weights has one run in each block
         edges = [0, LAST_BLOCK if later else FIRST_BLOCK]
         while edges[-1] < size.max():
             edges.append(edges[-1] + min(2 * (edges[-1] - edges[-2]), LAST_BLOCK))
         doc = np.repeat(np.arange(len(size)), size)
         begin = np.cumsum(size) - size
-        block = np.searchsorted(edges, np.arange(len(raw)) - begin[doc], "right") - 1
+        block = np.searchsorted(edges, np.arange(len(symbol)) - begin[doc], "right") - 1
         order = np.argsort(gate.astype(np.uint8), kind="stable")
         for key in (doc, block):  # numbers of 16 bits are sorted in a pass
             order = order[np.argsort(key[order].astype(np.uint16 if key.max() < 1 << 16 else np.int64), kind="stable")]
-        raw, block, own = raw[order], block[order], (doc * GATES + gate)[order]
+        symbol, block, own = symbol[order], block[order], (doc * GATES + gate)[order]
         # numpy looks 64-bit places up far faster than others
         bases = [row[order].astype(np.int64) * 255 for row in rows]
-        nodes, signs = self.code.node, (2 * self.code.bit - 1).astype(np.float32)
-        lengths, starts = self.code.length[raw], self.code.start[raw]
+        nodes, signs = self.code.node.astype(np.uint8), 2 * self.code.bit - 1
+        lengths, starts = self.code.length[symbol], self.code.start[symbol]
         run = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (block[1:] != block[:-1])])
-        run_end, runs = np.r_[run[1:], len(raw)], own[run]
+        run_end, runs = np.r_[run[1:], len(symbol)], own[run]
         out = np.zeros(len(size))
         cuts = np.searchsorted(block[run], np.arange(len(edges)))
         for one, two in zip(cuts[:-1], cuts[1:], strict=True):
@@ -593,7 +620,7 @@ class Mixer:
             ends = np.cumsum(length)
             at = np.repeat(starts[s] - (ends - length), length)
             at += np.arange(ends[-1])
-            node, sign = nodes[at], signs[at]
+            node, sign = nodes[at].astype(np.int64), signs[at].astype(np.float32)
             first = np.r_[0, ends][run[one:two] - run[one]]
             n = np.diff(np.r_[first, ends[-1]])
             x = []
@@ -725,7 +752,7 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
     facts = _facts(counts)
     of_words = [v for (kind, _), v in facts.items() if kind == 0]
     n_train, n_words = ends + sum(times for _, times in of_words), int(ends > 0) + sum(n for n, _ in of_words)
-    code = huffman(np.array([facts.get((-1, b), (0, 0))[1] for b in range(256)]))
+    code = huffman(np.array([facts.get((-1, b), (0, 0))[1] for b in range(1 << 16)]).reshape(256, 256))
     top = _most_frequent(counts, facts, {0: TOP_WORDS} | dict.fromkeys(KINDS, TOP_CONTEXTS))
     mixer = Mixer(code, [_table(*top[kind], code) for kind in KINDS])
     model = spark.sparkContext.broadcast((mixer, top[0][0], np.log10(top[0][1] + 1.0)))
@@ -747,16 +774,31 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
         for rows in texts["rows"]:
             rows = pa.ipc.open_stream(rows.as_buffer()).read_all()
             column = rows.columns[-1].to_pylist()
-            tokens, found, base = [], [], []
-            for w in word_hashes(column):
-                w = w & ~LOW
+            tokens, found, base = np.zeros(len(column), np.int64), np.full(len(column), int(ends > 0)), np.full(len(column), end_log)
+
+            def add(docs, begins, value, own, hit) -> None:
+                for to, x in ((tokens, own), (found, hit), (base, value)):
+                    to[docs] += np.add.reduceat(x, begins) if len(x) else x.sum()
+
+            def told_of(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 at, more = _found(w, known), _found(w, others)
-                tokens.append(len(w) + 1)
-                found.append(int((at >= 0).sum() + (more >= 0).sum()) + int(ends > 0))
-                base.append(float(logs[at[at >= 0]].sum() + other_logs[more[more >= 0]].sum() + end_log - (len(w) + 1) * below))
-            coded = mixer.bits(column, cells)
+                return np.r_[logs, 0.0][at] + np.r_[other_logs, 0.0][more], (at >= 0) | (more >= 0)
+
+            def seen(part: Part, words: Words) -> None:
+                if len(words.starts):
+                    value, hit = told_of(words.hashes)
+                    empty = words.which < 0
+                    add(slice(part.docs.start, part.docs.stop), np.searchsorted(words.starts, part.start), np.r_[value, 0.0][words.which], (~empty).astype(np.int64), np.r_[hit, False][words.which].astype(np.int64))
+
+            coded = mixer.bits(column, cells, seen)
+            for i, t in enumerate(column):
+                if _long(t):
+                    for w in word_hashes([t]):
+                        value, hit = told_of(w & ~LOW)
+                        add(i, [0], value, np.ones(len(w), np.int64), hit.astype(np.int64))
+            base -= (tokens + 1) * below
             lengths = np.array([len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in column], float)
-            new = [pa.array(tokens, pa.int64()), pa.array(found, pa.int64()), pa.array([n_train] * len(column), pa.int64()), pa.array(base, pa.float64()), pa.array(coded), pa.array(coded / lengths)]
+            new = [pa.array(tokens + 1), pa.array(found), pa.array([n_train] * len(column), pa.int64()), pa.array(base), pa.array(coded), pa.array(coded / lengths)]
             out.append(pa.table([*rows.columns[:-1], *new], names=schema.names))
         return pa.concat_tables(out) if out else pa.table([pa.array([], f.type) for f in to_arrow_schema(schema)], names=schema.names)
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import lm
-from tessera.llm.lm import BINS, CODED_BYTES, FIRST_BLOCK, GATES, KINDS, LAST_BLOCK, START_WEIGHTS, STEPS, Mixer, huffman, scored
+from tessera.llm.lm import BINS, FIRST_BLOCK, GATES, KINDS, LAST_BLOCK, LONG_BYTES, START_WEIGHTS, STEPS, Mixer, huffman, scored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -70,16 +70,17 @@ def slow_bits(text, counts, code):
     while at < len(rows):
         moved, seen, bins = [[0.0] * 3 for _ in range(GATES)], [0] * GATES, [[0.0, 0] for _ in range(BINS)]
         for contexts, far, byte in rows[at : at + size]:
-            gate, path = min(far, GATES - 1), slice(code.start[byte], code.start[byte] + code.length[byte])
+            gate, own = min(far, GATES - 1), code_before(contexts) << 8
+            path = slice(code.start[own | byte], code.start[own | byte] + code.length[own | byte])
             for node, bit in zip(code.node[path], code.bit[path], strict=True):
                 x, shorter = [], None
                 for of, c in zip(counts, contexts, strict=True):
                     shorter = of.get(c, shorter)
                     sides = [0, 0]
                     for b, n in (shorter or {}).items():
-                        own = code.node[code.start[b] : code.start[b] + code.length[b]].tolist()
-                        if node in own:
-                            sides[code.bit[code.start[b] + own.index(node)]] += n
+                        nodes = code.node[code.start[own | b] : code.start[own | b] + code.length[own | b]].tolist()
+                        if node in nodes:
+                            sides[code.bit[code.start[own | b] + nodes.index(node)]] += n
                     x.append(max(-127, min(127, round(math.log((sides[1] + 0.4) / (sides[0] + 0.4)) * STEPS))))
                 mix = sum(w * v for w, v in zip(weights[gate], x, strict=True))
                 place = int(min(max(mix * 2 + BINS / 2, 0), BINS - 0.5))
@@ -99,7 +100,15 @@ def slow_bits(text, counts, code):
 
 
 def code_of(texts):
-    return huffman(np.bincount(np.frombuffer(b"".join(t.encode() + b"\xff" for t in texts), np.uint8), minlength=256))
+    counts = np.zeros((256, 256), int)
+    for t in texts:
+        for contexts, _, byte in slow_contexts(t):
+            counts[code_before(contexts), byte] += 1
+    return huffman(counts)
+
+
+def code_before(contexts):
+    return 0 if not contexts[0] or contexts[0][-1:].isspace() else contexts[0][-1]
 
 
 @pytest.mark.parametrize("most", [0, 5, 1000])
@@ -132,10 +141,11 @@ def trained(texts):
 def test_a_text_alone_and_in_a_batch_cost_the_same(monkeypatch):
     texts = ["one two three four five " * 50, "", "x" * 9000, "wörter und so weiter " * 7, "Long ones go on and on\n" * 40_000]
     mixer = trained(texts[:4])
-    assert len(texts[4]) > 3 * CODED_BYTES
+    assert len(texts[4]) > 3 * LONG_BYTES
     together = mixer.bits(texts)
     assert np.allclose(together, [mixer.bits([t])[0] for t in texts], rtol=1e-4)
-    monkeypatch.setattr(lm, "CODED_BYTES", 1 << 22)
+    monkeypatch.setattr(lm, "LONG_BYTES", 1 << 22)
+    monkeypatch.setattr(lm, "CODED_BYTES", 1 << 12)
     assert np.allclose(together, mixer.bits(texts), rtol=1e-4)
 
 
