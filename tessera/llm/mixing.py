@@ -80,9 +80,10 @@ def mix(docs: DataFrame, *, size_col: str | None = None, order_col: str | None =
     def finish(turn: int):
         return (F.col(cum) + F.lit(turn) * F.col("source_size")) / F.col("target")
 
-    times = queued.where((F.col("size") > 0) & (F.col("target") > 0)).select("source_rank", F.col(key).alias("k"), "size", F.posexplode(F.array(*[finish(i) for i in range(max_repeats)])).alias("turn", "time")).where("time < 2")
+    times = queued.where((F.col("size") > 0) & (F.col("target") > 0)).select("source_rank", F.col(key).alias("k"), "size", F.posexplode(F.array(*[finish(i) for i in range(max_repeats)])).alias("turn", "time"))
+    # equal ranges of times below 2, where the budget ends unless a document is larger than a target; beyond, of their logarithms
     ranges = 2 * ceil(sqrt(max_repeats * (n_rows or 0) + 1))
-    ranged = times.withColumn("range", F.floor(F.col("time") * F.lit(ranges)))
+    ranged = times.withColumn("range", F.floor(F.lit(ranges) * F.when(F.col("time") < 2, F.col("time")).otherwise(1 + F.log2("time"))))
     totals = ranged.groupBy("range").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(Window.orderBy("range")))
     over = totals.where(F.col("upto") > F.lit(budget or 0.0)).orderBy("range").first()
     place = F.struct("time", "source_rank", "k")

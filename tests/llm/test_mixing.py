@@ -1,8 +1,9 @@
 import random
 
+import duckdb
 import pytest
 
-from tessera.llm.mixing import mix, repeated
+from tessera.llm.mixing import OP10_SQL, mix, op10_weighted_fair_mix, repeated
 
 
 def targets(sizes, weights=(5.0, 2.0, 1.0), stop=3.0):
@@ -51,3 +52,28 @@ def test_repeated_rows_and_empty_tables(spark):
     assert repeated(out, ["doc_id"]).count() == sum(r["copies"] for r in out.collect())
     assert mix(table(spark, [])).collect() == []
     assert [r["copies"] for r in mix(table(spark, [(1, None, None), (2, " ", "s")])).collect()] == [0, 0]
+
+
+FEW = {
+    "one": [(1, "a b c", "x")],
+    "one with words": [(1, "a b c", "x"), (2, "", "x"), (3, None, "y"), (4, " ", None)],
+    "two": [(1, "a b c", "x"), (2, "d e", "y")],
+    "three": [(1, "a b c", "x"), (2, "d e", "y"), (3, "f", None)],
+    "each its own source": [(i, "w " * (1 + i % 4), f"s{i:02}") for i in range(12)],
+    "one above all others": [(0, "w " * 900, "a"), *((i, "w", "a") for i in range(1, 40)), (99, "w w", "b")],
+    "one source": [(i, "w " * (1 + i % 4), "a") for i in range(7)],
+    "no words": [(1, "", "a"), (2, None, "b")],
+}
+
+
+@pytest.mark.parametrize("name", FEW)
+def test_few_documents_as_in_sql(spark, tmp_path, name):
+    spark.createDataFrame([(*r, "en", 1) for r in FEW[name]], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, op10_weighted_fair_mix(spark, str(tmp_path)).collect()))
+    own = duckdb.connect()
+    own.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(own.sql(OP10_SQL).fetchall())
+    assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in want]
+    # without any words the SQL has no level and no target
+    assert all(abs((g[3] or 0) - (w[3] or 0)) < 1e-9 for g, w in zip(got, want, strict=True))
+    assert sum(r[4] for r in got) <= sum(r[1] for r in got)
