@@ -25,9 +25,8 @@ QUERIES = {
     "op9_learned_partitions": op9_learned_partitions,
     "op10_weighted_fair_mix": op10_weighted_fair_mix,
 }
-ORACLE_SQL = {
+ORACLE_SQL: dict[str, str] = {
     "op2_jaccard_prefix": OP2_SQL,
     "op7_line_dedup": OP7_SQL,
-    "op9_learned_partitions": op9_learned_partitions,
     "op10_weighted_fair_mix": OP10_SQL,
 }
