@@ -1,15 +1,20 @@
-"""Toxicity by compression distance: two zstandard dictionaries, the lengths they give short windows, and thresholds.
-
-One dictionary is trained on ordinary text. The other one holds the same and, before it, a dictionary trained on what
-toxic text adds: words with a beginning that stands in far more toxic than ordinary documents. A window of ordinary
-text is thus as long under either; a toxic one is shorter under the toxic dictionary. Windows are words in a row of at
-least `WINDOW_BYTES` together, so that each compresses on its own and no word is cut. How many bytes a window and a
-document must gain is calibrated on labelled documents that the dictionaries haven't seen.
+"""Toxicity by compression distance: zstandard dictionaries of ordinary and of toxic text, the lengths that they give short
+windows, and thresholds.
+
+Both sides share a dictionary trained on ordinary text, so that what is usual costs the same under either. Before it
+stands, on the one side, a dictionary trained on more ordinary text and, on the other, one of the same size made of toxic
+text: of the stretches of toxic documents that hold bytes in a row which ordinary text lacks, those of most documents
+last. Stretches from one half of the documents count only if the dictionary made of the other half shortens them, so that
+what sets a single document apart drops out. A toxic window is thus shorter under the toxic side, an ordinary one isn't.
+Windows are words in a row of at least `WINDOW_BYTES` together, so that each compresses on its own and no word is cut. How
+many bytes a window and a document must gain is calibrated on labelled documents that no dictionary has seen, and so are
+the dictionaries' sizes.
 """
 
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,18 +30,18 @@ from .common import crc32_of, documents, shuffle_key, sliced
 #: Labelled documents of each class that are looked at, two thirds for the dictionaries and the rest for the thresholds, and the
 #: longest of them: a bounded sample that the driver can hold (the texts to be scored are never cut).
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 10_000
-WINDOW_BYTES = 36
+WINDOW_BYTES = 24
 #: A block that saves less than a few bytes is stored as it is, which would hide small differences: the end of both
-#: dictionaries stands before each window, so that every block compresses.
-LEAD_BYTES = 24
-ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
-#: Lengths in bytes of the beginnings of words that may be toxic text's own, besides whole words.
-STEM_BYTES = (4, 5, 6, 7)
-#: A beginning is its own if its share of toxic documents is so many times that of ordinary ones, and if so many, or
-#: this share, of the toxic ones speak for it. A document's voice falls with every one that it has.
-KEY_RATIO, KEY_DOCS, KEY_SHARE, KEY_VOICE = 8.0, 3.0, 0.012, 0.6
+#: dictionaries stands before each window, so that every block compresses. No match begins in the last eight bytes of a
+#: block: the beginning of the same stands after each window.
+LEAD_BYTES, TAIL_BYTES = 24, 12
+#: Sizes of the shared dictionary, and of the two that differ; the trainer's segments, and its shortest match.
+SHARED_BYTES, OWN_BYTES = (4096, 8192), (512, 768, 1024)
+SEGMENT_BYTES, MATCH_BYTES = 16, 6
+#: Bytes in a row that ordinary texts must lack, and bytes that a stretch with them must gain.
+NOVEL_BYTES, NOVEL_GAIN = 5, 2
 #: Gains in bytes from which windows are counted.
-THRESHOLDS = (2, 3, 4, 5, 6, 7)
+THRESHOLDS = (2, 3, 4, 5, 6, 7, 8)
 #: Weight of toxic against ordinary documents when the thresholds are calibrated: ordinary ones shall be left alone.
 TOXIC_WEIGHT = 0.35
 
@@ -85,9 +90,15 @@ def gains(texts: list[str | None], ordinary: bytes, toxic: bytes) -> list[tuple[
     a, b = _compressors(ordinary, toxic)
     if a is None or b is None:
         return [(Counter(), 0) for _ in texts]
-    lead = ordinary[-LEAD_BYTES:]
+    lead, tail = _edges(ordinary)
     cut = [windows(t) for t in texts]
-    return [(Counter(g for w in ws if (g := len(a(lead + w)) - len(b(lead + w))) > 0), len(ws)) for ws in cut]
+    return [(Counter(g for w in ws if (g := len(a(x := lead + w + tail)) - len(b(x))) > 0), len(ws)) for ws in cut]
+
+
+def _edges(side: bytes) -> tuple[bytes, bytes]:
+    """What stands before and after each window."""
+    lead = side[-LEAD_BYTES:]
+    return lead, lead[:TAIL_BYTES]
 
 
 def _features(gain: Counter, n: int) -> list[float]:
@@ -100,42 +111,57 @@ def _trained(samples: list[bytes], size: int) -> bytes:
     import zstandard as z
 
     try:
-        raw = z.train_dictionary(size, samples).as_bytes()
+        raw = z.train_dictionary(size + 600, samples, k=SEGMENT_BYTES, d=MATCH_BYTES).as_bytes()
     except z.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
-    return raw.partition(b"\1\0\0\0\4\0\0\0\x08\0\0\0")[2]  # after the entropy tables and the three first offsets
+    return raw[-min(size, max(0, len(raw) - 300)) :]  # it stands at the end, after tables of up to some 300 bytes
 
 
-def stems(text: str) -> set[bytes]:
-    """The words of a text, with the spaces around them, and their beginnings."""
-    words = {b" " + w for w in text.encode("utf-8", "surrogatepass").lower().split()}
-    return {w[: n + 1] for w in words for n in STEM_BYTES if len(w) > n} | {w + b" " for w in words}
+def _made(found: list[list[bytes]], size: int) -> bytes:
+    """A dictionary of the stretches of documents, those of most documents last and so nearest to what is compressed."""
+    documents = Counter(x for xs in found for x in set(xs))
+    return b"".join(x for x, _ in sorted(documents.items(), key=lambda x: (x[1], x[0])))[-size:]
 
 
-def key_stems(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """What sets toxic documents apart, strongest first.
+def _grams(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The text as its windows write it, and the runs of NOVEL_BYTES within a word and the blanks around it: where they
+    begin, and as numbers."""
+    raw = b" ".join([b"", *text.encode("utf-8", "surrogatepass").lower().split(), b""])
+    code = np.frombuffer(raw, np.uint8).astype(np.int64)
+    n = max(0, len(code) - NOVEL_BYTES + 1)
+    inner = sum((code[i : i + n] == 32 for i in range(1, NOVEL_BYTES - 1)), np.zeros(n, np.int64))
+    at = np.flatnonzero(inner == 0)
+    return raw, at, sum((code[at + i] << 8 * i for i in range(NOVEL_BYTES)), np.zeros(len(at), np.int64))
 
-    Each time the one that the most voices speak for is taken (the longest of equals), and the documents that have it
-    lose most of theirs; so copies of one toxic document don't bring in all of its words.
-    """
-    in_toxic, in_ordinary = (Counter(x for t in texts for x in stems(t)) for texts in (toxic, ordinary))
-    least = max(KEY_DOCS, KEY_SHARE * len(toxic))
-    having: dict[bytes, list[int]] = {x: [] for x, n in in_toxic.items() if n >= least and (n + 0.5) / (len(toxic) + 1) > KEY_RATIO * (in_ordinary[x] + 0.5) / (len(ordinary) + 1)}
-    for i, t in enumerate(toxic):
-        for x in stems(t) & having.keys():
-            having[x].append(i)
-    voice, out = np.ones(len(toxic)), []
-    while having:
-        best = max(having, key=lambda x: (voice[having[x]].sum(), len(x), x))
-        if voice[having[best]].sum() < least:
-            break
-        out.append(best)
-        voice[having.pop(best)] *= KEY_VOICE
+
+def _novel(text: str, usual: np.ndarray) -> list[bytes]:
+    """The words of a text that hold bytes in a row which aren't among the usual ones (in order), with their blanks."""
+    raw, at, grams = _grams(text)
+    place = np.minimum(np.searchsorted(usual, grams), len(usual) - 1)
+    starts = sorted({raw.rfind(b" ", 0, i + 1) for i in at[usual[place] != grams].tolist()})
+    return [raw[i : raw.find(b" ", i + 1) + 1] for i in starts]
+
+
+def _of_both_halves(found: list[list[bytes]], shared: bytes, other: bytes, size: int) -> list[list[bytes]]:
+    """Of the stretches of each half of the documents, those that the dictionary made of the other half shortens."""
+    out: list[list[bytes]] = []
+    half = len(found) // 2
+    for own, rest in ((found[:half], found[half:]), (found[half:], found[:half])):
+        a, b = _compressors(*_sides(other, _made(rest, size), shared))
+        lead, tail = _edges(shared)
+        out += [[x for x in xs if a and b and len(a(lead + x + tail)) - len(b(lead + x + tail)) >= NOVEL_GAIN] for xs in own]
     return out
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
-    """Newton's method on the penalised log-likelihood; without anything to go by, documents count as ordinary."""
+def _sides(other: bytes, extra: bytes, shared: bytes) -> tuple[bytes, bytes]:
+    """Both before what they share, of equal sizes, since zstandard's way of searching depends on the dictionary's."""
+    n = min(len(other), len(extra))
+    return other[len(other) - n :] + shared, extra[len(extra) - n :] + shared
+
+
+def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[np.ndarray, float]:
+    """Newton's method on the penalised log-likelihood, and the loss at its end; without anything to go by, documents count
+    as ordinary."""
     weight = np.where(y == 1, TOXIC_WEIGHT / max(y.sum(), 1), 1 / max((1 - y).sum(), 1)) * len(y)
     beta = np.zeros(x.shape[1])
     penalty = np.r_[1e-3, np.full(x.shape[1] - 1, ridge)]
@@ -144,7 +170,8 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarra
         grad = x.T @ (weight * (y - p)) - penalty * beta
         hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         beta += np.linalg.solve(hess, grad)
-    return beta
+    p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+    return beta, float(-(weight * np.log(np.where(y == 1, p, 1 - p))).sum())
 
 
 def train(rows: list[tuple[str, int]]) -> Model:
@@ -154,21 +181,22 @@ def train(rows: list[tuple[str, int]]) -> Model:
     if len(toxic) < 2 or len(clean) < 2:
         return Model(b"", b"", (-2.0, *[0.0] * (len(THRESHOLDS) + 2)))
     cut = [max(1, len(x) * 2 // 3) for x in (toxic, clean)]
-    keys = key_stems(toxic[: cut[0]], clean[: cut[1]])
-    # what toxic text adds: its own words between their spaces, as often as they occur; the strongest come last, nearest
-    adds = [b" ".join([b"", *run, b""]) for t in toxic[: cut[0]] for run in _runs(t, tuple(keys))] if keys else []
-    base = _trained([w for t in clean[: cut[1]] for w in windows(t)], ORDINARY_BYTES)
-    often = b"".join(x for x, _ in reversed(Counter(adds).most_common(TOXIC_BYTES // 8)))[-TOXIC_BYTES // 2 :]
-    extra = _trained(adds, TOXIC_BYTES // 2) + often + b"".join(reversed(keys)) if adds else b""
-    # of equal sizes, since zstandard's way of searching depends on the dictionary's
-    ordinary, toxic_dict = bytes(len(extra)) + base, extra + base
-    # thresholds from documents that the dictionaries haven't seen
+    plain = [w for t in clean[: cut[1]] for w in windows(t)]
+    random.Random(4).shuffle(plain)
+    usual = np.unique(np.concatenate([_grams(t)[2] for t in clean[: cut[1]]]))
+    found = [_novel(t, usual) if len(usual) else windows(t) for t in toxic[: cut[0]]]
     rest = [(t, 1) for t in toxic[cut[0] :]] + [(t, 0) for t in clean[cut[1] :]]
-    found = gains([t for t, _ in rest], ordinary, toxic_dict)
     y = np.array([label for _, label in rest])
-
-    weights = _fit_logistic(np.array([_features(*g) for g in found]), y)
-    return Model(ordinary, toxic_dict, tuple(map(float, weights)))
+    best: tuple[float, Model] | None = None
+    for shared_bytes in SHARED_BYTES:
+        shared = _trained(plain[::2], shared_bytes)
+        for size in OWN_BYTES:
+            other = _trained(plain[1::2], size)
+            sides = _sides(other, _made(_of_both_halves(found, shared, other, size), size), shared)
+            weights, loss = _fit_logistic(np.array([_features(*g) for g in gains([t for t, _ in rest], *sides)]), y)
+            if best is None or loss < best[0]:
+                best = loss, Model(*sides, tuple(map(float, weights)))
+    return best[1]
 
 
 def _unlike(texts: list[str]) -> list[str]:
@@ -184,18 +212,6 @@ def _unlike(texts: list[str]) -> list[str]:
     return out
 
 
-def _runs(text: str, keys: tuple[bytes, ...]) -> list[list[bytes]]:
-    """Runs of the words that begin with one of `keys`."""
-    out: list[list[bytes]] = []
-    last = False
-    for w in text.encode("utf-8", "surrogatepass").lower().split():
-        own = (b" " + w + b" ").startswith(keys)
-        if own:
-            out[-1].append(w) if last else out.append([w])
-        last = own
-    return out
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
     """Up to n labelled texts of each class, of 1 to SAMPLE_BYTES bytes: of the first 2 n labels of the class in the
     order of a hash of doc_id. Labels of 0 and 1 only, and no document of the held-out fifth."""
