@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from .common import documents, sliced
 
 NEVER = np.int64(1) << 40
-#: Pre-tokens above this length are merged one by one with a heap, in n log n steps.
+#: Pre-tokens above this length are cut first where no piece holds both neighbours, so that no merge goes across. What is
+#: still longer takes as many rounds as it has merges, and is merged by a heap in place of them, in n log n steps.
 LONG = 512
 #: Counts of so many pre-tokens are kept by a Python worker; beyond, it starts anew.
 KNOWN = 500_000
@@ -58,6 +59,8 @@ class Merges:
         self.breaks = not any("\n" in p for p in ids)
         self.words = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if self.breaks else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if self.splits else re.compile(r"(?s).+")
         self.known: dict[str, int] = {}
+        self.inside = np.unique(np.array([ord(a) << 21 | ord(b) for p in ids for a, b in zip(p, p[1:], strict=False)], np.int64))
+        self.pairs: dict[int, tuple[int, int]] = {}
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of each pair (NEVER and -1 if it doesn't merge)."""
@@ -69,14 +72,23 @@ class Merges:
     def counts(self, words: list[str]) -> list[int]:
         """Symbols of each word after all merges; a character without a piece counts its UTF-8 bytes."""
         out = np.zeros(len(words), np.int64)
-        short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        for i, w in enumerate(words):
+        short = [(i, w) for i, word in enumerate(words) for w in (self.cut(word) if len(word) > LONG else (word,))]
+        for i, w in short:
             if len(w) > LONG:
-                out[i] = self.count_long(w)
+                out[i] += self.count_long(w)
+        short = [(i, w) for i, w in short if len(w) <= LONG]
         if short:
-            out[short] = self.count_short([words[i] for i in short])
+            np.add.at(out, [i for i, _ in short], self.count_short([w for _, w in short]))
         return out.tolist()
 
+    def cut(self, word: str) -> list[str]:
+        """A long word cut where no piece holds both neighbours."""
+        code = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pair = code[:-1] << 21 | code[1:]
+        at = np.minimum(np.searchsorted(self.inside, pair), len(self.inside) - 1)
+        cuts = [0, *(np.flatnonzero(self.inside[at] != pair) + 1).tolist(), len(word)]
+        return [word[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def count_short(self, words: list[str]) -> np.ndarray:
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         lens = np.fromiter(map(len, words), np.int64, len(words))
@@ -122,7 +134,9 @@ class Merges:
         n, nxt, prv = len(sym), [*range(1, len(sym)), -1], [*range(-1, len(sym) - 1)]
         alive, heap = [True] * n, []
         rank, made = self.look_up(np.array(sym[:-1]), np.array(sym[1:]))
-        pair = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
+        if not self.pairs:
+            self.pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
+        pair = self.pairs
         heap = [(r, i, sym[i], sym[i + 1]) for i, r in enumerate(rank.tolist()) if r != NEVER]
         heapq.heapify(heap)
         while heap:
