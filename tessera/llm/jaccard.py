@@ -37,6 +37,8 @@ from .shingles import shingle_set, word_hashes
 HASH_MATCHES = 10
 #: A prefix grows by a shingle at this cost, and with every doubling from there, by so many at most.
 LENGTHEN_AT, LONGEST = 64.0, 16
+#: Members of a bucket above which it is compared in blocks of about so many, each pair of blocks in a group of its own.
+BLOCK_ROWS = 512
 #: Classes, in rows of some 60 bytes, that may be broadcast; more are joined by shuffling.
 BROADCAST_ROWS = 500_000
 
@@ -136,13 +138,29 @@ def _near(rule: Rule, na: Column, nb: Column, pa: Column, pb: Column, extra: Col
     return similar & (pa < na - least + extra) & (pb < nb - least + extra)
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80, carried: Sequence[str] = ()) -> DataFrame:
+def _blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a join of buckets with themselves, and its keys: each two members of a bucket meet once either way."""
+    one, two = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "comp", "extra")]) for s in "ab")
+    large = written(rows.groupBy("token").count().where(F.col("count") > BLOCK_ROWS).select("token", F.ceil(F.col("count") / BLOCK_ROWS).alias("blocks")), "jaccard-large")
+    if large.isEmpty():
+        return one, two, ["token"]
+
+    def dealt(side: DataFrame, cls: str, own: str, other: str) -> DataFrame:
+        blocks = F.coalesce("blocks", F.lit(1))
+        mine = F.pmod(F.xxhash64(cls), blocks).alias(own)
+        return side.join(large, "token", "left").select(*side.columns, mine, F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias(other))
+
+    return dealt(one, "cls_a", "block_a", "block_b"), dealt(two, "cls_b", "block_b", "block_a"), ["token", "block_a", "block_b"]
+
+
+def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80, carried: Sequence[str] = (), component_col: str | None = None) -> DataFrame:
     """doc_id, n_shingles (size of the set), component_id and the carried columns of every row of `docs` (doc_id, text).
 
     component_id: the smallest doc_id that links reach; of documents without words or text their own, since they link
     with nothing. A text of fewer than k words has the whole sequence as its only shingle. Rows that share a doc_id are
     rows of their own; null doc_ids are linked like others and never the smallest unless all of a component are null.
-    An empty table gives no rows. Other columns of `docs` don't matter.
+    An empty table gives no rows. Other columns of `docs` don't matter. component_col: a column that tells components
+    apart even where they share their smallest doc_id; null for texts without words.
     """
     rule = Rule(k, share)
     rows = written(_sets(docs, rule, carried), "jaccard-sets")
@@ -189,10 +207,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80, carried: Se
     extra = F.least(F.lit(1) + F.floor(F.log2(F.greatest(F.lit(1.0), 2 * F.col("cost") / F.lit(LENGTHEN_AT)))), F.lit(LONGEST), least)
     priced = placed.join(others, "cls").withColumn("extra", extra).where(F.col("pos") < first + F.col("extra") - 1)
     priced = written(priced.select("token", "cls", "n", "pos", "comp", "extra"), "jaccard-priced")
-    one, two = (priced.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "comp", "extra")]) for s in "ab")
+    one, two, keys = _blocks(priced)
     asked = F.least("extra_a", "extra_b")
     met = (F.col("comp_a") < F.col("comp_b")) & _near(rule, *(F.col(f"{c}_{s}") for c in ("n", "pos") for s in "ab"), asked)
-    pairs = one.join(two, "token").where(met).groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(asked).alias("asked")).where("shared >= asked")
+    pairs = one.join(two, keys).where(met).groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(asked).alias("asked")).where("shared >= asked")
     last_links = written(_verified(pairs, sets, rule), "jaccard-links")
 
     links = first_links.union(last_links)
@@ -200,9 +218,12 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80, carried: Se
         labels = components(links)
     named = classes.select("cls", "fp", "rep").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    ids = named.join(smallest, "comp").select("fp", "component_id")
-    full = rows.select("doc_id", "n", "fp", *carried).where("n > 0").join(ids, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *carried)
-    return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *carried))
+    ids = named.join(smallest, "comp").select("fp", "component_id", "comp")
+    full = rows.where("n > 0").join(ids, "fp")
+    more = [*carried, *([F.col("comp").alias(component_col)] if component_col else [])]
+    full = full.select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more)
+    none = rows.where("n = 0").withColumn("comp", F.lit(None).cast("long"))
+    return full.unionByName(none.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *more))
 
 
 def op2_jaccard_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,3 +64,12 @@ def test_equals_brute_force(spark, k, share, seed):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    from tessera.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 2)
+    rows = corpus(5)
+    got = near_duplicates(spark.createDataFrame([(d, t, "clash") for d, t in rows], SCHEMA), k=3, share=70)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 3, 70)
