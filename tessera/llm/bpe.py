@@ -122,10 +122,11 @@ def round_trip(docs: DataFrame, *, ranks: bytes | None = None, pattern: str | No
     return docs.select("doc_id", "text").mapInArrow(lambda batches: decode(encode(batches)), schema)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """What encoding and decoding give, per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def digests(docs: DataFrame, *, with_ids: bool = False) -> DataFrame:
+    """What encoding and decoding give, per document: doc_id, token_ids if asked for, n_tokens, ids_sha256, decoded_sha256."""
     both = round_trip(docs)
-    return both.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = ["token_ids"] if with_ids else []
+    return both.select("doc_id", *ids, (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -19,6 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 KEY_BITS = 60
 
 _own_dir: dict[str, str] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -31,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="spark-")
     return _own_dir[app]
@@ -96,4 +100,11 @@ def sliced(batches: Iterable[pa.RecordBatch], at: int, size: int = 4 << 20) -> I
         cuts = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), b.num_rows] if len(n) else []
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             yield b.slice(i, j - i)
-        pa.default_memory_pool().release_unused()  # Python workers wait for later tasks with what they hold
+        release()
+
+
+def release() -> None:
+    """Gives free memory back to the system: Python workers wait for later tasks with what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)

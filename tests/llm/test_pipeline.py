@@ -1,3 +1,5 @@
+import hashlib
+
 import corpus_pipeline as p
 from tessera.llm.common import n_words
 from pyspark.sql import functions as F
@@ -43,7 +45,8 @@ def test_stages_in_order():
 
 def test_whole_run_on_the_smallest_tables(spark):
     out = p.run(spark, "/root/testdata/sf0.001")
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert out.columns == ["doc_id", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert all(len(r["token_ids"]) == 4 * r["n_tokens"] and hashlib.sha256(r["token_ids"]).hexdigest() == r["ids_sha256"] for r in out.collect())
     assert 0 < out.select("doc_id").distinct().count() <= 200
 
 
@@ -57,3 +60,15 @@ def test_near_copies_of_one_doc_id_on_two_texts(spark):
 
 def texts_of(df):
     return [(r["doc_id"] is None, r["doc_id"], r["text"]) for r in df.collect()]
+
+
+def test_near_copies_without_or_with_the_same_doc_id(spark):
+    words = [f"w{i}" for i in range(100)]
+    one, near, other = " ".join(words), " ".join([*words[:99], "other"]), " ".join(f"v{i}" for i in range(60))
+    docs = table(spark, [(None, near, "a"), (4, one, "a"), (None, other, "b"), (None, other, "b"), (7, f"{other} more", "b"), (None, "by itself", "b"), (6, one, "a"), (6, near, "a"), (None, "", "c"), (None, "", "c"), (None, None, "c")])
+    kept = texts_of(p.without_near_copies(spark, docs, ""))
+    assert sorted(map(str, kept)) == sorted(map(str, [(False, 4, one), (False, 7, f"{other} more"), (True, None, "by itself"), (True, None, ""), (True, None, ""), (True, None, None)]))
+    # the smallest doc_id on two near copies: one of them stays
+    docs = table(spark, [(6, one, "a"), (6, near, "a"), (9, one, "a"), (6, other, "a")])
+    kept = texts_of(p.without_near_copies(spark, docs, ""))
+    assert len(kept) == 2 and (False, 6, other) in kept and kept[0][1] == kept[1][1] == 6
