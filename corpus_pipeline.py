@@ -24,15 +24,20 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the document with the smallest doc_id. Rows without one stay."""
+    """Of each group of near copies (five words, 0.8) one row: that of the smallest doc_id, null last, and of its texts the
+    one of the smallest hash. Rows without words stay."""
     # rows that share a doc_id are told apart by their texts
     text_hash = fresh(docs, "text_hash")
     hashed = docs.withColumn(text_hash, F.xxhash64("text"))
-    ids = written(jaccard.near_duplicates(hashed, carried=[text_hash]), "pipeline-near")
-    gone = ids.where(F.col("doc_id") != F.col("component_id")).select("doc_id", text_hash).distinct()
-    kept = hashed.join(gone, ["doc_id", text_hash], "left_anti").select(docs.columns)
-    twice = ids.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    ids = written(jaccard.near_duplicates(hashed, carried=[text_hash], component_col="component"), "pipeline-near").where("component is not null")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", text_hash)
+    first = ids.groupBy("component").agg(F.min(place).alias("first"))
+    gone = ids.join(first, "component").where(place != F.col("first")).select(F.col("doc_id").alias("_id"), F.col(text_hash).alias("_hash")).distinct()
+    kept = hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(text_hash) == F.col("_hash")), "left_anti").select(docs.columns)
+    if ids.groupBy("doc_id", text_hash).count().where("count > 1").isEmpty():
+        return kept
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return kept.where(worded).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(~worded))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +51,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as token ids: doc_id, n_tokens, ids_sha256 and decoded_sha256 of each of its documents."""
-    return bpe.digests(docs)
+    """The mix as token ids: doc_id, token_ids (little-endian, four bytes each), n_tokens, ids_sha256 and decoded_sha256 of
+    each of its documents."""
+    return bpe.digests(docs, with_ids=True)
 
 
 STAGES = [
