@@ -130,6 +130,19 @@ def highlight_terms(query: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(query), r"\s+")), lambda t: t != "")
 
 
+def fallback_ranges(text: Column, terms: Column) -> Column:
+    """Of an array of lower-case terms all places in a text, whatever their case and overlapping ones included, those that
+    overlap or touch made one: what to mark where no match ranges are known."""
+    low = F.lower(text)
+
+    def places(t: Column) -> Column:
+        last = F.length(low) - F.length(t) + 1
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(starts, lambda i: F.substring(low, i, F.length(t)) == t), lambda i: F.struct((i - 1).alias("start"), (i - 1 + F.length(t)).alias("end")))
+
+    return merged_ranges(F.flatten(F.transform(terms, places)))
+
+
 def overlapping_count(text: Column, pattern: str, *, ignore_case: bool = False) -> Column:
     """How often a literal occurs, overlapping places included; ignore_case: of ASCII letters."""
     if not pattern:

@@ -19,17 +19,22 @@ class Catalog:
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def list(self) -> DataFrame:
-        p, fs = self._path(self.path)
-        if not fs.exists(p):
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+        for path in (self.path, self.path + ".old"):
+            p, fs = self._path(path)
+            if fs.exists(p):
+                return self.spark.read.schema(SCHEMA).parquet(path)
+        return self.spark.createDataFrame([], SCHEMA)
 
     def _rewrite(self, rows: DataFrame) -> None:
         new, fs = self._path(self.path + ".new")
         rows.coalesce(1).write.mode("overwrite").parquet(self.path + ".new")
-        old, _ = self._path(self.path)
+        here, _ = self._path(self.path)
+        old, _ = self._path(self.path + ".old")
+        fs.delete(old, True)
+        if fs.exists(here):  # `list` finds it there if the next step isn't reached
+            fs.rename(here, old)
+        fs.rename(new, here)
         fs.delete(old, True)
-        fs.rename(new, old)
 
     def put(self, rows: DataFrame) -> None:
         """Inserts rows, in place of those with the same id."""

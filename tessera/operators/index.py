@@ -1,11 +1,17 @@
-"""The inverted index: postings, document and corpus statistics, as tables."""
+"""The inverted index: postings, document and corpus statistics, as tables.
+
+A batch of documents is tokenised as a whole in numpy: its bytes lie one after the other, so that tokens, their offsets and
+their documents are arrays, and strings are cut from the bytes without a Python object for each.
+"""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,48 +20,99 @@ from tessera.functions import text as fn
 
 #: Offsets that a posting keeps, the first ones; its tf counts all.
 MAX_OFFSETS = 128
-_RUN = re.compile(rb"[A-Za-z0-9]+")
+#: Bytes of bodies that are tokenised together, one document at least.
+BATCH_BYTES = 4 << 20
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IN_TOKEN = np.isin(_LOWER, np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """doc_ids, and the bytes and places of their bodies (null: empty), some megabytes at a time."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64)
+    part = (np.cumsum(size) - size) // BATCH_BYTES
+    cuts = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)]).tolist(), len(part)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        bodies = batch.column(1).slice(i, j - i).fill_null(b"")
+        at = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + j - i + 1].astype(np.int64)
+        yield batch.column(0).slice(i, j - i), np.frombuffer(bodies.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def _found(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of every token its document, its offset there, and the token in lower case."""
+    within = _IN_TOKEN[raw]
+    first = np.zeros(len(raw) + 1, bool)
+    first[at] = True
+    start = np.flatnonzero(within & (np.r_[True, ~within[:-1]][: len(raw)] | first[:-1]))
+    end = np.flatnonzero(within & (np.r_[~within[1:], True][: len(raw)] | first[1:])) + 1
+    doc = np.searchsorted(at, start, "right") - 1
+    size = end - start
+    cut = np.r_[0, np.cumsum(size)]
+    letters = _LOWER[raw[np.arange(cut[-1]) + np.repeat(start - cut[:-1], size)]]
+    terms = pa.StringArray.from_buffers(len(start), pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(letters))
+    return doc, start - at[doc], terms
 
 
-def _per_document(docs: DataFrame, columns: list[T.StructField], rows) -> DataFrame:
-    """For each document (doc_id, body) the rows that `rows` makes of its bytes. A document's tokens are all in its own
-    row, so that nothing is shuffled."""
-    schema = T.StructType([docs.schema["doc_id"], *columns])
+def tokens(docs: DataFrame) -> DataFrame:
+    """doc_id, term and off (in bytes) of every token of every document (doc_id, body), in order within a document."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("term", T.StringType()), T.StructField("off", T.LongType())])
 
     def run(batches):
         for b in batches:
-            body = b.column(1)
-            for i in range(b.num_rows):
-                found = list(rows(body[i].as_py() or b""))
-                if found:
-                    own = b.column(0).take(pa.array([i] * len(found)))
-                    cols = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)]
-                    yield pa.record_batch([own, *cols], names=schema.names)
-
-    kinds = [pa.string() if isinstance(c.dataType, T.StringType) else pa.list_(pa.int64()) if isinstance(c.dataType, T.ArrayType) else pa.int64() for c in columns]
+            for ids, raw, at in _slices(b):
+                doc, off, terms = _found(raw, at)
+                yield pa.record_batch([ids.take(pa.array(doc)), terms, pa.array(off)], names=schema.names)
+
     return docs.select("doc_id", "body").mapInArrow(run, schema)
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, term and off (in bytes) of every token of every document (doc_id, body), in order within a document."""
+def _grouped(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Offsets in the order of documents and terms; where each pair of them begins (and the end), its document, its term,
+    and the tokens of each document."""
+    doc, off, terms = _found(raw, at)
+    coded = terms.dictionary_encode()
+    code = np.asarray(coded.indices).astype(np.int64)
+    key = doc * max(1, len(coded.dictionary)) + code
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    cut = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)]), len(key)]
+    one = order[cut[:-1]]
+    return off[order], cut, doc[one], coded.dictionary.take(pa.array(code[one])), np.bincount(doc, minlength=len(at) - 1)
 
-    def rows(body: bytes):
-        return ((m.group().lower().decode(), m.start()) for m in _RUN.finditer(body))
 
-    return _per_document(docs, [T.StructField("term", T.StringType()), T.StructField("off", T.LongType())], rows)
+def postings(docs: DataFrame, max_offsets: int = MAX_OFFSETS) -> DataFrame:
+    """term, doc_id, tf, token_count (of the document) and offsets (the first max_offsets) of every term of every document
+    (doc_id, body). A document's tokens are all in its own row, so that nothing is shuffled."""
+    columns = [T.StructField("tf", T.LongType()), T.StructField("token_count", T.LongType()), T.StructField("offsets", T.ArrayType(T.LongType()))]
+    schema = T.StructType([T.StructField("term", T.StringType()), docs.schema["doc_id"], *columns])
 
+    def run(batches):
+        for b in batches:
+            for ids, raw, at in _slices(b):
+                off, cut, doc, terms, counts = _grouped(raw, at)
+                tf = np.diff(cut)
+                kept = np.minimum(tf, max_offsets)
+                if (kept < tf).any():
+                    off = off[np.arange(len(off)) - np.repeat(cut[:-1], tf) < max_offsets]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)].astype(np.int32)), pa.array(off))
+                yield pa.record_batch([terms, ids.take(pa.array(doc)), pa.array(tf), pa.array(counts[doc]), lists], names=schema.names)
 
-def postings(docs: DataFrame, max_offsets: int = MAX_OFFSETS) -> DataFrame:
-    """term, doc_id, tf and offsets (the first max_offsets) of every term of every document (doc_id, body)."""
+    return docs.select("doc_id", "body").mapInArrow(run, schema)
+
+
+def term_stats(docs: DataFrame) -> DataFrame:
+    """term, df (documents that have it) and cf (its tokens), counted batch by batch before they are shuffled."""
 
-    def rows(body: bytes):
-        places: dict[bytes, list[int]] = {}
-        for m in _RUN.finditer(body):
-            places.setdefault(m.group().lower(), []).append(m.start())
-        return ((term.decode(), len(at), at[:max_offsets]) for term, at in places.items())
+    def run(batches):
+        for b in batches:
+            for _, raw, at in _slices(b):
+                _, cut, _, terms, _ = _grouped(raw, at)
+                coded = terms.dictionary_encode()
+                code = np.asarray(coded.indices)
+                n = len(coded.dictionary)
+                yield pa.record_batch([coded.dictionary, pa.array(np.bincount(code, minlength=n)), pa.array(np.bincount(code, np.diff(cut), n).astype(np.int64))], names=["term", "df", "cf"])
 
-    columns = [T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("offsets", T.ArrayType(T.LongType()))]
-    return _per_document(docs, columns, rows).select("term", "doc_id", "tf", "offsets")
+    return docs.select("doc_id", "body").mapInArrow(run, "term string, df long, cf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def doc_stats(docs: DataFrame) -> DataFrame:
@@ -78,22 +135,35 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
 class Index:
     """Tables of an index. documents (doc_id, body, ...) is read for the rows that a search returns only.
 
-    stored: postings are columns on disk, so that offsets can be read for these rows only, too."""
+    stored: postings are columns on disk, so that offsets can be read for these rows only, too. terms (term, df) and corpus
+    (one row) spare a search from counting them again."""
 
     postings: DataFrame
     stats: DataFrame
     documents: DataFrame
     stored: bool = False
+    terms: DataFrame | None = None
+    corpus: DataFrame | None = None
 
     def size(self) -> tuple[int, float]:
         """Number of documents and their mean tokens."""
-        row = corpus_stats(self.stats).first()
+        row = (corpus_stats(self.stats) if self.corpus is None else self.corpus).first()
         return row["n_docs"], row["avg_len"]
 
-    def save(self, path: str) -> None:
-        """As Parquet: postings in the order of terms, so that a lookup reads few row groups."""
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    def save(self, path: str, *, with_documents: bool = False) -> None:
+        """As Parquet: postings and terms in the order of terms, documents, if asked for, in that of doc_id, so that a
+        lookup reads few row groups. Postings are computed once and sorted from what was written."""
+        spark = self.postings.sparkSession
+        self.postings.write.mode("overwrite").parquet(f"{path}/unsorted")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        if with_documents:
+            _sorted(self.documents, "doc_id").parquet(f"{path}/documents")
+        unsorted = spark.read.parquet(f"{path}/unsorted")
+        _sorted(unsorted, "term", "doc_id").parquet(f"{path}/postings")
+        _sorted(unsorted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").parquet(f"{path}/terms")
+        corpus_stats(spark.read.parquet(f"{path}/stats")).write.mode("overwrite").parquet(f"{path}/corpus")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/unsorted")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     def save_json(self, path: str) -> None:
         """As JSON lines, one posting or document a line, for other programs."""
@@ -101,6 +171,10 @@ class Index:
         self.stats.write.mode("overwrite").json(f"{path}/stats")
 
 
+def _sorted(rows: DataFrame, *columns: str):
+    return rows.repartitionByRange(*columns).sortWithinPartitions(*columns).write.mode("overwrite")
+
+
 def documents_of(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A table of texts as documents: doc_id, body."""
     return texts.select(F.col(id_col).alias("doc_id"), fn.utf8_bytes(F.coalesce(F.col(text_col), F.lit(""))).alias("body"))
@@ -111,14 +185,16 @@ def build_index(docs: DataFrame, max_offsets: int = MAX_OFFSETS) -> Index:
     return Index(postings(docs, max_offsets), doc_stats(docs), docs)
 
 
-def load_index(spark: SparkSession, path: str, docs: DataFrame) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), docs, stored=True)
+def load_index(spark: SparkSession, path: str, docs: DataFrame | None = None) -> Index:
+    """docs: the documents, where the index was saved without them."""
+    postings, stats, terms, corpus = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "stats", "terms", "corpus"))
+    return Index(postings, stats, spark.read.parquet(f"{path}/documents") if docs is None else docs, True, terms, corpus)
 
 
 def load_json(spark: SparkSession, path: str, docs: DataFrame) -> Index:
     own = docs.schema["doc_id"].dataType.simpleString()
     return Index(
-        spark.read.schema(f"term string, doc_id {own}, tf long, offsets array<long>").json(f"{path}/postings"),
+        spark.read.schema(f"term string, doc_id {own}, tf long, token_count long, offsets array<long>").json(f"{path}/postings"),
         spark.read.schema(f"doc_id {own}, path string, body_len long, token_count long").json(f"{path}/stats"),
         docs,
     )

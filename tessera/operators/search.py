@@ -17,8 +17,9 @@ K1, B, PROXIMITY_WEIGHT = 1.2, 0.75, 0.3
 RESULTS, WINDOW = 10, 1200
 #: Terms that are looked up by a filter that reaches the scan; more are joined.
 PUSHED_TERMS = 200
-#: Result rows, k for each query, that are broadcast to the scan of bodies; more are joined by shuffling.
-BROADCAST_ROWS = 50_000
+#: Result rows, k for each query, that are broadcast to the scan of bodies; more are joined by shuffling. Of so few
+#: documents the doc_ids reach the scan as a filter, one by one.
+BROADCAST_ROWS, PUSHED_DOCS = 50_000, 500
 
 
 def queries_of(spark: SparkSession, query: str | DataFrame) -> DataFrame:
@@ -45,21 +46,21 @@ def tf_idf(tf: Column, length: Column, weight: Column) -> Column:
     return tf * weight / F.when(length == 0, F.lit(1)).otherwise(length)
 
 
-def _looked_up(index: Index, terms: DataFrame) -> DataFrame:
-    """The postings of all terms of all queries."""
+def _looked_up(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Of rows with terms, those of all terms of all queries."""
     words = [r["term"] for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
     if len(words) <= PUSHED_TERMS:
-        return index.postings.where(F.col("term").isin(words))
-    return index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+        return rows.where(F.col("term").isin(words))
+    return rows.join(terms.select("term").distinct(), "term", "left_semi")
 
 
 def _parts(hit: DataFrame, index: Index, terms: DataFrame, use_bm25: bool, k1: float, b: float) -> DataFrame:
     """query_id, qi, doc_id and the term's score, for every term of every query in every document; offsets if `hit` has
     them."""
     n_docs, avg_len = index.size()
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if index.terms is None else _looked_up(index.terms, terms)
     weights = terms.join(df, "term").withColumn("idf", idf(F.lit(n_docs), F.col("df")))
-    rows = hit.join(weights, "term").join(index.stats.select("doc_id", "token_count"), "doc_id")
+    rows = hit.join(weights, "term")
     score = bm25(F.col("tf"), F.col("token_count"), F.lit(avg_len), F.col("idf"), k1, b) if use_bm25 else tf_idf(F.col("tf"), F.col("token_count"), F.col("idf"))
     return rows.select("query_id", "doc_id", F.struct("qi", score.alias("part"), "term", *(c for c in hit.columns if c == "offsets")).alias("part"))
 
@@ -92,7 +93,7 @@ def ranked(index: Index, query: str | DataFrame, *, k: int | None = RESULTS, use
     if k is not None and k < 0:
         raise ValueError("k must not be negative")
     terms = query_terms(queries_of(index.postings.sparkSession, query))
-    hit = _looked_up(index, terms)
+    hit = _looked_up(index.postings, terms)
     cut = k is not None and not rerank
     later = cut and index.stored
     rows = _parts(hit.drop("offsets") if later else hit, index, terms, use_bm25, k1, b)
@@ -126,11 +127,24 @@ def ranked(index: Index, query: str | DataFrame, *, k: int | None = RESULTS, use
     return placed.select("query_id", "rank", "doc_id", "base_score", "score", "gap", "match_offset", "terms")
 
 
+def _bodies(docs: DataFrame, rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The documents that may be among at most so many rows, and the rows."""
+    if most > BROADCAST_ROWS:
+        return docs, rows
+    if most > PUSHED_DOCS:
+        return docs, F.broadcast(rows)
+    found = rows.collect()  # no more than PUSHED_DOCS
+    here = docs.sparkSession.createDataFrame(found, rows.schema)
+    wanted = F.lit(False)
+    for i in {r["doc_id"] for r in found}:  # a long list would reach the scan as its smallest and largest value only
+        wanted = wanted | (F.col("doc_id") == F.lit(i))
+    return docs.where(wanted), F.broadcast(here)
+
+
 def _shown(rows: DataFrame, docs: DataFrame, queries: DataFrame, k: int, window: int) -> DataFrame:
     """Ranked rows, at most k a query, with snippet, match_ranges (characters of the snippet) and matched_terms: bodies
     are read for these rows only."""
-    if k * queries.count() <= BROADCAST_ROWS:
-        rows = F.broadcast(rows)
+    docs, rows = _bodies(docs, rows, k * queries.count())
     terms = query_terms(queries)
     asked = terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("qi", "term"))).alias("asked"))
     path = ["path"] if "path" in docs.columns else []
@@ -154,21 +168,28 @@ def raw_ranked(docs: DataFrame, query: str | DataFrame, *, k: int | None = RESUL
     before the first). The texts are scanned once; a query's terms go to all of them."""
     if k is not None and k < 0:
         raise ValueError("k must not be negative")
-    asked = query_terms(queries_of(docs.sparkSession, query)).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("qi", "term"))), lambda a: a["term"]).alias("terms"))
-    lists = [(r["query_id"], r["terms"]) for r in asked.collect()]  # the stated queries
+    asked = query_terms(queries_of(docs.sparkSession, query)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("qi", "term"))).alias("terms"))
+    asked = asked.select("query_id", F.transform("terms", lambda a: a["term"]).alias("terms"))
+    # the stated queries, in one value: the plan is the same for any number of them
+    kind = asked.schema["query_id"].dataType.simpleString()
+    told = asked.agg(F.to_json(F.collect_list(F.struct("query_id", "terms"))).alias("j")).first()["j"]
+    every = F.from_json(F.lit(told), f"array<struct<query_id:{kind},terms:array<string>>>")
     text = fn.as_text(F.col("body"))
     low = F.lower(text)
 
-    def one(qid, terms: list[str]) -> Column:
-        score = sum((F.regexp_count(F.col("low"), F.lit(t)) for t in terms), F.lit(0)).cast("double")
-        at = F.least(*[F.when(F.instr("low", t) > 0, F.instr("low", t) - 1) for t in terms], F.lit(None).cast("int"))
-        return F.struct(F.lit(qid).alias("query_id"), score.alias("score"), F.octet_length(F.substring("text", F.lit(1), at)).cast("long").alias("match_offset"))
+    def occurrences(t: Column) -> Column:  # terms are of letters and digits of one byte
+        return (F.octet_length("low") - F.octet_length(F.replace(F.col("low"), t, F.lit("")))) / F.octet_length(t)
+
+    def one(q: Column) -> Column:
+        score = F.aggregate(q["terms"], F.lit(0.0), lambda n, t: n + occurrences(t))
+        first = F.array_min(F.filter(F.transform(q["terms"], lambda t: F.position(t, F.col("low"))), lambda i: i > 0))
+        return F.struct(q["query_id"].alias("query_id"), score.alias("score"), first.alias("first"))
 
     scan = docs.select("doc_id", text.alias("text"), low.alias("low"))
-    kind = asked.schema["query_id"].dataType.simpleString()
-    every = F.array(*[one(q, t) for q, t in lists]) if lists else F.array().cast(f"array<struct<query_id:{kind},score:double,match_offset:bigint>>")
-    hits = scan.select("doc_id", F.explode(every).alias("h")).select("doc_id", F.col("h.query_id").cast(kind).alias("query_id"), "h.score", "h.match_offset").where("score > 0")
-    placed = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+    met = F.filter(F.transform(every, one), lambda h: h["score"] > 0)
+    hits = scan.select("doc_id", "text", F.explode(met).alias("h"))
+    at = F.octet_length(F.substring("text", F.lit(1), F.col("h.first") - 1)).cast("long")
+    placed = hits.select("doc_id", "h.query_id", "h.score", at.alias("match_offset")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
     placed = placed if k is None else placed.where(F.col("rank") <= k)
     return placed.select("query_id", "rank", "doc_id", "score", "match_offset")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
@@ -61,6 +61,6 @@ def file_type_stats(docs: DataFrame, path_col: str = "path", top: int | None = N
     """label, n and share of all, for each extension; the most frequent first. Blank paths don't count."""
     labels = docs.where(F.length(F.trim(path_col)) > 0).select(fn.extension_label(F.col(path_col)).alias("label"))
     counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    total = labels.count()
-    ordered = counts.withColumn("share", F.col("n") / F.lit(total)).orderBy(F.desc("n"), "label")
+    total = F.sum("n").over(Window.partitionBy())  # of a row for each extension
+    ordered = counts.withColumn("share", F.col("n") / total).orderBy(F.desc("n"), "label")
     return ordered if top is None else ordered.limit(top)

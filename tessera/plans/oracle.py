@@ -184,3 +184,55 @@ SELECT {keys}, merged FROM (SELECT r, {keys}, coalesce(string_agg(lo || '-' || h
 ORACLE_SQL["highlight_merge_documents"] = _merged("documents", "doc_id")
 ORACLE_SQL["highlight_merge_conversations"] = _merged("conversations", "conv_id, turn")
 ORACLE_SQL["bm25_batch_passages"] = f"WITH {_ranked(asked='q AS (SELECT item_id AS query_id, text AS query FROM benchmark)')} {_SHOWN}"
+
+#: The documents as the files of `queries._files` hold them.
+_HELD = r"""files AS (
+  SELECT doc_id, doc_id % 4 AS k, CASE doc_id % 4 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN regexp_replace(coalesce(text, ''), '[^\x00-\xFF]', '?', 'g')
+    ELSE array_to_string(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), ' ') END AS t FROM documents)"""
+
+
+def _places(text: str, pattern: str) -> str:
+    return f"(len({text}) - len(replace({text}, '{pattern}', ''))) // {len(pattern)}"
+
+
+ORACLE_SQL["extraction"] = f"WITH {_HELD} SELECT doc_id, trim(t, ' ') AS text, CASE WHEN t = '' THEN 'empty' ELSE 'ok' END AS extract_status FROM files"
+ORACLE_SQL["counts_by_type"] = f"""WITH {_HELD}
+SELECT 'compressedStreams' AS label, count(*) FILTER (k = 2) AS n FROM files
+UNION ALL SELECT 'the', coalesce(sum({_places("t", "the")}) FILTER (k <> 2), 0)::BIGINT FROM files
+UNION ALL SELECT 'token', coalesce(sum({_places("t", "token")}) FILTER (k <> 2), 0)::BIGINT FROM files"""
+ORACLE_SQL["counts_by_type_levels"] = """SELECT event_type AS label, count(*) AS n FROM events GROUP BY ALL
+UNION ALL SELECT 'compressedStreams', count(*) FROM documents WHERE doc_id % 4 = 2"""
+ORACLE_SQL["archive_round_trip"] = "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, md5(coalesce(text, '')) AS md5 FROM documents"
+ORACLE_SQL["ndjson_export"] = "SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents"
+ORACLE_SQL["plain_listing"] = f"WITH {_snippets(40)} SELECT query_id, rank, '---' || chr(10) || doc_id || chr(10) || format('{{:.3f}}', score) || chr(10) || snippet AS line FROM sliced"
+_PROMPTS = f"""WITH {_snippets(40)},
+prompts AS (
+  SELECT query_id, 'Answer the question from the context.' || chr(10) || chr(10) || 'Context:' || chr(10)
+    || string_agg(snippet, chr(10) || chr(10) || '-----' || chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: ' || any_value(query) || chr(10) || 'Answer:' AS prompt
+  FROM sliced JOIN q USING (query_id) GROUP BY ALL)"""
+ORACLE_SQL["prompts"] = f"{_PROMPTS} SELECT query_id, prompt FROM prompts"
+ORACLE_SQL["answers"] = f"{_PROMPTS} SELECT query_id, len(prompt)::VARCHAR AS answer FROM prompts"
+ORACLE_SQL["search_payload_results"] = f"WITH {_snippets(40)} SELECT query_id, rank - 1 AS place, doc_id, round(score, 6) AS score, snippet, match_offset FROM sliced"
+ORACLE_SQL["preview_positions"] = f"WITH {_ranked()} SELECT query_id, rank, round(greatest(0, least(1, match_offset / strlen(text)::DOUBLE)), 6) AS fraction FROM ranked JOIN bytes USING (doc_id)"
+ORACLE_SQL["range_validation"] = """WITH r AS (
+  SELECT l_orderkey, l_linenumber - 3 AS lo, CASE WHEN l_quantity < 45 THEN floor(l_quantity / 5)::INT END AS hi FROM lineitem),
+ok AS (SELECT * FROM r WHERE lo >= 0 AND hi > lo),
+marked AS (
+  SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY l_orderkey ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM ok),
+islands AS (SELECT *, sum(opens) OVER (PARTITION BY l_orderkey ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM marked),
+merged AS (SELECT l_orderkey, island, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM islands GROUP BY ALL),
+lists AS (SELECT l_orderkey, sum(n)::BIGINT AS n_valid, string_agg(lo || '-' || hi, ' ' ORDER BY lo) AS merged FROM merged GROUP BY ALL)
+SELECT o.l_orderkey, coalesce(n_valid, 0) AS n_valid, coalesce(merged, '') AS merged FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN lists USING (l_orderkey)"""
+ORACLE_SQL["plain_texts"] = "SELECT conv_id, turn, role || ': ' || replace(regexp_replace(text, chr(27) || '\\[[0-9;]*m', '', 'g'), '**', '') AS text FROM conversations"
+ORACLE_SQL["titles"] = "SELECT page_id, regexp_extract(url, '[^/]*$') AS title FROM pages"
+ORACLE_SQL["top_types"] = """SELECT (l_linenumber + l_suppkey % 3)::VARCHAR AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
+FROM lineitem GROUP BY ALL ORDER BY n DESC, label LIMIT 4"""
+ORACLE_SQL["fallback_highlights"] = """WITH t AS (SELECT conv_id, turn, lower(text) AS s FROM conversations),
+hits AS (
+  SELECT conv_id, turn, term, unnest(list_filter(range(0, len(s)), lambda i: s[i + 1:i + len(term)] = term)) AS lo FROM t, (VALUES ('ti'), ('th'), ('nn'), ('ana')) v(term)),
+marked AS (
+  SELECT conv_id, turn, lo, lo + len(term) AS hi,
+    CASE WHEN lo <= max(lo + len(term)) OVER (PARTITION BY conv_id, turn ORDER BY lo, len(term) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM hits),
+islands AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id, turn ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM marked),
+merged AS (SELECT conv_id, turn, island, min(lo) AS lo, max(hi) AS hi FROM islands GROUP BY ALL)
+SELECT t.conv_id, t.turn, coalesce(string_agg(lo || '-' || hi, ' ' ORDER BY lo), '') AS merged FROM t LEFT JOIN merged USING (conv_id, turn) GROUP BY ALL"""

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+import zlib
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import text as fn
 from tessera.operators import index as ix
 from tessera.operators import patterns as pt
 from tessera.operators import search as se
 from tessera.operators import shaping as sh
+from tessera.sources import archive, files
+from tessera.sources.extract import extracted
 from tessera.sources.scratch import new_folder
 
 #: Queries that the search queries ask: common and rare terms, a repeated one, an unknown one, and one without tokens.
@@ -41,9 +48,9 @@ def _index(spark: SparkSession, sf_dir: str, *, anew: bool = False) -> ix.Index:
     docs, key = _docs(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
     if anew or key not in _indexes:
         path = new_folder(spark, "index")
-        ix.build_index(docs).save(path)
+        ix.build_index(docs).save(path, with_documents=True)
         _indexes[key] = path
-    return ix.load_index(spark, _indexes[key], docs)
+    return ix.load_index(spark, _indexes[key])
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -60,7 +67,7 @@ def postings(spark, sf_dir):
 
 
 def term_df(spark, sf_dir):
-    return ix.postings(_docs(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return ix.term_stats(_docs(spark, sf_dir))
 
 
 def doc_stats(spark, sf_dir):
@@ -207,10 +214,135 @@ def catalog_labels(spark, sf_dir):
     return orders.select("id", fn.count_label(F.col("n") * 997).alias("files"), fn.size_label(F.floor("total") * 37).alias("size"), fn.age_label(F.col("last"), F.lit(NOW)).alias("age"))
 
 
+@F.pandas_udf(T.BinaryType())
+def _as_pdf(words: pd.Series) -> pd.Series:
+    def made(text: str) -> bytes:
+        page = zlib.compress(b"BT (" + text.encode() + b") Tj ET")
+        return b"%PDF-1.4\n1 0 obj << /Filter /FlateDecode >> stream\n" + page + b"\nendstream endobj\n%%EOF"
+
+    return words.map(made)
+
+
+@F.pandas_udf(T.BinaryType())
+def _as_docx(words: pd.Series) -> pd.Series:
+    def made(text: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("word/document.xml", f"<w:p><w:t>{text}</w:t><w:binData>QUJD</w:binData></w:p>")
+        return out.getvalue()
+
+    return words.map(made)
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    """The documents as files: by turns UTF-8, Latin-1, and their words as a PDF and a DOCX file."""
+    text = F.coalesce("text", F.lit(""))
+    words = F.array_join(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), " ")
+    latin = F.encode(F.regexp_replace(text, "[^\\x00-\\xFF]", "?"), "ISO-8859-1")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), (F.col("doc_id") % 4).alias("kind"), text.alias("text"), words.alias("words"), latin.alias("latin"))
+    pdf, docx = (rows.where(F.col("kind") == k).select("path", f(F.col("words")).alias("content")) for k, f in ((2, _as_pdf), (3, _as_docx)))
+    plain = rows.where("kind < 2").select("path", F.when(F.col("kind") == 0, fn.utf8_bytes(F.col("text"))).otherwise(F.col("latin")).alias("content"))
+    return plain.unionByName(pdf).unionByName(docx)
+
+
+def extraction(spark, sf_dir):
+    """Texts out of files of four kinds."""
+    return extracted(_files(spark, sf_dir)).select(F.col("path").cast("long").alias("doc_id"), F.trim("text").alias("text"), "extract_status")
+
+
+def counts_by_type(spark, sf_dir):
+    return pt.counts_by_type(_files(spark, sf_dir), ("the", "token"))
+
+
+def counts_by_type_levels(spark, sf_dir):
+    """Levels where no patterns are given: events as JSON lines, beside PDF files."""
+    line = F.concat(F.lit('{"level": "'), "event_type", F.lit('"}'))
+    lines = _table(spark, sf_dir, "events").select(fn.utf8_bytes(line).alias("content"))
+    return pt.counts_by_type(lines.unionByName(_files(spark, sf_dir).where(fn.file_type(F.col("content")) == "pdf").select("content")))
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    return _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), "body")
+
+
+def archive_round_trip(spark, sf_dir):
+    """Documents written as record archives and read again."""
+    folder = new_folder(spark, "archive")
+    archive.write_archives(_records(spark, sf_dir), folder)
+    back = archive.read_archives(spark, folder)
+    return back.select(F.col("path").cast("long").alias("doc_id"), F.octet_length("body").cast("long").alias("n_bytes"), F.md5("body").alias("md5"))
+
+
+def ndjson_export(spark, sf_dir):
+    """Documents written as JSON lines and read again."""
+    folder = new_folder(spark, "ndjson")
+    files.write_ndjson(_records(spark, sf_dir), folder)
+    return spark.read.schema("path string, text string").json(folder).select(F.col("path").cast("long").alias("doc_id"), F.md5("text").alias("md5"))
+
+
+def plain_listing(spark, sf_dir):
+    return sh.listing(_hits(spark, sf_dir, 40), path_col="doc_id")
+
+
+def prompts(spark, sf_dir):
+    return sh.prompts(_hits(spark, sf_dir, 40), _asked(spark))
+
+
+def answers(spark, sf_dir):
+    """Prompts answered by a callable: here their length."""
+    return sh.answered(prompts(spark, sf_dir), lambda p: str(len(p)))
+
+
+def search_payload_results(spark, sf_dir):
+    """The results in the payloads, in their order."""
+    asked = _asked(spark)
+    made = sh.payloads(se.search(_index(spark, sf_dir), asked, window=40), asked)
+    back = F.from_json("payload", "query string, results array<struct<doc_id:bigint,score:double,snippet:string,match_offset:bigint>>")
+    rows = made.select("query_id", F.posexplode(back["results"]).alias("place", "r"))
+    return rows.select("query_id", "place", "r.doc_id", F.round("r.score", 6).alias("score"), "r.snippet", "r.match_offset")
+
+
+def preview_positions(spark, sf_dir):
+    """How far into its document each hit lies."""
+    hits = se.ranked(_index(spark, sf_dir), _asked(spark)).join(_docs(spark, sf_dir), "doc_id")
+    return _rounded(hits.select("query_id", "rank", fn.preview_fraction(F.col("match_offset"), F.col("body")).alias("fraction")), "fraction")
+
+
+def range_validation(spark, sf_dir):
+    """Ranges made of line items, a few of them empty, reversed or negative: how many hold, and merged."""
+    made = F.struct((F.col("l_linenumber") - 3).cast("int").alias("start"), F.when(F.col("l_quantity") < 45, (F.col("l_quantity") / 5).cast("int")).alias("end"))
+    lists = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(made).alias("ranges"))
+    merged = F.array_join(F.transform(fn.merged_ranges(F.col("ranges")), lambda r: F.format_string("%d-%d", r["start"], r["end"])), " ")
+    return lists.select("l_orderkey", F.size(fn.valid_ranges(F.col("ranges"))).cast("long").alias("n_valid"), merged.alias("merged"))
+
+
+def plain_texts(spark, sf_dir):
+    """Turns with colours and asterisks put in, and without them again."""
+    marked = F.concat(F.lit("\x1b[1;31m**"), F.col("role"), F.lit("**\x1b[0m: "), "text")
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", fn.plain_snippet(marked).alias("text"))
+
+
+def titles(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", fn.title(F.col("url")).alias("title"))
+
+
+def top_types(spark, sf_dir):
+    path = F.concat(F.lit("f."), (F.col("l_linenumber") + F.col("l_suppkey") % 3).cast("string"))
+    return _rounded(sh.file_type_stats(_table(spark, sf_dir, "lineitem").select(path.alias("path")), top=4), "share")
+
+
+def fallback_highlights(spark, sf_dir):
+    """What to mark in each turn for the words of a query, overlapping places included."""
+    words = fn.highlight_terms(F.lit("ti  TH\tnn ti ana"))
+    ranges = fn.fallback_ranges(F.col("text"), words)
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.transform(ranges, lambda r: F.format_string("%d-%d", r["start"], r["end"])), " ").alias("merged"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_search, index_build, tokens, postings, term_df, doc_stats, corpus_stats, tfidf_search, boosted_rerank, bm25_batch, bm25_batch_passages, raw_search, raw_search_conversations, snippets,
         match_ranges, highlight_merge, highlight_merge_documents, highlight_merge_conversations, pattern_counts, pattern_counts_any_case, level_counts, sniff_types, file_type_stats, clean_markup, rag_bundle, search_payloads, catalog_labels,
+        extraction, counts_by_type, counts_by_type_levels, archive_round_trip, ndjson_export, plain_listing, prompts, answers, search_payload_results, preview_positions, range_validation, plain_texts, titles, top_types, fallback_highlights,
     )
 }

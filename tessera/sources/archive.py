@@ -1,6 +1,7 @@
 """Archives of records (path, body) in one binary file, for exchange with other programs; tables are the native form.
 
-Records follow each other without a marker to split at, so an archive is read in one task, and many archives in many.
+Records follow each other without a marker to split at, so an archive is read in one task, and many archives in many; it
+reaches the task as one value, of 2 GB at most, and its records leave it in batches of some megabytes.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 # Fixed values of the format: the magic and version, and the bytes before and after a record. Numbers are big-endian.
 MAGIC, VERSION = b"BONS", b"\x00\x01"
 STX, ETX = 2, 3
+#: Bytes of bodies that are handed on together.
+BATCH_BYTES = 8 << 20
 
 
 def packed(path: str, body: bytes) -> bytes:
@@ -24,8 +27,8 @@ def packed(path: str, body: bytes) -> bytes:
     return struct.pack(">BI", STX, len(name)) + name + struct.pack(">Q", len(body)) + body + bytes([ETX])
 
 
-def unpacked(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """The records of an archive. After a damaged one, reading goes on at the next byte that may begin a record."""
+def unpacked(data: bytes | memoryview) -> Iterator[tuple[str, bytes]]:
+    """The records of an archive, one by one. After a damaged one, reading goes on at the next byte that may begin a record."""
     if data[:4] != MAGIC:
         raise ValueError("not an archive")
     at = 6
@@ -37,10 +40,19 @@ def unpacked(data: bytes) -> Iterator[tuple[str, bytes]]:
             end = name_end + 8 + body_size
             if start != STX or end >= len(data) or data[end] != ETX:
                 raise ValueError("damaged")
-            yield data[at + 5 : name_end].decode(), data[name_end + 8 : end]
+            yield bytes(data[at + 5 : name_end]).decode(), bytes(data[name_end + 8 : end])
             at = end + 1
         except (ValueError, struct.error):
-            at = data.find(bytes([STX]), at + 1)
+            at = _next(data, at + 1)
+
+
+def _next(data: bytes | memoryview, at: int) -> int:
+    """The next byte that may begin a record, -1 if there is none."""
+    for i in range(at, len(data), BATCH_BYTES):
+        found = bytes(data[i : i + BATCH_BYTES]).find(bytes([STX]))
+        if found >= 0:
+            return i + found
+    return -1
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -49,8 +61,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def records(batches):
         for b in batches:
             for data in b.column(0):
-                rows = list(unpacked(data.as_py()))
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["path", "body"])
+                paths, bodies, size = [], [], 0
+                for name, body in unpacked(memoryview(data.as_buffer())):
+                    paths.append(name)
+                    bodies.append(body)
+                    size += len(body)
+                    if size >= BATCH_BYTES:
+                        yield pa.record_batch([pa.array(paths, pa.string()), pa.array(bodies, pa.binary())], names=["path", "body"])
+                        paths, bodies, size = [], [], 0
+                yield pa.record_batch([pa.array(paths, pa.string()), pa.array(bodies, pa.binary())], names=["path", "body"])
 
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(records, "path string, body binary")
 

@@ -16,6 +16,8 @@ from tessera.functions import text as fn
 
 #: Streams that inflate to this size or more are skipped.
 MAX_STREAM = 10 << 20
+#: DOCX parts of this size or more count as failed.
+MAX_PART = 1 << 30
 _LOCAL_FILE = b"PK\x03\x04"
 _MAIN_PART = b"word/document.xml"
 
@@ -43,7 +45,7 @@ def _text(data: bytes) -> str:
 
 def _literal(raw: bytes) -> str:
     """A string in brackets: octal escapes, then escaped brackets and backslashes."""
-    plain = re.sub(rb"\\([0-7]{3})", lambda m: bytes([int(m[1], 8) & 255]), raw)
+    plain = re.sub(rb"\\([0-7]{1,3})", lambda m: bytes([int(m[1], 8) & 255]), raw)
     return _text(re.sub(rb"\\([()\\])", rb"\1", plain))
 
 
@@ -60,7 +62,7 @@ def page_text(content: bytes) -> str:
     joined = " ".join(filter(str.strip, shown)).strip()
     if joined:
         return joined
-    plain = re.sub(r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "", _text(content))
+    plain = re.sub(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " ", _text(content))
     return " ".join(plain.split()) if re.search("[A-Za-z0-9]", plain) else ""
 
 
@@ -90,7 +92,10 @@ def main_part(data: bytes) -> bytes:
         method, size, name_len, extra = (*struct.unpack_from("<H", data, at + 8), *struct.unpack_from("<I", data, at + 18), *struct.unpack_from("<HH", data, at + 26))
         start = at + 30 + name_len + extra
         if data[at + 30 : at + 30 + name_len] == _MAIN_PART and method == 8 and size:
-            return inflated(data[start : start + size], 1 << 30) or b""
+            part = inflated(data[start : start + size], MAX_PART)
+            if part is None:
+                raise ValueError("the part can't be inflated, or is too long")
+            return part
         at = start + size
     return b""
 

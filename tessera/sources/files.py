@@ -26,7 +26,7 @@ def files(spark: SparkSession, path: str, *, exclude: Sequence[str] = (), output
         plain = F.regexp_replace("path", "^file:/+", "/")
         found = found.where((plain != out) & ~plain.startswith(out.rstrip("/") + "/"))
     for glob in exclude:
-        found = found.where(~F.col("path").rlike(fnmatch.translate(glob).replace(r"\z", r"\z")) & ~fn.title(F.col("path")).rlike(fnmatch.translate(glob)))
+        found = found.where(~F.col("path").rlike(fnmatch.translate(glob)) & ~fn.title(F.col("path")).rlike(fnmatch.translate(glob)))
     return found
 
 

@@ -25,6 +25,7 @@ def rows(names, found):
 def test_every_query_has_sql():
     assert queries.QUERIES.keys() == oracle.ORACLE_SQL.keys()
     assert entry.oracle_sql().keys() <= entry.queries().keys()
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))

@@ -19,7 +19,7 @@ def ranked(spark, query, *texts, **options):
 
 def test_postings_and_stats(spark):
     table = docs(spark, "a b A", "", "é " * 3 + "b")
-    assert sorted(tuple(r) for r in ix.postings(table).collect()) == [("a", 0, 2, [0, 4]), ("b", 0, 1, [2]), ("b", 2, 1, [9])]
+    assert sorted(tuple(r) for r in ix.postings(table).collect()) == [("a", 0, 2, 3, [0, 4]), ("b", 0, 1, 3, [2]), ("b", 2, 1, 1, [9])]
     assert sorted(tuple(r) for r in ix.doc_stats(table).collect()) == [(0, "/d/0.txt", 5, 3), (1, "/d/1.txt", 0, 0), (2, "/d/2.txt", 10, 1)]
     assert tuple(ix.corpus_stats(ix.doc_stats(table)).first()) == (3, 4, 4 / 3)
     many = ix.postings(docs(spark, "x " * 300)).first()

@@ -130,3 +130,23 @@ def test_level_stream(spark, tmp_path):
     query = st.level_stream(lines).writeStream.format("memory").queryName("levels").outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
     query.awaitTermination()
     assert sorted((r["label"], r["n"]) for r in spark.table("levels").collect()) == [("info", 2), ("warn", 1)]
+
+
+def test_config(spark, tmp_path):
+    from tessera.sources import config
+
+    path = f"{tmp_path}/settings.json"
+    assert config.load(spark, path) == config.Config()
+    mine = config.Config("a.rec", "i", 9000, config.ModelConfig("ollama", None, "small", "Be brief."))
+    config.save(spark, path, mine)
+    assert config.load(spark, path) == mine
+    for odd in ("", "{", "[1]", "null", '{"port": "no", "index_path": 3, "model": 7, "more": 1}'):
+        (tmp_path / "odd.json").write_text(odd)
+        assert config.load(spark, f"{tmp_path}/odd.json") == config.Config()
+
+
+def test_page_text_of_short_octal_escapes_and_control_characters():
+    from tessera.sources.extract import page_text
+
+    assert page_text(rb"(a\101\53\4b) Tj") == "aA+\x04b"
+    assert page_text(b"one\x01two\x7fthree") == "one two three"
