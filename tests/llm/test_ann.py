@@ -1,6 +1,7 @@
 import numpy as np
 
-from tessera.llm.ann import fitted, search
+from tessera.llm import ann
+from tessera.llm.ann import Tree, fitted, probes_for, search
 
 SCHEMA = "id long, vector array<float>, rank string"
 
@@ -47,3 +48,24 @@ def test_odd_rows_take_no_part(spark):
     assert result(search(table, table.where("id % 100 = 0"))) == brute(good, [good[0], good[3]], 10)
     assert search(table.where("false"), table).collect() == []
     assert search(table, table.where("false")).collect() == []
+
+
+def test_leaves_grow_with_the_table(spark, monkeypatch):
+    """Divided partitions keep the recall, and a query is compared with a falling share of the rows."""
+    monkeypatch.setattr(ann, "LEAF_ROWS", 300)
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 1024)
+    shares = []
+    for n in (2000, 12_000):
+        rows = clustered(n, 8, 2)
+        table = spark.createDataFrame([(i, v, "clash") for i, v in rows], SCHEMA)
+        asked = [r for r in rows if r[0] % 40 == 0]
+        got, want = result(search(table, table.where("id % 40 = 0"), sample_rows=1024)), brute(rows, asked, 10)
+        assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
+        x = np.array([v for _, v in rows])
+        sample = x[np.random.default_rng(3).permutation(n)[:1024]]
+        top = fitted(sample[::2])
+        part = top.log_p(x).argmax(1)
+        tree = Tree(top, {p: fitted(x[part == p], 32) for p in range(top.parts) if (part == p).sum() > 300})
+        probes, home = probes_for(tree, sample[::2], sample[1::2], 0.95), np.bincount(tree.home(x), minlength=tree.first[-1])
+        shares.append(home[tree.order(x[:200])[:, :probes]].sum(1).mean() / n)
+    assert shares[1] < 0.7 * shares[0]
