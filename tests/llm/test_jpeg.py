@@ -45,3 +45,76 @@ def test_hash_follows_the_picture():
 
 def test_empty_table(spark):
     assert jpeg.digests(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def encoded(rng, width, height, sampling, interval, quantiser):
+    """A baseline JPEG written bit by bit, with chroma, subsampling and AC coefficients, and the DC levels of its luma."""
+    symbols = [list(range(12)), [0x00, 0xF0, *(r << 4 | s for r in range(16) for s in range(1, 11))]]
+    lengths = [5, 9]  # of all codes of a table; the one of all ones stays free
+
+    def segment(marker, body):
+        return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+
+    hmax, vmax = sampling[0]
+    across, down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
+    out, bits = b"", []
+
+    def put(value, n):
+        bits.extend(value >> i & 1 for i in reversed(range(n)))
+
+    def flushed():
+        nonlocal bits
+        bits += [1] * (-len(bits) % 8)
+        data = bytes(int("".join(map(str, bits[i : i + 8])), 2) for i in range(0, len(bits), 8))
+        bits = []
+        return data.replace(b"\xff", b"\xff\x00")
+
+    def number(value):
+        n = abs(value).bit_length()
+        return n, value if value > 0 else value + (1 << n) - 1
+
+    luma = np.zeros((down * vmax, across * hmax), int)
+    before = [0, 0, 0]
+    for m in range(across * down):
+        if interval and m and m % interval == 0:
+            out += flushed() + bytes([0xFF, 0xD0 + (m // interval - 1) % 8])
+            before = [0, 0, 0]
+        for c, (h, v) in enumerate(sampling):
+            for b in range(h * v):
+                dc = rng.randint(-60, 60)
+                if c == 0:
+                    luma[m // across * v + b // h, m % across * h + b % h] = dc
+                n, value = number(dc - before[c])
+                before[c] = dc
+                put(symbols[0].index(n), lengths[0])
+                put(value, n)
+                k = 1
+                while k < 64 and rng.random() < 0.7:
+                    run = rng.choice([0, 0, 1, 5, 17, 40])
+                    if k + run > 63:
+                        break
+                    for _ in range(run // 16):
+                        put(symbols[1].index(0xF0), lengths[1])
+                    n, value = number(rng.choice([-900, -3, -1, 1, 2, 700]))
+                    put(symbols[1].index(run % 16 << 4 | n), lengths[1])
+                    put(value, n)
+                    k += run + 1
+                if k < 64:
+                    put(symbols[1].index(0x00), lengths[1])
+    out += flushed()
+    tables = b"".join(bytes([kind << 4 | i]) + bytes(len(symbols[kind]) if n + 1 == lengths[kind] else 0 for n in range(16)) + bytes(symbols[kind]) for kind in (0, 1) for i in (0, 1))
+    frame = bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([3]) + b"".join(bytes([c + 1, h << 4 | v, c > 0]) for c, (h, v) in enumerate(sampling))
+    scan = bytes([3]) + b"".join(bytes([c + 1, (c > 0) * 0x11]) for c in range(3)) + bytes([0, 63, 0])
+    quant = b"".join(bytes([i]) + bytes([quantiser + i] * 64) for i in (0, 1))
+    head = b"\xff\xd8" + segment(0xE0, b"JFIF\x00 and more") + segment(0xDB, quant) + segment(0xC4, tables) + (segment(0xDD, interval.to_bytes(2, "big")) if interval else b"")
+    levels = np.clip((luma * quantiser + 4 >> 3) + 128, 0, 255)[: -(-height // 8), : -(-width // 8)]
+    return head + segment(0xFE, b"a comment") + segment(0xC0, frame) + segment(0xDA, scan) + out + b"\xff\xd9", levels
+
+
+@pytest.mark.parametrize("sampling", [[(1, 1)] * 3, [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)], [(1, 2), (1, 1), (1, 1)], [(2, 2), (2, 1), (1, 2)]])
+@pytest.mark.parametrize("interval", [0, 3])
+def test_files_with_chroma_and_ac_coefficients(sampling, interval):
+    rng = random.Random(str((sampling, interval)))
+    files, want = zip(*(encoded(rng, w, h, sampling, interval, q) for w, h, q in ((64, 48, 4), (61, 33, 7), (8, 8, 3), (200, 17, 16))), strict=True)
+    for (scan,), levels in zip(jpeg.thumbnails(list(files)), want, strict=True):
+        assert scan.levels.shape == levels.shape and (scan.levels == levels).all()
