@@ -149,9 +149,13 @@ def words_of(part: Part) -> Words:
     raw, low = part.raw, np.where((part.raw >= 65) & (part.raw <= 90), part.raw + 32, part.raw)
     up, down = powers(max(len(raw) + 1, PART_BYTES))
 
-    def contexts(low: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def sums(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(_BYTE[values] * up[: len(values)], out=out[1:])
+        return out
+
+    def contexts(low: np.ndarray, total: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The keys of what stands from `first` up to each byte."""
-        total = np.r_[np.uint64(0), np.cumsum(_BYTE[low] * up[: len(low)])]
         last = np.where(first == np.arange(len(low)), 0, np.r_[np.uint8(0), low[:-1]]).astype(np.uint64)
         return mixed((total[:-1] - total[first]) * down[first]) & ~np.uint64(0xFFFF) | last << np.uint64(8)
 
@@ -160,19 +164,19 @@ def words_of(part: Part) -> Words:
         at = np.arange(len(raw))
         start = np.maximum(np.maximum.accumulate(np.where(np.r_[True, _WHITE[raw[:-1]]], at, 0)), at - WORD_BYTES)
         own, n = slice(part.lead, None), len(raw) - part.lead
-        return Words(raw[own], contexts(low, start)[own], np.ones(n, np.int64), none.astype(np.uint64), none, np.arange(n), np.minimum(at - start, GATES - 1)[own], none, none)
+        return Words(raw[own], contexts(low, sums(low), start)[own], np.ones(n, np.int64), none.astype(np.uint64), none, np.arange(n), np.minimum(at - start, GATES - 1)[own], none, none)
     end = np.flatnonzero(_WHITE[raw] | (raw == END))
     start = np.r_[0, end[:-1] + 1]
-    total = np.r_[np.uint64(0), np.cumsum(_BYTE[raw] * up[: len(raw)])]
+    total = sums(raw)
     _, one, back, times = np.unique((total[end + 1] - total[start]) * down[start], return_index=True, return_inverse=True, return_counts=True)
     size = end[one] + 1 - start[one]
     begin = np.cumsum(size) - size
     far = np.arange(size.sum()) - np.repeat(begin, size)
     at = far + np.repeat(start[one], size)
     low = low[at]
-    keys = contexts(low, np.arange(len(low)) - np.minimum(far, WORD_BYTES))
+    total = sums(low)
+    keys = contexts(low, total, np.arange(len(low)) - np.minimum(far, WORD_BYTES))
     some = size > 1
-    total = np.r_[np.uint64(0), np.cumsum(_BYTE[low] * up[: len(low)])]
     length = (size - 1)[some].astype(np.uint64)
     hashes = mixed((total[(begin + size - 1)[some]] - total[begin[some]]) * down[begin[some]] + length) & ~LOW
     every = end + 1 - start
@@ -583,10 +587,11 @@ class Mixer:
                 added.append(more)
                 held += len(others)
         if len(self.logits) < held * 255:
-            self.logits = np.concatenate([self.logits[: self.first[-1] * 255], *added, np.zeros(held * 64, np.int8)])
-        elif added:
-            own = np.concatenate(added)
-            self.logits[self.first[-1] * 255 : held * 255] = own
+            self.logits = np.concatenate([self.logits[: self.first[-1] * 255], np.zeros((held - self.first[-1]) * 300, np.int8)])
+        at = self.first[-1] * 255
+        for x in added:
+            self.logits[at : at + len(x)] = x
+            at += len(x)
         two, more, word = found[0], found[1], found[2][words.place]
         more = np.where(more == 0, two, more)
         return [two, more, np.where(word == 0, more, word)]
@@ -598,11 +603,10 @@ class Mixer:
         while edges[-1] < size.max():
             edges.append(edges[-1] + min(2 * (edges[-1] - edges[-2]), LAST_BLOCK))
         doc = np.repeat(np.arange(len(size)), size)
-        begin = np.cumsum(size) - size
-        block = np.searchsorted(edges, np.arange(len(symbol)) - begin[doc], "right") - 1
-        order = np.argsort(gate.astype(np.uint8), kind="stable")
-        for key in (doc, block):  # numbers of 16 bits are sorted in a pass
-            order = order[np.argsort(key[order].astype(np.uint16 if key.max() < 1 << 16 else np.int64), kind="stable")]
+        block_at = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        block = block_at[np.arange(len(symbol)) - np.repeat(np.cumsum(size) - size, size)]
+        place = (block * len(size) + doc) * GATES + gate
+        order = np.argsort(place.astype(np.uint16) if place.max() < 1 << 16 else place, kind="stable")  # 16 bits are sorted in a pass
         symbol, block, own = symbol[order], block[order], (doc * GATES + gate)[order]
         # numpy looks 64-bit places up far faster than others
         bases = [row[order].astype(np.int64) * 255 for row in rows]
