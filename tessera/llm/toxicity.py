@@ -40,6 +40,8 @@ SHARED_BYTES, OWN_BYTES = (4096, 8192), (512, 768, 1024)
 SEGMENT_BYTES, MATCH_BYTES = 16, 6
 #: Bytes in a row that ordinary texts must lack, and bytes that a stretch with them must gain.
 NOVEL_BYTES, NOVEL_GAIN = 5, 2
+#: Bytes in a row are usual if this share of ordinary documents has them: labels are not always right.
+USUAL_SHARE = 0.015
 #: Gains in bytes from which windows are counted.
 THRESHOLDS = (2, 3, 4, 5, 6, 7, 8)
 #: Weight of toxic against ordinary documents when the thresholds are calibrated: ordinary ones shall be left alone.
@@ -183,7 +185,8 @@ def train(rows: list[tuple[str, int]]) -> Model:
     cut = [max(1, len(x) * 2 // 3) for x in (toxic, clean)]
     plain = [w for t in clean[: cut[1]] for w in windows(t)]
     random.Random(4).shuffle(plain)
-    usual = np.unique(np.concatenate([_grams(t)[2] for t in clean[: cut[1]]]))
+    grams, documents = np.unique(np.concatenate([np.unique(_grams(t)[2]) for t in clean[: cut[1]]]), return_counts=True)
+    usual = grams[documents >= max(1, USUAL_SHARE * cut[1])]
     found = [_novel(t, usual) if len(usual) else windows(t) for t in toxic[: cut[0]]]
     rest = [(t, 1) for t in toxic[cut[0] :]] + [(t, 0) for t in clean[cut[1] :]]
     y = np.array([label for _, label in rest])
