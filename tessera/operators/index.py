@@ -186,9 +186,15 @@ def build_index(docs: DataFrame, max_offsets: int = MAX_OFFSETS) -> Index:
 
 
 def load_index(spark: SparkSession, path: str, docs: DataFrame | None = None) -> Index:
-    """docs: the documents, where the index was saved without them."""
-    postings, stats, terms, corpus = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "stats", "terms", "corpus"))
-    return Index(postings, stats, spark.read.parquet(f"{path}/documents") if docs is None else docs, True, terms, corpus)
+    """docs: the documents, where the index was saved without them. An index that a stream has made has no tables of terms
+    and of the corpus, since each batch would change them; they are counted when they are asked for."""
+
+    def table(name: str) -> DataFrame | None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        there = name in ("postings", "stats", "documents") or p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+        return spark.read.parquet(f"{path}/{name}") if there else None
+
+    return Index(table("postings"), table("stats"), table("documents") if docs is None else docs, True, table("terms"), table("corpus"))
 
 
 def load_json(spark: SparkSession, path: str, docs: DataFrame) -> Index:

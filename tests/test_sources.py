@@ -6,7 +6,9 @@ from datetime import datetime
 
 import pytest
 
+from tessera.operators import search
 from tessera.operators.catalog import Catalog, described
+from tessera.operators.index import load_index
 from tessera.operators.patterns import counts_by_type
 from tessera.sources import archive, extract, files
 from tessera.streaming import index as st
@@ -121,6 +123,8 @@ def test_index_stream(spark, folder, tmp_path_factory):
     posts = spark.read.parquet(f"{out}/index/postings")
     assert posts.where("term = 'plain'").count() == 2 and posts.where("term = 'more'").count() == 1
     assert spark.read.parquet(f"{out}/index/stats").count() == 6
+    found = search.search(load_index(spark, f"{out}/index"), "plain", k=5).collect()
+    assert len(found) == 2 and all("plain" in r["snippet"] for r in found)
 
 
 def test_level_stream(spark, tmp_path):
