@@ -96,7 +96,6 @@ def _counts(patterns: tuple[str, ...], fold: bool) -> str:
     return " UNION ALL ".join(rows)
 
 
-_BENCHMARK = r"q AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:3], ' ') AS query FROM benchmark)"
 _KIND = """CASE WHEN octet_length(b) < 4 THEN 'unknown' WHEN hex(b)[1:8] = '25504446' THEN 'pdf' WHEN hex(b)[1:8] = '504B0304' THEN 'docx'
  WHEN regexp_extract(hex(b), '^(?:20|0A|0D|09)*(..)', 1) IN ('7B', '5B') THEN 'json' WHEN hex(b)[1:4] = '2320' THEN 'markdown' ELSE 'text' END"""
 
@@ -115,7 +114,6 @@ ORACLE_SQL = {
     "corpus_stats": f"WITH {_TOKENS} SELECT n_docs, total_tokens, round(avg_len, 6) AS avg_len FROM corpus",
     "tfidf_search": f"WITH {_ranked(_TFIDF)} {_SHOWN}",
     "boosted_rerank": f"WITH {_ranked(order='score DESC, base_score DESC')} {_SHOWN}",
-    "bm25_batch": f"WITH {_ranked(asked=_BENCHMARK)} {_SHOWN}",
     "snippets": f"WITH {_snippets(120)} SELECT query_id, rank, doc_id, match_offset, snippet FROM sliced",
     "match_ranges": f"""WITH {_snippets(60)}, {_RANGES},
 firsts AS (SELECT query_id, rank, term, min(struct_pack(start := start, qi := qi)) AS f FROM found GROUP BY ALL)
@@ -123,18 +121,6 @@ SELECT s.query_id, s.rank, s.doc_id,
   coalesce((SELECT string_agg(start || '-' || (start + len(term)) || ':' || term, ' ' ORDER BY start, qi) FROM found f WHERE f.query_id = s.query_id AND f.rank = s.rank), '') AS ranges,
   coalesce((SELECT string_agg(term, ' ' ORDER BY f) FROM firsts f WHERE f.query_id = s.query_id AND f.rank = s.rank), '') AS matched
 FROM sliced s""",
-    "highlight_merge": r"""WITH t AS (SELECT conv_id, turn, lower(text[1:500]) AS s FROM conversations),
-hits AS (
-  SELECT conv_id, turn, term, unnest(string_split(s, term)) AS part, generate_subscripts(string_split(s, term), 1) AS i, len(string_split(s, term)) AS n
-  FROM t, (VALUES ('the'), ('he'), ('en'), ('ti')) v(term)),
-ranges AS (
-  SELECT conv_id, turn, a AS lo, a + len(term) AS hi FROM (
-    SELECT *, sum(len(part)) OVER (PARTITION BY conv_id, turn, term ORDER BY i) + (i - 1) * len(term) AS a FROM hits) WHERE i < n),
-marked AS (
-  SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY conv_id, turn ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM ranges),
-islands AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id, turn ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM marked),
-merged AS (SELECT conv_id, turn, island, min(lo)::BIGINT AS lo, max(hi)::BIGINT AS hi FROM islands GROUP BY ALL)
-SELECT t.conv_id, t.turn, coalesce(string_agg(lo || '-' || hi, ' ' ORDER BY lo), '') AS merged FROM t LEFT JOIN merged USING (conv_id, turn) GROUP BY ALL""",
     "pattern_counts": _counts(PATTERNS, False),
     "pattern_counts_any_case": _counts(("the", "an"), True),
     "level_counts": "SELECT event_type AS label, count(*) AS n FROM events GROUP BY ALL",
@@ -183,7 +169,8 @@ SELECT {keys}, merged FROM (SELECT r, {keys}, coalesce(string_agg(lo || '-' || h
 
 ORACLE_SQL["highlight_merge_documents"] = _merged("documents", "doc_id")
 ORACLE_SQL["highlight_merge_conversations"] = _merged("conversations", "conv_id, turn")
-ORACLE_SQL["bm25_batch_passages"] = f"WITH {_ranked(asked='q AS (SELECT item_id AS query_id, text AS query FROM benchmark)')} {_SHOWN}"
+ORACLE_SQL["highlight_merge"] = ORACLE_SQL["highlight_merge_conversations"]
+ORACLE_SQL["bm25_batch"] = ORACLE_SQL["bm25_batch_passages"] = f"WITH {_ranked(asked='q AS (SELECT item_id AS query_id, text AS query FROM benchmark)')} {_SHOWN}"
 
 #: The documents as the files of `queries._files` hold them.
 _HELD = r"""files AS (

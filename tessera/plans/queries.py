@@ -103,14 +103,12 @@ def boosted_rerank(spark, sf_dir):
 
 
 def bm25_batch(spark, sf_dir):
-    """The first three words of every benchmark passage as queries."""
-    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(fn.tokens(F.col("text")), 1, 3), " ").alias("query"))
-    return _ranked(spark, sf_dir, items)
+    """Every benchmark passage, whole, as a query: all in one job."""
+    return _ranked(spark, sf_dir, _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
 
 
-def bm25_batch_passages(spark, sf_dir):
-    """Every benchmark passage, whole, as a query."""
-    return _ranked(spark, sf_dir, _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+#: The same under its first name.
+bm25_batch_passages = bm25_batch
 
 
 def raw_search(spark, sf_dir):
@@ -139,14 +137,6 @@ def match_ranges(spark, sf_dir):
     return hits.select("query_id", "rank", "doc_id", _range_text(F.col("match_ranges")).alias("ranges"), F.array_join("matched_terms", " ").alias("matched"))
 
 
-def highlight_merge(spark, sf_dir):
-    """Merged ranges of overlapping terms over the first 500 characters of each conversation turn."""
-    turns = _table(spark, sf_dir, "conversations")
-    text = F.substring("text", 1, 500)
-    ranges = fn.merged_ranges(fn.match_ranges(text, F.array(*map(F.lit, ("the", "he", "en", "ti")))))
-    return turns.select("conv_id", "turn", F.array_join(F.transform(ranges, lambda r: F.format_string("%d-%d", r["start"], r["end"])), " ").alias("merged"))
-
-
 def _merged(spark, sf_dir, name: str, *keys: str) -> DataFrame:
     found = pt.merged_matches(_table(spark, sf_dir, name), keys, ("the", "he", "en", "ti"))
     return found.withColumn("merged", F.array_join(F.transform("merged", lambda r: F.format_string("%d-%d", r["start"], r["end"])), " "))
@@ -162,6 +152,10 @@ def highlight_merge_conversations(spark, sf_dir):
     return _merged(spark, sf_dir, "conversations", "conv_id", "turn")
 
 
+#: The same under its first name.
+highlight_merge = highlight_merge_conversations
+
+
 def pattern_counts(spark, sf_dir):
     return pt.pattern_counts(_docs(spark, sf_dir), PATTERNS)
 
@@ -341,8 +335,9 @@ def fallback_highlights(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_search, index_build, tokens, postings, term_df, doc_stats, corpus_stats, tfidf_search, boosted_rerank, bm25_batch, bm25_batch_passages, raw_search, raw_search_conversations, snippets,
-        match_ranges, highlight_merge, highlight_merge_documents, highlight_merge_conversations, pattern_counts, pattern_counts_any_case, level_counts, sniff_types, file_type_stats, clean_markup, rag_bundle, search_payloads, catalog_labels,
+        bm25_search, index_build, tokens, postings, term_df, doc_stats, corpus_stats, tfidf_search, boosted_rerank, bm25_batch, raw_search, raw_search_conversations, snippets,
+        match_ranges, highlight_merge_documents, highlight_merge_conversations, pattern_counts, pattern_counts_any_case, level_counts, sniff_types, file_type_stats, clean_markup, rag_bundle, search_payloads, catalog_labels,
         extraction, counts_by_type, counts_by_type_levels, archive_round_trip, ndjson_export, plain_listing, prompts, answers, search_payload_results, preview_positions, range_validation, plain_texts, titles, top_types, fallback_highlights,
     )
 }
+QUERIES |= {"bm25_batch_passages": bm25_batch_passages, "highlight_merge": highlight_merge}
