@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op9_learned_partitions
 from .bpe import op5_byte_bpe
+from .infill import OP13_SQL, op13_fill_in_middle
 from .jaccard import OP2_SQL, op2_jaccard_prefix
 from .jpeg import op3_baseline_jpeg
 from .lines import OP7_SQL, op7_line_dedup
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_piece_counts": op8_piece_counts,
     "op9_learned_partitions": op9_learned_partitions,
     "op10_weighted_fair_mix": op10_weighted_fair_mix,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_jaccard_prefix": OP2_SQL,
     "op7_line_dedup": OP7_SQL,
     "op10_weighted_fair_mix": OP10_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }

@@ -20,6 +20,7 @@ COLUMNS = {
     "op8": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     "op9": ["query_id", "rank", "vec_id", "score"],
     "op10": ["doc_id", "size", "source_size", "target", "taken"],
+    "op13": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
 }
 
 
@@ -71,6 +72,8 @@ def test_query(spark, tables, name):
                 assert r["n_tokens"] == len(t.split()) + 1 and r["score"] < 0
             case "op8":
                 assert r["n_bytes"] == len(t) and r["over_limit"] == (r["n_tokens"] > 4096)
+            case "op13":
+                assert r["restored_sha256"] == hashlib.sha256(t).hexdigest() and r["n"] == len(text[r["doc_id"]])
             case "op10":
                 assert r["size"] == len(t.split()) and 0 <= r["taken"] <= 3 * r["size"]
     if op == "op2":
