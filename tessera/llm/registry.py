@@ -13,6 +13,7 @@ from .mixing import OP10_SQL, op10_weighted_fair_mix
 from .sharding import op1_kd_shards
 from .token_counts import op8_piece_counts
 from .toxicity import op4_compression_toxicity
+from .vector_codes import OP12_SQL, op12_segment_mean_codes
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
@@ -25,11 +26,13 @@ QUERIES = {
     "op8_piece_counts": op8_piece_counts,
     "op9_learned_partitions": op9_learned_partitions,
     "op10_weighted_fair_mix": op10_weighted_fair_mix,
+    "op12_segment_mean_codes": op12_segment_mean_codes,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_jaccard_prefix": OP2_SQL,
     "op7_line_dedup": OP7_SQL,
     "op10_weighted_fair_mix": OP10_SQL,
+    "op12_segment_mean_codes": OP12_SQL,
     "op13_fill_in_middle": OP13_SQL,
 }

@@ -20,6 +20,7 @@ COLUMNS = {
     "op8": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     "op9": ["query_id", "rank", "vec_id", "score"],
     "op10": ["doc_id", "size", "source_size", "target", "taken"],
+    "op12": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
     "op13": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
 }
 
@@ -51,6 +52,9 @@ def test_query(spark, tables, name):
     assert out.columns == COLUMNS[op]
     found = out.collect()
     assert run(spark, tables[1]).collect() == []
+    if op == "op12":
+        assert sorted(str(r["vec_id"]) for r in found) == sorted([*map(str, range(300)), "500", "None"]) and {len(r["code"]) for r in found} == {32}
+        return
     if op == "op9":
         assert {r["query_id"] for r in found} == {0, 100, 200} and len(found) == 30
         return
