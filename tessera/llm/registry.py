@@ -14,6 +14,7 @@ from .sharding import op1_kd_shards
 from .token_counts import op8_piece_counts
 from .toxicity import op4_compression_toxicity
 from .vector_codes import OP12_SQL, op12_segment_mean_codes
+from .wrappers import op11_inferred_wrappers
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_piece_counts": op8_piece_counts,
     "op9_learned_partitions": op9_learned_partitions,
     "op10_weighted_fair_mix": op10_weighted_fair_mix,
+    "op11_inferred_wrappers": op11_inferred_wrappers,
     "op12_segment_mean_codes": op12_segment_mean_codes,
     "op13_fill_in_middle": op13_fill_in_middle,
 }

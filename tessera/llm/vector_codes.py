@@ -132,7 +132,9 @@ def kept_vectors(rows: DataFrame, vector_col: str = "embedding") -> DataFrame:
 def _start(rows: DataFrame, id_col: str, vector_col: str, entries: int, parts: int, scale: float) -> tuple[int, Codebooks]:
     first = rows.orderBy(F.col(id_col).asc_nulls_last(), vector_col).limit(entries).select(vector_col).collect()  # `entries` rows
     dim = len(first[0][0]) if first else 0
-    x = _padded(integers(np.array([r[0] for r in first if len(r[0]) == dim], np.float64).reshape(-1, dim), scale), parts)
+    if not dim:
+        return 0, Codebooks((), scale)
+    x = _padded(integers(np.array([r[0] for r in first if len(r[0]) == dim], np.float64), scale), parts)
     return dim, Codebooks(tuple(np.split(x, parts, axis=1)), scale)
 
 

@@ -20,6 +20,7 @@ COLUMNS = {
     "op8": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     "op9": ["query_id", "rank", "vec_id", "score"],
     "op10": ["doc_id", "size", "source_size", "target", "taken"],
+    "op11": ["page_id", "url", "text", "n_chars"],
     "op12": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
     "op13": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
 }
@@ -38,8 +39,9 @@ def tables(spark, tmp_path_factory):
     full, none = (str(tmp_path_factory.mktemp(n)) for n in ("full", "none"))
     labels = [(i, i % 2, int(i % 7 == 0)) for i in range(0, 150, 2)] + [(1, None, None), (None, 1, 1)]
     vectors = [(i, [float((i * 37 + j * 11) % 17) for j in range(4)], 0) for i in range(300)] + [(400, None, 1), (500, [0.0] * 4, 1), (None, [1.0] * 4, 1)]
+    pages = [(i, f"http://h{i % 3}.example.com/{i}", f"<nav>menu</nav><article><p>page {i}</p></article>") for i in range(30)] + [(30, None, None), (None, "", "")]
     for folder, some in ((full, slice(None)), (none, slice(0))):
-        for name, values, schema in (("documents", rows(), DOCUMENTS), ("labels", labels, "doc_id long, quality int, toxic int"), ("embeddings", vectors, "vec_id long, embedding array<float>, label int")):
+        for name, values, schema in (("documents", rows(), DOCUMENTS), ("labels", labels, "doc_id long, quality int, toxic int"), ("embeddings", vectors, "vec_id long, embedding array<float>, label int"), ("pages", pages, "page_id long, url string, html string")):
             spark.createDataFrame(values[some], schema).write.parquet(f"{folder}/{name}.parquet")
     return full, none
 
@@ -52,6 +54,9 @@ def test_query(spark, tables, name):
     assert out.columns == COLUMNS[op]
     found = out.collect()
     assert run(spark, tables[1]).collect() == []
+    if op == "op11":
+        assert {r["page_id"]: r["text"] for r in found} == {**{i: f"page {i}" for i in range(30)}, 30: "", None: ""}
+        return
     if op == "op12":
         assert sorted(str(r["vec_id"]) for r in found) == sorted([*map(str, range(300)), "500", "None"]) and {len(r["code"]) for r in found} == {32}
         return
