@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +66,28 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def set_aside(rows: DataFrame, own: Sequence[str] = (), replaced: Sequence[str] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """`rows` with every column but `own` under a name that no helper column of an operator has, and these names by the old
+    ones, in order; columns that the operator replaces are left out. So extra columns of any name can be carried along."""
+    own_names, gone = {c.lower() for c in own}, {c.lower() for c in replaced}
+    taken = {c.lower() for c in rows.columns}
+    names: dict[str, str] = {}
+    for i, c in enumerate(rows.columns):
+        if c.lower() in own_names:
+            names[c] = c
+        elif c.lower() not in gone:
+            new = f"carried{i}"
+            while new in taken:
+                new += "_"
+            names[c] = new
+    return rows.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def put_back(rows: DataFrame, names: dict[str, str], *others: str) -> DataFrame:
+    """The columns under their old names, in their old order, then others."""
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()], *others)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case; other letters stay."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, fresh, sliced, written
+from .common import documents, put_back, set_aside, sliced, written
 from .shingles import groups, hashed, mixed, powers
 
 MIN_WORDS, NEAR_WORDS = 5, 10
@@ -170,6 +170,11 @@ def deduplicated(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int
     that agree in doc_id and text are one document, and keep the same lines. Columns named n_lines or dropped_lines are
     replaced, others kept. An empty table gives no rows.
     """
+    aside, names = set_aside(docs, ["doc_id", "text"], ["n_lines", "dropped_lines"])
+    return put_back(_deduplicated(aside, min_words, near_words), names, "n_lines", "dropped_lines")
+
+
+def _deduplicated(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     own = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "line_no")
     distinct = _lines(own, min_words, near_words).groupBy("h", "g").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("halves").alias("halves"))
@@ -192,8 +197,8 @@ def deduplicated(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int
 
 
 def _rebuilt(docs: DataFrame, kept: DataFrame, min_words: int) -> DataFrame:
-    columns = [c for c in docs.columns if c not in ("n_lines", "dropped_lines")]
-    lines = fresh(docs, "kept_lines")
+    columns = docs.columns
+    lines = "kept_lines"
     schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("n_lines", T.LongType()), T.StructField("dropped_lines", T.ArrayType(T.LongType()))])
     text_at = columns.index("text")
 

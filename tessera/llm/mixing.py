@@ -18,7 +18,7 @@ from math import ceil, sqrt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, n_words, shuffle_key, slice_of, written
+from .common import documents, fresh, n_words, put_back, set_aside, shuffle_key, slice_of, written
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -60,10 +60,19 @@ def mix(docs: DataFrame, *, size_col: str | None = None, order_col: str | None =
     partitioning; of rows that are equal in doc_id, text and source any may be taken, which can't be told apart.
     Columns of those names are replaced; others are kept. An empty table gives an empty mix.
     """
+    fixed = ["doc_id", "source"] + (["text"] if not (size_col and order_col) else [])
+    outputs = ["size", "source_size", "target", "copies"]
+    needed = docs if not size_col else docs.withColumn(measured := fresh(docs, "measured"), F.col(size_col))  # which may be one of the outputs
+    aside, names = set_aside(needed, fixed, [*outputs, "taken"])
+    out = _mix(aside, names[measured] if size_col else None, names[order_col] if order_col else None, weights, budget_share, max_repeats)
+    return put_back(out, {c: n for c, n in names.items() if not size_col or c != measured}, *outputs)
+
+
+def _mix(docs: DataFrame, size_col: str | None, order_col: str | None, weights: Sequence[float], budget_share: float, max_repeats: int) -> DataFrame:
     key, part, first, cum = (fresh(docs, x) for x in ("_key", "_slice", "_first", "_cum"))
     size = F.col(size_col).cast("long") if size_col else n_words(F.col("text"))
     order = F.col(order_col) if order_col else shuffle_key(F.col("doc_id"), F.col("text"))
-    sized = docs.withColumns({"size": F.coalesce(size, F.lit(0)), key: order}).drop("source_size", "target", "copies", "taken")
+    sized = docs.withColumns({"size": F.coalesce(size, F.lit(0)), key: order})
 
     targets = written(source_targets(sized.select("source", "size"), weights, budget_share, max_repeats), "mix-targets")
     budget, n_rows = targets.agg(F.sum("source_size") * F.lit(float(budget_share)), F.sum("n_rows")).first()
@@ -100,13 +109,13 @@ def mix(docs: DataFrame, *, size_col: str | None = None, order_col: str | None =
         return F.when(here < there, 1).otherwise(0)
 
     copies = F.when((F.col("size") > 0) & (F.col("target") > 0), sum((taken(i) for i in range(max_repeats)), F.lit(0))).otherwise(0)
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    return queued.select(*kept, "size", "source_size", "target", copies.alias("copies"))
+    return queued.select(*docs.columns, "size", "source_size", "target", copies.alias("copies"))
 
 
 def repeated(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The mix itself: every row of `mix` as often as it is taken, in the columns named."""
-    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    copy = fresh(mixed, "copy")
+    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copy)).drop(copy)
 
 
 def op10_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_of, documents, dropped, fresh, shuffle_key, slice_of, written
+from .common import crc32_of, documents, dropped, fresh, put_back, set_aside, shuffle_key, slice_of, written
 
 VALUE_BITS, TIE_BITS, STEP_BITS = 20, 30, 10
 #: The middle bin of a split may hold this share of the node's bytes when the descent ends.
@@ -45,9 +45,16 @@ def shards(rows: DataFrame, dimensions: Sequence[str], *, size_col: str, text_ha
 
     Give `n_shards`, or `target_bytes` for as many leaves as bring each to that size. text_hash and row_hash name
     columns of `shuffle_key`. Nulls in a dimension come before its values; a dimension of one value is never cut
-    while another has two. An empty table gives no rows; with fewer rows than shards some shards stay empty.
+    while another has two. An empty table gives no rows; with fewer rows than shards some shards stay empty. Repeated rows have
+    shards and slots of their own. Columns named shard or slot are replaced, others kept.
     """
-    spark = rows.sparkSession
+    sized = rows.withColumn(measured := fresh(rows, "measured"), F.col(size_col))  # which may be a dimension, or be replaced
+    aside, names = set_aside(sized, (), ["shard", "slot"])
+    out = _shards(aside, [names[d] for d in dimensions], names[measured], names[text_hash], names[row_hash], n_shards, target_bytes, tolerance)
+    return put_back(out, {c: n for c, n in names.items() if c != measured}, "shard", "slot")
+
+
+def _shards(rows: DataFrame, dimensions: Sequence[str], size_col: str, text_hash: str, row_hash: str, n_shards: int | None, target_bytes: int | None, tolerance: float) -> DataFrame:
     names = [fresh(rows, f"_place{i}") for i in range(len(dimensions))]
     tie, want = fresh(rows, "_tie"), fresh(rows, "_want")
     kinds = dict(rows.dtypes)
@@ -83,7 +90,6 @@ def shards(rows: DataFrame, dimensions: Sequence[str], *, size_col: str, text_ha
         level += 1
         if level % LEVELS_A_TABLE == 0:
             placed = written(placed, "shards-placed")
-    del spark
     return _with_slots(placed.drop(*names, tie, want), row_hash)
 
 
