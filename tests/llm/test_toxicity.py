@@ -1,6 +1,7 @@
 import random
 import zlib
 
+from tessera.llm import toxicity
 from tessera.llm.toxicity import scored, train, training_rows, windows
 
 RNG = random.Random(8)
@@ -54,3 +55,43 @@ def test_windows_hold_the_whole_text():
     text = "One two\tthree " * 50
     assert b" ".join(w.strip() for w in windows(text)).split() == text.lower().encode().split()
     assert windows(None) == windows(" ") == []
+
+
+def slow_gains(texts, ordinary, toxic):
+    """Window by window with two compressors made from the dictionaries, by the docstring's words."""
+    import zstandard as z
+
+    how = {"strategy": z.STRATEGY_LAZY2, "min_match": 4, "window_log": 15, "hash_log": 15, "chain_log": 15, "search_log": 6, "write_content_size": 0, "write_dict_id": 0}
+    sizes = []
+    for side in (ordinary, toxic):
+        params = z.ZstdCompressionParameters.from_level(9, **how)
+        sizes.append(lambda x, side=side, params=params: len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(side, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params).compress(x)))
+    out = []
+    for t in texts:
+        words, runs, run, n = (t or "").encode().lower().split(), [], [], 0
+        for w in words:
+            run.append(w)
+            n += len(w) + 1
+            if n >= toxicity.WINDOW_BYTES:
+                runs.append(run)
+                run, n = [], 0
+        runs += [run] if run else []
+        found = {}
+        for r in runs:
+            x = ordinary[-24:] + b" " + b" ".join(r) + b" " + ordinary[-24:][:12]
+            gain = sizes[0](x) - sizes[1](x)
+            if gain > 0:
+                found[gain] = found.get(gain, 0) + 1
+        out.append((found, len(runs)))
+    return out
+
+
+def test_gains_like_window_by_window():
+    rng = random.Random(8)
+    usual = [f"word{i}" for i in range(200)]
+    bad = ["vileness", "grimgram", "snarlot"]
+    rows = [(" ".join(rng.choices(usual + bad * 5 * y, k=rng.randint(5, 80))), y) for y in [0, 1] * 60]
+    model = toxicity.train(rows)
+    assert model.ordinary and model.toxic
+    texts = [t for t, _ in rows] + [None, "", "É" * 90, "vileness " * 50, "one"]
+    assert [(dict(g), n) for g, n in toxicity.gains(texts, model.ordinary, model.toxic)] == slow_gains(texts, model.ordinary, model.toxic)

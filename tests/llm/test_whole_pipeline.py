@@ -3,12 +3,14 @@
 import base64
 import hashlib
 import random
+from collections import Counter
 
 import duckdb
 import public_tokenizers
 import tiktoken
 from test_jaccard import brute as near_groups
 from test_lines import brute as lines_of
+from test_toxicity import slow_gains
 
 import corpus_pipeline
 from tessera.llm import toxicity
@@ -39,7 +41,9 @@ def corpus():
 
 
 def slow(rows, model):
-    kept = [(d, t, s) for d, t, _, s, _, _ in rows if model.score([t])[0] < 0.5]
+    slow_model = [toxicity._features(Counter(g), n) for g, n in slow_gains([t for _, t, *_ in rows], model.ordinary, model.toxic)]
+    odds = [sum(a * b for a, b in zip(x, model.weights, strict=True)) for x in slow_model]
+    kept = [(d, t, s) for (d, t, _, s, _, _), o in zip(rows, odds, strict=True) if o < 0]
     # lines
     done = lines_of([(d, t) for d, t, _ in kept])
     kept = [(d, done[d][0], s) for d, t, s in kept if not (done[d][1] and not done[d][0].strip())]
