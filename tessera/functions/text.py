@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A token: a run of ASCII letters and digits; every other byte separates.
 TOKEN = "[A-Za-z0-9]+"
@@ -113,16 +117,25 @@ def valid_ranges(ranges: Column) -> Column:
     return F.filter(ranges, lambda r: r["start"].isNotNull() & r["end"].isNotNull() & (r["start"] >= 0) & (r["end"] > r["start"]))
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with a value that is computed once, however often it stands in it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def merged_ranges(ranges: Column) -> Column:
-    """Ranges (start, end) by start, those that overlap or touch made one."""
-    plain = F.array_sort(F.transform(valid_ranges(ranges), lambda r: F.struct(r["start"].cast("int").alias("start"), r["end"].cast("int").alias("end"))))
+    """Ranges (start, end) by start, those that overlap or touch made one.
 
-    def put(done: Column, r: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= r["start"]), joined).otherwise(F.concat(done, F.array(r)))
+    With starts and ends sorted by themselves there is a gap before the i-th start just if as many ranges have ended below
+    it as have begun, so that one look at each range is enough."""
+    valid = valid_ranges(ranges)
+    starts, ends = F.array_sort(F.transform(valid, lambda r: r["start"].cast("int"))), F.array_sort(F.transform(valid, lambda r: r["end"].cast("int")))
 
-    return F.aggregate(plain, F.array().cast("array<struct<start:int,end:int>>"), put)
+    def islands(both: Column) -> Column:
+        first = F.filter(both["s"], lambda x, i: (i == 0) | (x > F.get(both["e"], i - 1)))
+        last = F.filter(both["e"], lambda x, i: (i == F.size(both["e"]) - 1) | (F.get(both["s"], i + 1) > x))
+        return F.zip_with(first, last, lambda s, e: F.struct(s.alias("start"), e.alias("end")))
+
+    return _with(F.struct(starts.alias("s"), ends.alias("e")), islands)
 
 
 def highlight_terms(query: Column) -> Column:
@@ -130,17 +143,26 @@ def highlight_terms(query: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(query), r"\s+")), lambda t: t != "")
 
 
-def fallback_ranges(text: Column, terms: Column) -> Column:
-    """Of an array of lower-case terms all places in a text, whatever their case and overlapping ones included, those that
-    overlap or touch made one: what to mark where no match ranges are known."""
-    low = F.lower(text)
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def _every_place(low: pd.Series, terms: pd.Series) -> pd.Series:
+    def places(text: str | None, words: Sequence[str] | None) -> list[dict[str, int]] | None:
+        if text is None or words is None:
+            return None
+        found = []
+        for w in words:
+            at = text.find(w) if w else -1
+            while at >= 0:
+                found.append({"start": at, "end": at + len(w)})
+                at = text.find(w, at + 1)
+        return found
+
+    return pd.Series([places(t, w) for t, w in zip(low, terms, strict=True)], dtype=object)
 
-    def places(t: Column) -> Column:
-        last = F.length(low) - F.length(t) + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(F.filter(starts, lambda i: F.substring(low, i, F.length(t)) == t), lambda i: F.struct((i - 1).alias("start"), (i - 1 + F.length(t)).alias("end")))
 
-    return merged_ranges(F.flatten(F.transform(terms, places)))
+def fallback_ranges(text: Column, terms: Column) -> Column:
+    """Of an array of lower-case terms all places in a text, whatever their case and overlapping ones included, those that
+    overlap or touch made one: what to mark where no match ranges are known. A text is walked once a term."""
+    return merged_ranges(_every_place(F.lower(text), terms))
 
 
 def overlapping_count(text: Column, pattern: str, *, ignore_case: bool = False) -> Column:

@@ -18,10 +18,14 @@ from pyspark.sql import types as T
 
 from tessera.functions import text as fn
 
+from . import packed
+
 #: Offsets that a posting keeps, the first ones; its tf counts all.
 MAX_OFFSETS = 128
 #: Bytes of bodies that are tokenised together, one document at least.
 BATCH_BYTES = 4 << 20
+#: Bytes of a row group of packed postings: what a lookup reads at least.
+ROW_GROUP = 8 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_TOKEN = np.isin(_LOWER, np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
@@ -33,9 +37,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.nd
     part = (np.cumsum(size) - size) // BATCH_BYTES
     cuts = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)]).tolist(), len(part)]
     for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-        bodies = batch.column(1).slice(i, j - i).fill_null(b"")
-        at = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + j - i + 1].astype(np.int64)
-        yield batch.column(0).slice(i, j - i), np.frombuffer(bodies.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+        yield batch.column(0).slice(i, j - i), *packed.bytes_of(batch.column(1).slice(i, j - i).fill_null(b""))
 
 
 def _found(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -66,10 +68,12 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "body").mapInArrow(run, schema)
 
 
-def _grouped(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+def _grouped(raw: np.ndarray, at: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     """Offsets in the order of documents and terms; where each pair of them begins (and the end), its document, its term,
-    and the tokens of each document."""
+    and the tokens of each document. places: offsets in tokens in place of bytes."""
     doc, off, terms = _found(raw, at)
+    if places:
+        off = np.arange(len(doc)) - np.searchsorted(doc, doc)
     coded = terms.dictionary_encode()
     code = np.asarray(coded.indices).astype(np.int64)
     key = doc * max(1, len(coded.dictionary)) + code
@@ -80,16 +84,16 @@ def _grouped(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return off[order], cut, doc[one], coded.dictionary.take(pa.array(code[one])), np.bincount(doc, minlength=len(at) - 1)
 
 
-def postings(docs: DataFrame, max_offsets: int = MAX_OFFSETS) -> DataFrame:
-    """term, doc_id, tf, token_count (of the document) and offsets (the first max_offsets) of every term of every document
-    (doc_id, body). A document's tokens are all in its own row, so that nothing is shuffled."""
+def postings(docs: DataFrame, max_offsets: int = MAX_OFFSETS, *, places: bool = False) -> DataFrame:
+    """term, doc_id, tf, token_count (of the document) and offsets (the first max_offsets, in bytes; places: in tokens) of every
+    term of every document (doc_id, body). A document's tokens are all in its own row, so that nothing is shuffled."""
     columns = [T.StructField("tf", T.LongType()), T.StructField("token_count", T.LongType()), T.StructField("offsets", T.ArrayType(T.LongType()))]
     schema = T.StructType([T.StructField("term", T.StringType()), docs.schema["doc_id"], *columns])
 
     def run(batches):
         for b in batches:
             for ids, raw, at in _slices(b):
-                off, cut, doc, terms, counts = _grouped(raw, at)
+                off, cut, doc, terms, counts = _grouped(raw, at, places)
                 tf = np.diff(cut)
                 kept = np.minimum(tf, max_offsets)
                 if (kept < tf).any():
@@ -136,7 +140,8 @@ class Index:
     """Tables of an index. documents (doc_id, body, ...) is read for the rows that a search returns only.
 
     stored: postings are columns on disk, so that offsets can be read for these rows only, too. terms (term, df) and corpus
-    (one row) spare a search from counting them again."""
+    (one row) spare a search from counting them again. blocks: the postings packed, so that a search reads those only that
+    can hold its best documents; `postings` unpacks them all."""
 
     postings: DataFrame
     stats: DataFrame
@@ -144,6 +149,7 @@ class Index:
     stored: bool = False
     terms: DataFrame | None = None
     corpus: DataFrame | None = None
+    blocks: DataFrame | None = None
 
     def size(self) -> tuple[int, float]:
         """Number of documents and their mean tokens."""
@@ -152,14 +158,20 @@ class Index:
 
     def save(self, path: str, *, with_documents: bool = False) -> None:
         """As Parquet: postings and terms in the order of terms, documents, if asked for, in that of doc_id, so that a
-        lookup reads few row groups. Postings are computed once and sorted from what was written."""
+        lookup reads few row groups. Postings are computed once and sorted from what was written; they are packed into
+        blocks where doc_ids are whole numbers, and stay as they are elsewhere."""
         spark = self.postings.sparkSession
         self.postings.write.mode("overwrite").parquet(f"{path}/unsorted")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
         if with_documents:
             _sorted(self.documents, "doc_id").parquet(f"{path}/documents")
         unsorted = spark.read.parquet(f"{path}/unsorted")
-        _sorted(unsorted, "term", "doc_id").parquet(f"{path}/postings")
+        if packed.packable(unsorted):
+            rows = unsorted.withColumn("doc_id", F.col("doc_id").cast("long"))
+            made = packed.blocks(rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
+            made.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(f"{path}/blocks")
+        else:
+            _sorted(unsorted, "term", "doc_id").parquet(f"{path}/postings")
         _sorted(unsorted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").parquet(f"{path}/terms")
         corpus_stats(spark.read.parquet(f"{path}/stats")).write.mode("overwrite").parquet(f"{path}/corpus")
         old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/unsorted")
@@ -180,9 +192,9 @@ def documents_of(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return texts.select(F.col(id_col).alias("doc_id"), fn.utf8_bytes(F.coalesce(F.col(text_col), F.lit(""))).alias("body"))
 
 
-def build_index(docs: DataFrame, max_offsets: int = MAX_OFFSETS) -> Index:
+def build_index(docs: DataFrame, max_offsets: int = MAX_OFFSETS, *, places: bool = False) -> Index:
     """An index of documents (doc_id, body) that is computed when it is used; save it to compute it once."""
-    return Index(postings(docs, max_offsets), doc_stats(docs), docs)
+    return Index(postings(docs, max_offsets, places=places), doc_stats(docs), docs)
 
 
 def load_index(spark: SparkSession, path: str, docs: DataFrame | None = None) -> Index:
@@ -191,10 +203,12 @@ def load_index(spark: SparkSession, path: str, docs: DataFrame | None = None) ->
 
     def table(name: str) -> DataFrame | None:
         p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        there = name in ("postings", "stats", "documents") or p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+        there = name in ("stats", "documents") or p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
         return spark.read.parquet(f"{path}/{name}") if there else None
 
-    return Index(table("postings"), table("stats"), table("documents") if docs is None else docs, True, table("terms"), table("corpus"))
+    blocks = table("blocks")
+    postings = spark.read.parquet(f"{path}/postings") if blocks is None else packed.unpacked(blocks).drop("block")
+    return Index(postings, table("stats"), table("documents") if docs is None else docs, True, table("terms"), table("corpus"), blocks)
 
 
 def load_json(spark: SparkSession, path: str, docs: DataFrame) -> Index:

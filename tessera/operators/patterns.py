@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
 
+from . import automaton
+
 _LEVEL = r'"level":[^"]*"([^"]*)"'
 
 
@@ -20,12 +22,23 @@ def _sums(rows: DataFrame, counts: dict[str, Column]) -> DataFrame:
 
 def pattern_counts(docs: DataFrame, patterns: Sequence[str], *, ignore_case: bool = False) -> DataFrame:
     """label and n: how often each literal occurs in the bytes of all documents (doc_id, body), overlapping places
-    included; those that never occur have 0. One pass over the table, sums combined before the shuffle."""
+    included; those that never occur have 0. ignore_case: of ASCII letters. One pass over the table, whatever the number
+    of literals, counts combined before the shuffle."""
     if not patterns:
         raise ValueError("no patterns")
-    view = fn.byte_view(F.col("body"))
-    counts = {p: fn.overlapping_count(view, p.encode().decode("latin-1"), ignore_case=ignore_case) for p in dict.fromkeys(patterns)}
-    return _sums(docs, counts)
+    view, labels = fn.byte_view(F.col("body")), list(dict.fromkeys(patterns))
+    folded = [_bytes_in(p, ignore_case) for p in labels]
+    literals = [p for p in dict.fromkeys(folded) if p]
+    found = automaton.counts(docs.select((fn.lower_ascii(view) if ignore_case else view).alias("text")), literals)
+    place = {p: i for i, p in enumerate(literals)}
+    asked = docs.sparkSession.createDataFrame([(label, place.get(p)) for label, p in zip(labels, folded, strict=True)], "label string, nth long")
+    return asked.join(found, "nth", "left").select("label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def _bytes_in(pattern: str, ignore_case: bool) -> str:
+    """A literal's bytes as characters, as in `byte_view`."""
+    view = pattern.encode().decode("latin-1")
+    return "".join(c.lower() if c.isascii() else c for c in view) if ignore_case else view
 
 
 def level_counts(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
+from tessera.sources.scratch import drop, written
 
+from . import automaton, packed, pruning
 from .index import Index
 
 K1, B, PROXIMITY_WEIGHT = 1.2, 0.75, 0.3
@@ -20,6 +22,8 @@ PUSHED_TERMS = 200
 #: Result rows, k for each query, that are broadcast to the scan of bodies; more are joined by shuffling. Of so few
 #: documents the doc_ids reach the scan as a filter, one by one.
 BROADCAST_ROWS, PUSHED_DOCS = 50_000, 500
+#: Postings of the queries' terms from which on a search looks first which blocks of them it needs.
+PRUNED_POSTINGS = 1_000_000
 
 
 def queries_of(spark: SparkSession, query: str | DataFrame) -> DataFrame:
@@ -54,15 +58,32 @@ def _looked_up(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.join(terms.select("term").distinct(), "term", "left_semi")
 
 
-def _parts(hit: DataFrame, index: Index, terms: DataFrame, use_bm25: bool, k1: float, b: float) -> DataFrame:
-    """query_id, qi, doc_id and the term's score, for every term of every query in every document; offsets if `hit` has
-    them."""
-    n_docs, avg_len = index.size()
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if index.terms is None else _looked_up(index.terms, terms)
-    weights = terms.join(df, "term").withColumn("idf", idf(F.lit(n_docs), F.col("df")))
-    rows = hit.join(weights, "term")
-    score = bm25(F.col("tf"), F.col("token_count"), F.lit(avg_len), F.col("idf"), k1, b) if use_bm25 else tf_idf(F.col("tf"), F.col("token_count"), F.col("idf"))
-    return rows.select("query_id", "doc_id", F.struct("qi", score.alias("part"), "term", *(c for c in hit.columns if c == "offsets")).alias("part"))
+def scorer(use_bm25: bool, k1: float, b: float, avg_len: float) -> pruning.Score:
+    """The score of a term in a document as a function of its tf, the document's tokens and the term's idf."""
+    if use_bm25:
+        return lambda tf, length, weight: bm25(tf, length, F.lit(avg_len), weight, k1, b)
+    return tf_idf
+
+
+def weighted(index: Index, terms: DataFrame, n_docs: int) -> DataFrame:
+    """query_id, qi, term and idf of the queries' terms that the index has."""
+    if index.terms is None:
+        df = _looked_up(index.postings.select("term"), terms).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    else:
+        df = _looked_up(index.terms, terms)
+    return terms.join(df, "term").select("query_id", "qi", "term", idf(F.lit(n_docs), F.col("df")).alias("idf"))
+
+
+def _hits(index: Index, terms: DataFrame, *, with_offsets: bool) -> DataFrame:
+    """The postings of all terms of all queries; those of a packed index with their blocks."""
+    if index.blocks is not None:
+        return packed.unpacked(_looked_up(index.blocks, terms), with_offsets=with_offsets)
+    rows = _looked_up(index.postings, terms)
+    return rows if with_offsets else rows.drop("offsets")
+
+
+def _worth_it(index: Index, terms: DataFrame) -> bool:
+    return index.terms is not None and (_looked_up(index.terms, terms).agg(F.sum("df").alias("n")).first()["n"] or 0) >= PRUNED_POSTINGS
 
 
 def proximity(places: Column) -> Column:
@@ -84,19 +105,35 @@ def boosted(score: Column, gap: Column, weight: float = PROXIMITY_WEIGHT) -> Col
     return F.when(gap.isNull(), score).otherwise(score * (1 + F.lit(weight) / (1 + F.log1p(gap))))
 
 
-def ranked(index: Index, query: str | DataFrame, *, k: int | None = RESULTS, use_bm25: bool = True, k1: float = K1, b: float = B, proximity_weight: float = PROXIMITY_WEIGHT, rerank: bool = False) -> DataFrame:
+def ranked(index: Index, query: str | DataFrame, *, k: int | None = RESULTS, use_bm25: bool = True, k1: float = K1, b: float = B, proximity_weight: float = PROXIMITY_WEIGHT, rerank: bool = False, prune: bool | None = None) -> DataFrame:
     """query_id, rank, doc_id, base_score, score (with the proximity boost), gap, match_offset, terms.
 
     Ranks and the cut after k follow the base score, ties the boosted one, then doc_id; with rerank both follow the
     boosted score first. k None: no cut.
+
+    prune: read only the blocks of a packed index that can hold one of the k best by base score, which gives the same rows;
+    None: if the terms have PRUNED_POSTINGS or more. Scores must fall with a document's length and grow with tf (k1 from 0
+    on, b from 0 to 1), else all are read.
     """
     if k is not None and k < 0:
         raise ValueError("k must not be negative")
     terms = query_terms(queries_of(index.postings.sparkSession, query))
-    hit = _looked_up(index.postings, terms)
     cut = k is not None and not rerank
     later = cut and index.stored
-    rows = _parts(hit.drop("offsets") if later else hit, index, terms, use_bm25, k1, b)
+    n_docs, avg_len = index.size()
+    score, weights = scorer(use_bm25, k1, b, avg_len), weighted(index, terms, n_docs)
+    can = cut and k and index.blocks is not None and k1 >= 0 and 0 <= b <= 1
+    used = []
+    if can and (_worth_it(index, terms) if prune is None else prune):
+        blocks = _looked_up(index.blocks, terms)
+        placed, folder = written(pruning.in_cells(blocks, weights, score), "cells")
+        wanted = pruning.promising(blocks, placed, weights, k, score)
+        rows = pruning.read(blocks, wanted).join(wanted, ["term", "block"])
+        used.append(folder)
+    else:
+        rows = _hits(index, terms, with_offsets=not later).join(weights, "term")
+    part = score(F.col("tf"), F.col("token_count"), F.col("idf"))
+    rows = rows.select("query_id", "doc_id", F.struct("qi", part.alias("part"), "term", *(c for c in rows.columns if c in ("block", "offsets"))).alias("part"))
     # sums in a fixed order, so that equal documents have equal scores; rows of a pair are the query's terms
     docs = rows.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     docs = docs.withColumn("base_score", F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["part"]))
@@ -104,9 +141,16 @@ def ranked(index: Index, query: str | DataFrame, *, k: int | None = RESULTS, use
         # neighbours matter for the rows that the base score can keep; equal scores at the cut included
         best = Window.partitionBy("query_id").orderBy(F.desc("base_score"))
         docs = docs.withColumn("_place", F.rank().over(best)).where(F.col("_place") <= k).drop("_place")
+    if used:  # the rows that the cut has kept, so few a query
+        docs, _ = written(docs, "cut")
+        drop(docs.sparkSession, *used)
     if later:
         # these rows' offsets
-        found = hit.select("term", "doc_id", "offsets").join(docs.select("query_id", "doc_id"), "doc_id").join(terms, ["query_id", "term"])
+        pairs = docs.select("query_id", "doc_id", F.explode("parts").alias("part")).select("query_id", "doc_id", "part.qi", "part.term", *(["part.block"] if index.blocks is not None else []))
+        if index.blocks is not None:
+            found = pruning.read(_looked_up(index.blocks, terms), pairs, with_offsets=True).drop("tf", "token_count").join(pairs, ["term", "block", "doc_id"])
+        else:
+            found = _looked_up(index.postings, terms).select("term", "doc_id", "offsets").join(pairs, ["term", "doc_id"])
         docs = docs.join(found.groupBy("query_id", "doc_id").agg(F.collect_list(F.struct("qi", "offsets")).alias("at")), ["query_id", "doc_id"])
     else:
         docs = docs.withColumn("at", F.col("parts"))
@@ -165,31 +209,15 @@ def search(index: Index | None, query: str | DataFrame, *, k: int = RESULTS, win
 
 def raw_ranked(docs: DataFrame, query: str | DataFrame, *, k: int | None = RESULTS) -> DataFrame:
     """Without an index, by substrings: query_id, rank, doc_id, score (occurrences of all terms), match_offset (bytes
-    before the first). The texts are scanned once; a query's terms go to all of them."""
+    before the first). The different terms of all queries are looked for together, in one walk over each text; what is
+    found meets the queries by a join."""
     if k is not None and k < 0:
         raise ValueError("k must not be negative")
-    asked = query_terms(queries_of(docs.sparkSession, query)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("qi", "term"))).alias("terms"))
-    asked = asked.select("query_id", F.transform("terms", lambda a: a["term"]).alias("terms"))
-    # the stated queries, in one value: the plan is the same for any number of them
-    kind = asked.schema["query_id"].dataType.simpleString()
-    told = asked.agg(F.to_json(F.collect_list(F.struct("query_id", "terms"))).alias("j")).first()["j"]
-    every = F.from_json(F.lit(told), f"array<struct<query_id:{kind},terms:array<string>>>")
+    asked = query_terms(queries_of(docs.sparkSession, query)).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     text = fn.as_text(F.col("body"))
-    low = F.lower(text)
-
-    def occurrences(t: Column) -> Column:  # terms are of letters and digits of one byte
-        return (F.octet_length("low") - F.octet_length(F.replace(F.col("low"), t, F.lit("")))) / F.octet_length(t)
-
-    def one(q: Column) -> Column:
-        score = F.aggregate(q["terms"], F.lit(0.0), lambda n, t: n + occurrences(t))
-        first = F.array_min(F.filter(F.transform(q["terms"], lambda t: F.position(t, F.col("low"))), lambda i: i > 0))
-        return F.struct(q["query_id"].alias("query_id"), score.alias("score"), first.alias("first"))
-
-    scan = docs.select("doc_id", text.alias("text"), low.alias("low"))
-    met = F.filter(F.transform(every, one), lambda h: h["score"] > 0)
-    hits = scan.select("doc_id", "text", F.explode(met).alias("h"))
-    at = F.octet_length(F.substring("text", F.lit(1), F.col("h.first") - 1)).cast("long")
-    placed = hits.select("doc_id", "h.query_id", "h.score", at.alias("match_offset")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+    found = automaton.occurrences(docs.select("doc_id", text.alias("text")), asked.select("term").distinct(), low=F.lower("text"))
+    rows = found.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("n") * F.col("times")).cast("double").alias("score"), F.min("first").alias("match_offset"))
+    placed = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
     placed = placed if k is None else placed.where(F.col("rank") <= k)
     return placed.select("query_id", "rank", "doc_id", "score", "match_offset")
 

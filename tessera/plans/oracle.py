@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import ASKED, PATTERNS
+from .queries import ASKED, PATTERNS, PHRASES, SPELLED
 
 
 def _text(value: str) -> str:
@@ -169,8 +169,11 @@ SELECT {keys}, merged FROM (SELECT r, {keys}, coalesce(string_agg(lo || '-' || h
 
 ORACLE_SQL["highlight_merge_documents"] = _merged("documents", "doc_id")
 ORACLE_SQL["highlight_merge_conversations"] = _merged("conversations", "conv_id, turn")
-ORACLE_SQL["highlight_merge"] = ORACLE_SQL["highlight_merge_conversations"]
-ORACLE_SQL["bm25_batch"] = ORACLE_SQL["bm25_batch_passages"] = f"WITH {_ranked(asked='q AS (SELECT item_id AS query_id, text AS query FROM benchmark)')} {_SHOWN}"
+_PASSAGES = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
+ORACLE_SQL["bm25_batch"] = f"WITH {_ranked(asked=_PASSAGES)} {_SHOWN}"
+ORACLE_SQL["bm25_pruned"] = ORACLE_SQL["bm25_search"]
+ORACLE_SQL["bm25_batch_pruned"] = f"{ORACLE_SQL['bm25_batch']} WHERE rank <= 3"
+ORACLE_SQL["packed_blocks"] = f"WITH {_TOKENS} SELECT term, count(DISTINCT doc_id) AS df, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM toks GROUP BY ALL"
 
 #: The documents as the files of `queries._files` hold them.
 _HELD = r"""files AS (
@@ -223,3 +226,39 @@ marked AS (
 islands AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id, turn ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM marked),
 merged AS (SELECT conv_id, turn, island, min(lo) AS lo, max(hi) AS hi FROM islands GROUP BY ALL)
 SELECT t.conv_id, t.turn, coalesce(string_agg(lo || '-' || hi, ' ' ORDER BY lo), '') AS merged FROM t LEFT JOIN merged USING (conv_id, turn) GROUP BY ALL"""
+
+_PHRASES = "q(query_id, query) AS (VALUES " + ", ".join(f"({i}, {_text(q)})" for i, q in PHRASES) + ")"
+ORACLE_SQL["phrase_search"] = f"""WITH {_TOKENS}, {_PHRASES},
+qt AS (SELECT query_id, len(t) AS size, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS qi FROM (SELECT query_id, regexp_extract_all(lower(query), '[a-z0-9]+') AS t FROM q)),
+placed AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY off) - 1 AS nth FROM toks),
+starts AS (SELECT query_id, doc_id, nth - qi AS start FROM placed JOIN qt USING (term) GROUP BY query_id, doc_id, nth - qi, size HAVING count(*) = size),
+found AS (SELECT query_id, doc_id, count(*) AS n, min(start) AS first FROM starts GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id)::INT AS rank, doc_id, n, first FROM found QUALIFY rank <= 10"""
+ORACLE_SQL["conditional_search"] = f"""WITH {_TOKENS},
+flags AS (
+  SELECT doc_id, bool_or(term = 'of') AS of_, bool_or(term = 'tion') AS tion, bool_or(term = 'hain') AS hain, bool_or(starts_with(term, 'thea')) AS thea,
+    bool_or(term = 'the') AS the, bool_or(term = 'only') AS only_, bool_or(term = 'and') AS and_ FROM toks GROUP BY ALL),
+d AS (SELECT s.*, coalesce(of_, FALSE) AS of_, coalesce(tion, FALSE) AS tion, coalesce(hain, FALSE) AS hain, coalesce(thea, FALSE) AS thea, coalesce(the, FALSE) AS the, coalesce(only_, FALSE) AS only_, coalesce(and_, FALSE) AS and_
+  FROM stats s LEFT JOIN flags USING (doc_id))
+SELECT 'both' AS query_id, doc_id FROM d WHERE of_ AND tion
+UNION ALL SELECT 'nested', doc_id FROM d WHERE (hain OR thea) AND NOT (the AND NOT only_)
+UNION ALL SELECT 'none', doc_id FROM d WHERE NOT the AND NOT and_
+UNION ALL SELECT 'long', doc_id FROM d WHERE and_ AND token_count > 500 AND body_len % 2 <> 0"""
+ORACLE_SQL["fuzzy_terms"] = f"""WITH {_TOKENS}, w(word) AS (VALUES {", ".join(f"({_text(w)})" for w in SPELLED)})
+SELECT word, term, count(*) AS df, levenshtein(word, term)::INT AS distance FROM post, w WHERE levenshtein(word, term) <= 2 GROUP BY ALL"""
+ORACLE_SQL["raw_search_passages"] = _raw("SELECT doc_id, coalesce(text, '') AS text FROM documents").replace(_ASKED, _PASSAGES).replace("rank <= 10", "rank <= 3")
+# words that don't overlap with themselves: the same letter or letters don't begin and end them
+ORACLE_SQL["pattern_counts_many"] = """WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS label FROM (
+  SELECT regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS text FROM benchmark)),
+w AS (SELECT label FROM t WHERE len(list_filter(range(1, len(label) // 2 + 1), lambda i: label[:i] = label[len(label) - i + 1:])) = 0)
+SELECT label, coalesce(sum((len(text) - len(replace(text, label, ''))) // len(label)), 0)::BIGINT AS n FROM w LEFT JOIN documents ON contains(text, label) GROUP BY ALL"""
+ORACLE_SQL["line_chunks"] = "SELECT md5(line) AS md5, count(*) AS n FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) GROUP BY ALL"
+ORACLE_SQL["pdf_pages"] = """WITH w AS (SELECT doc_id, array_to_string(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), ' ') AS text FROM documents)
+SELECT doc_id, 'pdf' AS kind, text, CASE WHEN text = '' THEN 'empty' ELSE 'ok' END AS extract_status FROM w"""
+ORACLE_SQL["search_modes"] = f"""SELECT 'index' AS mode, query_id, rank, doc_id, match_offset FROM ({ORACLE_SQL["bm25_search"]})
+UNION ALL SELECT 'scan', query_id, rank, doc_id, match_offset FROM ({ORACLE_SQL["raw_search"]})"""
+ORACLE_SQL["index_changes"] = f"""WITH {_TOKENS},
+live AS (SELECT doc_id, term, tf FROM post WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'changed', 1 FROM stats WHERE doc_id % 3 = 1),
+summed AS (SELECT doc_id, term, sum(tf) AS tf FROM live GROUP BY ALL)
+SELECT doc_id, count(*) AS n_terms, sum(tf)::BIGINT AS n_tokens, sum(tf)::BIGINT AS token_count FROM summed GROUP BY ALL"""
+ORACLE_SQL["catalog_entries"] = """SELECT n_nationkey::VARCHAR AS id, CASE WHEN n_regionkey = 1 THEN 'new ' || n_name ELSE n_name END AS name, n_regionkey::VARCHAR AS patterns FROM nation WHERE n_nationkey <> 3"""

@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as fn
+from tessera.operators import boolean, fuzzy, phrases
 from tessera.operators import index as ix
 from tessera.operators import patterns as pt
 from tessera.operators import search as se
 from tessera.operators import shaping as sh
+from tessera.operators.catalog import Catalog
 from tessera.sources import archive, files
+from tessera.sources import lines as lines_of
 from tessera.sources.extract import extracted
 from tessera.sources.scratch import new_folder
+from tessera.streaming import index as stream_index
 
 #: Queries that the search queries ask: common and rare terms, a repeated one, an unknown one, and one without tokens.
 ASKED = [(0, "only thenor"), (1, "the hain, ORDER"), (2, "of of tion"), (3, "nosuchterm and"), (4, "é!")]
@@ -94,6 +98,22 @@ def bm25_search(spark, sf_dir):
     return _ranked(spark, sf_dir)
 
 
+def bm25_pruned(spark, sf_dir):
+    """The same rows from those blocks only that can hold one of the ten best."""
+    return _ranked(spark, sf_dir, prune=True)
+
+
+def bm25_batch_pruned(spark, sf_dir):
+    """Every benchmark passage, whole, from the blocks that can hold one of its three best documents."""
+    passages = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return _ranked(spark, sf_dir, passages, k=3, prune=True)
+
+
+def packed_blocks(spark, sf_dir):
+    """The packed postings: of each term its blocks, their documents, and the first and last of them."""
+    return _index(spark, sf_dir).blocks.groupBy("term").agg(F.sum("n").cast("long").alias("df"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
+
+
 def tfidf_search(spark, sf_dir):
     return _ranked(spark, sf_dir, use_bm25=False)
 
@@ -107,10 +127,6 @@ def bm25_batch(spark, sf_dir):
     return _ranked(spark, sf_dir, _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
 
 
-#: The same under its first name.
-bm25_batch_passages = bm25_batch
-
-
 def raw_search(spark, sf_dir):
     return se.raw_ranked(_docs(spark, sf_dir), _asked(spark))
 
@@ -152,10 +168,6 @@ def highlight_merge_conversations(spark, sf_dir):
     return _merged(spark, sf_dir, "conversations", "conv_id", "turn")
 
 
-#: The same under its first name.
-highlight_merge = highlight_merge_conversations
-
-
 def pattern_counts(spark, sf_dir):
     return pt.pattern_counts(_docs(spark, sf_dir), PATTERNS)
 
@@ -332,12 +344,139 @@ def fallback_highlights(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.transform(ranges, lambda r: F.format_string("%d-%d", r["start"], r["end"])), " ").alias("merged"))
 
 
+#: Phrases: of frequent words, a repeated one, with marks between, an unknown word, and none.
+PHRASES = [(0, "of the"), (1, "the the"), (2, "The, and"), (3, "nosuchterm the"), (4, "é!"), (5, "in the on")]
+#: Words whose terms nearby are looked for.
+SPELLED = ["hain", "onlx", "thenor", "token", "qwertyuiop", "a"]
+
+_positions: dict[tuple[str, str], str] = {}
+
+
+def phrase_search(spark, sf_dir):
+    """The documents that have a query's tokens one after the other most often."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _positions:
+        path = new_folder(spark, "positions")
+        phrases.build_positions(_docs(spark, sf_dir)).save(path)
+        _positions[key] = path
+    positions = phrases.load_positions(spark, _positions[key], _docs(spark, sf_dir))
+    return phrases.phrase_search(positions, spark.createDataFrame(PHRASES, "query_id int, query string"))
+
+
+def conditional_search(spark, sf_dir):
+    """All documents that fulfil conditions on their terms and fields."""
+    asked = {
+        "both": boolean.term("of") & boolean.term("tion"),
+        "nested": (boolean.term("hain") | boolean.prefix("thea")) & ~(boolean.term("the") & ~boolean.term("only")),
+        "none": ~boolean.term("the") & ~boolean.term("and"),
+        "long": boolean.term("and") & boolean.field(F.col("token_count") > 500) & ~boolean.field(F.col("body_len") % 2 == 0),
+    }
+    return boolean.matches(_index(spark, sf_dir), asked)
+
+
+def fuzzy_terms(spark, sf_dir):
+    """The terms within two edits of some words."""
+    words = spark.createDataFrame([(w,) for w in SPELLED], "word string")
+    return fuzzy.fuzzy_terms(_index(spark, sf_dir), words, distance=2)
+
+
+def raw_search_passages(spark, sf_dir):
+    """Substrings of all tokens of each benchmark passage, all passages in one walk over the texts."""
+    passages = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return se.raw_ranked(_docs(spark, sf_dir), passages, k=3)
+
+
+def pattern_counts_many(spark, sf_dir):
+    """How often each token of the benchmark passages occurs in all documents, in one walk over the texts."""
+    words = ix.term_stats(ix.documents_of(_table(spark, sf_dir, "benchmark"), "item_id")).where(~F.col("term").rlike(r"^(.+).*\1$")).select("term")
+    return pt.pattern_counts(_docs(spark, sf_dir), [r["term"] for r in words.toLocalIterator()])
+
+
+def line_chunks(spark, sf_dir):
+    """The documents as text files, read again in chunks of whole lines: each line and how often it stands there."""
+    folder = new_folder(spark, "lines")
+    _table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.option("lineSep", "\n").text(folder)
+    lines = lines_of.line_chunks(spark, folder, chunk_bytes=1 << 16).select(F.explode(F.split(F.col("body").cast("string"), "\n", -1)).alias("line"))
+    return lines.groupBy(F.md5("line").alias("md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@F.pandas_udf(T.BinaryType())
+def _as_pages(words: pd.Series) -> pd.Series:
+    """A PDF of three pages, the last one first in the file, whose font has codes of its own."""
+
+    def made(text: str) -> bytes:
+        listed = text.split()
+        third = -(-len(listed) // 3) or 1
+        shift = 64 + len(text) % 100
+
+        def shown(part: list[str]) -> bytes:
+            return b" ".join(b"[<%s>] TJ 0 -9 Td" % b"".join(b"%04X" % (ord(c) + shift) for c in w) for w in part)
+
+        cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <%04X> <%04X> <0020> endbfrange" % (32 + shift, 126 + shift)
+        bodies = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [5 0 R 6 0 R 7 0 R] /Resources << /Font << /F1 3 0 R >> >> >>", 3: b"<< /Type /Font /Subtype /Type0 /ToUnicode 4 0 R >>", 4: (b"<< ", cmap)}
+        for i in range(3):
+            bodies[5 + i] = b"<< /Type /Page /Contents %d 0 R >>" % (8 + i)
+            bodies[8 + i] = (b"<< ", b"BT /F1 9 Tf 9 9 Td " + shown(listed[i * third : (i + 1) * third]) + b" ET")
+        out, places = bytearray(b"%PDF-1.4\n"), {}
+        for n in sorted(bodies, reverse=True):
+            places[n] = len(out)
+            body = bodies[n]
+            if isinstance(body, tuple):
+                data = zlib.compress(body[1])
+                body = body[0] + b"/Filter /FlateDecode /Length %d >> stream\n" % len(data) + data + b"\nendstream"
+            out += b"%d 0 obj %s endobj\n" % (n, body)
+        table = b"".join(b"%010d 00000 n \n" % places[n] for n in range(1, 11))
+        return bytes(out + b"xref\n0 11\n0000000000 65535 f \n" + table + b"trailer << /Size 11 /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF" % len(out))
+
+    return words.map(made)
+
+
+def pdf_pages(spark, sf_dir):
+    """The documents' words as PDF files with pages and fonts, and read again, page by page."""
+    words = F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0)), " ")
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), _as_pages(words).alias("content"))
+    found = extracted(rows)
+    return found.select(F.col("path").cast("long").alias("doc_id"), "kind", F.translate("text", "\n", " ").alias("text"), "extract_status")
+
+
+def search_modes(spark, sf_dir):
+    """By an index, and where there is none by scanning."""
+    docs, asked = _docs(spark, sf_dir), _asked(spark)
+    columns = ["query_id", "rank", "doc_id", "match_offset"]
+    by_index = se.search_any(docs, asked, _index(spark, sf_dir)).select(F.lit("index").alias("mode"), *columns)
+    return by_index.unionByName(se.search_any(docs, asked).select(F.lit("scan").alias("mode"), *columns))
+
+
+def index_changes(spark, sf_dir):
+    """An index that a stream keeps up: all documents come, then a third of them change and a third go."""
+    docs, folder = _docs(spark, sf_dir), new_folder(spark, "changing")
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("body", T.BinaryType()), T.StructField("removed", T.BooleanType()), T.StructField("changed_at", T.TimestampType())])
+    first = docs.select("doc_id", "body", F.lit(False).alias("removed"), F.timestamp_seconds(F.lit(1)).alias("changed_at"))
+    again = docs.where("doc_id % 3 < 2").select("doc_id", F.encode(F.concat(F.lit("changed "), F.col("body").cast("string")), "UTF-8").alias("body"), (F.col("doc_id") % 3 == 0).alias("removed"), F.timestamp_seconds(F.lit(2)).alias("changed_at"))
+    for events in (first, again):
+        events.write.mode("append").parquet(f"{folder}/events")
+        stream_index.index_changes(spark.readStream.schema(schema).parquet(f"{folder}/events"), f"{folder}/index", f"{folder}/checkpoint").awaitTermination()
+    index = stream_index.load_changing(spark, f"{folder}/index")
+    return index.postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_tokens"), F.max("token_count").alias("token_count"))
+
+
+def catalog_entries(spark, sf_dir):
+    """Entries put into a catalog, some of them again, and one taken out."""
+    entries = Catalog(spark, new_folder(spark, "catalog"))
+    time = F.lit(NOW).cast("timestamp")
+    rows = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.lit("/in").alias("source_path"), F.lit(None).cast("string").alias("index_path"), time.alias("created_at"), time.alias("last_indexed_at"), F.array(F.col("n_regionkey").cast("string")).alias("exclude_patterns"), "n_regionkey")
+    entries.put(rows.drop("n_regionkey"))
+    entries.put(rows.where("n_regionkey = 1").withColumn("name", F.concat(F.lit("new "), "name")).drop("n_regionkey"))
+    entries.delete("3")
+    return entries.list().select("id", "name", F.array_join("exclude_patterns", ",").alias("patterns"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_search, index_build, tokens, postings, term_df, doc_stats, corpus_stats, tfidf_search, boosted_rerank, bm25_batch, raw_search, raw_search_conversations, snippets,
+        bm25_search, bm25_pruned, bm25_batch_pruned, packed_blocks, index_build, tokens, postings, term_df, doc_stats, corpus_stats, tfidf_search, boosted_rerank, bm25_batch, raw_search, raw_search_conversations, snippets,
         match_ranges, highlight_merge_documents, highlight_merge_conversations, pattern_counts, pattern_counts_any_case, level_counts, sniff_types, file_type_stats, clean_markup, rag_bundle, search_payloads, catalog_labels,
         extraction, counts_by_type, counts_by_type_levels, archive_round_trip, ndjson_export, plain_listing, prompts, answers, search_payload_results, preview_positions, range_validation, plain_texts, titles, top_types, fallback_highlights,
+        phrase_search, conditional_search, fuzzy_terms, raw_search_passages, pattern_counts_many, line_chunks, pdf_pages, search_modes, index_changes, catalog_entries,
     )
 }
-QUERIES |= {"bm25_batch_passages": bm25_batch_passages, "highlight_merge": highlight_merge}

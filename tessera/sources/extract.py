@@ -1,5 +1,5 @@
-"""Texts out of files. Types are told, and plain texts and XML cleaned, by column functions; only inflating and the
-operators of PDF pages need Python."""
+"""Texts out of files. Types are told, and plain texts and XML cleaned, by column functions; only inflating, and the objects and
+operators of PDF files, need Python."""
 
 from __future__ import annotations
 
@@ -14,10 +14,17 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
 
+from . import pdf
+from .limits import Limited
+
 #: Streams that inflate to this size or more are skipped.
 MAX_STREAM = 10 << 20
 #: DOCX parts of this size or more count as failed.
 MAX_PART = 1 << 30
+#: PDFs of more bytes have their streams read only, not their objects.
+MAX_PDF = 80 << 20
+#: Seconds that the objects of a PDF, and any file, may take.
+PDF_SECONDS, FILE_SECONDS = 15.0, 45.0
 _LOCAL_FILE = b"PK\x03\x04"
 _MAIN_PART = b"word/document.xml"
 
@@ -100,35 +107,57 @@ def main_part(data: bytes) -> bytes:
     return b""
 
 
-def _binary(function: Callable[[bytes], str], kind: str):
-    @F.pandas_udf(kind)
-    def run(column: pd.Series) -> pd.Series:
-        def safe(data):
-            try:
-                return function(bytes(data)) if data is not None else None
-            except (ValueError, IndexError, struct.error):
-                return None
+def pdf_pages(data: bytes) -> str:
+    """The texts of a PDF's pages, by its objects, with line feeds between them; empty if it can't be read so."""
+    try:
+        return "\n".join(filter(None, pdf.page_texts(data))) if len(data) <= MAX_PDF else ""
+    except (pdf.Damaged, ValueError, KeyError, TypeError, AttributeError, IndexError, RecursionError):
+        return ""
+
+
+def _limited(*functions: tuple[Callable[[bytes], object], float], kind: str):
+    """A column function of files: struct<value, status>. Functions, with their seconds, are tried one after the other until one
+    gives something; status: ok, failed, or timed_out, of the last one tried."""
 
-        return column.map(safe)
+    @F.pandas_udf(f"value {kind}, status string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tried = [Limited(f, seconds) for f, seconds in functions]
+        try:
+            for column in batches:
+                rows = []
+                for data in column:
+                    status, value = "failed", None
+                    for f in tried if data is not None else ():
+                        status, value = f(bytes(data))
+                        if value:
+                            break
+                    rows.append((value, status))
+                yield pd.DataFrame(rows, columns=["value", "status"])
+        finally:
+            for f in tried:
+                f.__exit__()
 
     return run
 
 
 def docx_xml(rows: DataFrame, column: str) -> DataFrame:
-    """Rows with the main part's XML in place of a column of DOCX files."""
-    return rows.withColumn(column, _binary(main_part, "binary")(F.col(column)))
+    """Rows with the main part's XML in place of a column of DOCX files; null where it can't be read in FILE_SECONDS."""
+    return rows.withColumn(column, _limited((main_part, FILE_SECONDS), kind="binary")(F.col(column))["value"])
 
 
 def extracted(files: DataFrame) -> DataFrame:
-    """path, kind, text and extract_status (ok, empty or failed) of files (path, content).
+    """path, kind, text and extract_status (ok, empty, failed or timed_out) of files (path, content).
 
-    Text, JSON and Markdown are taken as they are, UTF-8 or else Latin-1. Of PDFs the compressed page streams are read,
-    which needs no other library; fonts with encodings of their own and scanned pages give nothing.
+    Text, JSON and Markdown are taken as they are, UTF-8 or else Latin-1. PDFs are read page by page by their objects; those that
+    can't be, or give nothing in PDF_SECONDS, by what their streams show. Scanned pages give nothing. A file that takes longer than
+    FILE_SECONDS has an empty text and holds nothing up: PDF and DOCX files are read in a process beside the task's.
     """
     typed = files.select("path", "content", fn.file_type(F.col("content")).alias("kind"))
-    plain = typed.where("kind not in ('pdf', 'docx')").withColumn("text", fn.as_text(F.col("content")))
-    pdf = typed.where("kind = 'pdf'").withColumn("text", _binary(pdf_text, "string")(F.col("content")))
-    docx = docx_xml(typed.where("kind = 'docx'"), "content").withColumn("text", fn.without_markup(fn.as_text(F.col("content"))))
-    every = plain.unionByName(pdf).unionByName(docx)
-    status = F.when(F.col("text").isNull(), "failed").when(F.col("text") == "", "empty").otherwise("ok")
+    plain = typed.where("kind not in ('pdf', 'docx')").select("path", "kind", fn.as_text(F.col("content")).alias("text"), F.lit("ok").alias("status"))
+    read_pdf = _limited((pdf_pages, PDF_SECONDS), (pdf_text, FILE_SECONDS - PDF_SECONDS), kind="string")
+    read_docx = _limited((main_part, FILE_SECONDS), kind="binary")
+    pdfs = typed.where("kind = 'pdf'").withColumn("got", read_pdf(F.col("content"))).select("path", "kind", F.col("got.value").alias("text"), "got.status")
+    docx = typed.where("kind = 'docx'").withColumn("got", read_docx(F.col("content"))).select("path", "kind", fn.without_markup(fn.as_text(F.col("got.value"))).alias("text"), "got.status")
+    every = plain.unionByName(pdfs).unionByName(docx)
+    status = F.when(F.col("status") != "ok", F.col("status")).when(F.coalesce("text", F.lit("")) == "", "empty").otherwise("ok")
     return every.select("path", "kind", F.coalesce("text", F.lit("")).alias("text"), status.alias("extract_status"))

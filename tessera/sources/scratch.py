@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -20,3 +20,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
         named = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
         _own[spark.sparkContext.applicationId] = named
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Rows as a table in such a folder, read again, and the folder: cuts the lineage, for what is read several times."""
+    path = new_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders that nothing reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions import text as fn
-from tessera.operators.index import doc_stats, postings
+from tessera.operators.index import Index, doc_stats, load_index, postings
 from tessera.sources.files import documents_from
 
 
@@ -27,6 +27,44 @@ def index_stream(files: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def index_changes(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps an index up with documents that are added, changed and removed. events: doc_id, body, removed (true or false) and
+    changed_at; of several of a document in one batch the last one counts, of those at the same time a removal.
+
+    Each batch is a segment: tables of the documents that it brings, and the doc_ids that it touches, of which earlier segments'
+    entries no longer count. A batch that is run again takes its own place."""
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        order = F.struct("changed_at", "removed")
+        last = batch.groupBy("doc_id").agg(F.max_by(F.struct("body", "removed"), order).alias("last"))
+        last = last.select("doc_id", F.coalesce("last.body", F.lit(b"")).alias("body"), F.coalesce("last.removed", F.lit(False)).alias("removed"))
+        docs = last.where("not removed").select("doc_id", "body")
+        for name, rows in (("documents", docs), ("postings", postings(docs)), ("stats", doc_stats(docs)), ("touched", last.select("doc_id"))):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def load_changing(spark: SparkSession, path: str) -> Index:
+    """The index as it is now: entries that later segments have touched are left out. Only doc_ids that were touched more than
+    once are looked for in the tables."""
+    touched = spark.read.parquet(f"{path}/touched")
+    stale = touched.groupBy("doc_id").agg(F.max("batch").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "last")
+
+    def live(name: str) -> DataFrame:
+        rows = spark.read.parquet(f"{path}/{name}")
+        old = stale.withColumnsRenamed({"doc_id": "stale_id", "last": "stale_last"})
+        return rows.join(old, (F.col("doc_id") == F.col("stale_id")) & (F.col("batch") < F.col("stale_last")), "left_anti").drop("batch")
+
+    return Index(live("postings"), live("stats"), live("documents"), True)
+
+
+def compact(spark: SparkSession, path: str, into: str) -> Index:
+    """The segments as one saved index, in packed blocks, in another folder; its stream goes on beside it."""
+    load_changing(spark, path).save(into, with_documents=True)
+    return load_index(spark, into)
+
+
 def level_stream(lines: DataFrame, *, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """start, label and n: levels of JSON lines (ts, value) by window of event time; what comes later than `late` after
     the newest is left out."""

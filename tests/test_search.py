@@ -152,6 +152,6 @@ def test_batch_asks_whole_passages(spark, tmp_path):
     words = [f"w{i}" for i in range(se.PUSHED_TERMS + 50)]
     spark.createDataFrame([(1, " ".join(words[100:140])), (2, "other text")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, " ".join(words)), (8, "w0 w1 w2 w139")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    found = queries.QUERIES["bm25_batch_passages"](spark, str(tmp_path)).collect()
+    found = queries.QUERIES["bm25_batch"](spark, str(tmp_path)).collect()
     assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in found) == [(7, 1, 1), (8, 1, 1)]
     assert queries.bm25_batch(spark, str(tmp_path)).collect() == found

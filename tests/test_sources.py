@@ -1,16 +1,19 @@
 import io
+import random
 import struct
 import zipfile
 import zlib
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import search
 from tessera.operators.catalog import Catalog, described
 from tessera.operators.index import load_index
 from tessera.operators.patterns import counts_by_type
 from tessera.sources import archive, extract, files
+from tessera.sources.lines import large_documents, line_chunks, splits
 from tessera.streaming import index as st
 
 
@@ -89,6 +92,84 @@ def test_archives(spark, tmp_path):
     assert sorted((r["path"], bytes(r["body"])) for r in archive.read_archives(spark, f"{tmp_path}/r").collect()) == sorted((p, bytes(b)) for p, b in rows)
 
 
+@pytest.fixture
+def small_splits(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in kept:
+        spark.conf.set(k, "400")
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def test_archives_in_many_splits(spark, tmp_path, small_splits):
+    """Bodies that hold the bytes between records, lengths that do, archives in archives, and damage of all kinds."""
+    rng = random.Random(6)
+    pieces = [b"\x03\x02", b"\x02", b"\x03", b"word ", b"\x00\x00\x00\x01a", b"\xff"]
+    for n in range(7):
+        records = [(f"p{i}" * rng.choice([1, 1, 40]), b"".join(rng.choices(pieces, k=rng.randint(0, 60)))) for i in range(25)]
+        records[3] = ("inner", archive.MAGIC + archive.VERSION + b"".join(archive.packed(p, b) for p, b in records[5:15]))
+        records[17] = ("sized", b"x" * 770)  # this length has them
+        data = bytearray(archive.MAGIC + archive.VERSION + b"".join(archive.packed(p, b) for p, b in records))
+        if n >= 4:
+            for _ in range(rng.randint(1, 6)):
+                at = rng.randrange(6, len(data))
+                if rng.random() < 0.5:
+                    data[at] = rng.choice([0, 2, 3, 255])
+                else:
+                    del data[at : at + rng.randint(1, 30)]
+        if n == 5:
+            data += b"\x03\x02"
+        (tmp_path / f"{n}.records").write_bytes(data)
+    want = [list(archive.unpacked((tmp_path / f"{n}.records").read_bytes())) for n in range(7)]
+    assert [len(w) for w in want[:4]] == [25] * 4 and splits(spark, f"{tmp_path}/1.records", end="\x03\x02").select("split").distinct().count() > 5
+    # all files at once, and one by itself
+    assert sorted((r["path"], bytes(r["body"])) for r in archive.read_archives(spark, str(tmp_path)).collect()) == sorted(x for w in want for x in w)
+    assert sorted((r["path"], bytes(r["body"])) for r in archive.read_archives(spark, f"{tmp_path}/5.records").collect()) == sorted(want[5])
+    (tmp_path / "other").write_bytes(b"JUNK")
+    with pytest.raises(Exception, match="not an archive"):
+        archive.read_archives(spark, f"{tmp_path}/other").collect()
+
+
+def test_written_archives_are_the_format(spark, tmp_path):
+    rows = [(f"é{i}", bytearray(bytes(range(256)) * (i % 3))) for i in range(50)] + [(None, None)]
+    archive.write_archives(spark.createDataFrame(rows, "path string, body binary").repartition(3), f"{tmp_path}/a")
+    found = [r for f in (tmp_path / "a").glob("part-*") for r in archive.unpacked(f.read_bytes())]
+    assert sorted(found) == sorted((p or "", bytes(b or b"")) for p, b in rows)
+    assert all(f.read_bytes().endswith(b"\x03") for f in (tmp_path / "a").glob("part-*"))
+    archive.write_archives(spark.createDataFrame([], "path string, body binary"), f"{tmp_path}/none")
+    assert archive.read_archives(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_lines_of_split_files(spark, tmp_path, small_splits):
+    rng = random.Random(7)
+    for n in range(5):
+        lines = ["é" * rng.randint(0, 90) + rng.choice(["", "\r"]) for _ in range(60)]
+        (tmp_path / f"{n}.txt").write_bytes("\n".join(lines).encode() + rng.choice([b"", b"\n"]))
+    chunks = line_chunks(spark, str(tmp_path), chunk_bytes=64).collect()
+    assert len({(r["path"], r["split"], r["part"]) for r in chunks}) == len(chunks) > 50
+    for n in range(5):
+        mine = sorted((r["split"], r["part"], bytes(r["body"])) for r in chunks if r["path"].endswith(f"/{n}.txt"))
+        assert b"\n".join(b for _, _, b in mine) == (tmp_path / f"{n}.txt").read_bytes().removesuffix(b"\n")
+    docs = large_documents(spark, str(tmp_path), chunk_bytes=64)
+    assert docs.count() == docs.select("doc_id").distinct().count() == len(chunks)
+
+
+def test_a_file_of_more_than_two_gigabytes(spark, tmp_path):
+    """Sparse, a line in each 16 MB of it; read as Spark reads its lines."""
+    path, step = tmp_path / "large.txt", 16 << 20
+    with path.open("wb") as f:
+        for i in range(140):
+            f.seek(i * step)
+            f.write(b"line %d\n" % i)
+        f.truncate(140 * step)
+    chunks = line_chunks(spark, str(path), chunk_bytes=1).select("split", F.octet_length("body").alias("n"), F.crc32("body").alias("c"))
+    lines = spark.read.option("lineSep", "\n").text(str(path)).select(F.octet_length("value").alias("n"), F.crc32(F.col("value").cast("binary")).alias("c"))
+    found = chunks.collect()
+    assert path.stat().st_size > 2 << 30 and len({r["split"] for r in found}) > 10
+    assert sorted((r["n"], r["c"]) for r in found) == sorted(map(tuple, lines.collect()))
+
+
 def test_damaged_archives():
     good, bad = archive.packed("a", b"x"), b"\x02" + struct.pack(">I", 1 << 30)
     data = archive.MAGIC + archive.VERSION
