@@ -19,7 +19,12 @@ MAX_DEPTH = 6
 #: Thousandths of the font's size from which a shift within a line is a blank.
 BLANK_SHIFT = 180
 
-_TOKEN = re.compile(rb"[\x00\t\n\f\r ]*(?:%[^\r\n]*[\x00\t\n\f\r ]*)*(<<|>>|<[0-9A-Fa-f\s]*>|/[^\x00\t\n\f\r ()<>\[\]{}/%]*|[\[\](){}]|[^\x00\t\n\f\r ()<>\[\]{}/%]+|>)", re.S)
+_PLAIN = rb"[^\x00\t\n\f\r ()<>\[\]{}/%]"
+#: Whole numbers, others, brackets, hexadecimal strings, names, the beginning of strings, and operators, after white space.
+_TOKEN = re.compile(
+    rb"[\x00\t\n\f\r ]*(?:%[^\r\n]*[\x00\t\n\f\r ]*)*(?:([+-]?\d+)(?!" + _PLAIN + rb")|([+-]?(?:\d+\.\d*|\.\d+))(?!" + _PLAIN + rb")|(<<|>>|[\[\]{}])|<([0-9A-Fa-f\s]*)>|/(" + _PLAIN + rb"*)|(\()|(" + _PLAIN + rb"+|[>)]))",
+    re.S,
+)
 _REF = re.compile(rb"[\x00\t\n\f\r ]+(\d+)[\x00\t\n\f\r ]+R(?![^\x00\t\n\f\r ()<>\[\]{}/%])")
 _OBJECT = re.compile(rb"(?<!\d)(\d+)[\x00\t\n\f\r ]+(\d+)[\x00\t\n\f\r ]+obj\b")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\r\n": b"", b"\n": b"", b"\r": b""}
@@ -54,10 +59,13 @@ class Damaged(ValueError):
     pass
 
 
+_STRING = re.compile(rb"\\(\r\n|[0-7]{1,3}|.)|([()])|([^\\()]+)", re.S)
+
+
 def _literal(data: bytes, at: int) -> tuple[bytes, int]:
     """A string in brackets, which may hold pairs of them, from after its first one on."""
     out, depth = bytearray(), 1
-    for m in re.compile(rb"\\(\r\n|[0-7]{1,3}|.)|([()])|([^\\()]+)", re.S).finditer(data, at):
+    for m in _STRING.finditer(data, at):
         escaped, bracket, plain = m.groups()
         if plain is not None:
             out += plain
@@ -75,25 +83,27 @@ def _literal(data: bytes, at: int) -> tuple[bytes, int]:
 
 def tokens(data: bytes, at: int = 0) -> Iterator[tuple[object, int]]:
     """Objects and operators, and where each ends. Brackets of arrays and dictionaries are operators here."""
-    while m := _TOKEN.match(data, at):
-        word, at = m[1], m.end()
-        if word == b"(":
-            value, at = _literal(data, at)
-            yield value, at
-        elif word[:1] == b"<" and word != b"<<":
-            digits = re.sub(rb"\s", b"", word[1:-1])
-            yield bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()), at
-        elif word[:1] == b"/":
-            yield Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda h: bytes([int(h[1], 16)]), word[1:]).decode("latin-1")), at
-        elif re.fullmatch(rb"[+-]?\d+", word):
+    match = _TOKEN.match
+    while m := match(data, at):
+        at, kind = m.end(), m.lastindex
+        word = m[kind]
+        if kind == 1:
             ref = _REF.match(data, at) if word.isdigit() else None
             if ref:
-                yield Ref(word), ref.end()
                 at = ref.end()
+                yield Ref(word), at
             else:
                 yield int(word), at
-        elif re.fullmatch(rb"[+-]?(?:\d+\.?\d*|\.\d+)", word):
+        elif kind == 4:
+            digits = word if word.isalnum() or not word else b"".join(word.split())
+            yield bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()), at
+        elif kind == 2:
             yield float(word), at
+        elif kind == 5:
+            yield Name((re.sub(rb"#([0-9A-Fa-f]{2})", lambda h: bytes([int(h[1], 16)]), word) if b"#" in word else word).decode("latin-1")), at
+        elif kind == 6:
+            value, at = _literal(data, at)
+            yield value, at
         else:
             yield Word(word), at
 
@@ -367,7 +377,8 @@ class Font:
                 operands = []
 
     def text(self, raw: bytes) -> str:
-        return "".join(self.map.get(int.from_bytes(raw[i : i + self.width]), "") for i in range(0, len(raw), self.width))
+        w, known = self.width, self.map
+        return "".join([known.get(int.from_bytes(raw[i : i + w]), "") for i in range(0, len(raw), w)])
 
 
 def _shown(file: File, data: bytes, resources: dict, fonts: dict, depth: int = 0) -> Iterator[str]:
