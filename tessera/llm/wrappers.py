@@ -12,6 +12,7 @@ wrappers are aligned with one another in rounds of at most FAN a group, so that
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import json
 import re
@@ -35,6 +36,8 @@ DEPTH = 120
 PAIRS = 250_000
 #: Children from which on the names of classes no longer tell elements apart.
 WIDE = 200
+#: Wrappers, and signatures of pages for each, whose main text a task remembers.
+KNOWN = 128
 #: Nodes of the wrappers that a task holds before it hands them on.
 HELD = 200_000
 
@@ -611,7 +614,7 @@ def extracted(pages: DataFrame, url_col: str = "url", html_col: str = "html", *,
     html_at, wrapper_at, kept_at = columns.index(html_col), len(columns) - 1, [columns.index(c) for c in kept]
 
     def run(batches):
-        read: dict[str, tuple[Node, dict[str, set[int]]]] = {}
+        read: dict[str, tuple[Node, dict[bytes, set[int]]]] = {}
         for b in sliced(batches, html_at):
             texts = []
             for page, w in zip(b.column(html_at).to_pylist(), b.column(wrapper_at).to_pylist(), strict=True):
@@ -619,7 +622,7 @@ def extracted(pages: DataFrame, url_col: str = "url", html_col: str = "html", *,
                     texts.append("")
                     continue
                 if w not in read:
-                    if len(read) > 256:
+                    if len(read) >= KNOWN:
                         read.clear()
                     read[w] = unpacked(json.loads(w)), {}
                 texts.append(_main_text(page, *read[w]))
@@ -629,14 +632,14 @@ def extracted(pages: DataFrame, url_col: str = "url", html_col: str = "html", *,
     return joined.mapInArrow(run, schema)
 
 
-def _main_text(page: str, wrapper: Node, known: dict[str, set[int]]) -> str:
-    """known: for signatures that were met before, which of a page's leaves, in order, hold main text."""
+def _main_text(page: str, wrapper: Node, known: dict[bytes, set[int]]) -> str:
+    """known: for signatures (their hashes) that were met before, which of a page's leaves, in order, hold main text."""
     node, runs = stream(page)
     node = prepared(node)
-    sign = signature(node)
+    sign = hashlib.blake2b(signature(node).encode("utf-8", "replace"), digest_size=16).digest()
     leaves = list(_leaves(node))
     if sign not in known:
-        if len(known) > 1024:
+        if len(known) >= KNOWN:
             known.clear()
         runs_kept = kept_runs(wrapper, node)
         known[sign] = {i for i, leaf in enumerate(leaves) if runs_kept.issuperset(leaf.runs)}
