@@ -141,3 +141,34 @@ def test_a_file_that_hangs_is_left_behind(spark, monkeypatch):
     read = extract._limited((slow, 0.5), kind="string")
     rows = spark.createDataFrame([(x,) for x in (b"x", b"hang", b"y")], "content binary").coalesce(1)
     assert [tuple(r["v"]) for r in rows.select(read("content").alias("v")).collect()] == [("x", "ok"), (None, "timed_out"), ("y", "ok")]
+
+
+def test_a_file_isnt_given_up_because_the_machine_is_busy(tmp_path):
+    """Waiting for a CPU doesn't count, and a process that was ended from outside is replaced once."""
+
+    def waits(data):
+        for _ in range(10):
+            until = time.process_time() + 0.03
+            while time.process_time() < until:
+                pass
+            time.sleep(0.1)
+        return data.decode()
+
+    def dies_once(data):
+        import os
+
+        if not (tmp_path / "died").exists():
+            (tmp_path / "died").touch()
+            os._exit(9)
+        return data.decode()
+
+    def works_on(data):
+        while True:
+            pass
+
+    with limits.Limited(waits, 0.6) as run:
+        assert run(b"a") == ("ok", "a")
+    with limits.Limited(dies_once, 5) as run:
+        assert run(b"b") == ("ok", "b")
+    with limits.Limited(works_on, 0.5) as run:
+        assert run(b"c") == ("timed_out", None)
