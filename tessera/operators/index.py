@@ -26,6 +26,8 @@ MAX_OFFSETS = 128
 BATCH_BYTES = 4 << 20
 #: Bytes of a row group of packed postings: what a lookup reads at least.
 ROW_GROUP = 8 << 20
+#: Bytes of packed postings, as written, of a partition that is sorted.
+PART_BYTES = 32 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_TOKEN = np.isin(_LOWER, np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
@@ -89,19 +91,26 @@ def postings(docs: DataFrame, max_offsets: int = MAX_OFFSETS, *, places: bool =
     term of every document (doc_id, body). A document's tokens are all in its own row, so that nothing is shuffled."""
     columns = [T.StructField("tf", T.LongType()), T.StructField("token_count", T.LongType()), T.StructField("offsets", T.ArrayType(T.LongType()))]
     schema = T.StructType([T.StructField("term", T.StringType()), docs.schema["doc_id"], *columns])
+    return docs.select("doc_id", "body").mapInArrow(lambda batches: _postings(batches, max_offsets, places), schema)
 
-    def run(batches):
-        for b in batches:
-            for ids, raw, at in _slices(b):
-                off, cut, doc, terms, counts = _grouped(raw, at, places)
-                tf = np.diff(cut)
-                kept = np.minimum(tf, max_offsets)
-                if (kept < tf).any():
-                    off = off[np.arange(len(off)) - np.repeat(cut[:-1], tf) < max_offsets]
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)].astype(np.int32)), pa.array(off))
-                yield pa.record_batch([terms, ids.take(pa.array(doc)), pa.array(tf), pa.array(counts[doc]), lists], names=schema.names)
 
-    return docs.select("doc_id", "body").mapInArrow(run, schema)
+def _postings(batches: Iterator[pa.RecordBatch], max_offsets: int, places: bool) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for ids, raw, at in _slices(b):
+            off, cut, doc, terms, counts = _grouped(raw, at, places)
+            tf = np.diff(cut)
+            kept = np.minimum(tf, max_offsets)
+            if (kept < tf).any():
+                off = off[np.arange(len(off)) - np.repeat(cut[:-1], tf) < max_offsets]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)].astype(np.int32)), pa.array(off))
+            yield pa.record_batch([terms, ids.take(pa.array(doc)), pa.array(tf), pa.array(counts[doc]), lists], names=["term", "doc_id", "tf", "token_count", "offsets"])
+
+
+def chunks(docs: DataFrame, max_offsets: int = MAX_OFFSETS, *, places: bool = False) -> DataFrame:
+    """The same postings packed in the task that makes them, a part of its documents at a time (`packed.gathered`): a term and its
+    numbers stand once for many documents there, so that little is written and shuffled. doc_ids must be whole numbers."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "body")
+    return rows.mapInArrow(lambda batches: packed.gathered(_postings(batches, max_offsets, places)), packed.SCHEMA)
 
 
 def term_stats(docs: DataFrame) -> DataFrame:
@@ -141,7 +150,8 @@ class Index:
 
     stored: postings are columns on disk, so that offsets can be read for these rows only, too. terms (term, df) and corpus
     (one row) spare a search from counting them again. blocks: the postings packed, so that a search reads those only that
-    can hold its best documents; `postings` unpacks them all."""
+    can hold its best documents; `postings` unpacks them all. chunks: the postings of an index that isn't saved yet, packed by
+    the tasks that make them."""
 
     postings: DataFrame
     stats: DataFrame
@@ -150,6 +160,7 @@ class Index:
     terms: DataFrame | None = None
     corpus: DataFrame | None = None
     blocks: DataFrame | None = None
+    chunks: DataFrame | None = None
 
     def size(self) -> tuple[int, float]:
         """Number of documents and their mean tokens."""
@@ -157,25 +168,35 @@ class Index:
         return row["n_docs"], row["avg_len"]
 
     def save(self, path: str, *, with_documents: bool = False) -> None:
-        """As Parquet: postings and terms in the order of terms, documents, if asked for, in that of doc_id, so that a
-        lookup reads few row groups. Postings are computed once and sorted from what was written; they are packed into
-        blocks where doc_ids are whole numbers, and stay as they are elsewhere."""
+        """As Parquet: postings and terms in the order of terms, so that a lookup reads few row groups; documents, if asked for,
+        as they stand, in the order of doc_id within each file. Where doc_ids are whole numbers, postings are packed by the tasks
+        that make them, written once, shuffled as blocks and made whole blocks; elsewhere they stay as they are."""
         spark = self.postings.sparkSession
-        self.postings.write.mode("overwrite").parquet(f"{path}/unsorted")
+        packable = packed.packable(self.postings)
+        first = self.postings
+        if packable:
+            first = self.chunks if self.chunks is not None else packed.partly(self.postings.withColumn("doc_id", F.col("doc_id").cast("long")))
+        first.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/unsorted")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
         if with_documents:
-            _sorted(self.documents, "doc_id").parquet(f"{path}/documents")
+            self.documents.sortWithinPartitions("doc_id").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/documents")
         unsorted = spark.read.parquet(f"{path}/unsorted")
-        if packed.packable(unsorted):
-            rows = unsorted.withColumn("doc_id", F.col("doc_id").cast("long"))
-            made = packed.blocks(rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/unsorted")
+        files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+        if packable:
+            # so many partitions that each is sorted in memory, however large the table
+            n = files.getContentSummary(old).getLength() // PART_BYTES
+            by = ["term", "first_doc"]
+            dealt = unsorted.repartitionByRange(n, *by) if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else unsorted.repartitionByRange(*by)
+            made = packed.merged(dealt.sortWithinPartitions(*by))
             made.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(f"{path}/blocks")
+            terms = spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum("n").cast("long").alias("df"))
         else:
             _sorted(unsorted, "term", "doc_id").parquet(f"{path}/postings")
-        _sorted(unsorted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").parquet(f"{path}/terms")
+            terms = unsorted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        _sorted(terms, "term").parquet(f"{path}/terms")
         corpus_stats(spark.read.parquet(f"{path}/stats")).write.mode("overwrite").parquet(f"{path}/corpus")
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/unsorted")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        files.delete(old, True)
 
     def save_json(self, path: str) -> None:
         """As JSON lines, one posting or document a line, for other programs."""
@@ -194,7 +215,8 @@ def documents_of(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def build_index(docs: DataFrame, max_offsets: int = MAX_OFFSETS, *, places: bool = False) -> Index:
     """An index of documents (doc_id, body) that is computed when it is used; save it to compute it once."""
-    return Index(postings(docs, max_offsets, places=places), doc_stats(docs), docs)
+    made = postings(docs, max_offsets, places=places)
+    return Index(made, doc_stats(docs), docs, chunks=chunks(docs, max_offsets, places=places) if packed.packable(made) else None)
 
 
 def load_index(spark: SparkSession, path: str, docs: DataFrame | None = None) -> Index:

@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 BLOCK = 128
 #: Postings that are packed or unpacked together.
 TOGETHER = 1 << 16
+#: Postings that a task puts in order and packs before they are shuffled, as many as its memory holds with ease.
+GATHERED = 1 << 20
 
 _TOPS = pa.list_(pa.struct([("tf", pa.int64()), ("token_count", pa.int64())]))
 _NAMES = ["term", "block", "n", "first_doc", "last_doc", "tops", "cap", "bits", "docs", "counts", "offsets"]
@@ -182,23 +184,84 @@ def blocks(postings: DataFrame) -> DataFrame:
     partitions. A term that two partitions share has a short block more. Terms and numbers (block) together name a block."""
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 32
-        rest: pa.Table | None = None
-        last, done = None, 0  # the last term, and its blocks so far
-        for b in batches:
-            for i in range(0, b.num_rows, TOGETHER):
-                some = pa.Table.from_batches([b.slice(i, TOGETHER)])
-                rest = some if rest is None else pa.concat_tables([rest, some])
-                made, rest = _cut_blocks(rest, False)
-                if made is not None:
-                    made, last, done = _numbered(made, number, last, done)
-                    yield made
-        if rest is not None and rest.num_rows:
-            yield _numbered(_cut_blocks(rest, True)[0], number, last, done)[0]
+        yield from _streamed(pa.Table.from_batches([b.slice(i, TOGETHER)]) for b in batches for i in range(0, b.num_rows, TOGETHER))
 
     return postings.select("term", "doc_id", "tf", "token_count", "offsets").mapInArrow(run, SCHEMA)
 
 
+def _streamed(parts: Iterator[pa.Table], *, ordered: bool = True) -> Iterator[pa.RecordBatch]:
+    """Blocks of postings, some at a time, in the order of terms. ordered: and of doc_id, else they are put in order, as far as
+    they are at hand together."""
+    number = TaskContext.get().partitionId() << 32
+    rest: pa.Table | None = None
+    last, done = None, 0  # the last term, and its blocks so far
+    for some in parts:
+        rest = some if rest is None else pa.concat_tables([rest, some])
+        made, rest = _cut_blocks(rest if ordered else _in_order(rest), False)
+        if made is not None:
+            made, last, done = _numbered(made, number, last, done)
+            yield made
+    if rest is not None and rest.num_rows:
+        yield _numbered(_cut_blocks(rest, True)[0], number, last, done)[0]
+
+
+def _in_order(rows: pa.Table) -> pa.Table:
+    """Postings by term and doc_id."""
+    rows = rows.combine_chunks()
+    if not rows.num_rows:
+        return rows
+    coded = rows["term"].chunk(0).dictionary_encode()
+    place = np.empty(len(coded.dictionary), np.int64)
+    place[np.asarray(pc.sort_indices(coded.dictionary))] = np.arange(len(place))
+    code, doc = place[np.asarray(coded.indices)], np.asarray(rows["doc_id"].chunk(0)).astype(np.int64)
+    if ((code[1:] > code[:-1]) | ((code[1:] == code[:-1]) & (doc[1:] >= doc[:-1]))).all():
+        return rows
+    return rows.take(pa.array(np.lexsort((doc, code))))
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of postings in any order, GATHERED at a time: most are short, and those of a term overlap. `merged` makes whole ones
+    of them."""
+    waiting: list[pa.Table] = []
+    n = 0
+
+    def made() -> pa.RecordBatch:
+        return _cut_blocks(_in_order(pa.concat_tables(waiting)), True)[0]
+
+    for b in batches:
+        for i in range(0, b.num_rows, GATHERED):
+            some = b.slice(i, GATHERED)
+            waiting.append(pa.Table.from_batches([some]))
+            n += some.num_rows
+            if n >= GATHERED:
+                yield made()
+                waiting.clear()
+                n = 0
+    if n:
+        yield made()
+
+
+def partly(postings: DataFrame) -> DataFrame:
+    """`gathered` blocks of postings (term, doc_id, tf, token_count, offsets) as they stand."""
+    return postings.select("term", "doc_id", "tf", "token_count", "offsets").mapInArrow(gathered, SCHEMA)
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """Whole blocks of `gathered` ones that stand in the order of term and first_doc within partitions. A term that two partitions
+    share has a short block more. Documents that are at hand together are put in order, so that blocks hardly overlap."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        for b in batches:
+            part = np.cumsum(np.asarray(b.column("n")).astype(np.int64)) // TOGETHER
+            cuts = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)]).tolist(), len(part)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                some = b.slice(i, j - i)
+                for row, doc, tf, length, offsets in _unpacked(some, True):
+                    yield pa.table([some.column("term").take(pa.array(row)), pa.array(doc), pa.array(tf), pa.array(length), offsets], names=["term", "doc_id", "tf", "token_count", "offsets"])
+
+    return rows.select(_NAMES).mapInArrow(lambda batches: _streamed(parts(batches), ordered=False), SCHEMA)
+
+
 def _numbered(made: pa.RecordBatch, number: int, last: str | None, done: int) -> tuple[pa.RecordBatch, str, int]:
     """With the blocks' numbers within their terms, from `number` on; the last term, and its blocks so far."""
     code = np.asarray(made.column("term").dictionary_encode().indices).astype(np.int64)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as fn
-from tessera.operators import boolean, fuzzy, phrases
+from tessera.operators import boolean, fuzzy, packed, phrases
 from tessera.operators import index as ix
 from tessera.operators import patterns as pt
 from tessera.operators import search as se
@@ -85,7 +85,8 @@ def corpus_stats(spark, sf_dir):
 def index_build(spark, sf_dir):
     """An index built and saved, and what it then holds."""
     index = _index(spark, sf_dir, anew=True)
-    found = index.postings.agg(F.count(F.lit(1)).alias("n_postings"), F.countDistinct("term").alias("n_terms"), F.sum("tf").alias("n_tokens"))
+    of_term = packed.unpacked(index.blocks, with_offsets=False).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("tf"))
+    found = of_term.agg(F.sum("n").alias("n_postings"), F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_tokens"))
     return found.withColumn("n_docs", F.lit(index.stats.count()))
 
 
