@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as fn
 from tessera.sources.scratch import drop, written
 
-from . import automaton, packed, pruning
+from . import automaton, packed, pruning, together
 from .index import Index
 
 K1, B, PROXIMITY_WEIGHT = 1.2, 0.75, 0.3
@@ -24,6 +24,11 @@ PUSHED_TERMS = 200
 BROADCAST_ROWS, PUSHED_DOCS = 50_000, 500
 #: Postings of the queries' terms from which on a search looks first which blocks of them it needs.
 PRUNED_POSTINGS = 1_000_000
+#: Postings of the queries' terms, counted for each query, from which on queries that share them are scored together; they share
+#: them if they are so many times as many as the terms' own.
+SHARED_POSTINGS, SHARED_TIMES = 1_000_000, 2
+#: Terms of result rows whose places are broadcast to the scan of offsets.
+BROADCAST_PLACES = 500_000
 
 
 def queries_of(spark: SparkSession, query: str | DataFrame) -> DataFrame:
@@ -65,6 +70,18 @@ def scorer(use_bm25: bool, k1: float, b: float, avg_len: float) -> pruning.Score
     return tf_idf
 
 
+def array_scorer(use_bm25: bool, k1: float, b: float, avg_len: float):
+    """`scorer` for numpy arrays of positive tf and lengths: the same operations in the same order."""
+
+    def part(tf, length, weight):
+        if not use_bm25:
+            return tf * weight / length
+        ratio = 1.0 if avg_len == 0 else length / avg_len
+        return weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * ratio))
+
+    return part
+
+
 def weighted(index: Index, terms: DataFrame, n_docs: int) -> DataFrame:
     """query_id, qi, term and idf of the queries' terms that the index has."""
     if index.terms is None:
@@ -86,6 +103,15 @@ def _worth_it(index: Index, terms: DataFrame) -> bool:
     return index.terms is not None and (_looked_up(index.terms, terms).agg(F.sum("df").alias("n")).first()["n"] or 0) >= PRUNED_POSTINGS
 
 
+def _shared(index: Index, terms: DataFrame) -> bool:
+    """Whether queries share so many postings that these are better dealt out once for all of them."""
+    if index.terms is None:
+        return False
+    times = terms.groupBy("term").agg(F.count(F.lit(1)).alias("times"))
+    sums = _looked_up(index.terms, terms).join(times, "term").agg(F.sum(F.col("df") * F.col("times")).alias("all"), F.sum("df").alias("own"), F.sum("times").alias("weights")).first()
+    return (sums["all"] or 0) >= SHARED_POSTINGS and sums["all"] >= SHARED_TIMES * sums["own"] and sums["weights"] <= together.WEIGHTS
+
+
 def proximity(places: Column) -> Column:
     """Of an array of (off, qi) in order: the smallest gap of neighbours of different query terms, the earliest such,
     as struct<gap, left, center>; null without any."""
@@ -112,7 +138,8 @@ def ranked(index: Index, query: str | DataFrame, *, k: int | None = RESULTS, use
     boosted score first. k None: no cut.
 
     prune: read only the blocks of a packed index that can hold one of the k best by base score, which gives the same rows;
-    None: if the terms have PRUNED_POSTINGS or more. Scores must fall with a document's length and grow with tf (k1 from 0
+    None: if the terms have PRUNED_POSTINGS or more. Queries that share so many postings that reading them for each query costs more
+    are scored together instead (`together`), by all postings of their terms, unless prune is False. Scores must fall with a document's length and grow with tf (k1 from 0
     on, b from 0 to 1), else all are read.
     """
     if k is not None and k < 0:
@@ -124,7 +151,10 @@ def ranked(index: Index, query: str | DataFrame, *, k: int | None = RESULTS, use
     score, weights = scorer(use_bm25, k1, b, avg_len), weighted(index, terms, n_docs)
     can = cut and k and index.blocks is not None and k1 >= 0 and 0 <= b <= 1
     used = []
-    if can and (_worth_it(index, terms) if prune is None else prune):
+    at_once = can and prune is not False and _shared(index, terms)
+    if at_once:
+        docs = together.best(_looked_up(index.blocks, terms), weights, k, n_docs, array_scorer(use_bm25, k1, b, avg_len))
+    elif can and (_worth_it(index, terms) if prune is None else prune):
         blocks = _looked_up(index.blocks, terms)
         placed, folder = written(pruning.in_cells(blocks, weights, score), "cells")
         wanted = pruning.promising(blocks, placed, weights, k, score)
@@ -132,21 +162,24 @@ def ranked(index: Index, query: str | DataFrame, *, k: int | None = RESULTS, use
         used.append(folder)
     else:
         rows = _hits(index, terms, with_offsets=not later).join(weights, "term")
-    part = score(F.col("tf"), F.col("token_count"), F.col("idf"))
-    rows = rows.select("query_id", "doc_id", F.struct("qi", part.alias("part"), "term", *(c for c in rows.columns if c in ("block", "offsets"))).alias("part"))
-    # sums in a fixed order, so that equal documents have equal scores; rows of a pair are the query's terms
-    docs = rows.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    if not at_once:
+        part = score(F.col("tf"), F.col("token_count"), F.col("idf"))
+        rows = rows.select("query_id", "doc_id", F.struct("qi", part.alias("part"), "term", *(c for c in rows.columns if c in ("block", "offsets"))).alias("part"))
+        # sums in a fixed order, so that equal documents have equal scores; rows of a pair are the query's terms
+        docs = rows.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     docs = docs.withColumn("base_score", F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["part"]))
     if cut:
         # neighbours matter for the rows that the base score can keep; equal scores at the cut included
         best = Window.partitionBy("query_id").orderBy(F.desc("base_score"))
         docs = docs.withColumn("_place", F.rank().over(best)).where(F.col("_place") <= k).drop("_place")
-    if used:  # the rows that the cut has kept, so few a query
+    if used or at_once:  # the rows that the cut has kept, so few a query
         docs, _ = written(docs, "cut")
         drop(docs.sparkSession, *used)
     if later:
         # these rows' offsets
         pairs = docs.select("query_id", "doc_id", F.explode("parts").alias("part")).select("query_id", "doc_id", "part.qi", "part.term", *(["part.block"] if index.blocks is not None else []))
+        if at_once and pairs.count() <= BROADCAST_PLACES:
+            pairs = F.broadcast(pairs)
         if index.blocks is not None:
             found = pruning.read(_looked_up(index.blocks, terms), pairs, with_offsets=True).drop("tf", "token_count").join(pairs, ["term", "block", "doc_id"])
         else:

@@ -105,7 +105,8 @@ def bm25_pruned(spark, sf_dir):
 
 
 def bm25_batch_pruned(spark, sf_dir):
-    """Every benchmark passage, whole, from the blocks that can hold one of its three best documents."""
+    """The three best documents of every benchmark passage, whole: of few postings from the blocks that can hold them; passages that
+    share most of their postings are scored together."""
     passages = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return _ranked(spark, sf_dir, passages, k=3, prune=True)
 
