@@ -10,6 +10,10 @@ from tessera.functions import text as fn
 from tessera.operators.index import Index, doc_stats, load_index, postings
 from tessera.sources.files import documents_from
 
+#: Documents touched more than once that are broadcast, two numbers each, to the tables that may hold them; more are joined by
+#: shuffling the tables.
+BROADCAST_STALE = 2_000_000
+
 
 def stream_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder).where("length > 0")
@@ -35,12 +39,24 @@ def index_changes(events: DataFrame, path: str, checkpoint: str) -> StreamingQue
     entries no longer count. A batch that is run again takes its own place."""
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        order = F.struct("changed_at", "removed")
-        last = batch.groupBy("doc_id").agg(F.max_by(F.struct("body", "removed"), order).alias("last"))
-        last = last.select("doc_id", F.coalesce("last.body", F.lit(b"")).alias("body"), F.coalesce("last.removed", F.lit(False)).alias("removed"))
-        docs = last.where("not removed").select("doc_id", "body")
-        for name, rows in (("documents", docs), ("postings", postings(docs)), ("stats", doc_stats(docs)), ("touched", last.select("doc_id"))):
-            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        spark, here = batch.sparkSession, f"batch={batch_id}"
+
+        def write(rows: DataFrame, name: str) -> DataFrame:
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/{here}")
+            return spark.read.schema(rows.schema).parquet(f"{path}/{name}/{here}")
+
+        # bodies are shuffled of those documents only that have several events; what is written first is read by what follows
+        counted = batch.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+        write(counted.select("doc_id"), "touched")
+        several = counted.where("n > 1").select(F.col("doc_id").alias("several_id"))
+        same = F.col("doc_id").eqNullSafe(F.col("several_id"))
+        events = batch.select("doc_id", "body", "removed", "changed_at")
+        alone = events.join(several, same, "left_anti")
+        again = events.join(several, same, "left_semi").groupBy("doc_id").agg(F.max_by(F.struct("body", "removed"), F.struct("changed_at", "removed")).alias("last"))
+        last = alone.select("doc_id", "body", "removed").unionByName(again.select("doc_id", "last.body", "last.removed"))
+        docs = write(last.where(~F.coalesce("removed", F.lit(False))).select("doc_id", F.coalesce("body", F.lit(b"")).alias("body")), "documents")
+        write(postings(docs), "postings")
+        write(doc_stats(docs), "stats")
 
     return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -50,10 +66,12 @@ def load_changing(spark: SparkSession, path: str) -> Index:
     once are looked for in the tables."""
     touched = spark.read.parquet(f"{path}/touched")
     stale = touched.groupBy("doc_id").agg(F.max("batch").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "last")
+    few = stale.limit(BROADCAST_STALE + 1).count() <= BROADCAST_STALE
 
     def live(name: str) -> DataFrame:
         rows = spark.read.parquet(f"{path}/{name}")
         old = stale.withColumnsRenamed({"doc_id": "stale_id", "last": "stale_last"})
+        old = F.broadcast(old) if few else old
         return rows.join(old, (F.col("doc_id") == F.col("stale_id")) & (F.col("batch") < F.col("stale_last")), "left_anti").drop("batch")
 
     return Index(live("postings"), live("stats"), live("documents"), True)

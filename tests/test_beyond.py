@@ -139,3 +139,18 @@ def test_an_index_that_changes(spark, tmp_path):
         assert [sorted(map(str, se.ranked(changing, q, k=5).collect())) for q in ("sea", "red of", "gone")] == want
     packed = st.compact(spark, f"{tmp_path}/index", f"{tmp_path}/compact")
     assert packed.blocks is not None and [sorted(map(str, se.ranked(packed, q, k=5).collect())) for q in ("sea", "red of", "gone")] == want
+
+
+def test_what_changed_is_broadcast_to_the_segments(spark, tmp_path):
+    """The tables of an index that changes aren't shuffled by doc_id, whatever Spark would broadcast by itself."""
+    for batch, ids in ((0, [1, 2]), (1, [2])):
+        for name in ("touched", "postings", "stats", "documents"):
+            spark.createDataFrame([(i,) for i in ids], "doc_id long").write.parquet(f"{tmp_path}/{name}/batch={batch}")
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = st.load_changing(spark, str(tmp_path)).postings
+        assert sorted(r["doc_id"] for r in rows.collect()) == [1, 2]
+        assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
