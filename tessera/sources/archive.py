@@ -114,24 +114,31 @@ class _Split(NamedTuple):
 _Known = dict[tuple[str, int], _Split]
 
 
-def _whole(batches, names: _Known | None = None) -> Iterator[tuple[tuple[str, int], bytes]]:
-    """Splits, and their bytes: the pieces with the two bytes between them. Others than those named are left out."""
+def _whole(batches, names: _Known | None = None) -> Iterator[tuple[tuple[str, int], bytearray]]:
+    """Splits, and their bytes: the pieces with the two bytes between them. Others than those named are left out. A split is held
+    once, as it grows."""
     at: tuple[str, int] | None = None
-    pieces: list[bytes] = []
-
-    def joined() -> bytes:
-        return (b"" if at[1] == 0 else bytes([STX])) + bytes([ETX, STX]).join(pieces) + bytes([ETX])
-
+    data, n = bytearray(), 0
     for b in batches:
-        for p, s, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for p, s, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             if (p, s) != at:
-                if pieces:
-                    yield at, joined()
-                at, pieces = (p, s), []
+                if n:
+                    data.append(ETX)
+                    yield at, data
+                at, data, n = (p, s), bytearray() if s == 0 else bytearray([STX]), 0
             if names is None or at in names:
-                pieces.append(piece)
-    if pieces:
-        yield at, joined()
+                if n:
+                    data += bytes([ETX, STX])
+                data += memoryview(piece.as_buffer())
+                n += 1
+    if n:
+        data.append(ETX)
+        yield at, data
+
+
+def _view(data: bytearray, own: int, after: bytes) -> memoryview:
+    """A split's own bytes and what is known of those after it; copied only where something is."""
+    return memoryview(bytes(data[:own]) + after) if after else memoryview(data)[:own]
 
 
 def _starts(pieces: DataFrame) -> _Known:
@@ -155,7 +162,7 @@ def _walked(pieces: DataFrame, known: _Known) -> dict[tuple[str, int], _Walk]:
         for key, data in _whole(batches, sent.value):
             s = sent.value[key]
             own = s.end - s.base
-            view = memoryview(data[:own] + s.after)
+            view = _view(data, own, s.after)
             if s.base == 0 and bytes(view[:4]) != MAGIC:
                 raise ValueError(f"{key[0]} is not an archive")
             *_, last = _records(view, own, s.base, s.entry, s.size, s.bad)
@@ -173,7 +180,7 @@ def _bytes_at(pieces: DataFrame, known: _Known, wanted: dict[tuple[str, int], li
         places, bases = sent.value
         for key, data in _whole(batches, places):
             for at, n in places[key]:
-                yield pa.record_batch([pa.array([key[0]]), pa.array([at], pa.int64()), pa.array([data[at - bases[key] :][:n]], pa.binary())], names=["path", "at", "bytes"])
+                yield pa.record_batch([pa.array([key[0]]), pa.array([at], pa.int64()), pa.array([bytes(data[at - bases[key] : at - bases[key] + n])], pa.binary())], names=["path", "at", "bytes"])
 
     rows = pieces.select("path", "split", "piece").mapInArrow(run, "path string, at long, bytes binary").collect()
     return {(r["path"], r["at"]): bytes(r["bytes"]) for r in rows}
@@ -245,7 +252,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             size = 0
             if s.owner >= 0:
                 out.append((None, bytes(view[: s.entry - s.base]), key[0], s.owner, s.base))
-            for r in _records(memoryview(data[:own] + s.after), own, s.base, s.entry, s.size, s.bad):
+            for r in _records(_view(data, own, s.after), own, s.base, s.entry, s.size, s.bad):
                 if isinstance(r, _Walk):
                     if r.open_at is not None:
                         out.append((None, bytes(view[r.open_at - s.base :]), key[0], r.open_at, r.open_at))

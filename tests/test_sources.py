@@ -235,3 +235,20 @@ def test_page_text_of_short_octal_escapes_and_control_characters():
 
     assert page_text(rb"(a\101\53\4b) Tj") == "aA+\x04b"
     assert page_text(b"one\x01two\x7fthree") == "one two three"
+
+
+def test_a_split_of_an_archive_is_held_once():
+    """Its pieces, the whole of them and a copy of that made four times its size."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    size, n = 1 << 20, 24
+    batch = pa.record_batch([pa.array(["f"] * n), pa.array([0] * n, pa.int64()), pa.array([b"x" * size] * n, pa.binary())], names=["path", "split", "piece"])
+    tracemalloc.start()
+    for _, data in archive._whole(iter([batch])):
+        assert len(data) == n * size + 2 * (n - 1) + 1
+        assert bytes(archive._view(data, len(data), b"")[:4]) == b"xxxx"
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.6 * n * size
