@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import text as fn
 
 from . import automaton
 
+#: Places of terms that are handed on together, those of one text at least.
+PLACES = 1 << 18
+_RANGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _LEVEL = r'"level":[^"]*"([^"]*)"'
 
 
@@ -70,22 +76,48 @@ def counts_by_type(files: DataFrame, patterns: Sequence[str] = (), *, ignore_cas
 
 def merged_matches(rows: DataFrame, keys: Sequence[str], terms: Sequence[str]) -> DataFrame:
     """The keys of each row and merged: the places of lower-case terms, whatever their case, in its whole text, as
-    array<struct<start, end>>, those that overlap or touch made one. Texts are cut at each term once and their pieces
-    are summed and merged by windows, so that long texts cost work in proportion to their pieces."""
+    array<struct<start, end>>, those that overlap or touch made one. Each text is walked once a term where it stands; nothing is
+    shuffled, so that a task holds no more than a batch of texts and the places in some of them."""
     if not terms or "" in terms:
         raise ValueError("no terms")
-    quoted = {t: r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" for t in terms}
-    texts = rows.select(*keys, F.monotonically_increasing_id().alias("_row"), F.lower(F.coalesce("text", F.lit(""))).alias("_text"))
-    cut = F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(len(t)).alias("size"), F.transform(F.split("_text", q, -1), F.length).alias("parts")) for i, (t, q) in enumerate(quoted.items())])
-    cuts = texts.select(*keys, "_row", F.explode(cut).alias("_cut"))
-    pieces = cuts.select(*keys, "_row", "_cut.nth", "_cut.size", F.size("_cut.parts").alias("n"), F.posexplode("_cut.parts").alias("i", "piece")).repartition("_row")
-    before = Window.partitionBy("_row", "nth").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    start = (F.sum("piece").over(before) + F.col("i") * F.col("size")).cast("int")
-    # no term follows the last piece; that of the first term stays without a place, so that each row has one
-    found = pieces.withColumn("start", F.when(F.col("i") < F.col("n") - 1, start)).where("start is not null or nth = 0").withColumn("end", F.col("start") + F.col("size"))
-    order = Window.partitionBy("_row").orderBy("start", "end")
-    opens = F.when(F.col("start") <= F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
-    islands = found.withColumn("opens", opens).withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy(*keys, "_row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    place = F.when(F.col("start").isNotNull(), F.struct("start", "end"))
-    return merged.groupBy(*keys, "_row").agg(F.array_sort(F.collect_list(place)).alias("merged")).drop("_row")
+    texts = rows.select(*keys, F.lower(F.coalesce("text", F.lit(""))).alias("_text"))
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("merged", _RANGES)])
+    names, wanted, kind = [*keys, "merged"], list(terms), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(b: pa.RecordBatch, first: int, found: list[np.ndarray]) -> pa.RecordBatch:
+            both = np.concatenate(found)
+            at = np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["start", "end"]))
+            return pa.record_batch([*(b.column(c).slice(first, len(found)) for c in range(len(keys))), lists.cast(kind)], names=names)
+
+        for b in batches:
+            first, found, size = 0, [], 0
+            for i, text in enumerate(b.column(len(keys))):
+                found.append(_islands(text.as_py(), wanted))
+                size += len(found[-1])
+                if size >= PLACES:
+                    yield made(b, first, found)
+                    first, found, size = i + 1, [], 0
+            if found:
+                yield made(b, first, found)
+
+    return texts.mapInArrow(run, schema)
+
+
+def _islands(text: str, terms: Sequence[str]) -> np.ndarray:
+    """Starts and ends of the places of terms, of each those that don't overlap with an earlier one, merged."""
+    places: list[tuple[int, int]] = []
+    for t in terms:
+        size = len(t)
+        at = text.find(t)
+        while at >= 0:
+            places.append((at, at + size))
+            at = text.find(t, at + size)
+    if not places:
+        return np.zeros((0, 2), np.int32)
+    both = np.array(places, np.int32)
+    starts, ends = np.sort(both[:, 0]), np.sort(both[:, 1])
+    # with starts and ends sorted by themselves there is a gap before a start just if as many have ended below it as have begun
+    gap = starts[1:] > ends[:-1]
+    return np.stack([starts[np.r_[True, gap]], ends[np.r_[gap, True]]], axis=1)

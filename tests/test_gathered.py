@@ -31,3 +31,15 @@ def test_postings_are_packed_before_they_are_shuffled(docs, tmp_path, monkeypatc
     assert (of["the"]["low"], of["the"]["high"]) == (0, 2999)
     assert {r["term"]: r["df"] for r in loaded.terms.collect()} == {t: r["n"] for t, r in of.items()}
     assert np.all([r["first_doc"] <= r["last_doc"] for r in loaded.blocks.collect()])
+
+
+def test_marking_texts_shuffles_nothing(spark, monkeypatch):
+    """However long and many the texts are: a task holds a batch of them."""
+    from tessera.operators import patterns
+
+    monkeypatch.setattr(patterns, "PLACES", 3)
+    texts = spark.createDataFrame([(1, "The the aaa then"), (2, None), (3, "é THEé the"), (4, "aaaa hethe"), (5, "x")], "doc_id int, text string").coalesce(1)
+    found = patterns.merged_matches(texts, ["doc_id"], ("the", "he", "aa"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["doc_id"]: [tuple(x) for x in r["merged"]] for r in found.collect()}
+    assert got == {1: [(0, 3), (4, 7), (8, 10), (12, 15)], 2: [], 3: [(2, 5), (7, 10)], 4: [(0, 4), (5, 10)], 5: []}
