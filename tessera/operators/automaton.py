@@ -3,7 +3,7 @@ time hardly depends on how many there are. Batches of texts go through it in Arr
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import ahocorasick
 import numpy as np
@@ -33,9 +33,16 @@ def bytes_before(text: str, places: list[int]) -> list[int]:
     return before[np.minimum(places, len(code))].tolist()
 
 
-def counts(texts: DataFrame, literals: Sequence[str]) -> DataFrame:
-    """nth (of the literals) and n: how often it occurs in all texts (a table of one string column), overlapping places
-    included; those that never occur have no row. Counted in the tasks, then added up."""
+def _strings(batches: Iterable[pa.RecordBatch]) -> Iterator[str | None]:
+    for b in batches:
+        for t in b.column(0):
+            yield t.as_py()
+
+
+def counts(texts: DataFrame, literals: Sequence[str], read: Callable[[Iterable[pa.RecordBatch]], Iterable[str | None]] = _strings) -> DataFrame:
+    """nth (of the literals) and n: how often it occurs in all texts, overlapping places included; those that never occur
+    have no row. Counted in the tasks, then added up. read: the texts of batches of the table, one after the other; by itself
+    those of its first column."""
     if not literals:
         return texts.sparkSession.createDataFrame([], "nth long, n long")
     sent = texts.sparkSession.sparkContext.broadcast(list(literals))
@@ -43,10 +50,9 @@ def counts(texts: DataFrame, literals: Sequence[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk = made(sent.value)
         n = [0] * len(sent.value)
-        for b in batches:
-            for t in b.column(0):
-                for _, i in walk.iter(t.as_py() or ""):
-                    n[i] += 1
+        for text in read(batches):
+            for _, i in walk.iter(text or ""):
+                n[i] += 1
         some = [i for i, x in enumerate(n) if x]
         yield pa.record_batch([pa.array(some, pa.int64()), pa.array([n[i] for i in some], pa.int64())], names=["nth", "n"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +30,20 @@ def pattern_counts(docs: DataFrame, patterns: Sequence[str], *, ignore_case: boo
     """label and n: how often each literal occurs in the bytes of all documents (doc_id, body), overlapping places
     included; those that never occur have 0. ignore_case: of ASCII letters. One pass over the table, whatever the number
     of literals, counts combined before the shuffle."""
+    view = fn.byte_view(F.col("body"))
+    return _pattern_counts(docs.select((fn.lower_ascii(view) if ignore_case else view).alias("text")), patterns, ignore_case)
+
+
+def _pattern_counts(texts: DataFrame, patterns: Sequence[str], ignore_case: bool, **how) -> DataFrame:
+    """`pattern_counts` of texts as `automaton.counts` takes them: a character for each byte, in lower case if case is ignored."""
     if not patterns:
         raise ValueError("no patterns")
-    view, labels = fn.byte_view(F.col("body")), list(dict.fromkeys(patterns))
+    labels = list(dict.fromkeys(patterns))
     folded = [_bytes_in(p, ignore_case) for p in labels]
     literals = [p for p in dict.fromkeys(folded) if p]
-    found = automaton.counts(docs.select((fn.lower_ascii(view) if ignore_case else view).alias("text")), literals)
+    found = automaton.counts(texts, literals, **how)
     place = {p: i for i, p in enumerate(literals)}
-    asked = docs.sparkSession.createDataFrame([(label, place.get(p)) for label, p in zip(labels, folded, strict=True)], "label string, nth long")
+    asked = texts.sparkSession.createDataFrame([(label, place.get(p)) for label, p in zip(labels, folded, strict=True)], "label string, nth long")
     return asked.join(found, "nth", "left").select("label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -60,17 +66,21 @@ def compressed_streams(docs: DataFrame) -> DataFrame:
 
 def counts_by_type(files: DataFrame, patterns: Sequence[str] = (), *, ignore_case: bool = False) -> DataFrame:
     """label and n over files (path, content) as their types ask for: PDFs by compressed streams, the inner document of
-    DOCX files and all others by patterns, or by levels where no patterns are given."""
-    from tessera.sources.extract import docx_xml
+    DOCX files and all others by patterns, or by levels where no patterns are given. DOCX files are read where patterns are
+    counted, one after the other, so that a task has no more than one Python worker, and the reading process, for both."""
+    from tessera.sources.extract import main_parts
 
     rows = files.select(F.col("content").alias("body"), fn.file_type(F.col("content")).alias("kind"))
     out = compressed_streams(rows)
-    docx = docx_xml(rows.where("kind = 'docx'"), "body")
-    rest = rows.where("kind not in ('docx', 'pdf')").select("body")
     if patterns:
-        both = pattern_counts(docx.select("body").union(rest), patterns, ignore_case=ignore_case)
+
+        def read(batches: Iterable[pa.RecordBatch]) -> Iterator[str]:
+            for data in main_parts(batches):
+                yield ((data or b"").lower() if ignore_case else data or b"").decode("latin-1")
+
+        both = _pattern_counts(rows.where("kind <> 'pdf'").select("kind", F.col("body").cast("binary")), patterns, ignore_case, read=read)
     else:
-        both = level_counts(rest)
+        both = level_counts(rows.where("kind not in ('docx', 'pdf')").select("body"))
     return out.union(both).groupBy("label").agg(F.sum("n").alias("n"))
 
 

@@ -5,6 +5,7 @@ import zipfile
 import zlib
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from tessera.operators.index import load_index
 from tessera.operators.patterns import counts_by_type
 from tessera.sources import archive, extract, files
 from tessera.sources.lines import large_documents, line_chunks, splits
+from tessera.sources.slices import slices
 from tessera.streaming import index as st
 
 
@@ -252,3 +254,19 @@ def test_a_split_of_an_archive_is_held_once():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 1.6 * n * size
+
+
+def test_files_are_read_in_slices():
+    """A reading task holds a slice of a batch at once, however many rows Spark puts in one (`counts_by_type`, `extraction`)."""
+    column = pa.array([b"x" * 300] * 10 + [None, b"", b"y" * 2000])
+    cut = list(slices([column, column.slice(0, 0)], 1000))
+    assert pa.concat_arrays(cut).equals(column) and [len(c) for c in cut] == [4, 3, 3, 3, 0]
+
+
+def test_counts_by_type_reads_docx_files_where_it_counts(spark, folder):
+    """One Python step for both, so that a task has one worker; case, unread files and other types as before."""
+    found = files.files(spark, folder).select("path", "content").union(spark.createDataFrame([("broken.docx", bytearray(b"PK\x03\x04 the L")), ("none", None)], "path string, content binary"))
+    out = counts_by_type(found, ["L", "<W:T>"], ignore_case=True)
+    assert {tuple(r) for r in out.collect()} == {("compressedStreams", 1), ("L", 3), ("<W:T>", 1)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
