@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as fn
 from tessera.sources.scratch import drop, written
 
-from . import automaton, packed, pruning, together
+from . import automaton, packed, pruning, scan, together
 from .index import Index
 
 K1, B, PROXIMITY_WEIGHT = 1.2, 0.75, 0.3
@@ -29,6 +29,8 @@ PRUNED_POSTINGS = 1_000_000
 SHARED_POSTINGS, SHARED_TIMES = 1_000_000, 2
 #: Terms of result rows whose places are broadcast to the scan of offsets.
 BROADCAST_PLACES = 500_000
+#: Terms of all queries, and result rows of each task, up to which a scan sums scores where the texts are; of more, row by row.
+SCANNED_TERMS, SCANNED_ROWS = 200_000, 500_000
 
 
 def queries_of(spark: SparkSession, query: str | DataFrame) -> DataFrame:
@@ -240,16 +242,27 @@ def search(index: Index | None, query: str | DataFrame, *, k: int = RESULTS, win
     return _shown(ranked(index, queries, k=k, **options), index.documents, queries, k, window)
 
 
+def _repeated(docs: DataFrame) -> bool:
+    """Whether rows share a doc_id."""
+    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).isEmpty()
+
+
 def raw_ranked(docs: DataFrame, query: str | DataFrame, *, k: int | None = RESULTS) -> DataFrame:
     """Without an index, by substrings: query_id, rank, doc_id, score (occurrences of all terms), match_offset (bytes
-    before the first). The different terms of all queries are looked for together, in one walk over each text; what is
-    found meets the queries by a join."""
+    before the first). The different terms of all queries are looked for together, in one look at each text. Each task
+    hands on its k best of each query; without k, with repeated doc_ids or many terms, what is found meets the queries by a join."""
     if k is not None and k < 0:
         raise ValueError("k must not be negative")
-    asked = query_terms(queries_of(docs.sparkSession, query)).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    queries = queries_of(docs.sparkSession, query)
+    asked = query_terms(queries).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     text = fn.as_text(F.col("body"))
-    found = automaton.occurrences(docs.select("doc_id", text.alias("text")), asked.select("term").distinct(), low=F.lower("text"))
-    rows = found.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("n") * F.col("times")).cast("double").alias("score"), F.min("first").alias("match_offset"))
+    texts = docs.select("doc_id", text.alias("text")).withColumn("low", F.lower("text"))
+    few = asked.limit(SCANNED_TERMS + 1).collect() if k and scan.can_order(docs.schema["doc_id"].dataType) else []
+    if few and len(few) <= SCANNED_TERMS and k * len({r["query_id"] for r in few}) <= SCANNED_ROWS and not _repeated(docs):
+        rows = scan.best(texts, few, queries.schema["query_id"].dataType, k)
+    else:
+        found = automaton.occurrences(texts.select("doc_id", "text"), asked.select("term").distinct(), low=F.lower("text"))
+        rows = found.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("n") * F.col("times")).cast("double").alias("score"), F.min("first").alias("match_offset"))
     placed = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
     placed = placed if k is None else placed.where(F.col("rank") <= k)
     return placed.select("query_id", "rank", "doc_id", "score", "match_offset")
