@@ -145,7 +145,8 @@ class Words:
     which: np.ndarray  # the place of each in hashes, -1 if it is empty
 
 
-def words_of(part: Part) -> Words:
+def words_of(part: Part, *, placed: bool = True) -> Words:
+    """placed: with place, gate and which, that only scoring looks at."""
     raw, low = part.raw, np.where((part.raw >= 65) & (part.raw <= 90), part.raw + 32, part.raw)
     up, down = powers(max(len(raw) + 1, PART_BYTES))
 
@@ -168,7 +169,7 @@ def words_of(part: Part) -> Words:
     end = np.flatnonzero(_WHITE[raw] | (raw == END))
     start = np.r_[0, end[:-1] + 1]
     total = sums(raw)
-    _, one, back, times = np.unique((total[end + 1] - total[start]) * down[start], return_index=True, return_inverse=True, return_counts=True)
+    one, back, times = _alike((total[end + 1] - total[start]) * down[start])
     size = end[one] + 1 - start[one]
     begin = np.cumsum(size) - size
     far = np.arange(size.sum()) - np.repeat(begin, size)
@@ -179,21 +180,35 @@ def words_of(part: Part) -> Words:
     some = size > 1
     length = (size - 1)[some].astype(np.uint64)
     hashes = mixed((total[(begin + size - 1)[some]] - total[begin[some]]) * down[begin[some]] + length) & ~LOW
+    if not placed:
+        return Words(raw[at], keys, np.repeat(times, size), hashes, times[some], none, none, start, none)
     every = end + 1 - start
     inside = np.arange(len(raw)) - np.repeat(start, every)
     which = np.where(some, np.cumsum(some) - 1, -1)[back]
     return Words(raw[at], keys, np.repeat(times, size), hashes, times[some], np.repeat(begin[back], every) + inside, np.minimum(inside, GATES - 1), start, which)
 
 
+def _alike(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A place of each different key, in their order, which of them each key is, and how often each stands: like np.unique,
+    which takes twice as long because it looks for the first places."""
+    order = np.argsort(keys)
+    own = keys[order]
+    new = np.r_[True, own[1:] != own[:-1]][: len(own)]
+    at = np.flatnonzero(new)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[at], back, np.diff(np.r_[at, len(keys)])
+
+
 def _slots(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and their sums; quick if the keys are a few sorted runs."""
+def _summed(keys: np.ndarray, n: np.ndarray, *, mixed_up: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their sums; quick if the keys are a few sorted runs, or if it is told that they aren't."""
     if not len(keys):
         return keys, n
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind=None if mixed_up else "stable")
     keys, n = keys[order], n[order]
     at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return keys[at], np.add.reduceat(n, at)
@@ -209,7 +224,7 @@ class Runs:
 
     def add(self, keys: np.ndarray, n: np.ndarray | None = None) -> bool:
         """Whether they should be handed on."""
-        keys, n = np.unique(keys, return_counts=True) if n is None else _summed(keys, n)
+        keys, n = np.unique(keys, return_counts=True) if n is None else _summed(keys, n, mixed_up=True)
         self.keys.append(keys)
         self.n.append(n)
         self.held += len(keys)
@@ -326,7 +341,7 @@ def counted(docs: DataFrame, bits: int = 0) -> DataFrame:
             for part in parts(texts):
                 codes, n = np.unique(three_before(part) << np.uint32(8) | part.raw[part.lead :], return_counts=True)
                 yield from add(2, codes.astype(np.uint64), n)
-                words = words_of(part)
+                words = words_of(part, placed=False)
                 yield from add(3, words.keys | words.raw, words.times)
                 yield from add(0, words.hashes, words.word_times)
             for w in word_hashes(t for t in texts if _long(t)):
@@ -576,13 +591,15 @@ class Mixer:
         found, added, held = self.rows(three, words), [], int(self.first[-1])
         for kind, row in zip(KINDS, found, strict=True):
             if kind in cells and len(miss := np.flatnonzero(row == 0)):
-                k = words.keys[miss] if kind == 3 else of_bytes(three[miss] & np.uint32(0xFFFF if kind == 1 else 0xFFFFFF))
                 own, n = cells[kind]
-                need = np.unique(k)
+                k = words.keys[miss] if kind == 3 else three[miss] & np.uint32(0xFFFF if kind == 1 else 0xFFFFFF)
+                one, back, _ = _alike(k)
+                some = k[one]
+                need = some if kind == 3 else np.sort(of_bytes(some))
                 low, high = np.searchsorted(own, need), np.searchsorted(own, need | LOW, "right")
                 at = np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low) + np.arange((high - low).sum())
                 others, more = _table(own[at], n[at], self.code)
-                place = _found(k, others)
+                place = _found(some if kind == 3 else of_bytes(some), others)[back]
                 row[miss] = np.where(place < 0, 0, place + held)
                 added.append(more)
                 held += len(others)
@@ -610,7 +627,7 @@ class Mixer:
         symbol, block, own = symbol[order], block[order], (doc * GATES + gate)[order]
         # numpy looks 64-bit places up far faster than others
         bases = [row[order].astype(np.int64) * 255 for row in rows]
-        nodes, signs = self.code.node.astype(np.uint8), 2 * self.code.bit - 1
+        nodes, signs = self.code.node, (2 * self.code.bit - 1).astype(np.float32)
         lengths, starts = self.code.length[symbol], self.code.start[symbol]
         run = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (block[1:] != block[:-1])])
         run_end, runs = np.r_[run[1:], len(symbol)], own[run]
@@ -622,16 +639,17 @@ class Mixer:
             s, mine = slice(run[one], run_end[two - 1]), runs[one:two]
             length = lengths[s]
             ends = np.cumsum(length)
-            at = np.repeat(starts[s] - (ends - length), length)
+            byte = np.repeat(np.arange(len(length)), length)  # looking up by it takes half as long as repeating again
+            at = (starts[s] - (ends - length)).take(byte, mode="wrap")
             at += np.arange(ends[-1])
-            node, sign = nodes[at].astype(np.int64), signs[at].astype(np.float32)
+            node, sign = nodes.take(at, mode="wrap"), signs.take(at, mode="wrap")
             first = np.r_[0, ends][run[one:two] - run[one]]
             n = np.diff(np.r_[first, ends[-1]])
             x = []
             for base in bases:
-                at = np.repeat(base[s], length)
+                base[s].take(byte, out=at, mode="wrap")
                 at += node
-                x.append(self.logits[at].astype(np.float32))
+                x.append(self.logits.take(at, mode="wrap").astype(np.float32))
             mix = np.repeat(weights[0][mine], n) * x[0]
             for w, v in zip(weights[1:], x[1:], strict=True):
                 mix += np.repeat(w[mine], n) * v
@@ -640,7 +658,7 @@ class Mixer:
             np.minimum(np.maximum(place, 0, out=place), np.float32(BINS - 0.5), out=place)
             bin_ = place.astype(np.int64)
             bin_ += np.repeat(mine // GATES * BINS, n)
-            mix += shift[bin_]
+            mix += shift.take(bin_, mode="wrap")
             mix *= -sign
             e = np.exp(np.minimum(mix, np.float32(30), out=mix), out=mix)
             np.add.at(out, mine // GATES, np.add.reduceat(np.log(1 + e), first) / np.log(2))
@@ -701,7 +719,7 @@ def _asks(blocks: DataFrame, model, bits: int) -> DataFrame:
                 texts = pa.ipc.open_stream(rows.as_buffer()).read_all().columns[-1].to_pylist()
                 asked: dict[int, list] = {kind: [] for kind in waiting}
                 for part in parts(texts):
-                    words = words_of(part)
+                    words = words_of(part, placed=False)
                     for kind, keys in mixer.asked(part, words):
                         asked[kind].append(keys)
                     asked[0].append(words.hashes)

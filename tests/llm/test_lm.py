@@ -180,3 +180,16 @@ def test_contexts_grow_with_the_corpus_and_are_told_apart(spark):
             cells[r["kind"], k] += n
     want = [n for of in slow_counts(texts) for c in of.values() for n in c.values()]
     assert sorted(cells.values()) == sorted(want) and len(want) > 50_000
+
+
+def test_words_are_placed_for_scoring_only():
+    """Counting and asking leave out what only scoring looks at; different words are told apart by one sort (the query's CPU seconds)."""
+    rng = np.random.default_rng(5)
+    for keys in (np.zeros(0, np.uint64), rng.integers(0, 9, 200).astype(np.uint64), rng.integers(0, 9, 50).astype(np.uint32)):
+        one, back, times = lm._alike(keys)
+        own, counts = np.unique(keys, return_counts=True)
+        assert (keys[one] == own).all() and (own[back] == keys).all() and (times == counts).all()
+    for part in lm.parts(["a b a\n", "", "  b é b", "x" * (lm.LONG_BYTES + 9)]):
+        every, few = lm.words_of(part), lm.words_of(part, placed=False)
+        for name in ("raw", "keys", "times", "hashes", "word_times"):
+            assert (getattr(every, name) == getattr(few, name)).all()
